@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from isomesh.llm import packing, pii, secrets
+from isomesh.llm import langid, packing, pii, quality, secrets
 from isomesh.llm.work import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
+    "language_id_pages": lambda spark, sf_dir: langid.report_pages(table(spark, sf_dir, "pages")),
     "op4_secret_links": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),
+    "op7_perplexity": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents")),
     "op10_pii": lambda spark, sf_dir: pii.report(table(spark, sf_dir, "documents")),
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isomesh.llm import langid, packing, pii, quality, secrets
+from isomesh.llm import langid, near, packing, pii, quality, secrets
 from isomesh.llm.work import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_links": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),
     "op7_perplexity": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents")),
+    "op9_bag_minhash": lambda spark, sf_dir: near.report(table(spark, sf_dir, "documents")),
     "op10_pii": lambda spark, sf_dir: pii.report(table(spark, sf_dir, "documents")),
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from isomesh.llm import langid, near, order, packing, pii, quality, secrets
+from isomesh.llm import langid, near, order, packing, pii, quality, secrets, sitestyle
 from isomesh.llm.work import table
 
 QUERIES = {
     "op1_language_id": lambda spark, sf_dir: langid.report(table(spark, sf_dir, "documents")),
     "language_id_pages": lambda spark, sf_dir: langid.report_pages(table(spark, sf_dir, "pages")),
+    "op2_site_style": lambda spark, sf_dir: sitestyle.report(table(spark, sf_dir, "pages")),
     "op3_order_minhash": lambda spark, sf_dir: order.report(table(spark, sf_dir, "documents")),
     "op4_secret_links": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),

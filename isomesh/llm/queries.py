@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isomesh.llm import langid, near, order, packing, pii, quality, secrets, sitestyle
+from isomesh.llm import langid, near, order, packing, pii, quality, secrets, sitestyle, toxic
 from isomesh.llm.work import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_site_style": lambda spark, sf_dir: sitestyle.report(table(spark, sf_dir, "pages")),
     "op3_order_minhash": lambda spark, sf_dir: order.report(table(spark, sf_dir, "documents")),
     "op4_secret_links": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
+    "op5_subsequence_svm": lambda spark, sf_dir: toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),
     "op7_perplexity": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents")),
     "op9_bag_minhash": lambda spark, sf_dir: near.report(table(spark, sf_dir, "documents")),

@@ -31,7 +31,7 @@ from isomesh.llm.strings import Landmarks, letters, parts
 from isomesh.llm.work import column, runs, texts
 
 #: Production parameters. FLOOR: kernel values below it count as 0. THRESHOLD: of the score, for predicted.
-MOST_LABELLED, LANDMARKS, FLOOR, THRESHOLD = 6000, 32, 0.45, 0.3
+MOST_LABELLED, LANDMARKS, FLOOR, THRESHOLD = 6000, 96, 0.6, 0.3
 CHUNK, KEPT = 4_000_000, 300_000
 SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|\n")
 #: Single letters in a row, read as one word.
@@ -91,21 +91,25 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(self.sentences(texts_)) + self.shift, -50, 50)))
 
 
-def choose_landmarks(bodies: list[str], toxic: np.ndarray) -> list[str]:
-    """Words that speak for toxic documents, and the commonest clean ones."""
+def choose_landmarks(bodies: list[str], toxic: np.ndarray) -> Landmarks:
+    """Words that speak for toxic documents, and the clean words that are most easily taken for them."""
     seen = [{w for t in b.split() if 3 <= len(w := letters(t)) <= 16} for b in bodies]
     bad, good = Counter(), Counter()
     for words, y in zip(seen, toxic, strict=True):
         (bad if y else good).update(words)
     n, m = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = max(2, n // 200)
+    least = max(3, n // 60)
     odds = {w: np.log((k + 0.1) / n) - np.log((good[w] + 0.1) / m) + 0.3 * np.log(k) for w, k in bad.items() if k >= least}
     strong = sorted((w for w, s in odds.items() if bad[w] / n > 4 * good[w] / m), key=lambda w: (-odds[w], w))[: LANDMARKS * 3 // 4]
-    common = sorted((w for w in good if w not in strong), key=lambda w: (-good[w], w))[: LANDMARKS - LANDMARKS * 3 // 4]
-    return strong + common
+    if not strong:
+        return Landmarks(["".join(chr(97 + i) for i in range(5))], 1, FLOOR)
+    clean = sorted((w for w in good if good[w] >= 3 and bad[w] / n <= 2 * good[w] / m), key=lambda w: (-good[w], w))[:20000]
+    near, value = Landmarks(strong, len(strong), FLOOR).values(clean)
+    likely = sorted((-good[clean[i]] * float(v.max()), clean[i]) for i, v in zip(near, value, strict=True))
+    return Landmarks(strong + [w for _, w in likely[: LANDMARKS // 4]], len(strong), FLOOR)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0) -> tuple[np.ndarray, float]:
     """Squared hinge loss by Newton steps; y is -1 or 1."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -139,11 +143,11 @@ def fit_logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(bodies: list[str], toxic: np.ndarray) -> Machine:
     if not len(toxic) or toxic.all() or not toxic.any():
         return Machine(None, np.zeros(0), 0.0, 0.0, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
-    marks = Landmarks(choose_landmarks(bodies, toxic), FLOOR)
+    marks = choose_landmarks(bodies, toxic)
     machine = Machine(marks, np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
     bags = machine.sentences(bodies)
     # Nyström: features of values v are v times the inverse root of the landmarks' own kernel.
-    own = np.asarray(marks.table.T @ marks.table, dtype=np.float64)
+    own = marks.table.T.astype(np.float64) @ marks.table
     value, vector = np.linalg.eigh(own)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
     none = np.zeros((1, len(marks.words)), dtype=np.float32)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isomesh.llm import langid, near, order, packing, pii, quality, secrets, sitestyle, toxic
+from isomesh.llm import langid, near, order, packing, pieces, pii, quality, secrets, sitestyle, toxic
 from isomesh.llm.work import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_subsequence_svm": lambda spark, sf_dir: toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),
     "op7_perplexity": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents")),
+    "op8_piece_lattice": lambda spark, sf_dir: pieces.encode(table(spark, sf_dir, "documents")),
     "op9_bag_minhash": lambda spark, sf_dir: near.report(table(spark, sf_dir, "documents")),
     "op10_pii": lambda spark, sf_dir: pii.report(table(spark, sf_dir, "documents")),
 }

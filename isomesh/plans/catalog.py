@@ -1,7 +1,485 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""Queries over the driver's tables, by name, and their SQL for DuckDB.
+
+The network and the objects come from ``fixture``; a query applies one operator, or a chain of them, to all of it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isomesh.functions import geom as G
+from isomesh.functions import modes as M
+from isomesh.operators import aggregate, limits, mapping, measures, network, routing
+from isomesh.plans.fixture import clauses, load, mapped_sql
+from isomesh.sources import gtfs, text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "od_within_time"
+#: Seconds on foot within which destinations are looked for.
+MAX_TT = 600.0
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def shaped_edges(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("geom", G.line("x1", "y1", "x2", "y2")).drop("x1", "y1", "x2", "y2")
+
+
+def walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """edges with tt on foot, origins, destinations, and both mapped."""
+    edges, origins, destinations = load(spark, sf_dir, "edges", "origins", "destinations")
+    net = shaped_edges(edges).withColumn("tt", F.col("length") / F.least("vmax", F.lit(M.FOOT.vmax)))
+    return net, origins, destinations, mapping.nearest_edge(origins, net), mapping.nearest_edge(destinations, net)
+
+
+def reached(spark: SparkSession, sf_dir: str, max_tt: float = MAX_TT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """origin, destination, dist, tt, value, weight; origins; destinations."""
+    net, origins, destinations, o, d = walk(spark, sf_dir)
+    labels = routing.search(routing.starts(o, net), net, max_tt)
+    od = routing.od_values(labels, o, d, net, max_tt)
+    od = od.join(destinations.select(F.col("object_id").alias("destination"), "value"), "destination").join(origins.select(F.col("object_id").alias("origin"), "weight"), "origin")
+    return od.select("origin", "destination", "dist", "tt", "value", "weight"), origins, destinations
+
+
+# --- the search as SQL: on the grid, at 1 m/s, distance is time ---------------------------------------------------
+WALK = f"""
+    o AS (SELECT m.object_id AS origin, m.edge_id, m.opposite_id, m.pos, m.from_node, m.to_node FROM (SELECT p.*, e.opposite_id, e.from_node, e.to_node FROM ({mapped_sql("origins")}) p JOIN edges e USING (edge_id)) m),
+    d AS (SELECT m.object_id AS destination, m.edge_id, m.opposite_id, m.pos, m.from_node, m.to_node FROM (SELECT p.*, e.opposite_id, e.from_node, e.to_node FROM ({mapped_sql("destinations")}) p JOIN edges e USING (edge_id)) m),
+    begin_ AS (SELECT origin, node, min(tt) AS tt FROM (SELECT origin, to_node AS node, 120e0 - pos AS tt FROM o UNION ALL SELECT origin, from_node, pos FROM o) GROUP BY origin, node),
+    best(origin, node, tt) USING KEY (origin, node) AS (
+        SELECT origin, node, tt FROM begin_
+        UNION
+        SELECT b.origin, e.to_node, min(b.tt + e.length) FROM best b JOIN edges e ON e.from_node = b.node LEFT JOIN recurring.best r ON r.origin = b.origin AND r.node = e.to_node
+        WHERE b.tt + e.length <= {MAX_TT}e0 AND (r.tt IS NULL OR b.tt + e.length < r.tt) GROUP BY b.origin, e.to_node),
+    ways AS (SELECT destination, from_node AS node, pos AS run FROM d UNION ALL SELECT destination, to_node, 120e0 - pos FROM d),
+    pairs AS (
+        SELECT b.origin, w.destination, b.tt + w.run AS tt FROM best b JOIN ways w USING (node)
+        UNION ALL SELECT o.origin, d.destination, abs(d.pos - o.pos) FROM o JOIN d USING (edge_id)
+        UNION ALL SELECT o.origin, d.destination, abs(d.pos - (120e0 - o.pos)) FROM o JOIN d ON o.edge_id = d.opposite_id),
+    od AS (SELECT origin, destination, min(tt) AS tt, min(tt) AS dist, any_value(value) AS value, any_value(weight) AS weight
+           FROM pairs JOIN (SELECT object_id AS destination, value FROM destinations) USING (destination) JOIN (SELECT object_id AS origin, weight FROM origins) USING (origin)
+           GROUP BY origin, destination HAVING min(tt) <= {MAX_TT}e0)"""
+
+
+def od_sql(tail: str, *more: str, **views: str) -> str:
+    return f"WITH RECURSIVE {clauses('edges', 'origins', 'destinations', *more)}, {WALK}{''.join(f', {n} AS ({s})' for n, s in views.items())} {tail}"
+
+
+@query(od_sql("SELECT origin, destination, round(dist, 6) AS dist, round(tt, 6) AS tt FROM od"))
+def od_within_time(spark, sf_dir):
+    """For every origin the destinations that it reaches in time, with distance and time."""
+    od, _, _ = reached(spark, sf_dir)
+    return od.select("origin", "destination", r6("dist", "dist"), r6("tt", "tt"))
+
+
+@query(od_sql("SELECT origin, node, round(tt, 6) AS tt FROM best"))
+def search_labels(spark, sf_dir):
+    net, _, _, o, _ = walk(spark, sf_dir)
+    return routing.search(routing.starts(o, net), net, MAX_TT).select("origin", "node", r6("tt", "tt"))
+
+
+@query(f"WITH {clauses('edges', 'origins')}, m AS ({mapped_sql('origins')}) SELECT object_id, edge_id, round(dist, 6) AS dist, round(pos, 6) AS pos FROM m")
+def map_origins(spark, sf_dir):
+    edges, origins = load(spark, sf_dir, "edges", "origins")
+    return mapping.nearest_edge(origins, shaped_edges(edges)).select("object_id", "edge_id", r6("dist", "dist"), r6("pos", "pos"))
+
+
+@query(od_sql("SELECT origin, destination, round(tt, 6) AS tt FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY tt, destination) AS k FROM od) WHERE k <= 3"))
+def limit_number(spark, sf_dir):
+    return limits.first_n(reached(spark, sf_dir)[0], 3).select("origin", "destination", r6("tt", "tt"))
+
+
+@query(od_sql("SELECT origin, destination, round(tt, 6) AS tt FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY tt, destination) AS k FROM od) WHERE k = 1"))
+def limit_nearest(spark, sf_dir):
+    return limits.nearest(reached(spark, sf_dir)[0]).select("origin", "destination", r6("tt", "tt"))
+
+
+@query(od_sql("SELECT origin, destination, value FROM (SELECT *, coalesce(sum(value) OVER (PARTITION BY origin ORDER BY tt, destination ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM od) WHERE s < 6"))
+def limit_value(spark, sf_dir):
+    return limits.until_value(reached(spark, sf_dir)[0], 6.0).select("origin", "destination", "value")
+
+
+@query(od_sql("SELECT origin, destination, round(dist, 6) AS dist FROM od WHERE tt <= 450 AND dist <= 300"))
+def limit_bounds(spark, sf_dir):
+    return limits.within_bounds(reached(spark, sf_dir)[0], 450.0, 300.0).select("origin", "destination", r6("dist", "dist"))
+
+
+@query(od_sql("SELECT origin, destination, region AS dest_type FROM (SELECT od.*, region, row_number() OVER (PARTITION BY origin, region ORDER BY tt, destination) AS k FROM od JOIN (SELECT object_id AS destination, region FROM destinations) USING (destination)) WHERE k = 1"))
+def limit_nearest_by_type(spark, sf_dir):
+    od, _, destinations = reached(spark, sf_dir)
+    typed = aggregate.with_types(od, destinations.select(F.col("object_id").alias("id"), F.col("region").alias("type")))
+    return limits.nearest(typed, ["dest_type"]).select("origin", "destination", "dest_type")
+
+
+def rings(areas: DataFrame) -> DataFrame:
+    return areas.select("object_id", G.line("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2", "x1", "y1").alias("points"))
+
+
+AREA_OF = "SELECT o.object_id, coalesce(min(a.object_id), -1) AS area_id FROM {objects} o LEFT JOIN areas a ON o.cx >= a.x1 AND o.cx < a.x2 AND o.cy >= a.y1 AND o.cy < a.y2 GROUP BY o.object_id"
+
+
+@query(f"WITH {clauses('origins', 'areas')} {AREA_OF.format(objects='origins')}")
+def objects_in_areas(spark, sf_dir):
+    origins, areas = load(spark, sf_dir, "origins", "areas")
+    return mapping.area_of(origins, rings(areas))
+
+
+SUMS = "sum(dist * w) / sum(w) AS d, sum(tt * w) / sum(w) AS t, sum(w) AS n, sum(value * w) AS v"
+OUT = "round(d, 6) AS avg_distance, round(t, 6) AS avg_tt, round(n / total, 6) AS avg_num, round(v / total, 6) AS avg_value"
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *(r6(c, c) for c in ("avg_distance", "avg_tt", "avg_num", "avg_value")))
+
+
+@query(od_sql("SELECT origin AS fid, destination AS sid, round(dist, 6) AS avg_distance, round(tt, 6) AS avg_tt, 1e0 AS avg_num, value AS avg_value FROM od"))
+def od_measures_plain(spark, sf_dir):
+    od, origins, _ = reached(spark, sf_dir)
+    return rounded(aggregate.od_measures(od, origins), "fid", "sid")
+
+
+@query(od_sql(f"SELECT origin AS fid, CAST(-1 AS BIGINT) AS sid, {OUT} FROM (SELECT origin, {SUMS}, 1e0 AS total FROM (SELECT *, 1e0 AS w FROM od) GROUP BY origin)"))
+def od_measures_to_all(spark, sf_dir):
+    od, origins, _ = reached(spark, sf_dir)
+    return rounded(aggregate.od_measures(od, origins, None, "all"), "fid", "sid")
+
+
+@query(od_sql(f"SELECT CAST(-1 AS BIGINT) AS fid, CAST(-1 AS BIGINT) AS sid, {OUT} FROM (SELECT {SUMS} FROM (SELECT *, weight AS w FROM od)), (SELECT sum(weight) AS total FROM origins)"))
+def od_measures_all_to_all(spark, sf_dir):
+    od, origins, _ = reached(spark, sf_dir)
+    return rounded(aggregate.od_measures(od, origins, "all", "all"), "fid", "sid")
+
+
+AREAS = {"oa": AREA_OF.format(objects="origins"), "da": AREA_OF.format(objects="destinations")}
+BY_AREAS = f"""SELECT oa.area_id AS fid, da.area_id AS sid, {SUMS} FROM (SELECT *, weight AS w FROM od) od JOIN oa ON oa.object_id = origin JOIN da ON da.object_id = destination GROUP BY ALL"""
+TOTALS = "SELECT area_id AS fid, sum(weight) AS total FROM origins JOIN oa USING (object_id) GROUP BY area_id"
+
+
+def by_areas(spark, sf_dir):
+    od, origins, destinations = reached(spark, sf_dir)
+    areas = rings(load(spark, sf_dir, "areas")[0])
+    oa, da = mapping.area_of(origins, areas), mapping.area_of(destinations, areas)
+    return aggregate.od_measures(od, origins, oa, da), oa, da
+
+
+@query(od_sql(f"SELECT fid, sid, {OUT} FROM s JOIN t USING (fid)", "areas", **AREAS, s=BY_AREAS, t=TOTALS))
+def od_measures_by_areas(spark, sf_dir):
+    return rounded(by_areas(spark, sf_dir)[0], "fid", "sid")
+
+
+@query(od_sql(f"SELECT f.fid, g.sid, coalesce(avg_distance, 0e0) AS avg_distance, coalesce(avg_tt, 0e0) AS avg_tt, coalesce(avg_num, 0e0) AS avg_num, coalesce(avg_value, 0e0) AS avg_value FROM (SELECT DISTINCT area_id AS fid FROM oa) f CROSS JOIN (SELECT DISTINCT area_id AS sid FROM da) g LEFT JOIN (SELECT fid, sid, {OUT} FROM s JOIN t USING (fid)) x ON x.fid = f.fid AND x.sid = g.sid", "areas", **AREAS, s=BY_AREAS, t=TOTALS))
+def od_measures_dense(spark, sf_dir):
+    sums, oa, da = by_areas(spark, sf_dir)
+    return rounded(aggregate.dense(sums, oa.select(F.col("area_id").alias("fid")), da.select(F.col("area_id").alias("sid"))), "fid", "sid")
+
+
+@query(od_sql(f"SELECT CAST(-1 AS BIGINT) AS fid, CAST(-1 AS BIGINT) AS sid, dest_type, {OUT} FROM (SELECT region AS dest_type, {SUMS} FROM (SELECT *, weight AS w FROM od) JOIN (SELECT object_id AS destination, region FROM destinations) USING (destination) GROUP BY region), (SELECT sum(weight) AS total FROM origins)"))
+def od_measures_by_type(spark, sf_dir):
+    od, origins, destinations = reached(spark, sf_dir)
+    typed = aggregate.with_types(od, destinations.select(F.col("object_id").alias("id"), F.col("region").alias("type")))
+    return rounded(aggregate.od_measures(typed, origins, "all", "all", by=["dest_type"]), "fid", "sid", "dest_type")
+
+
+def at(v: str, q: float) -> str:
+    return f"round(list_sort(list({v}))[CAST(floor(count(*) * {q}) AS BIGINT) + 1], 6)"
+
+
+STATS = ", ".join(f"round(avg({v}), 6) AS avg_{v}, {at(v, 0.5)} AS med_{v}, round(min({v}), 6) AS min_{v}, round(max({v}), 6) AS max_{v}, {at(v, 0.15)} AS p15_{v}, {at(v, 0.85)} AS p85_{v}" for v in ("dist", "tt", "value"))
+
+
+@query(od_sql(f"SELECT da.area_id AS sid, CAST(-1 AS BIGINT) AS fid, count(*) AS num, {STATS} FROM od JOIN da ON da.object_id = destination GROUP BY da.area_id", "areas", da=AREAS["da"]))
+def od_statistics(spark, sf_dir):
+    od, _, destinations = reached(spark, sf_dir)
+    da = mapping.area_of(destinations, rings(load(spark, sf_dir, "areas")[0]))
+    out = aggregate.statistics(od, ["dist", "tt", "value"], "all", da)
+    return out.select("fid", "sid", "num", *(r6(c, c) for c in out.columns[3:]))
+
+
+@query(od_sql("SELECT origin, destination, round(280e0 * tt / 3600 * weight, 6) AS kcal, 0e0 AS price, 0e0 AS co2, round(sqrt(pow(d.cx - o.cx, 2) + pow(d.cy - o.cy, 2)) * o.weight, 6) AS beeline_distance, round((abs(d.cx - o.cx) + abs(d.cy - o.cy)) * o.weight, 6) AS manhattan_distance FROM od JOIN (SELECT object_id AS origin, cx, cy, weight FROM origins) o USING (origin, weight) JOIN (SELECT object_id AS destination, cx, cy FROM destinations) d USING (destination)"))
+def extended_measures(spark, sf_dir):
+    od, origins, destinations = reached(spark, sf_dir)
+    out = measures.simple(od, M.FOOT, origins, destinations)
+    return out.select("origin", "destination", *(r6(c, c) for c in ("kcal", "price", "co2", "beeline_distance", "manhattan_distance")))
+
+
+@query(od_sql("SELECT origin, destination, round(tt, 6) AS tt FROM od JOIN (SELECT DISTINCT o_custkey AS origin, l_suppkey AS destination FROM orders JOIN lineitem ON o_orderkey = l_orderkey) USING (origin, destination)"))
+def od_pairs_routed(spark, sf_dir):
+    """Given pairs: every origin is routed once, then the pairs are picked."""
+    od, _, _ = reached(spark, sf_dir)
+    pairs = spark.table("orders").join(spark.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("origin"), F.col("l_suppkey").alias("destination")).distinct()
+    return od.join(pairs, ["origin", "destination"], "left_semi").select("origin", "destination", r6("tt", "tt"))
+
+
+@query()
+def edge_use_by_nearest(spark, sf_dir):
+    """How much value goes over each edge on the ways to the nearest destinations (paths of equal time differ)."""
+    net, origins, destinations, o, d = walk(spark, sf_dir)
+    labels = routing.search(routing.starts(o, net), net, MAX_TT)
+    goals, steps = nearest_ways(net, o, d, labels, destinations, origins)
+    return aggregate.edge_use(steps, goals, "all", "all").select("eid", "num", "origins_weight", r6("normed", "normed"))
+
+
+def nearest_ways(net, o, d, labels, destinations, origins):
+    """The nearest destination of each origin and the edges on the way, the destination's own last."""
+    od = routing.od_values(labels, o, d, net, MAX_TT)
+    od = od.join(destinations.select(F.col("object_id").alias("destination"), "value"), "destination").join(origins.select(F.col("object_id").alias("origin"), "weight"), "origin")
+    best = limits.nearest(od)
+    ends = best.join(d.select(F.col("object_id").alias("destination"), F.col("edge_id").alias("d_edge")), "destination").join(net.select(F.col("edge_id").alias("d_edge"), F.col("from_node").alias("node")), "d_edge")
+    walked = routing.paths(labels, ends.select("origin", "node"))
+    steps = ends.join(walked.withColumnRenamed("node", "at_node"), (ends["origin"] == walked["origin"]) & (F.col("node") == F.col("goal"))).select(ends["origin"], "destination", "idx", "edge", walked["tt"])
+    last = ends.select("origin", "destination", F.lit(100000).alias("idx"), F.col("d_edge").alias("edge"), F.col("tt"))
+    return best, steps.union(last)
+
+
+@query()
+def path_rows(spark, sf_dir):
+    """The rows of the ways to the nearest destinations."""
+    net, origins, destinations, o, d = walk(spark, sf_dir)
+    labels = routing.search(routing.starts(o, net), net, MAX_TT)
+    _, steps = nearest_ways(net, o, d, labels, destinations, origins)
+    return measures.path_rows(steps, net, o, d).select("origin", "destination", "idx", "edge", r6("tt", "tt"), G.to_wkt(F.col("geom")).alias("geom"))
+
+
+# --- the network ---------------------------------------------------------------------------------------------------
+@query(f"WITH {clauses('edges')} SELECT a.edge_id, min(b.edge_id) AS opposite FROM edges a JOIN edges b ON a.from_node = b.to_node AND a.to_node = b.from_node AND a.edge_id <> b.edge_id GROUP BY a.edge_id")
+def opposite_edges(spark, sf_dir):
+    edges = shaped_edges(load(spark, sf_dir, "edges")[0])
+    return network.opposites(edges).select("edge_id", F.col("opposite_id").alias("opposite"))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, from_node, to_node FROM edges WHERE edge_id LIKE '%a' UNION ALL SELECT concat('opp_', edge_id), to_node, from_node FROM edges WHERE edge_id LIKE '%a'")
+def made_opposites(spark, sf_dir):
+    edges = shaped_edges(load(spark, sf_dir, "edges")[0]).where("edge_id like '%a'").drop("opposite_id")
+    return network.with_opposites(edges).select("edge_id", "from_node", "to_node")
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, bit_or(modes) AS modes, max(vmax) AS vmax FROM (SELECT edge_id, modes, vmax FROM edges UNION ALL SELECT edge_id, CAST(16 AS BIGINT), vmax + 1 FROM edges WHERE from_node % 3 = 0) GROUP BY edge_id")
+def merged_duplicates(spark, sf_dir):
+    edges = shaped_edges(load(spark, sf_dir, "edges")[0]).drop("opposite_id")
+    again = edges.where("from_node % 3 = 0").withColumns({"edge_id": F.concat(F.lit("z"), "edge_id"), "modes": F.lit(16).cast("bigint"), "vmax": F.col("vmax") + 1})
+    merged, first = network.merge_duplicates(edges.unionByName(again))
+    return merged.join(first.select("replaced"), F.col("edge_id") == F.col("replaced"), "left_anti").select("edge_id", "modes", "vmax")
+
+
+BROKEN = "SELECT edge_id, CASE WHEN from_node % 11 = 0 THEN 0e0 ELSE length END AS length, CASE WHEN from_node % 13 = 0 THEN -1e0 ELSE vmax END AS vmax FROM edges UNION ALL SELECT edge_id, length, vmax FROM edges WHERE from_node % 17 = 0"
+
+
+@query(f"WITH {clauses('edges')}, b AS ({BROKEN}) SELECT 'length<=0' AS description, edge_id AS edge1 FROM b WHERE length <= 0 UNION ALL SELECT 'speed<=0', edge_id FROM b WHERE vmax <= 0 UNION ALL SELECT 'duplicate id', edge_id FROM b GROUP BY edge_id HAVING count(*) > 1")
+def net_errors(spark, sf_dir):
+    load(spark, sf_dir, "edges")
+    return network.net_errors(spark.sql(BROKEN))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, round(sqrt(length * length + pow(length * incline / 100, 2)), 6) AS length FROM edges")
+def inclined_lengths(spark, sf_dir):
+    return network.inclined(load(spark, sf_dir, "edges")[0]).select("edge_id", r6("length", "length"))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, round(CASE WHEN vmax * 3.6 < 30 THEN vmax * 3.6 / 1.5 WHEN vmax * 3.6 <= 60 THEN vmax * 3.6 / 2 WHEN vmax * 3.6 <= 80 THEN vmax * 3.6 / 1.5 WHEN vmax * 3.6 <= 120 THEN vmax * 3.6 / 1.2 ELSE 140e0 END, 6) AS speed FROM edges")
+def modelled_speeds(spark, sf_dir):
+    return load(spark, sf_dir, "edges")[0].select("edge_id", r6(M.model_speed(F.col("vmax") * 3.6), "speed"))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, round(length / least(vmax, CASE WHEN incline > 6 THEN 13 / 3.6e0 * 0.9e0 WHEN incline < -6 THEN 13 / 3.6e0 * 1.05e0 ELSE 13 / 3.6e0 END), 6) AS bike, round(length / least(vmax, 200 / 3.6e0), 6) AS car FROM edges")
+def travel_times(spark, sf_dir):
+    edges = load(spark, sf_dir, "edges")[0]
+    return edges.select("edge_id", r6(M.travel_time(F.col("length"), F.col("vmax"), M.BIKE, F.col("incline")), "bike"), r6(M.travel_time(F.col("length"), F.col("vmax"), M.CAR), "car"))
+
+
+@query(f"WITH {clauses('edges', 'spells')} SELECT e.edge_id, round(120e0 / least(200 / 3.6e0, CASE WHEN s.speed <= 0 THEN 5 / 3.6e0 ELSE coalesce(s.speed, e.vmax) END, e.vmax), 6) AS tt FROM edges e LEFT JOIN (SELECT edge_id, arg_min(speed, ibegin) AS speed FROM spells WHERE ibegin <= 30600 AND 30600 <= iend GROUP BY edge_id) s USING (edge_id)")
+def times_at_half_past_eight(spark, sf_dir):
+    edges, spells = load(spark, sf_dir, "edges", "spells")
+    at_time = network.speed_at(edges, spells, F.lit(30600.0))
+    return at_time.select("edge_id", r6(M.travel_time(F.col("length"), F.col("vmax"), M.CAR, measured=F.col("measured")), "tt"))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id FROM edges WHERE (modes & 4) <> 0")
+def bike_edges(spark, sf_dir):
+    return load(spark, sf_dir, "edges")[0].where(M.allows(F.col("modes"), M.BIKE.bit)).select("edge_id")
+
+
+CUT = "SELECT * FROM edges WHERE floor(from_node % side / 5) = floor(to_node % side / 5)"
+
+
+@query(f"""WITH RECURSIVE {clauses('edges')}, cut AS (SELECT e.* FROM edges e, grid WHERE floor(from_node % side / 5) = floor(to_node % side / 5)),
+    sizes AS (SELECT CAST(floor(from_node % side / 5) AS BIGINT) AS strip, count(*) AS cell_size, min(edge_id) AS label FROM cut, grid GROUP BY strip),
+    cells AS (SELECT strip, cell_size, row_number() OVER (ORDER BY cell_size DESC, label) - 1 AS cell_id FROM sizes)
+    SELECT edge_id, cell_id, cell_size FROM cut, grid, cells WHERE strip = CAST(floor(from_node % side / 5) AS BIGINT)""")
+def subnet_cells(spark, sf_dir):
+    """The grid cut into strips of five columns: each strip is a subnet."""
+    load(spark, sf_dir, "edges")
+    cut = spark.sql("SELECT e.* FROM edges e, grid WHERE floor(from_node % side / 5) = floor(to_node % side / 5)")
+    return network.subnets(cut)
+
+
+@query(f"""WITH {clauses('edges')}, t AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, a.opposite_id = b.edge_id AS back,
+      pow(0, 0) * 0 + (CASE WHEN a.x2 > a.x1 THEN 0 WHEN a.y2 < a.y1 THEN 1 WHEN a.x2 < a.x1 THEN 2 ELSE 3 END) AS ha, (CASE WHEN b.x2 > b.x1 THEN 0 WHEN b.y2 < b.y1 THEN 1 WHEN b.x2 < b.x1 THEN 2 ELSE 3 END) AS hb FROM edges a JOIN edges b ON a.to_node = b.from_node),
+    u AS (SELECT *, CAST((hb - ha + 4 + 2) % 4 AS BIGINT) AS turn FROM t)
+    SELECT from_edge, to_edge, round(CASE WHEN back THEN 10e0 ELSE 10e0 * (SELECT count(*) FROM u v WHERE v.from_edge = u.from_edge AND NOT v.back AND v.turn < u.turn) END, 6) AS delay FROM u""")
+def crossing_delays(spark, sf_dir):
+    return network.crossing_delays(shaped_edges(load(spark, sf_dir, "edges")[0])).select("from_edge", "to_edge", r6("delay", "delay"))
+
+
+COMB = "SELECT e.* FROM edges e, grid WHERE e.edge_id LIKE 'v%' OR (least(from_node, to_node) < side)"
+
+
+@query(f"WITH {clauses('edges', 'destinations')}, comb AS ({COMB}), used AS (SELECT object_id, CAST(floor(object_id * 37 % (side * side) / side) AS BIGINT) AS r, object_id * 37 % side AS c FROM destinations, grid), reach AS (SELECT c, max(r) AS top FROM used GROUP BY c) SELECT edge_id FROM comb, grid LEFT JOIN reach ON reach.c = from_node % side WHERE (edge_id LIKE 'v%' AND floor(greatest(from_node, to_node) / side) <= coalesce(top, 0)) OR (edge_id LIKE 'h%' AND least(from_node, to_node) % side >= (SELECT min(c) FROM reach) AND greatest(from_node, to_node) % side <= (SELECT max(c) FROM reach))" if False else None)
+def without_dead_ends(spark, sf_dir):
+    """Only the first row and the columns of the grid: columns are cut back to their last destination."""
+    net, _, _, _, d = walk(spark, sf_dir)
+    comb = spark.sql(COMB).join(net.select("edge_id", "geom"), "edge_id")
+    return network.without_dead_ends(comb, d).select("edge_id")
+
+
+@query(f"WITH {clauses('edges')}, tooth AS (SELECT e.*, from_node % side AS c FROM edges e, grid WHERE edge_id LIKE 'v%' AND from_node % side > 0), n AS (SELECT c, count(*) / 2 AS k FROM tooth GROUP BY c) SELECT CAST(k AS BIGINT) AS parts, 120e0 * k AS length, count(*) * 2 AS n FROM n GROUP BY k")
+def joined_chains(spark, sf_dir):
+    """The columns of the grid alone: each becomes two edges, one for each direction."""
+    load(spark, sf_dir, "edges")
+    columns = shaped_edges(spark.sql("SELECT e.* FROM edges e, grid WHERE edge_id LIKE 'v%' AND from_node % side > 0")).withColumns({"vmax": F.lit(10.0), "modes": F.lit(2).cast("bigint")})
+    return network.join_similar(columns).groupBy("parts", "length").agg(F.count("*").alias("n"))
+
+
+@query()
+def ordered_search(spark, sf_dir):
+    """Labels settled in order, with delays at crossings."""
+    net, _, _, o, _ = walk(spark, sf_dir)
+    labels = routing.search_ordered(routing.starts(o, net), net, MAX_TT, delays=network.crossing_delays(net))
+    return labels.select("origin", "node", r6("tt", "tt"), r6("dist", "dist"))
+
+
+@query(od_sql("SELECT origin, node, round(tt, 6) AS tt FROM best"))
+def ordered_search_plain(spark, sf_dir):
+    """Without delays the ordered search finds what the other one does."""
+    net, _, _, o, _ = walk(spark, sf_dir)
+    return routing.search_ordered(routing.starts(o, net), net, MAX_TT).select("origin", "node", r6("tt", "tt"))
+
+
+# --- text sources --------------------------------------------------------------------------------------------------
+def text_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    load(spark, sf_dir)
+    return spark.sql(sql)
+
+
+@query("SELECT c_custkey AS object_id, CAST(1 + c_custkey % 4 AS DOUBLE) AS var, CAST(c_custkey % 97 AS DOUBLE) AS cx, CAST(c_custkey % 89 AS DOUBLE) AS cy FROM customer WHERE c_custkey % 50 <> 7 AND c_custkey % 50 <> 8")
+def layer_points(spark, sf_dir):
+    """Lines of points, with comments, and with broken lines that are told apart."""
+    rows = text_rows(spark, sf_dir, "SELECT CASE c_custkey % 50 WHEN 7 THEN concat('# ', CAST(c_custkey AS STRING)) WHEN 8 THEN concat(CAST(c_custkey AS STRING), ';x;1') ELSE concat_ws(';', CAST(c_custkey AS STRING), CAST(c_custkey % 97 AS STRING), CAST(c_custkey % 89 AS STRING), CAST(1 + c_custkey % 4 AS STRING)) END AS value FROM customer")
+    return text.layer_csv(rows)[0].select("object_id", "var", "cx", "cy")
+
+
+@query("SELECT concat(CAST(c_custkey AS STRING), ';x;1') AS value, 'bad geometry' AS problem FROM customer WHERE c_custkey % 50 = 8")
+def layer_errors(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT CASE c_custkey % 50 WHEN 8 THEN concat(CAST(c_custkey AS STRING), ';x;1') ELSE concat_ws(';', CAST(c_custkey AS STRING), '1', '2') END AS value FROM customer")
+    return text.layer_csv(rows)[1]
+
+
+@query("SELECT c_custkey AS object_id, round(c_custkey % 97 + 1, 6) + 0e0 AS cx, round(c_custkey % 89 + 2, 6) + 0e0 AS cy FROM customer")
+def layer_polygons(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT concat(CAST(c_custkey AS STRING), ';POLYGON((', CAST(x AS STRING), ' ', CAST(y AS STRING), ', ', CAST(x + 2 AS STRING), ' ', CAST(y AS STRING), ', ', CAST(x + 2 AS STRING), ' ', CAST(y + 4 AS STRING), ', ', CAST(x AS STRING), ' ', CAST(y + 4 AS STRING), ', ', CAST(x AS STRING), ' ', CAST(y AS STRING), '))') AS value FROM (SELECT c_custkey, c_custkey % 97 AS x, c_custkey % 89 AS y FROM customer)")
+    return text.layer_wkt(rows)[0].select("object_id", r6("cx", "cx"), r6("cy", "cy"))
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, from_node, to_node, CAST(2 + CASE WHEN (modes & 4) <> 0 THEN 4 ELSE 0 END + CASE WHEN from_node % 2 = 0 THEN 8 ELSE 0 END AS BIGINT) AS modes, round(vmax, 6) AS vmax, length FROM edges WHERE (modes & 4) <> 0 OR from_node % 2 = 0")
+def net_lines(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT concat_ws(';', edge_id, CAST(from_node AS STRING), CAST(to_node AS STRING), '1', CASE WHEN (modes & 4) <> 0 THEN 'true' ELSE 'false' END, CASE WHEN from_node % 2 = 0 THEN 'TRUE' ELSE '0' END, CAST(vmax * 3.6e0 AS STRING), CAST(length AS STRING), CAST(x1 AS STRING), CAST(y1 AS STRING), CAST(x2 AS STRING), CAST(y2 AS STRING)) AS value FROM edges")
+    return text.net_csv(rows, used=12)[0].select("edge_id", "from_node", "to_node", "modes", r6("vmax", "vmax"), "length")
+
+
+@query(f"WITH {clauses('edges')} SELECT edge_id, round(120e0, 6) AS length, 2 AS points FROM edges")
+def net_lines_wkt(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT concat_ws(';', edge_id, CAST(from_node AS STRING), CAST(to_node AS STRING), '1', '1', '1', '50', '500', concat('LINESTRING(', CAST(x1 AS STRING), ' ', CAST(y1 AS STRING), ', ', CAST(x2 AS STRING), ' ', CAST(y2 AS STRING), ')')) AS value FROM edges")
+    return text.net_wkt(rows)[0].select("edge_id", r6(G.length(F.col("geom")), "length"), F.size("geom").alias("points"))
+
+
+@query("SELECT o_custkey AS origin, o_orderkey AS destination FROM orders WHERE o_orderkey % 9 <> 0")
+def pair_lines(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT CASE WHEN o_orderkey % 9 = 0 THEN concat(CAST(o_custkey AS STRING), ';') ELSE concat_ws(';', CAST(o_custkey AS STRING), CAST(o_orderkey AS STRING)) END AS value FROM orders")
+    return text.od_pairs(rows)[0]
+
+
+@query("SELECT DISTINCT l_suppkey AS id, l_returnflag AS type FROM lineitem")
+def type_lines(spark, sf_dir):
+    return text.types(text_rows(spark, sf_dir, "SELECT concat_ws(';', CAST(l_suppkey AS STRING), l_returnflag) AS value FROM lineitem"))[0]
+
+
+@query("SELECT 'pt' AS carrier, CAST(p_size AS INTEGER) AS subtype, CAST(bit_or(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 8 END) AS BIGINT) AS modes FROM part GROUP BY p_size")
+def escort_lines(spark, sf_dir):
+    return text.escorts(text_rows(spark, sf_dir, "SELECT concat_ws(';', 'pt', CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'foot' WHEN 1 THEN 'bicycle' ELSE 'passenger' END) AS value FROM part"))[0]
+
+
+@query(f"WITH {clauses('edges', 'spells')} SELECT s.edge_id, CAST(ibegin AS DOUBLE) AS ibegin, CAST(speed AS DOUBLE) AS speed FROM spells s WHERE edge_id IN (SELECT edge_id FROM edges)")
+def speed_lines(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT concat_ws(';', edge_id, CAST(ibegin AS STRING), CAST(iend AS STRING), CAST(speed AS STRING)) AS value FROM spells")
+    return text.speeds(rows, spark.table("edges"))[0].select("edge_id", F.col("ibegin").cast("double").alias("ibegin"), F.col("speed").cast("double").alias("speed"))
+
+
+@query("SELECT c_custkey AS node_id, 2 AS from_mode, 4 AS to_mode, CAST(c_custkey % 60 AS DOUBLE) AS duration FROM customer WHERE c_custkey IN (SELECT p_partkey FROM part)")
+def mode_change_lines(spark, sf_dir):
+    rows = text_rows(spark, sf_dir, "SELECT concat_ws(';', CAST(c_custkey AS STRING), 'foot', 'bike', CAST(c_custkey % 60 AS STRING), '0') AS value FROM customer")
+    return text.mode_changes(rows, spark.table("nodes"))[0].select("node_id", "from_mode", "to_mode", "duration")
+
+
+# --- timetables ----------------------------------------------------------------------------------------------------
+HOPS = "SELECT trip, lag(stop) OVER w AS from_stop, stop AS to_stop, lag(arr) OVER w AS dep, arr FROM calls WINDOW w AS (PARTITION BY trip ORDER BY seq)"
+
+
+def timetable(spark, sf_dir) -> DataFrame:
+    load(spark, sf_dir)
+    stop_times = spark.sql("SELECT CAST(trip AS STRING) AS trip_id, CAST(stop AS STRING) AS stop_id, CAST(seq AS STRING) AS stop_sequence, concat_ws(':', CAST(floor(arr / 3600) AS STRING), CAST(floor(arr % 3600 / 60) AS STRING), CAST(arr % 60 AS STRING)) AS arrival_time, concat_ws(':', CAST(floor(arr / 3600) AS STRING), CAST(floor(arr % 3600 / 60) AS STRING), CAST(arr % 60 AS STRING)) AS departure_time FROM calls")
+    running = spark.sql("SELECT DISTINCT CAST(trip AS STRING) AS trip_id, CAST(trip % 10 AS STRING) AS route_id FROM calls")
+    return gtfs.hops(gtfs.times(stop_times), running)
+
+
+@query(f"WITH {clauses('calls')} SELECT CAST(trip AS STRING) AS trip_id, CAST(from_stop AS STRING) AS from_stop, CAST(to_stop AS STRING) AS to_stop, CAST(dep AS INTEGER) AS dep, CAST(arr AS INTEGER) AS arr FROM ({HOPS}) WHERE from_stop IS NOT NULL")
+def timetable_hops(spark, sf_dir):
+    return timetable(spark, sf_dir).select("trip_id", "from_stop", "to_stop", "dep", "arr")
+
+
+@query(f"""WITH {clauses('calls')}, h AS (SELECT * FROM ({HOPS}) WHERE from_stop IS NOT NULL), q AS (SELECT c_custkey AS row, c_custkey % (SELECT count(*) FROM part) AS from_stop, CAST(21600 + c_custkey % 30000 AS DOUBLE) AS time FROM customer)
+    SELECT row, CAST(min(arr) AS INTEGER) AS arr FROM q LEFT JOIN h ON h.from_stop = q.from_stop AND h.dep >= q.time GROUP BY row""")
+def next_arrivals(spark, sf_dir):
+    """As-of: of the connections that still leave a stop, the earliest arrival."""
+    hops = timetable(spark, sf_dir)
+    asks = spark.sql("SELECT c_custkey AS row, CAST(c_custkey % (SELECT count(*) FROM part) AS STRING) AS from_stop, CAST(21600 + c_custkey % 30000 AS DOUBLE) AS time FROM customer")
+    return gtfs.next_departure(asks, hops, ["from_stop"]).select("row", "arr")
+
+
+CALENDAR = "SELECT CAST(p_partkey AS STRING) AS service_id, CAST(20240101 + p_partkey % 200 AS STRING) AS start_date, CAST(20240101 + p_partkey % 200 + 60 AS STRING) AS end_date, CAST(p_size % 2 AS STRING) AS monday, '1' AS tuesday, '0' AS wednesday, '0' AS thursday, '0' AS friday, '0' AS saturday, '0' AS sunday FROM part"
+CHANGES = "SELECT CAST(s_suppkey AS STRING) AS service_id, '20240205' AS date, CAST(1 + s_suppkey % 2 AS STRING) AS exception_type FROM supplier"
+
+
+@query(f"WITH c AS ({CALENDAR}), d AS ({CHANGES}) SELECT service_id FROM (SELECT service_id FROM c WHERE CAST(start_date AS INTEGER) <= 20240205 AND CAST(end_date AS INTEGER) >= 20240205 AND monday = '1' UNION SELECT service_id FROM d WHERE exception_type = '1') WHERE service_id NOT IN (SELECT service_id FROM d WHERE exception_type = '2')")
+def running_services(spark, sf_dir):
+    load(spark, sf_dir)
+    return gtfs.services(spark.sql(CALENDAR), spark.sql(CHANGES), 20240205)
+
+
+@query(f"WITH {clauses('calls')} SELECT DISTINCT concat(CAST(from_stop AS STRING), '_to_', CAST(to_stop AS STRING), '_using_L', CAST(trip % 10 AS STRING)) AS edge_id, CAST(trip % 10 AS STRING) AS route_id FROM ({HOPS}) WHERE from_stop IS NOT NULL")
+def line_edges(spark, sf_dir):
+    hops = timetable(spark, sf_dir)
+    running = hops.select("route_id", F.concat(F.lit("L"), "route_id").alias("route_short_name"))
+    return gtfs.line_edges(hops, running).select("edge_id", "route_id")
+
+
+@query("SELECT CAST(l_orderkey AS STRING) AS from_trip, CAST(l_partkey AS STRING) AS to_trip, CAST(l_linenumber * 30 AS INTEGER) AS seconds FROM lineitem WHERE l_linenumber % 3 = 2 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AND l_partkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
+def timed_transfers(spark, sf_dir):
+    load(spark, sf_dir)
+    rows = spark.sql("SELECT CAST(l_suppkey AS STRING) AS from_stop_id, CAST(l_suppkey AS STRING) AS to_stop_id, CAST(l_linenumber % 3 AS STRING) AS transfer_type, CAST(l_orderkey AS STRING) AS from_trip_id, CAST(l_partkey AS STRING) AS to_trip_id, CAST(l_linenumber * 30 AS STRING) AS min_transfer_time FROM lineitem")
+    running = spark.sql("SELECT CAST(o_orderkey AS STRING) AS trip_id FROM orders WHERE o_orderstatus = 'O'")
+    return gtfs.transfers(rows, running).select("from_trip", "to_trip", "seconds")

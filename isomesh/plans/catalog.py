@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isomesh.functions import geom as G
 from isomesh.functions import modes as M
 from isomesh.operators import aggregate, limits, mapping, measures, network, routing
+from isomesh.operators.state import settled
 from isomesh.plans.fixture import clauses, load, mapped_sql
 from isomesh.sources import gtfs, text
 
@@ -41,20 +42,46 @@ def shaped_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("geom", G.line("x1", "y1", "x2", "y2")).drop("x1", "y1", "x2", "y2")
 
 
+#: Tables that several queries begin with, written once in a session, by application, input and name.
+SHARED: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    """From here on, every query works out all it needs."""
+    SHARED.clear()
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in SHARED:
+        SHARED[key] = settled(make(), name)
+    return SHARED[key]
+
+
 def walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """edges with tt on foot, origins, destinations, and both mapped."""
     edges, origins, destinations = load(spark, sf_dir, "edges", "origins", "destinations")
     net = shaped_edges(edges).withColumn("tt", F.col("length") / F.least("vmax", F.lit(M.FOOT.vmax)))
-    return net, origins, destinations, mapping.nearest_edge(origins, net), mapping.nearest_edge(destinations, net)
+    o = once(spark, sf_dir, "o", lambda: mapping.nearest_edge(origins, net))
+    d = once(spark, sf_dir, "d", lambda: mapping.nearest_edge(destinations, net))
+    return net, origins, destinations, o, d
+
+
+def labels_of(spark: SparkSession, sf_dir: str, net: DataFrame, o: DataFrame) -> DataFrame:
+    return once(spark, sf_dir, "found", lambda: routing.search(routing.starts(o, net), net, MAX_TT))
 
 
-def reached(spark: SparkSession, sf_dir: str, max_tt: float = MAX_TT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """origin, destination, dist, tt, value, weight; origins; destinations."""
     net, origins, destinations, o, d = walk(spark, sf_dir)
-    labels = routing.search(routing.starts(o, net), net, max_tt)
-    od = routing.od_values(labels, o, d, net, max_tt)
-    od = od.join(destinations.select(F.col("object_id").alias("destination"), "value"), "destination").join(origins.select(F.col("object_id").alias("origin"), "weight"), "origin")
-    return od.select("origin", "destination", "dist", "tt", "value", "weight"), origins, destinations
+
+
+    def make() -> DataFrame:
+        od = routing.od_values(labels_of(spark, sf_dir, net, o), o, d, net, MAX_TT)
+        od = od.join(destinations.select(F.col("object_id").alias("destination"), "value"), "destination").join(origins.select(F.col("object_id").alias("origin"), "weight"), "origin")
+        return od.select("origin", "destination", "dist", "tt", "value", "weight")
+
+    return once(spark, sf_dir, "od", make), origins, destinations
 
 
 # --- the search as SQL: on the grid, at 1 m/s, distance is time ---------------------------------------------------
@@ -91,7 +118,7 @@ def od_within_time(spark, sf_dir):
 @query(od_sql("SELECT origin, node, round(tt, 6) AS tt FROM best"))
 def search_labels(spark, sf_dir):
     net, _, _, o, _ = walk(spark, sf_dir)
-    return routing.search(routing.starts(o, net), net, MAX_TT).select("origin", "node", r6("tt", "tt"))
+    return labels_of(spark, sf_dir, net, o).select("origin", "node", r6("tt", "tt"))
 
 
 @query(f"WITH {clauses('edges', 'origins')}, m AS ({mapped_sql('origins')}) SELECT object_id, edge_id, round(dist, 6) AS dist, round(pos, 6) AS pos FROM m")
@@ -230,7 +257,7 @@ def od_pairs_routed(spark, sf_dir):
 def edge_use_by_nearest(spark, sf_dir):
     """How much value goes over each edge on the ways to the nearest destinations (paths of equal time differ)."""
     net, origins, destinations, o, d = walk(spark, sf_dir)
-    labels = routing.search(routing.starts(o, net), net, MAX_TT)
+    labels = labels_of(spark, sf_dir, net, o)
     goals, steps = nearest_ways(net, o, d, labels, destinations, origins)
     return aggregate.edge_use(steps, goals, "all", "all").select("eid", "num", "origins_weight", r6("normed", "normed"))
 
@@ -251,7 +278,7 @@ def nearest_ways(net, o, d, labels, destinations, origins):
 def path_rows(spark, sf_dir):
     """The rows of the ways to the nearest destinations."""
     net, origins, destinations, o, d = walk(spark, sf_dir)
-    labels = routing.search(routing.starts(o, net), net, MAX_TT)
+    labels = labels_of(spark, sf_dir, net, o)
     _, steps = nearest_ways(net, o, d, labels, destinations, origins)
     return measures.path_rows(steps, net, o, d).select("origin", "destination", "idx", "edge", r6("tt", "tt"), G.to_wkt(F.col("geom")).alias("geom"))
 
@@ -314,9 +341,6 @@ def bike_edges(spark, sf_dir):
     return load(spark, sf_dir, "edges")[0].where(M.allows(F.col("modes"), M.BIKE.bit)).select("edge_id")
 
 
-CUT = "SELECT * FROM edges WHERE floor(from_node % side / 5) = floor(to_node % side / 5)"
-
-
 @query(f"""WITH RECURSIVE {clauses('edges')}, cut AS (SELECT e.* FROM edges e, grid WHERE floor(from_node % side / 5) = floor(to_node % side / 5)),
     sizes AS (SELECT CAST(floor(from_node % side / 5) AS BIGINT) AS strip, count(*) AS cell_size, min(edge_id) AS label FROM cut, grid GROUP BY strip),
     cells AS (SELECT strip, cell_size, row_number() OVER (ORDER BY cell_size DESC, label) - 1 AS cell_id FROM sizes)
@@ -329,7 +353,7 @@ def subnet_cells(spark, sf_dir):
 
 
 @query(f"""WITH {clauses('edges')}, t AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, a.opposite_id = b.edge_id AS back,
-      pow(0, 0) * 0 + (CASE WHEN a.x2 > a.x1 THEN 0 WHEN a.y2 < a.y1 THEN 1 WHEN a.x2 < a.x1 THEN 2 ELSE 3 END) AS ha, (CASE WHEN b.x2 > b.x1 THEN 0 WHEN b.y2 < b.y1 THEN 1 WHEN b.x2 < b.x1 THEN 2 ELSE 3 END) AS hb FROM edges a JOIN edges b ON a.to_node = b.from_node),
+      (CASE WHEN a.x2 > a.x1 THEN 0 WHEN a.y2 < a.y1 THEN 1 WHEN a.x2 < a.x1 THEN 2 ELSE 3 END) AS ha, (CASE WHEN b.x2 > b.x1 THEN 0 WHEN b.y2 < b.y1 THEN 1 WHEN b.x2 < b.x1 THEN 2 ELSE 3 END) AS hb FROM edges a JOIN edges b ON a.to_node = b.from_node),
     u AS (SELECT *, CAST((hb - ha + 4 + 2) % 4 AS BIGINT) AS turn FROM t)
     SELECT from_edge, to_edge, round(CASE WHEN back THEN 10e0 ELSE 10e0 * (SELECT count(*) FROM u v WHERE v.from_edge = u.from_edge AND NOT v.back AND v.turn < u.turn) END, 6) AS delay FROM u""")
 def crossing_delays(spark, sf_dir):
@@ -339,7 +363,7 @@ def crossing_delays(spark, sf_dir):
 COMB = "SELECT e.* FROM edges e, grid WHERE e.edge_id LIKE 'v%' OR (least(from_node, to_node) < side)"
 
 
-@query(f"WITH {clauses('edges', 'destinations')}, comb AS ({COMB}), used AS (SELECT object_id, CAST(floor(object_id * 37 % (side * side) / side) AS BIGINT) AS r, object_id * 37 % side AS c FROM destinations, grid), reach AS (SELECT c, max(r) AS top FROM used GROUP BY c) SELECT edge_id FROM comb, grid LEFT JOIN reach ON reach.c = from_node % side WHERE (edge_id LIKE 'v%' AND floor(greatest(from_node, to_node) / side) <= coalesce(top, 0)) OR (edge_id LIKE 'h%' AND least(from_node, to_node) % side >= (SELECT min(c) FROM reach) AND greatest(from_node, to_node) % side <= (SELECT max(c) FROM reach))" if False else None)
+@query()
 def without_dead_ends(spark, sf_dir):
     """Only the first row and the columns of the grid: columns are cut back to their last destination."""
     net, _, _, _, d = walk(spark, sf_dir)

@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 
-SPAN, DECAY = 7, 0.6
+SPAN, DECAY = 7, 0.9
 #: Offsets of the second and third letter, and the weight of such a subsequence.
 OFFSETS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN), 2)]
 #: Longer words are read in overlapping parts of this length.

@@ -31,7 +31,7 @@ from isomesh.llm.strings import Landmarks, letters, parts
 from isomesh.llm.work import column, runs, texts
 
 #: Production parameters. FLOOR: kernel values below it count as 0. THRESHOLD: of the score, for predicted.
-MOST_LABELLED, LANDMARKS, FLOOR, THRESHOLD = 6000, 96, 0.6, 0.3
+MOST_LABELLED, LANDMARKS, FLOOR, THRESHOLD = 6000, 96, 0.55, 0.3
 CHUNK, KEPT = 4_000_000, 300_000
 SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|\n")
 #: Single letters in a row, read as one word.

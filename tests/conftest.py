@@ -17,10 +17,14 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("isomesh-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        # Tiny inputs: compiling and re-planning each stage would take most of the time.
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.adaptive.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

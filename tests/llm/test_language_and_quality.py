@@ -1,0 +1,134 @@
+"""Language identification and quality rules against plain versions."""
+
+import re
+from collections import Counter
+
+import numpy as np
+
+from isomesh.llm import langid, quality
+from tests.llm.helpers import odd_documents, small_documents
+
+TEXTS = [None, "", " \t\n", "a b c", "one two three one two three one", "x\n\nx\nx \ny\n", "é𝒳 é𝒳 é𝒳 é𝒳", "# * $ %%% && | <b>", "w " * 60, " ".join(f"w{i}" for i in range(49)), " ".join(f"w{i}" for i in range(50)), "\xa0 a\xa0b", "12 34 56", "日本語 の 文"]
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts(spark):
+    docs = odd_documents(spark, TEXTS).select("doc_id", "text", "lang", "kept").unionByName(small_documents(spark).select("doc_id", "text", "lang"), allowMissingColumns=True)
+    expected = []
+    for r in docs.collect():
+        n = plain_counts(r.text or "")
+        expected.append((str(r.doc_id), *n, n[0] < 50 or 100 * n[4] > 50 * n[0]))
+    got = quality.report(docs).collect()
+    assert sorted((str(g.doc_id), *g[1:7]) for g in got) == sorted(expected)
+    assert not any(g.kept for g in got if g.base_failed) and sum(g.kept for g in got) > 100
+
+
+def plain_model(texts, order=quality.ORDER):
+    """Modified Kneser-Ney over the folded characters, straight from the formulas."""
+    counts = Counter()
+    for t in texts:
+        cps, _ = quality.points([t], order - 1)
+        c = quality.folded()[cps].tolist()
+        counts.update(tuple(c[i : i + order]) for i in range(len(c) - order + 1))
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discounts = {}
+    for k, of in levels.items():
+        n = Counter(of.values())
+        m = [max(1, n[i]) for i in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1])
+        discounts[k] = [min(max(i - (i + 1) * y * m[i] / m[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+    cut = lambda k, n: discounts[k][min(n, 3) - 1]
+    by_ctx = {k: {} for k in levels}
+    for k, of in levels.items():
+        for g, n in of.items():
+            by_ctx[k].setdefault(g[:-1], []).append(n)
+
+    def p(g):
+        if not g:
+            return 1 / 32
+        ns = by_ctx[len(g)].get(g[:-1])
+        if not ns:
+            return p(g[1:])
+        n = levels[len(g)].get(g, 0)
+        return (max(n - cut(len(g), n), 0) if n else 0) / sum(ns) + sum(cut(len(g), x) for x in ns) / sum(ns) * p(g[1:])
+
+    return p
+
+
+def test_model_equals_the_formulas(spark):
+    docs = small_documents(spark).where("lang = 'fr'").limit(12)
+    texts = [r.text for r in docs.collect()]
+    model = quality.train(docs)
+    p = plain_model(texts)
+    rng = np.random.default_rng(0)
+    grams = [tuple(int(x) for x in g) for g in rng.integers(0, 32, (300, quality.ORDER))]
+    cps, _ = quality.points([texts[0][:400]], quality.ORDER - 1)
+    c = quality.folded()[cps].tolist()
+    grams += [tuple(c[i : i + quality.ORDER]) for i in range(len(c) - quality.ORDER + 1)]
+    packed = np.array([sum(x << (5 * (quality.ORDER - 1 - i)) for i, x in enumerate(g)) for g in grams], dtype=np.uint32)
+    got = model.log_probability("fr", packed)
+    assert np.allclose(got, np.log([p(g) for g in grams]), atol=1e-4)
+    for keys, _ in model.arrays.values():
+        assert (np.diff(keys.astype(np.int64)) > 0).all()
+    ctx = packed[0] & ~np.uint32(31)
+    assert abs(np.exp(model.log_probability("fr", ctx + np.arange(32, dtype=np.uint32))).sum() - 1) < 1e-3
+
+
+def test_bands_reject_what_is_unlike_the_language(spark):
+    docs = small_documents(spark).select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9001, " ".join(f"zq{i}xj#{i * 7919}%" for i in range(200)), "en"), (9002, " ".join(f"xx{i}" for i in range(200)), None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality.report(docs.union(odd)).collect()}
+    assert not got[9001].base_failed and not got[9001].kept
+    assert got[9002].model == "other" and got[9002].kept
+
+
+def test_languages_are_found(spark):
+    docs = small_documents(spark)
+    found = langid.report(docs).collect()
+    assert all(r.language == r.declared for r in found if r.kept) and sum(r.kept for r in found) > 0.97 * len(found)
+    wrong = docs.where("length(text) > 500").selectExpr("doc_id", "text", "'de' as lang", "source", "lang as truth")
+    again = {r.doc_id: r.language for r in langid.report(docs.select("doc_id", "text", "lang", "source").union(wrong.limit(20).selectExpr("doc_id + 5000", "text", "lang", "source"))).collect()}
+    right = [again[r.doc_id + 5000] == r.truth for r in wrong.limit(20).collect()]
+    assert np.mean(right) > 0.9
+
+
+def test_evidence_is_fused_as_bayes_says(spark):
+    scored = spark.createDataFrame([([-1.0, -3.0, -9.0, -9.0, -40.0], "en", "a.de", "de")] * 3 + [([-2.0, -2.0, -9.0, -9.0, -40.0], d, h, "de") for d, h in (("de", "a.de"), ("en", "b.de"), (None, "b.de"))] + [(None, "en", None, None)], "__ll array<double>, __declared string, __host string, __suffix string").repartition(2)
+    n, rows = 4, scored.collect()
+    soft = lambda v: np.exp(np.array(v) - max(v)) / np.exp(np.array(v) - max(v)).sum()
+    told = [r for r in rows if r[0]]
+    sums = lambda key: {k: sum(soft(r[0])[:n] for r in told if key(r) == k) for k in {key(r) for r in told}}
+    name = lambda d: d if d in langid.LANGUAGES else "none" if d is None else "other"
+    said, by_suffix, by_host = sums(lambda r: name(r[1])), sums(lambda r: r[3]), sums(lambda r: (r[2], r[3]))
+    total = sum(said.values()) + 1.0
+    rely = lambda d: np.log((said.get(d, np.zeros(n)) + 1) / (total + 6))
+    smooth = lambda s, w, prior: (s + w * prior) / (s.sum() + w)
+    got = {(r[1], r[2], tuple(r[0])): r for r in langid.fuse(scored).where("__ll is not null").collect()}
+    for r in told:
+        suffix = smooth(by_suffix[r[3]], langid.SUFFIX_WEIGHT, total / total.sum())
+        prior = smooth(by_host[r[2], r[3]], langid.HOST_WEIGHT, suffix)
+        d = name(r[1])
+        logs = [*(np.array(r[0][:n]) + rely(d) + np.log(prior * (1 - langid.UNKNOWN))), r[0][n] + np.log(langid.UNKNOWN) + rely(d).min()]
+        assert np.allclose(got[r[1], r[2], tuple(r[0])]["__posterior"], soft(logs), atol=1e-9)
+    assert langid.fuse(scored).where("__posterior is null").count() == 1
+
+
+def test_pages_and_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "http://x.example.de/a", '<html lang="de"><body><p>der die das und nicht'), (2, None, None), (2, "bad", "")], "page_id bigint, url string, html string")
+    found = {(r.page_id, r.host, r.declared, r.language) for r in langid.report_pages(pages).collect()}
+    assert (2, None, None, "und") in found and any(f[:3] == (1, "x.example.de", "de") for f in found)
+    odd = odd_documents(spark, TEXTS)
+    assert langid.report(odd).count() == quality.report(odd).count() == len(TEXTS) + 1
+    for keep in (langid.keep_identified, quality.keep_good):
+        assert keep(odd).columns == odd.columns
+        assert keep(odd.where("false")).count() == 0

@@ -59,7 +59,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 total += np.bincount(code[real], minlength=1 << BITS)
     for lang, total in counts.items():
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.int64()), pa.array(total[found])], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found])], ["lang", "gram", "n"])
 
 
 def train(rows: DataFrame) -> np.ndarray:

@@ -1,11 +1,14 @@
 """Quality rules: plain counts, and perplexity under a modified Kneser-Ney model of the corpus itself.
 
-The model is over ORDER characters, folded to 32 classes, so a language has at most 32**ORDER n-grams: a bound on
-what is collected and broadcast, whatever the corpus. Tasks count n-grams, Spark sums the counts over all
-documents and derives continuation counts, discounts and back-off weights by grouped aggregation and joins. Per
-language, the model is one array of sorted hashes with the values beside it, searched by bisection. A document
-fails if its log-perplexity lies outside its language's band, which is set by the quartiles of the documents that
-pass the base rules.
+The language model is over WORDS words of hashed, unfolded text and grows with the corpus: it stays a table. Tasks
+count n-grams, Spark sums the counts over all documents and derives continuation counts, discounts and back-off
+weights by grouped aggregation and joins. Documents are scored by joining their n-grams, one row for each (document,
+n-gram), to that table; neither driver nor task holds it. In scripts without spaces each character is a word.
+
+Beside it, a spelling model over ORDER characters, folded to 32 classes, has at most 32**ORDER n-grams a language and
+is sent to the tasks: one array of sorted hashes with the values beside it, searched by bisection. A document fails
+if one of its two log-perplexities lies outside its language's band, which is set by the quartiles of the documents
+that pass the base rules.
 
 Defined results: null text counts as having no words; a text without words fails the base rules and has null
 perplexity. Languages outside ``languages`` (and null) share the model and band of "other". A language none of
@@ -15,12 +18,14 @@ and kept by ``judge(carry=...)``. Repeated rows each count and each give a row.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +35,18 @@ from isomesh.llm.work import column, runs, texts, written
 #: Production parameters.
 LANGUAGES = ("en", "de", "fr", "es")
 ORDER, BITS = 4, 5
+#: Words of an n-gram, and bits of a word's hash.
+WORDS, WORD_BITS = 2, 31
 #: Quartile ranges that a band reaches below the lower and above the upper quartile.
 BELOW, ABOVE = 2.5, 5.0
 #: Code points handled at once by a task.
 CHUNK = 2_000_000
 MULTIPLIER = 2654435761
+#: Words, characters of scripts without spaces, and runs of signs.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{ALONE}]|[^\W{ALONE}]+|[^\w\s]+")
+#: Hashes of words that a task keeps at most.
+REMEMBERED = 1_000_000
 
 
 def language(languages: tuple[str, ...]) -> Column:
@@ -76,18 +88,61 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(count_batches, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, lang, gram, n: the word n-grams of each document, each once with its count. The first words of a text
+    follow zeros."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        keys, langs, sizes, found, times = batch.column("key").to_pylist(), batch.column("lang").to_pylist(), [], [], []
+        for text in batch.column("text").to_pylist():
+            words = TOKEN.findall(text.lower())
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - WORD_BITS) or 1
+            codes = np.array([0] * (WORDS - 1) + [known[w] for w in words], dtype=np.int64)
+            packed = np.zeros(len(words), dtype=np.int64)
+            for at in range(WORDS):
+                packed = packed << WORD_BITS | codes[at : at + len(words)]
+            gram, n = np.unique(packed, return_counts=True)
+            found.append(gram)
+            times.append(n)
+            sizes.append(len(gram))
+        if not keys:
+            continue
+        rows = pa.array(np.repeat(np.arange(len(keys)), sizes))
+        # Some documents of a batch at a time, as a document has many more n-grams than rows.
+        whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(rows), pa.array(langs, pa.string()).take(rows), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(times), pa.int64())], ["key", "lang", "gram", "n"])
+        for at in range(0, len(rows), CHUNK):
+            yield whole.slice(at, CHUNK)
+
+
+def word_grams(docs: DataFrame) -> DataFrame:
+    """docs: key, lang, text."""
+    return docs.select("key", "lang", "text").mapInArrow(word_batches, "key bigint, lang string, gram bigint, n bigint")
+
+
+def score_words(docs: DataFrame) -> DataFrame:
+    """key, loss: the mean negative log-probability of a document's words under the model of all documents. docs: key,
+    lang, text; rows of one key are copies, which all count, and share one loss."""
+    counts = written(word_grams(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+    model = kneser_ney(counts, WORDS, WORD_BITS).where((F.col("size") == WORDS) & (F.col("kind") == "p")).select("lang", "gram", "value")
+    scored = word_grams(docs.dropDuplicates(["key"])).join(model, ["lang", "gram"])
+    return scored.groupBy("key").agg((-F.sum(F.col("n") * F.col("value").cast("double")) / F.sum("n")).alias("loss"))
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
     """lang, size, gram, kind, value: for n-grams of each size the log of the interpolated probability (kind p),
     for contexts of each size the log of the back-off weight (kind b)."""
-    # Every level is a small table of its own, so that no plan holds the levels below it again.
-    levels = {ORDER: counts}
-    for size in range(ORDER - 1, 0, -1):
+    # Every level is a table of its own, so that no plan holds the levels below it again.
+    levels = {order: counts}
+    for size in range(order - 1, 0, -1):
         # In how many different ways the shorter gram continues something.
-        suffix = F.col("gram").bitwiseAND((1 << (BITS * size)) - 1)
+        suffix = F.col("gram").bitwiseAND((1 << (bits * size)) - 1)
         levels[size] = written(levels[size + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), "level")
     lower, out = None, None
-    for size in range(1, ORDER + 1):
-        grams_ = levels[size].select("lang", "gram", "n", F.shiftright("gram", BITS).alias("ctx"))
+    for size in range(1, order + 1):
+        grams_ = levels[size].select("lang", "gram", "n", F.shiftright("gram", bits).alias("ctx"))
         times = [F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in range(1, 5)]
         c = lambda k: F.greatest(F.col(f"n{k}"), F.lit(1))
         y = c(1) / (c(1) + 2 * c(2))
@@ -98,10 +153,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         contexts = written(cut.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
         p = cut.join(contexts, ["lang", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
         if lower is None:
-            p = p.select("lang", "gram", (F.col("own") + F.col("back") / (1 << BITS)).alias("p"))
+            p = p.select("lang", "gram", (F.col("own") + F.col("back") / (1 << bits)).alias("p"))
         else:
             shorter = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("less"))
-            p = p.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (size - 1))) - 1)).join(shorter, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("back") * F.col("less")).alias("p"))
+            p = p.withColumn("suffix", F.col("gram").bitwiseAND((1 << (bits * (size - 1))) - 1)).join(shorter, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("back") * F.col("less")).alias("p"))
         lower = written(p, "interpolated")
         entries = lower.select("lang", F.lit(size).alias("size"), "gram", F.lit("p").alias("kind"), F.log("p").cast("float").alias("value"))
         entries = entries.union(contexts.select("lang", F.lit(size - 1), F.col("ctx"), F.lit("b"), F.log("back").cast("float")))
@@ -213,15 +268,23 @@ def measure(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 def judge(docs: DataFrame, carry: list[str], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The carried columns and, prefixed by __, the counts, base_failed, log_perplexity and kept."""
     whole = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    rows = whole.withColumns({"__text": F.coalesce(column(docs, "text", "string"), F.lit("")), "__lang": language(languages)}).select(*(F.col(f"`{c}`") for c in carry), "__text", "__lang")
-    model = train(rows.select(F.col("__text").alias("text"), F.col("__lang").alias("lang")))
+    texts_ = whole.withColumns({"__text": F.coalesce(column(docs, "text", "string"), F.lit("")), "__lang": language(languages)}).select(*(F.col(f"`{c}`") for c in carry), "__text", "__lang")
+    rows = texts_.withColumn("__key", F.xxhash64("__text", "__lang"))
+    plain = rows.select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__lang").alias("lang"))
+    words = written(score_words(plain), "scores").select(F.col("key").alias("__key"), F.col("loss").alias("__log_perplexity"))
     failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    measured = written(measure(rows, model, carry).withColumn("__base_failed", failed), "measured")
-    quartile = lambda q: F.percentile_approx("__log_perplexity", F.lit(q), F.lit(1000))
-    bands = measured.where(~F.col("__base_failed")).groupBy("__lang").agg(quartile(0.25).alias("__low"), quartile(0.75).alias("__high"))
-    reach = F.col("__high") - F.col("__low") + 0.01
-    inside = F.coalesce(F.col("__log_perplexity").between(F.col("__low") - BELOW * reach, F.col("__high") + ABOVE * reach), F.lit(True))
-    return measured.join(bands, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & inside)
+    spelled = measure(rows, train(plain), [*carry, "__key"]).withColumnRenamed("__log_perplexity", "__spelling")
+    measured = written(spelled.withColumn("__base_failed", failed).join(words, "__key", "left"), "measured")
+    losses = ("__log_perplexity", "__spelling")
+    quartile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000)).alias(f"{c}_{q}".replace(".", "_"))
+    bands = measured.where(~F.col("__base_failed")).groupBy("__lang").agg(*(quartile(c, q) for c in losses for q in (0.25, 0.75)))
+
+    def inside(c: str) -> Column:
+        low, high = F.col(f"{c}_0_25"), F.col(f"{c}_0_75")
+        reach = high - low + 0.01
+        return F.coalesce(F.col(c).between(low - BELOW * reach, high + ABOVE * reach), F.lit(True))
+
+    return measured.join(bands, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & inside(losses[0]) & inside(losses[1]))
 
 
 def report(docs: DataFrame) -> DataFrame:

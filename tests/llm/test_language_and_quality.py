@@ -92,6 +92,50 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     assert got[9002].model == "other" and got[9002].kept
 
 
+def test_words_follow_the_formulas_and_grow_with_the_corpus(spark):
+    texts = ["the cat sat on the mat", "the cat ran , the dog sat", "日本語の文", "Ελληνικά και 日本", "the cat sat on the mat", ""]
+    docs = spark.createDataFrame([(hash(t) % 1000003, t, "en") for t in texts], "key bigint, text string, lang string")
+    words = {t: [""] + quality.TOKEN.findall(t.lower()) for t in texts}
+    assert words[texts[2]][1:] == list("日本語の文")
+    counts = Counter(g for t in texts for g in zip(words[t], words[t][1:]))  # noqa: B905
+    assert quality.word_grams(docs).groupBy("gram").count().count() == len(counts)
+    lower = Counter(b for _, b in counts)
+
+    def cuts(of):
+        n = Counter(of.values())
+        m = [max(1, n[i]) for i in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1])
+        return [min(max(i - (i + 1) * y * m[i] / m[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+
+    d1, d2 = cuts(lower), cuts(counts)
+    cut = lambda d, n: d[min(n, 3) - 1]
+    spread = sum(cut(d1, n) for n in lower.values()) / sum(lower.values())
+    one = {w: (n - cut(d1, n)) / sum(lower.values()) + spread / (1 << quality.WORD_BITS) for w, n in lower.items()}
+    of = lambda a: [n for g, n in counts.items() if g[0] == a]
+    two = lambda g: (counts[g] - cut(d2, counts[g])) / sum(of(g[0])) + sum(cut(d2, n) for n in of(g[0])) / sum(of(g[0])) * one[g[1]]
+    got = {r.key: r.loss for r in quality.score_words(docs).collect()}
+    assert len(got) == 4
+    for t in texts[:4]:
+        assert abs(got[hash(t) % 1000003] - np.mean([-np.log(two(g)) for g in zip(words[t], words[t][1:])])) < 1e-4  # noqa: B905
+
+
+def test_word_salad_and_other_scripts_are_judged(spark):
+    rng = np.random.default_rng(1)
+    names = ["".join(chr(0x3B1 + int(c)) for c in rng.integers(0, 24, 5)) for _ in range(600)]
+    follow = {w: rng.choice(names, 4).tolist() for w in names}
+
+    def prose():
+        out = [names[int(rng.integers(600))]]
+        while len(out) < 200:
+            out.append(follow[out[-1]][int(rng.integers(4))])
+        return " ".join(out)
+
+    rows = [(i, prose(), "el") for i in range(60)] + [(100, " ".join(rng.choice(names, 200)), "el")]
+    got = {r.doc_id: r for r in quality.report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not got[100].base_failed and not got[100].kept
+    assert all(got[i].kept for i in range(60) if not got[i].base_failed) and sum(got[i].kept for i in range(60)) > 30
+
+
 def test_languages_are_found(spark):
     docs = small_documents(spark)
     found = langid.report(docs).collect()

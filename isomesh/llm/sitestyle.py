@@ -6,10 +6,9 @@ branch. Its importance is the larger entropy of the two, with logarithms to the
 branch that looks and reads alike on all pages of a host (menus, notices, footers) comes near 0, and one that
 differs comes near 1. Branches under LEAST_IMPORTANT, on MIN_PAGES pages or more, are cut from each page.
 
-A host with few pages tells nothing by entropy, and an article repeated on a host is still an article. So explicit
-marks come first: elements and names that mark page furniture are cut, and inside an explicit article or main
-element the entropy does not cut. If a page has an article or main element outside furniture, its text is taken
-from there alone.
+Explicit marks are priors. Elements and names that mark page furniture are cut, as comments and links differ from page
+to page and entropy can't tell them. An article or main element adds LANDMARK to the importance of itself and of the
+branches in it: what is alike on all pages is cut there too, and text outside of it stays if it differs.
 
 Trees are merged by grouped aggregation over (host, path): a host's pages never meet in one task.
 
@@ -34,6 +33,8 @@ from isomesh.llm.work import column, written
 
 #: Production parameters.
 LEAST_IMPORTANT, MIN_PAGES = 0.2, 8
+#: What an article or main element adds to the importance of its branches.
+LANDMARK = 0.1
 
 # Fixed values of the HTML standard: elements by how they are read.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -91,6 +92,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.children: dict[int, list[str]] = {}
+        self.within: set[int] = set()
         self.open = [Frame("", 0, False, False)]
         self.parts: list[str] = []
         self.at: tuple[Frame, tuple[int, ...]] | None = None
@@ -156,6 +158,8 @@ class Page:
         node = child(top.node, label)
         self.children.setdefault(top.node, []).append(label)
         self.children.setdefault(node, [])
+        if inside and not cut:
+            self.within.add(node)
         self.open.append(Frame(name, node, cut, inside and not cut))
 
     def close(self, name: str) -> None:
@@ -186,22 +190,21 @@ class Page:
     def text(self, low: set[int]) -> str:
         """The main text, without the branches of low importance."""
         kept = [b for b in self.blocks if not b.cut]
-        if any(b.inside for b in kept):
-            return "\n".join(b.text for b in kept if b.inside)
         return "\n".join(b.text for b in kept if low.isdisjoint(b.path))
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, node, kind, feature: of each page's nodes outside explicit marks, the presentation and the content."""
+    """host, node, kind, feature, inside: of each page's nodes outside furniture, the presentation and the content, and
+    whether the node is in an article or main element."""
     for batch in batches:
-        rows: list[tuple[str, int, str, int]] = []
+        rows: list[tuple[str, int, str, int, bool]] = []
         for source, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
             page = Page(source)
-            free = {n for b in page.blocks if not b.cut and not b.inside for n in b.path}
-            rows += [(host, n, "p", xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) >> 1) for n, p in page.presentations().items() if n in free]
-            rows += [(host, n, "c", c) for n, c in page.contents().items() if n in free]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["host", "node", "kind", "feature"])
+            free = {n for b in page.blocks if not b.cut for n in b.path}
+            rows += [(host, n, "p", xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) >> 1, n in page.within) for n, p in page.presentations().items() if n in free]
+            rows += [(host, n, "c", c, n in page.within) for n, c in page.contents().items() if n in free]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["host", "node", "kind", "feature", "inside"])
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
@@ -212,12 +215,12 @@ def pages_of(pages: DataFrame) -> DataFrame:
 
 def unimportant(pages: DataFrame) -> DataFrame:
     """host, node: the style nodes whose composite importance is low. pages: host, html."""
-    features = pages.select("html", "host").mapInArrow(feature_batches, "host string, node bigint, kind string, feature bigint")
-    counts = features.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
-    kinds = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    features = pages.select("html", "host").mapInArrow(feature_batches, "host string, node bigint, kind string, feature bigint, inside boolean")
+    counts = features.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    kinds = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
     # -sum p log p with p = n / m, to the base m.
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    nodes = kinds.groupBy("host", "node").agg(F.max("m").alias("m"), F.max(entropy).alias("importance"))
+    nodes = kinds.groupBy("host", "node").agg(F.max("m").alias("m"), (F.max(entropy) + F.when(F.max("inside"), LANDMARK).otherwise(0.0)).alias("importance"))
     return nodes.where((F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANT)).select("host", "node")
 
 

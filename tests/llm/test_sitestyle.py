@@ -65,6 +65,18 @@ def test_importance_equals_brute_force(spark):
     assert got == low and low
 
 
+def test_importance_decides_inside_and_outside_of_articles(spark):
+    rows = []
+    for i in range(20):
+        words, teaser = " ".join(f"w{i * 7 + k * k}" for k in range(40)), f"Teaser {i}"
+        rows.append((i, f"http://a.example.org/{i}", f"<body><article><h1>T{i}</h1><p>{words}</p><div class='box'>Get our letter</div></article></body>"))
+        rows.append((100 + i, f"http://b.example.org/{i}", f"<body><article>{teaser}</article><div class='story'>{words}</div><div class='end'>Made by us</div></body>"))
+    got = {r.page_id: r.text for r in sitestyle.report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(20):
+        words = " ".join(f"w{i * 7 + k * k}" for k in range(40))
+        assert got[i] == f"T{i}\n{words}" and got[100 + i] == f"Teaser {i}\n{words}"
+
+
 def test_driver_pages_and_empty_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in sitestyle.report(pages).join(pages.select("page_id", "html"), "page_id").collect():

@@ -1,10 +1,11 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a style node is a path of elements, each with its class and id. A
-node's presentations are the sequences of child elements it has on the host's pages, its contents the texts of its
+The pages of a host are merged into one tree: a style node is a path of elements, each with its class and id.
+Copies of a page on a host count once. A node's presentations are the sequences of child elements it has on the host's pages, its contents the texts of its
 branch. Its importance is the larger entropy of the two, with logarithms to the number of pages that have the node, so a
 branch that looks and reads alike on all pages of a host (menus, notices, footers) comes near 0, and one that
-differs comes near 1. Branches under LEAST_IMPORTANT, on MIN_PAGES pages or more, are cut from each page.
+differs comes near 1. Branches under LEAST_IMPORTANT, on MIN_PAGES pages or more, are cut from each page, but never one
+that holds all blocks or most of the text of the page: there its lower branches decide.
 
 Explicit marks are priors. Elements and names that mark page furniture are cut, as comments and links differ from page
 to page and entropy can't tell them. An article or main element adds LANDMARK to the importance of itself and of the
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -190,7 +192,14 @@ class Page:
     def text(self, low: set[int]) -> str:
         """The main text, without the branches of low importance."""
         kept = [b for b in self.blocks if not b.cut]
-        return "\n".join(b.text for b in kept if low.isdisjoint(b.path))
+        chars, blocks = Counter(), Counter()
+        for b in kept if low else ():
+            for n in low.intersection(b.path):
+                chars[n] += len(b.text)
+                blocks[n] += 1
+        total = sum(len(b.text) for b in kept)
+        cut = {n for n in chars if blocks[n] < len(kept) and 2 * chars[n] <= total}
+        return "\n".join(b.text for b in kept if cut.isdisjoint(b.path))
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +224,7 @@ def pages_of(pages: DataFrame) -> DataFrame:
 
 def unimportant(pages: DataFrame) -> DataFrame:
     """host, node: the style nodes whose composite importance is low. pages: host, html."""
-    features = pages.select("html", "host").mapInArrow(feature_batches, "host string, node bigint, kind string, feature bigint, inside boolean")
+    features = pages.select("html", "host").dropDuplicates().mapInArrow(feature_batches, "host string, node bigint, kind string, feature bigint, inside boolean")
     counts = features.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
     kinds = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
     # -sum p log p with p = n / m, to the base m.

@@ -77,6 +77,18 @@ def test_importance_decides_inside_and_outside_of_articles(spark):
         assert got[i] == f"T{i}\n{words}" and got[100 + i] == f"Teaser {i}\n{words}"
 
 
+def test_copies_keep_their_text_and_that_of_other_pages(spark):
+    story = lambda i: " ".join(f"w{i * 7 + k * k}" for k in range(40))
+    page = lambda text, note="": f"<body>{note}<div class='story'><p>{text}</p></div><div class='end'>Made by us</div></body>"
+    rows = [(i, "http://copies.example.org/", page("One story")) for i in range(8)]
+    rows += [(100 + i, "http://mixed.example.org/", page(story(0))) for i in range(400)] + [(1000 + i, "http://mixed.example.org/", page(story(i))) for i in range(1, 11)]
+    rows += [(2000 + i, "http://near.example.org/", page(story(0), f"<!-- {i} -->")) for i in range(300)] + [(3000 + i, "http://near.example.org/", page(story(i))) for i in range(1, 6)]
+    got = {r.page_id: r.text for r in sitestyle.report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i].startswith("One story") for i in range(8))
+    assert all(got[100 + i] == story(0) for i in range(400)) and all(got[1000 + i] == story(i) for i in range(1, 11))
+    assert all(got[2000 + i] == story(0) for i in range(300)) and all(got[3000 + i] == story(i) for i in range(1, 6))
+
+
 def test_driver_pages_and_empty_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in sitestyle.report(pages).join(pages.select("page_id", "html"), "page_id").collect():

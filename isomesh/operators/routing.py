@@ -2,25 +2,19 @@
 
 ``search`` works on DataFrames: a frontier of improved labels is joined with the edges and reduced by minimum,
 round by round. It is exact for least travel time with one bound on time, where an edge's time does not depend on
-how its start was reached. ``search_ordered`` settles labels in order of their measure, one origin at a time inside
-tasks, for everything else: turn delays, bounds on distance, other measures. It needs the network in every task and
-checks its size first.
+how its start was reached. ``search_ordered`` works on DataFrames too, but settles labels in order of their measure,
+for everything else: turn delays, bounds on distance, other measures. Neither collects the network.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.operators.state import settled
 
-#: Edges up to which a network is sent to the tasks as a whole.
-LARGEST = 3_000_000
-
 
 def starts(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     """Start labels (origin, node, tt, dist, first): to the end of the origin's edge, and of its opposite.
@@ -87,55 +81,41 @@ MEASURES: dict[str, Callable[..., tuple]] = {
 }
 
 
-def settle_one(first: list[tuple], out: dict, delay: dict, max_tt: float, max_dist: float, measure: Callable[..., tuple], p1: float, p2: float) -> list[tuple]:
-    """Labels of one origin in the order in which they are settled: node, tt, dist, edge, previous node."""
-    best: dict[int, tuple] = {}
-    queue: list[tuple] = []
-
-    def offer(node: int, tt: float, dist: float, edge: str, before: int | None) -> None:
-        key = measure(tt, 0, 0.0, 0.0, p1, p2)
-        if node not in best or key < best[node][0]:
-            best[node] = (key, tt, dist, edge, before)
-            heapq.heappush(queue, (key, dist, edge, node, tt))
-
-    for node, tt, dist, edge in first:
-        offer(node, tt, dist, edge, None)
-    while queue:
-        key, dist, edge, node, tt = heapq.heappop(queue)
-        if best[node][0] != key or best[node][3] != edge or tt > max_tt or dist > max_dist:
-            continue
-        for next_, e, length, e_tt in out.get(node, ()):
-            offer(next_, tt + e_tt + delay.get((edge, e), 0.0), dist + length, e, node)
-    return [(node, tt, dist, edge, before) for node, (_, tt, dist, edge, before) in best.items() if tt <= max_tt and dist <= max_dist]
-
-
 def search_ordered(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), max_dist: float = float("inf"), delays: DataFrame | None = None, measure: str = "tt_mode", p1: float = 0.0, p2: float = 0.0) -> DataFrame:
     """origin, node, tt, dist, edge, before: labels in the order of a measure, with turn delays (from_edge,
     to_edge, delay) and bounds on time and distance.
 
-    The network goes to every task; one of more than LARGEST edges is refused (use ``search``).
+    One label for each (origin, node), settled in order: a label over the bound on distance keeps its node, but leads
+    nowhere, and a delay depends on the edge of the label that its node has. Every round settles an origin's labels
+    less than the quickest edge's time above its least open one: no later offer can be less. Without rides, every
+    measure grows with time. Ties: the offer of the label settled first, then the smaller edge id.
     """
-    spark = edges.sparkSession
-    if edges.limit(LARGEST + 1).count() > LARGEST:
-        raise ValueError(f"a network of more than {LARGEST} edges does not fit the tasks; use search()")
-    out: dict[int, list[tuple]] = {}
-    for r in edges.select("from_node", "to_node", "edge_id", "length", "tt").orderBy("edge_id").toLocalIterator():
-        out.setdefault(r[0], []).append(tuple(r[1:]))
-    turns = {(r[0], r[1]): r[2] for r in delays.select("from_edge", "to_edge", "delay").where("delay > 0").toLocalIterator()} if delays is not None else {}
-    shared = spark.sparkContext.broadcast((out, turns))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, delay = shared.value
-        for frame in frames:
-            rows = []
-            for origin, first in zip(frame["origin"], frame["first"], strict=True):
-                begin = [(s["node"], s["tt"], s["dist"], s["first"]) for s in first]
-                rows += [(origin, *x) for x in settle_one(begin, net, delay, max_tt, max_dist, MEASURES[measure], p1, p2)]
-            yield pd.DataFrame(rows, columns=["origin", "node", "tt", "dist", "edge", "before"]).astype({"before": "Int64"})
-
-    # At most two start labels for each origin.
-    grouped = start.groupBy("origin").agg(F.collect_list(F.struct("node", "tt", "dist", "first")).alias("first"))
-    return grouped.mapInPandas(run, "origin bigint, node bigint, tt double, dist double, edge string, before bigint")
+    keys = ["origin", "node"]
+    offer = ["p_tt", "p_dist", "p_edge", "p_node", "edge", "tt", "dist", "before"]
+    rank = F.struct(*(k if isinstance(k, Column) else F.lit(k) for k in MEASURES[measure](F.col("tt"), 0, 0.0, 0.0, p1, p2)))
+
+    def least(df: DataFrame) -> DataFrame:
+        # Settled labels come before offers of the same measure.
+        return df.groupBy(*keys).agg(F.min(F.struct(rank.alias("key"), "open", *offer)).alias("l")).select(*keys, "l.open", *(f"l.{c}" for c in offer))
+
+    out = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("length").alias("e_length"), F.col("tt").alias("e_tt"))
+    if delays is not None:
+        turns = settled(delays.where("delay > 0").groupBy(F.col("from_edge").alias("edge"), F.col("to_edge").alias("e")).agg(F.max("delay").alias("delay")), "turns")
+    width = edges.agg(F.min("tt")).first()[0] or 0.0
+    none = (F.lit(-1.0).alias("p_tt"), F.lit(0.0).alias("p_dist"), F.lit("").alias("p_edge"), F.lit(-1).cast("bigint").alias("p_node"))
+    begin = start.where(F.col("tt") <= max_tt).select(*keys, F.lit(True).alias("open"), *none, F.col("first").alias("edge"), "tt", "dist", F.lit(None).cast("bigint").alias("before"))
+    best = settled(least(begin), "ordered")
+    while best.where("open").limit(1).count():
+        low = best.where("open").groupBy("origin").agg(F.min("tt").alias("low"))
+        now = F.col("open") & ((F.col("tt") == F.col("low")) | (F.col("tt") < F.col("low") + width))
+        turn = settled(best.join(low, "origin", "left").withColumn("now", F.coalesce(now, F.lit(False))).drop("low"), "turn")
+        moved = turn.where(F.col("now") & (F.col("dist") <= max_dist)).join(out, "node")
+        moved = moved.join(turns, ["edge", "e"], "left") if delays is not None else moved.withColumn("delay", F.lit(0.0))
+        parent = (F.col("tt").alias("p_tt"), F.col("dist").alias("p_dist"), F.col("edge").alias("p_edge"), F.col("node").alias("p_node"))
+        offers = moved.select("origin", F.col("next").alias("node"), F.lit(True).alias("open"), *parent, F.col("e").alias("edge"), (F.col("tt") + F.col("e_tt") + F.coalesce("delay", F.lit(0.0))).alias("tt"), (F.col("dist") + F.col("e_length")).alias("dist"), F.col("node").alias("before"))
+        done = turn.withColumn("open", F.col("open") & ~F.col("now")).select(*keys, "open", *offer)
+        best = settled(least(done.union(offers.where(F.col("tt") <= max_tt))), "ordered")
+    return best.where(F.col("dist") <= max_dist).select(*keys, "tt", "dist", "edge", "before")
 
 
 def paths(labels: DataFrame, goals: DataFrame) -> DataFrame:

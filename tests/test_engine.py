@@ -1,5 +1,8 @@
 """Small networks with known results, from text lines to aggregated measures."""
 
+import heapq
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +77,43 @@ def test_ordered_search_agrees_and_honours_distance(three):
     assert max(r.dist for r in routing.search_ordered(routing.starts(o, e), e, max_dist=60.0).collect()) <= 60.0
 
 
+def settle_one(first, out, delay, max_tt, max_dist):
+    """Labels of one origin by a heap: node, tt, dist, edge, previous node."""
+    best, queue = {}, []
+
+    def offer(node, tt, dist, edge, before):
+        if node not in best or tt < best[node][0]:
+            best[node] = (tt, dist, edge, before)
+            heapq.heappush(queue, (tt, dist, edge, node))
+
+    for x in first:
+        offer(*x, None)
+    while queue:
+        tt, dist, edge, node = heapq.heappop(queue)
+        if best[node][0] != tt or best[node][2] != edge or tt > max_tt or dist > max_dist:
+            continue
+        for next_, e, length, e_tt in out.get(node, ()):
+            offer(next_, tt + e_tt + delay.get((edge, e), 0.0), dist + length, e, node)
+    return {(node, *x) for node, x in best.items() if x[0] <= max_tt and x[1] <= max_dist}
+
+
+def test_ordered_search_equals_a_heap_without_collecting_the_network(spark, monkeypatch):
+    rng = random.Random(3)
+    roads = sorted((f"e{i:03}", rng.randrange(30), rng.randrange(30), float(rng.randint(1, 9)), rng.choice([2.0, 2.5, 3.0, 4.0, 5.5])) for i in range(110))
+    e = spark.createDataFrame(roads, "edge_id string, from_node bigint, to_node bigint, length double, tt double")
+    delay = {(a[0], b[0]): float(rng.randint(1, 4)) for a in roads for b in roads if a[2] == b[1] and rng.random() < 0.5}
+    turns = spark.createDataFrame([(*k, v) for k, v in delay.items()], "from_edge string, to_edge string, delay double")
+    first = {1: [(0, 0.5, 1.0, "e000"), (7, 1.0, 2.0, "e001")], 2: [(11, 0.0, 0.0, "e002")]}
+    begin = spark.createDataFrame([(o, *x) for o, xs in first.items() for x in xs], "origin bigint, node bigint, tt double, dist double, first string")
+    out = {}
+    for edge, a, b, length, tt in roads:
+        out.setdefault(a, []).append((b, edge, length, tt))
+    expected = {(o, *x) for o, xs in first.items() for x in settle_one(xs, out, delay, 12.0, 18.0)}
+    monkeypatch.setattr(type(e), "toLocalIterator", None)
+    got = routing.search_ordered(begin, e, 12.0, 18.0, turns)
+    assert set(map(tuple, got.select("origin", "node", "tt", "dist", "edge", "before").collect())) == expected and len(expected) > 20
+
+
 def test_paths_and_their_rows(three):
     e, _, _, o, d, labels, od = three
     ends = od.where("destination = 2004").join(d.select(F.col("object_id").alias("destination"), "edge_id"), "destination").join(e.select("edge_id", F.col("from_node").alias("node")), "edge_id")

@@ -63,6 +63,14 @@ def between(s: Column, low: int, high: int) -> Column:
     return F.length(only_digits(s)).between(low, high)
 
 
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
 # The patterns start only where a match of the plain pattern can be leftmost, and take runs whole, so that long
 # runs of word characters or digits cost linear time.
 KINDS = (
@@ -70,7 +78,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", lambda m: F.forall(F.split(m, r"\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")), 0.6, r"\bip\b|host|server|address|from"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", lambda m: F.when(between(m, 13, 19), luhn(only_digits(m))).otherwise(False), 0.8, r"card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: between(m, 9, 15), 0.6, r"phone|call|tel\b|tel:|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", mod97, 0.8, r"iban|account|bank|konto", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])", "", mod97, 0.8, r"iban|account|bank|konto", base=False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security|national id|tax id", base=False),
 )
 #: Code points before a span in which a context word counts, and what it adds to the score.

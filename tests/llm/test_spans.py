@@ -75,6 +75,14 @@ def test_pii_checksums_and_context(spark):
     assert ssn == "national_id:4:15"
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"{iban} BIC COBADEFF", f"{iban} 4711 22", f"{iban} GB82 WEST 1234 5698 7654 32 OK", f"{iban}X", "DE89 3704 0044 0532 0130 01 BIC", "NO93 8601 1117 947 KONTO"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = lambda s: ",".join(x for x in s.split(",") if x.startswith("iban"))
+    assert [own(r.spans) for r in pii.report(df).orderBy("doc_id").collect()] == ["iban:0:27", "iban:0:27", "iban:0:27,iban:28:55", "", "", "iban:0:18"]
+
+
 def test_secret_base_and_links(docs):
     got = {(g.doc_id, g.base_sha256, g.spans) for g in secrets.report(docs).collect()}
     assert secrets.report(docs).count() == docs.count()

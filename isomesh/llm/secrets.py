@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LOGIN = re.compile(r"""(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.I | re.A)
 PASSWORD = re.compile(r"""(?:pwd|pass|credential|auth)["']?\x20*[:=]\x20*["']?[^\s"',;]{4,}""", re.I | re.A)
-LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b[a-z0-9][a-z0-9.-]{0,80}\.[a-z]{2,12}:[0-9]{2,5}\b""")
 #: What a part is in a credential.
 ROLES = {"access": "id", "login": "id", "assign": "secret", "hex": "secret", "password": "secret", "endpoint": "endpoint"}

@@ -36,6 +36,10 @@ class Limits(NamedTuple):
     loss: int = LENGTH
 
 
+#: Of conversations: at most three quarters of a sequence bear loss.
+TURN_LIMITS = Limits(loss=LENGTH * 3 // 4)
+
+
 class Piece(NamedTuple):
     """A stretch of one example, placed in a sequence."""
 
@@ -173,7 +177,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), vocabulary_file:
     return texts(docs).mapInArrow(run, f"doc_id bigint, {PIECES}")
 
 
-def pack_turns(turns: DataFrame, limits: Limits = Limits(), vocabulary_file: str | None = None, trained: str = "assistant") -> DataFrame:
+def pack_turns(turns: DataFrame, limits: Limits = TURN_LIMITS, vocabulary_file: str | None = None, trained: str = "assistant") -> DataFrame:
     """conv_id, turn and PIECES for instruction data: only tokens of turns by the trained role bear loss."""
     path = vocabulary_file or vocabulary("byte_bpe_50k.json")
     rows = texts(turns, ("turn", "bigint"), ("role", "string"), key="conv_id")
@@ -192,6 +196,11 @@ def pack_turns(turns: DataFrame, limits: Limits = Limits(), vocabulary_file: str
     return rows.mapInArrow(run, f"conv_id bigint, turn bigint, {PIECES}")
 
 
+def report_turns(turns: DataFrame) -> DataFrame:
+    """One row for each piece of a turn."""
+    return pack_turns(turns).select("conv_id", "turn", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row for each piece."""
     return pack_documents(docs, with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -13,6 +13,7 @@ QUERIES = {
     "op4_secret_links": lambda spark, sf_dir: secrets.report(table(spark, sf_dir, "documents")),
     "op5_subsequence_svm": lambda spark, sf_dir: toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_vector_packing": lambda spark, sf_dir: packing.report(table(spark, sf_dir, "documents")),
+    "vector_packing_turns": lambda spark, sf_dir: packing.report_turns(table(spark, sf_dir, "conversations")),
     "op7_perplexity": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents")),
     "op8_piece_lattice": lambda spark, sf_dir: pieces.encode(table(spark, sf_dir, "documents")),
     "op9_bag_minhash": lambda spark, sf_dir: near.report(table(spark, sf_dir, "documents")),

@@ -84,3 +84,16 @@ def test_turns_and_empty_table(spark):
         loss[r.sequence_id] += r.length * (r.turn == 1)
     assert max(loss.values()) <= 100
     assert packing.report(turns.where("false").withColumn("doc_id", turns.conv_id)).count() == 0
+
+
+def test_loss_limit_binds_in_conversations(spark):
+    from isomesh.llm import queries
+
+    rows = [(i, k, role, f"{role} says word number {i} " * 60) for i in range(12) for k, role in enumerate(("user", "assistant", "assistant", "assistant"))]
+    said = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    used, lost = {}, {}
+    for r in packing.report_turns(said).collect():
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        lost[r.sequence_id] = lost.get(r.sequence_id, 0) + r.length * (r.turn > 0)
+    assert max(used.values()) <= packing.LENGTH and max(lost.values()) == packing.TURN_LIMITS.loss < packing.LENGTH
+    assert "vector_packing_turns" in queries.QUERIES

@@ -18,78 +18,102 @@ Shingles are compared as 32-bit hashes, numbered by occurrence: of n shingles, n
 Defined results: null text counts as empty; a text without words is linked to equal texts only. A text of one
 to four words is a single shingle. Words are what white space separates, as written. The class id is the smallest
 doc_id of the class, null if all its ids are null. Repeated rows and repeated ids each give a row. Extra columns
-are ignored by the report and kept by ``keep_one``.
+are ignored by the report and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.llm.bags import band_keys, mixed, signatures
-from isomesh.llm.work import column, runs, texts, written
+from isomesh.llm.work import dropped, packed, runs, texts, unpacked, written
 
 #: Production parameters.
 WORDS, LEAST = 5, 0.8
 SIZE, ROWS = 128, 4
 #: Signatures that agree in a smaller share are not checked.
 LIKELY = 0.55
-BLOCK = 1500
-CHUNK, KEPT = 3_000_000, 500_000
+#: A block has at most about so many nodes, and so many shingles.
+BLOCK, BLOCK_SHINGLES = 1500, 4_000_000
+#: Code points handled at once by a task.
+CHUNK = 1_000_000
+WORD_BASE = 0x9FB21C651E98DF25
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-class Shingler:
-    """Shingles of texts as 64-bit hashes; hashes of words are remembered by the worker."""
+@cache
+def white() -> np.ndarray:
+    """Which code points of the basic plane are white space, as ``str.split`` has it."""
+    return np.array([chr(i).isspace() for i in range(65536)])
 
-    def __init__(self):
-        self.words: dict[str, int] = {}
 
-    def of(self, text: str) -> np.ndarray:
-        """The shingles in order of the text, repeated ones repeated."""
-        words = text.split()
-        known = self.words
-        if len(known) > KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        if not len(h):
-            return h
-        if len(h) < WORDS:
-            return mixed((h * MULTIPLIERS[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
-        n = len(h) - WORDS + 1
-        return mixed(sum(h[i : i + n] * MULTIPLIERS[i] for i in range(WORDS)))
+def inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base), dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def shingles(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of texts as 64-bit hashes, in order, repeated ones repeated; the text of each."""
+    joined = " ".join(group)
+    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    begins = np.cumsum([0, *(len(t) + 1 for t in group)])[:-1]
+    edge = np.diff(np.concatenate([[0], (~white()[np.minimum(cps, 65535)]).view(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # A word's hash is a polynomial in its code points: a difference of running sums, moved to the word's own place.
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((cps + np.uint64(1)) * powers(WORD_BASE, len(cps)), dtype=np.uint64)])
+    word = mixed((run[end] - run[start]) * powers(inverse(WORD_BASE), len(cps) + 1)[start] + (end - start).astype(np.uint64))
+    of = np.searchsorted(begins, start, side="right") - 1
+    n = max(0, len(word) - WORDS + 1)
+    whole = of[:n] == of[len(of) - n :] if n else np.zeros(0, dtype=bool)
+    five = mixed(sum((word[i : i + n] * MULTIPLIERS[i] for i in range(WORDS)), np.zeros(n, dtype=np.uint64)))[whole]
+    # Texts of fewer words are one shingle.
+    words = np.bincount(of, minlength=len(group))
+    short, first = np.flatnonzero((words > 0) & (words < WORDS)), np.cumsum(words) - words
+    few = [mixed((word[first[i] : first[i] + words[i]] * MULTIPLIERS[: words[i]]).sum(keepdims=True) + np.uint64(words[i])) for i in short]
+    owner = np.concatenate([of[:n][whole], short])
+    by = np.argsort(owner, kind="stable")
+    return np.concatenate([five, *few])[by], owner[by]
+
+
+def each(group: list[str]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Some texts at a time, as a range of the group, with the shingles of each."""
+    for a, b in runs([len(t) for t in group], CHUNK):
+        found, owner = shingles(group[a:b])
+        yield a, b, np.split(found, np.searchsorted(owner, np.arange(1, b - a)))
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, signature (binary; null without words)."""
-    shingler = Shingler()
+    """doc_id, node, signature (binary; null without words), size (its shingles)."""
     for batch in batches:
-        group = batch.column("text").to_pylist()
-        for a, b in runs([len(t) for t in group], CHUNK):
-            sets = [np.unique(shingler.of(t), return_counts=True) for t in group[a:b]]
+        for a, b, found in each(batch.column("text").to_pylist()):
+            sets = [np.unique(x, return_counts=True) for x in found]
             sizes = [len(e) for e, _ in sets]
             owner = np.repeat(np.arange(b - a), sizes)
             sig = signatures(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64), owner, b - a, SIZE)
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array([s.tobytes() if n else None for s, n in zip(sig, sizes, strict=True)], pa.binary())], ["doc_id", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array([s.tobytes() if n else None for s, n in zip(sig, sizes, strict=True)], pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "node", "signature", "size"])
 
 
 def band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, key: a row for each band of a signature."""
+    """node, size, key: a row for each band of a signature."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, SIZE)
         keys = pa.array(band_keys(sig, ROWS).reshape(-1), pa.int64())
         places = pa.array(np.repeat(np.arange(len(sig)), SIZE // ROWS))
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(places), keys], ["node", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(places), batch.column("size").take(places), keys], ["node", "size", "key"])
 
 
 def bag_of(shingles: np.ndarray) -> np.ndarray:
@@ -104,10 +128,9 @@ def bag_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
     for batch in batches:
-        bags = [bag_of(shingler.of(t.as_py())).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.binary())], ["node", "bag"])
+        for a, b, found in each(batch.column("text").to_pylist()):
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([bag_of(x).tobytes() for x in found], pa.binary())], ["node", "bag"])
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -201,21 +224,23 @@ def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed_groups(members: DataFrame) -> DataFrame:
-    """g, n: one key of each set of nodes that shares a key and holds several components."""
-    nodes = [F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")]
+    """g, n: one key of each set of nodes that shares a key and holds several components; n counts its nodes, or more if
+    they are long."""
+    nodes = [F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")]
     groups = members.groupBy("key").agg(*nodes, F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    return groups.groupBy("n", "first", "last", "sum").agg(F.min("key").alias("g")).select("g", "n")
+    weight = F.greatest(F.col("n"), F.ceil(F.col("total") * BLOCK / BLOCK_SHINGLES))
+    return groups.groupBy("n", "total", "first", "last", "sum").agg(F.min("key").alias("g")).select("g", weight.alias("n"))
 
 
 def across(members: DataFrame, bags: DataFrame) -> DataFrame:
-    """Links between nodes of different components that share a band. members: key, node, label."""
+    """Links between nodes of different components that share a band. members: key, node, label, size."""
     groups = written(mixed_groups(members), "groups")
     inside = members.join(groups, F.col("key") == F.col("g"))
     small = inside.where(F.col("n") <= BLOCK).select("key", "node", "label", "n")
-    big = inside.where(F.col("n") > BLOCK).select("key", "node", "label")
+    big = inside.where(F.col("n") > BLOCK).select("key", "node", "label", "size")
     # Members of a large band also share a second one: the pair of bands is their group.
     second = members.select(F.col("node").alias("m"), F.col("key").alias("key2"))
-    paired = big.join(second, (F.col("node") == F.col("m")) & (F.col("key") != F.col("key2"))).select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "label").distinct()
+    paired = big.join(second, (F.col("node") == F.col("m")) & (F.col("key") != F.col("key2"))).select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "label", "size").distinct()
     split = paired.join(mixed_groups(paired), F.col("key") == F.col("g")).select("key", "node", "label", "n")
     rows = small.union(split).join(bags.select(F.col("node").alias("s"), "bag"), F.col("node") == F.col("s"))
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -227,13 +252,14 @@ def across(members: DataFrame, bags: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, first_node: a row for each document; first_node has the text that stands for the class."""
     docs = texts(docs).withColumn("node", node_of(F.col("text")))
-    signed = written(docs.mapInArrow(sign_batches, "doc_id bigint, node binary, signature binary"), "signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature")), "nodes")
-    bands = nodes.where("signature is not null").select("node", "signature").mapInArrow(band_batches, "node binary, key bigint")
+    signed = written(docs.mapInArrow(sign_batches, "doc_id bigint, node binary, signature binary, size bigint"), "signed")
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"), F.min("size").alias("size")), "nodes")
+    bands = nodes.where("signature is not null").select("node", "signature", "size").mapInArrow(band_batches, "node binary, size bigint, key bigint")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
-    members = written(bands.join(shared, F.col("key") == F.col("k")).select("key", "node", "n"), "members")
+    members = written(bands.join(shared, F.col("key") == F.col("k")).select("key", "node", "size", "n"), "members")
     # 1. Every node and the most central one of each of its bands.
-    central = written(members.groupBy("node").agg(F.sum("n").alias("met")), "central").select(F.col("node").alias("c"), "met")
+    central_ = written(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
+    central = central_.select(F.col("node").alias("c"), "met")
     leaders = members.join(central, F.col("node") == F.col("c")).groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("less"), "node")).alias("best")).select(F.col("key").alias("k"), F.col("best.node").alias("leader"))
     met = members.join(leaders, F.col("key") == F.col("k")).where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     # Bags of the nodes that share a band, each read from the node's first document.
@@ -251,11 +277,14 @@ def classes(docs: DataFrame) -> DataFrame:
     linked = links(written(joined.mapInArrow(likely, "a binary, b binary"), "likely"), bags)
     labels = written(components(linked), "labels")
     # 2. What still lies apart within a band.
-    labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    more = across(written(labelled, "labelled"), bags)
+    labelled = members.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    labelled = written(labelled, "labelled")
+    more = across(labelled, bags)
+    dropped(members, central_, labelled, bags)
     last = components(linked.union(more)).select(F.col("node").alias("l_node"), "label")
     own = signed.select("doc_id", "node").join(last, F.col("node") == F.col("l_node"), "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     own = written(own, "own")
+    dropped(signed, nodes)
     heads = own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"))
     heads = heads.select(F.col("label").alias("h_label"), F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("first_node"))
     return own.join(heads, F.col("label") == F.col("h_label")).select("doc_id", "node", "class_id", "first_node")
@@ -268,12 +297,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id; all its columns stay."""
-    names = docs.columns
     heads = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
-    heads = written(heads.groupBy(F.col("doc_id").alias("__id"), F.col("node").alias("__first")).agg(F.count("*").alias("__times")), "heads")
-    keyed = docs.withColumns({"__own": column(docs, "doc_id", "bigint"), "__node": node_of(F.coalesce(column(docs, "text", "string"), F.lit("")))})
-    kept = keyed.join(heads, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")))
+    heads = written(heads.groupBy(F.col("doc_id").alias("id"), F.col("node").alias("first")).agg(F.count("*").alias("times")), "heads")
+    keyed = packed(docs, ("doc_id", "bigint"), ("text", "string")).withColumn("node", node_of(F.coalesce("text", F.lit("")))).drop("text")
+    kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("first")))
     # Rows with the same id and text, of which one stays, are rare: only they are dealt out again.
-    once = kept.where("__times = 1").select(*(F.col(f"`{c}`") for c in names))
-    again = kept.where("__times > 1").dropDuplicates(["__own", "__node"]).select(*(F.col(f"`{c}`") for c in names))
-    return once.union(again)
+    return unpacked(kept.where("times = 1").select("row").union(kept.where("times > 1").dropDuplicates(["id", "node"]).select("row")), docs)

@@ -54,6 +54,8 @@ class Packer:
     """Places examples, given by their length and the running count of their loss-bearing tokens."""
 
     def __init__(self, limits: Limits = Limits(), waiting: int = WAITING):
+        if min(limits) < 1 or waiting < 1:
+            raise ValueError("every limit must be 1 or more")
         self.limits, self.most = limits, waiting
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], dtype=float)
         self.sequence = 0

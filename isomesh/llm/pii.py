@@ -1,4 +1,4 @@
-"""Personal data: proposed by patterns, confirmed by checksums, weighed by the words before them.
+"""Personal data: proposed by patterns, confirmed by checksums, weighed by the words around them.
 
 The main path is Spark SQL functions only. Every row is handled by itself: no shuffle, no broadcast.
 
@@ -81,26 +81,49 @@ KINDS = (
     Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])", "", mod97, 0.8, r"iban|account|bank|konto", base=False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security|national id|tax id", base=False),
 )
-#: Code points before a span in which a context word counts, and what it adds to the score.
+#: Code points before and after a span, up to the next of its kind, in which a context word counts, and what it adds.
 NEAR, NEARBY = 48, 0.3
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
-    """The kind's spans in a text as array<struct<kind,start,end,score>>, in order of their start."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    # What lies between matches gives their places: n matches, n + 1 gaps.
-    pairs = F.zip_with(F.split(text, kind.pattern, -1), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    """The kind's spans in a text as array<struct<kind,start,end,score>>, in order of their start.
+
+    Places are running sums of lengths. A fold that appends to an array copies it each time, so matches are folded in
+    blocks of about the root of their number, whose own places come from a fold over the blocks' lengths: for n matches
+    that takes n ** 1.5 steps, not n ** 2.
+    """
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    word = lambda s: F.lower(s).rlike(kind.context)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        near = F.lower(F.right(x["gap"], F.lit(NEAR))).rlike(kind.context)
+        end = start + F.length(x["match"])
+        near = word(F.right(x["gap"], F.lit(NEAR))) | word(F.left(x["after"], F.lit(NEAR)))
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.when(near, F.lit(min(1.0, kind.prior + NEARBY))).otherwise(F.lit(kind.prior)).alias("score"))
-        kept = F.coalesce(x["match"].isNotNull() & kind.confirm(x["match"]), F.lit(False))
+        kept = F.coalesce(kind.confirm(x["match"]), F.lit(False))
         return F.struct(end.alias("at"), F.when(kept, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def blocks(parts: Column) -> Column:
+        n = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(parts))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / n).cast("int")), lambda i: F.slice(parts, i * n + 1, n))
+
+    def places(of: Column) -> Column:
+        sizes = F.transform(of, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["match"])))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def folded(of: Column) -> Column:
+        return F.flatten(F.zip_with(of, places(of), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+    # What lies between matches gives their places: n matches, n + 1 gaps.
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    parts = let(F.split(text, kind.pattern, -1), lambda gaps: F.transform(matches, lambda m, i: F.struct(gaps[i].alias("gap"), m.alias("match"), gaps[i + 1].alias("after"))))
+    spans = let(let(parts, blocks), folded)
     possible = F.contains(text, F.lit(kind.hint)) if kind.hint else F.lit(True)
     return F.when(possible & text.rlike(kind.pattern), spans).otherwise(none)
 
@@ -114,7 +137,7 @@ def find_personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, found: array of spans with scores, by kind as in KINDS, then start.
 
     Spans of the base kinds stay whatever their score; the others need ``least``, so a number shaped like a
-    national id counts only where a context word stands before it.
+    national id counts only where a context word stands near it.
     """
     docs = texts(docs)
     each = [F.filter(s, lambda x: x["score"] >= least) if not k.base else s for k in KINDS for s in [spans_of(F.col("text"), k)]]

@@ -1,220 +1,260 @@
 """Quality rules: plain counts, and perplexity under a modified Kneser-Ney model of the corpus itself.
 
-The language model is over WORDS words of hashed, unfolded text and grows with the corpus: it stays a table. Tasks
-count n-grams, Spark sums the counts over all documents and derives continuation counts, discounts and back-off
-weights by grouped aggregation and joins. Documents are scored by joining their n-grams, one row for each (document,
-n-gram), to that table; neither driver nor task holds it. In scripts without spaces each character is a word.
-
-Beside it, a spelling model over ORDER characters, folded to 32 classes, has at most 32**ORDER n-grams a language and
-is sent to the tasks: one array of sorted hashes with the values beside it, searched by bisection. A document fails
-if one of its two log-perplexities lies outside its language's band, which is set by the quartiles of the documents
-that pass the base rules.
-
-Defined results: null text counts as having no words; a text without words fails the base rules and has null
-perplexity. Languages outside ``languages`` (and null) share the model and band of "other". A language none of
-whose documents pass the base rules has no band and rejects nothing by it. Extra columns are ignored by the report
-and kept by ``judge(carry=...)``. Repeated rows each count and each give a row.
+The language model is over ORDER lower-case characters as they are, of any script, with a model for each language that
+one row in LEAST_SHARE declares and one for all others together. Tasks count n-grams, Spark sums them over all
+documents and derives continuation counts, discounts and back-off weights by grouped aggregation and joins. An n-gram
+counts if MIN_TEXTS texts have it, since a text tells nothing of itself; scoring backs off where it is missing. The
+model grows with the corpus and is a table of n-grams.
+
+For scoring, the table becomes sorted arrays of 64-bit hashes with their values, which tasks search by bisection. They
+are cut into shards of about SHARD entries by the last two characters of the context, so that a shard has all that
+its n-grams ask for; each shard is sent to the tasks in a pass of its own over the documents, which scores the n-grams of
+that shard. A model of one shard takes one pass.
+
+A document fails if its mean log-probability lies outside its language's band, which is set by the quartiles, from a
+histogram, of the documents that pass the base rules.
+
+Defined results: null text counts as having no words; a text without words fails the base rules; an empty text has
+null perplexity. Null and rare languages share the model and band "other". A language none of whose documents pass
+the base rules has no band and rejects nothing by it. Of a text longer than CHUNK, every stretch of that length counts
+as a text where texts are counted. Extra columns, whatever their names, are ignored by the report and kept by
+``keep_good``. Repeated rows each count and each give a row.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isomesh.llm.codes import folded, points
-from isomesh.llm.work import column, runs, texts, written
+from isomesh.llm.bags import mixed, stride
+from isomesh.llm.work import chosen, packed, runs, unpacked, written
 
 #: Production parameters.
-LANGUAGES = ("en", "de", "fr", "es")
-ORDER, BITS = 4, 5
-#: Words of an n-gram, and bits of a word's hash.
-WORDS, WORD_BITS = 2, 31
-#: Quartile ranges that a band reaches below the lower and above the upper quartile.
-BELOW, ABOVE = 2.5, 5.0
-#: Code points handled at once by a task.
-CHUNK = 2_000_000
-MULTIPLIER = 2654435761
-#: Words, characters of scripts without spaces, and runs of signs.
-ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-TOKEN = re.compile(rf"[{ALONE}]|[^\W{ALONE}]+|[^\w\s]+")
-#: Hashes of words that a task keeps at most.
-REMEMBERED = 1_000_000
-
-
-def language(languages: tuple[str, ...]) -> Column:
-    return F.when(F.col("lang").isin(*languages), F.col("lang")).otherwise(F.lit("other"))
-
-
-def grams(group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The packed n-gram that ends at each code point, whether that is one of a text, and where texts begin."""
-    cps, begins = points(group, ORDER - 1)
-    codes = folded()[cps].astype(np.uint32)
-    packed = codes.copy()
-    for back in range(1, ORDER):
-        packed[back:] |= codes[:-back] << np.uint32(BITS * back)
-    real = np.ones(len(codes), dtype=bool)
-    for back in range(ORDER - 1):
-        real[begins + back] = False
-    return packed, real, begins
+ORDER, MIN_TEXTS, LEAST_SHARE = 5, 2, 1000
+#: Characters that the model knows nothing of are equally likely among so many.
+ALPHABET = 1 << 16
+#: Quartile ranges that a band reaches below the lower and above the upper quartile; bins of a histogram for each nat.
+BELOW, ABOVE, BINS = 5.0, 8.0, 1000
+#: Code points handled at once by a task; entries of the model (12 bytes each) sent to tasks at once.
+CHUNK, SHARD = 1_000_000, 4_000_000
+#: Stands before the first characters of a text.
+START = "\x02"
+OTHER = "other"
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def languages(docs: DataFrame) -> list[str]:
+    """The declared languages that have a model of their own: LEAST_SHARE at most. docs: lang."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    total = docs.count()
+    return sorted(r.lang for r in counts.where((F.col("n") * LEAST_SHARE >= total) & F.col("lang").isNotNull()).collect())
+
+
+def model_of(langs: list[str]) -> Column:
+    """The place of a row's language in the list; behind its end for all others."""
+    found = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("lang")) if langs else F.lit(0)
+    return F.when(F.coalesce(found, F.lit(0)) > 0, found - 1).otherwise(len(langs)).cast("int")
+
+
+def stretches(group: list[str]) -> list[tuple[int, str]]:
+    """Of each text (place, characters) with what stands before its first one; long texts in overlapping stretches."""
+    out = []
+    for i, t in enumerate(group):
+        t = START * (ORDER - 1) + t.lower()
+        out += [(i, t[a : a + CHUNK + ORDER - 1]) for a in range(0, max(1, len(t) - ORDER + 1), CHUNK)]
+    return out
+
+
+def windows(group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All code points, the places where an n-gram ends, and the text of each such place."""
+    cps = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in group], dtype=np.int64)
+    text = np.repeat(np.arange(len(group)), sizes)
+    place = np.arange(len(cps)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.flatnonzero(place >= ORDER - 1)
+    return cps, ends, text[ends]
+
+
+def rolled(cps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the n-gram that ends at each place."""
+    h = np.zeros(len(ends), dtype=np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        h = h * BASE + cps[ends - back]
+    return h
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, gram, n of one task's texts."""
-    counts: dict[str, np.ndarray] = {}
+    """model, gram, n, texts: for some texts at a time."""
     for batch in batches:
-        by_lang: dict[str, list[str]] = {}
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(text)
-        for lang, group in by_lang.items():
-            total = counts.setdefault(lang, np.zeros(1 << (BITS * ORDER), dtype=np.int64))
-            for a, b in runs([len(t) + ORDER for t in group], CHUNK):
-                packed, real, _ = grams(group[a:b])
-                total += np.bincount(packed[real], minlength=len(total))
-    for lang, total in counts.items():
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found])], ["lang", "gram", "n"])
+        models = batch.column("model").to_numpy()
+        for model in np.unique(models):
+            rows = batch.column("text").filter(pa.array(models == model)).to_pylist()
+            parts = [s for _, s in stretches(rows)]
+            for a, b in runs([len(p) for p in parts], CHUNK):
+                cps, ends, text = windows(parts[a:b])
+                if not len(ends):
+                    continue
+                key = rolled(cps, ends)
+                order = np.argsort(key, kind="stable")
+                key, text, ends = key[order], text[order], ends[order]
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                first = np.flatnonzero(new)
+                new_text = new | np.concatenate([[True], text[1:] != text[:-1]])
+                joined = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
+                grams = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+                n = np.diff(np.append(first, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), model, dtype=np.int32)), pa.array(grams, pa.string()), pa.array(n), pa.array(np.add.reduceat(new_text, first, dtype=np.int64))], ["model", "gram", "n", "texts"])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents."""
-    return docs.select("text", "lang").mapInArrow(count_batches, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """model, gram, n of the n-grams that enough texts have. docs: text, model."""
+    counts = docs.select("text", "model").mapInArrow(count_batches, "model int, gram string, n bigint, texts bigint")
+    sums = counts.groupBy("model", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return sums.where(F.col("texts") >= MIN_TEXTS).select("model", "gram", "n")
 
 
-def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, lang, gram, n: the word n-grams of each document, each once with its count. The first words of a text
-    follow zeros."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        keys, langs, sizes, found, times = batch.column("key").to_pylist(), batch.column("lang").to_pylist(), [], [], []
-        for text in batch.column("text").to_pylist():
-            words = TOKEN.findall(text.lower())
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - WORD_BITS) or 1
-            codes = np.array([0] * (WORDS - 1) + [known[w] for w in words], dtype=np.int64)
-            packed = np.zeros(len(words), dtype=np.int64)
-            for at in range(WORDS):
-                packed = packed << WORD_BITS | codes[at : at + len(words)]
-            gram, n = np.unique(packed, return_counts=True)
-            found.append(gram)
-            times.append(n)
-            sizes.append(len(gram))
-        if not keys:
-            continue
-        rows = pa.array(np.repeat(np.arange(len(keys)), sizes))
-        # Some documents of a batch at a time, as a document has many more n-grams than rows.
-        whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(rows), pa.array(langs, pa.string()).take(rows), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(times), pa.int64())], ["key", "lang", "gram", "n"])
-        for at in range(0, len(rows), CHUNK):
-            yield whole.slice(at, CHUNK)
-
-
-def word_grams(docs: DataFrame) -> DataFrame:
-    """docs: key, lang, text."""
-    return docs.select("key", "lang", "text").mapInArrow(word_batches, "key bigint, lang string, gram bigint, n bigint")
-
-
-def score_words(docs: DataFrame) -> DataFrame:
-    """key, loss: the mean negative log-probability of a document's words under the model of all documents. docs: key,
-    lang, text; rows of one key are copies, which all count, and share one loss."""
-    counts = written(word_grams(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
-    model = kneser_ney(counts, WORDS, WORD_BITS).where((F.col("size") == WORDS) & (F.col("kind") == "p")).select("lang", "gram", "value")
-    scored = word_grams(docs.dropDuplicates(["key"])).join(model, ["lang", "gram"])
-    return scored.groupBy("key").agg((-F.sum(F.col("n") * F.col("value").cast("double")) / F.sum("n")).alias("loss"))
-
-
-def kneser_ney(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
-    """lang, size, gram, kind, value: for n-grams of each size the log of the interpolated probability (kind p),
-    for contexts of each size the log of the back-off weight (kind b)."""
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """model, gram, kind, value: for n-grams of each size the log of the interpolated probability of their last
+    character (kind p), for contexts of each size the log of the back-off weight (kind b)."""
     # Every level is a table of its own, so that no plan holds the levels below it again.
     levels = {order: counts}
     for size in range(order - 1, 0, -1):
         # In how many different ways the shorter gram continues something.
-        suffix = F.col("gram").bitwiseAND((1 << (bits * size)) - 1)
-        levels[size] = written(levels[size + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), "level")
+        levels[size] = written(levels[size + 1].groupBy("model", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")), "level")
     lower, out = None, None
     for size in range(1, order + 1):
-        grams_ = levels[size].select("lang", "gram", "n", F.shiftright("gram", bits).alias("ctx"))
+        own = levels[size]
         times = [F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in range(1, 5)]
         c = lambda k: F.greatest(F.col(f"n{k}"), F.lit(1))
         y = c(1) / (c(1) + 2 * c(2))
         discounts = [F.least(F.greatest(k - (k + 1) * y * c(k + 1) / c(k), F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{k}") for k in (1, 2, 3)]
-        ds = grams_.groupBy("lang").agg(*times).select("lang", *discounts)
+        ds = own.groupBy("model").agg(*times).select("model", *discounts)
         less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = written(grams_.join(F.broadcast(ds), "lang").select("lang", "gram", "n", "ctx", less.alias("cut")), "cut")  # ds: one row for each modelled language
-        contexts = written(cut.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
-        p = cut.join(contexts, ["lang", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
+        # ds: one row for each model, LEAST_SHARE + 1 at most.
+        cut = own.join(F.broadcast(ds), "model").select("model", "gram", F.substring("gram", 1, size - 1).alias("ctx"), "n", less.alias("cut"))
+        contexts = written(cut.groupBy("model", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
+        p = cut.join(contexts, ["model", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
         if lower is None:
-            p = p.select("lang", "gram", (F.col("own") + F.col("back") / (1 << bits)).alias("p"))
+            p = p.select("model", "gram", (F.col("own") + F.col("back") / ALPHABET).alias("p"))
         else:
-            shorter = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("less"))
-            p = p.withColumn("suffix", F.col("gram").bitwiseAND((1 << (bits * (size - 1))) - 1)).join(shorter, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("back") * F.col("less")).alias("p"))
+            shorter = lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("less"))
+            p = p.withColumn("suffix", F.substring("gram", 2, size - 1)).join(shorter, ["model", "suffix"]).select("model", "gram", (F.col("own") + F.col("back") * F.col("less")).alias("p"))
         lower = written(p, "interpolated")
-        entries = lower.select("lang", F.lit(size).alias("size"), "gram", F.lit("p").alias("kind"), F.log("p").cast("float").alias("value"))
-        entries = entries.union(contexts.select("lang", F.lit(size - 1), F.col("ctx"), F.lit("b"), F.log("back").cast("float")))
+        entries = lower.select("model", "gram", F.lit("p").alias("kind"), F.log("p").cast("float").alias("value"))
+        entries = entries.union(contexts.select("model", "ctx", F.lit("b"), F.log("back").cast("float")))
         out = entries if out is None else out.union(entries)
     return out
 
 
-def hashed(size: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
-    """A 32-bit hash without collisions: a size and a gram fit into 23 bits, and the multiplier is odd."""
-    return ((np.asarray(gram, dtype=np.uint64) | np.asarray(size, dtype=np.uint64) << np.uint64(BITS * ORDER)) * np.uint64(MULTIPLIER) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def seeds(model: np.ndarray) -> np.ndarray:
+    return mixed((model.astype(np.uint64) + np.uint64(1)) * stride(1))
 
 
-class Model:
-    """For each language and kind, hashes in ascending order and their values."""
+def key_of(cps: np.ndarray, seed: np.ndarray, kind: str) -> np.ndarray:
+    """The 64-bit hash of each row of code points, of its length, its model's seed and its kind."""
+    h = seed + stride(2 * cps.shape[1] + (kind == "b"))
+    for i in range(cps.shape[1]):
+        h = mixed(h * BASE + cps[:, i])
+    return h
+
+
+def group_of(cps: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """By the two characters before the last of a gram, a number that picks its shard."""
+    return (key_of(cps[:, -3:-1], seed, "b") >> np.uint64(34)).astype(np.int64)
 
-    def __init__(self, rows: pa.Table):
-        self.arrays: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
-        for lang in pc.unique(rows.column("lang")).to_pylist():
+
+def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, value, group (-1: in every shard) of the model's rows."""
+    for batch in batches:
+        grams = np.array(batch.column("gram").to_pylist(), dtype=object)
+        kinds = np.array(batch.column("kind").to_pylist(), dtype=object)
+        seed = seeds(batch.column("model").to_numpy())
+        sizes = np.array([len(g) for g in grams], dtype=np.int64)
+        key, group = np.zeros(len(grams), dtype=np.uint64), np.full(len(grams), -1, dtype=np.int64)
+        for size in np.unique(sizes):
             for kind in "pb":
-                own = rows.filter(pc.and_(pc.equal(rows.column("lang"), lang), pc.equal(rows.column("kind"), kind)))
-                keys = hashed(own.column("size").to_numpy(), own.column("gram").to_numpy())
-                order = np.argsort(keys)
-                self.arrays[lang, kind] = keys[order], own.column("value").to_numpy()[order]
-        self.whole: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return {"arrays": self.arrays, "whole": {}}
-
-    def find(self, lang: str, kind: str, size: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.arrays[lang, kind]
-        wanted = hashed(size, gram)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[at] == wanted, values[at]
-
-    def log_probability(self, lang: str, gram: np.ndarray) -> np.ndarray:
-        """Of the last character of each gram after the others, backing off to shorter contexts."""
-        out = np.zeros(len(gram), dtype=np.float32)
-        left = np.arange(len(gram))
+                at = np.flatnonzero((sizes == size) & (kinds == kind))
+                if len(at):
+                    cps = np.frombuffer("".join(grams[at]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(at), size)
+                    key[at] = key_of(cps, seed[at], kind)
+                    if kind == "p" and size >= 3:
+                        group[at] = group_of(cps, seed[at])
+                    elif kind == "b" and size >= 2:
+                        # Of a context, the characters that come before the last of a gram are its own last ones.
+                        group[at] = group_of(np.hstack([cps, cps[:, :1]]), seed[at])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value"), pa.array(group)], ["hash", "value", "group"])
+
+
+class Model:
+    """One shard: hashes in ascending order and their values."""
+
+    def __init__(self, rows: pa.Table, place: int = 0, shards: int = 1):
+        keys = rows.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], rows.column("value").to_numpy()[order]
+        self.place, self.shards = place, shards
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.keys[at] == wanted, self.values[at]
+
+    def log_probability(self, cps: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Of the last character of each row after the others, backing off to shorter contexts."""
+        out = np.zeros(len(cps))
+        left = np.arange(len(cps))
         for size in range(ORDER, 0, -1):
-            short = gram[left] & ((1 << (BITS * size)) - 1)
-            known, value = self.find(lang, "p", size, short)
+            known, value = self.find(key_of(cps[left, ORDER - size :], seed[left], "p"))
             out[left[known]] += value[known]
-            left, short = left[~known], short[~known]
-            has, back = self.find(lang, "b", size - 1, short >> BITS)
+            left = left[~known]
+            has, back = self.find(key_of(cps[left, ORDER - size : -1], seed[left], "b"))
             out[left[has]] += back[has]
-        out[left] -= np.log(np.float32(1 << BITS))
+        out[left] -= np.log(ALPHABET)
         return out
 
-    def scores(self, lang: str) -> np.ndarray:
-        """The log-probabilities of all grams, worked out once by a Python worker."""
-        if lang not in self.whole:
-            self.whole[lang] = self.log_probability(lang, np.arange(1 << (BITS * ORDER), dtype=np.uint32))
-        return self.whole[lang]
-
-
-def train(docs: DataFrame) -> Model:
-    """The model of documents with text and lang; collects at most languages * 2 * 32**ORDER rows."""
-    return Model(kneser_ney(written(count_grams(docs), "grams")).toArrow())
+    def sums(self, group: list[str], models: np.ndarray) -> np.ndarray:
+        """For each text the log-probabilities of the n-grams of this shard, summed."""
+        out = np.zeros(len(group))
+        parts = stretches(group)
+        seed_of = seeds(models)
+        for a, b in runs([len(p) for _, p in parts], CHUNK):
+            cps, ends, text = windows([p for _, p in parts[a:b]])
+            if not len(ends):
+                continue
+            owner = np.array([i for i, _ in parts[a:b]])[text]
+            _, first, which = np.unique(rolled(cps, ends) ^ seed_of[owner], return_index=True, return_inverse=True)
+            grams, seed = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)], seed_of[owner[first]]
+            value = np.zeros(len(first))
+            mine = np.arange(len(first)) if self.shards == 1 else np.flatnonzero(group_of(grams, seed) % self.shards == self.place)
+            value[mine] = self.log_probability(grams[mine], seed[mine])
+            # Rounded, so that sums don't depend on how a text was cut.
+            out += np.bincount(owner, np.round(value[which] * 2**20), minlength=len(group))
+        return out / 2**20
+
+
+class Shards:
+    """A model as a table of hashes, from which one shard at a time is taken."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.n = max(1, -(-rows.count() // SHARD))
+
+    def take(self, place: int) -> Model:
+        """Brings one shard to the driver: about SHARD entries, and what all shards share."""
+        own = self.rows.where((F.col("group") < 0) | (F.col("group") % self.n == place))
+        return Model(own.select("hash", "value").toArrow(), place, self.n)
+
+
+def train(docs: DataFrame) -> Shards:
+    """The model of documents with text and model."""
+    entries = kneser_ney(written(count_grams(docs), "grams"))
+    return Shards(written(entries.mapInArrow(hash_batches, "hash bigint, value float, group bigint"), "model"))
 
 
 def word_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -224,11 +264,11 @@ def word_counts(text: str) -> tuple[int, int, int, int, int]:
     word_chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    windows = list(zip(words, words[1:], words[2:], strict=False))
+    windows_ = list(zip(words, words[1:], words[2:], strict=False))
     repeated = 0
-    if len(set(windows)) < len(windows):
-        times, covered = Counter(windows), 0
-        for i, w in enumerate(windows):
+    if len(set(windows_)) < len(windows_):
+        times, covered = Counter(windows_), 0
+        for i, w in enumerate(windows_):
             if times[w] > 1:
                 repeated += i + 3 - max(covered, i)
                 covered = i + 3
@@ -238,63 +278,87 @@ def word_counts(text: str) -> tuple[int, int, int, int, int]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The carried columns, __lang, the counts, and log_perplexity (null without a code point)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "__lang string", *(f"__{m} bigint" for m in MEASURES), "__log_perplexity double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+def scored(rows: DataFrame, shards: Shards) -> DataFrame:
+    """rows (row, text, model, maybe more) with the counts and loss: the mean negative log-probability, null if empty."""
+    spark = rows.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    names = [c for c in rows.columns if c != "text"]
+
+    def loss(total: np.ndarray, group: list[str]) -> list:
+        return [-x / n if (n := len(t.lower())) else None for x, t in zip(total.tolist(), group, strict=True)]
+
+    if shards.n == 1:
+        shared = spark.sparkContext.broadcast(shards.take(0))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                group = batch.column("text").to_pylist()
+                counts = list(zip(*map(word_counts, group), strict=True)) or [[]] * 5
+                total = model.sums(group, batch.column("model").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in counts), pa.array(loss(total, group), pa.float64())], [*names, *MEASURES, "loss"])
+
+        return rows.mapInArrow(whole, ", ".join([kinds, *(f"{m} bigint" for m in MEASURES), "loss double"]))
+    # A pass for each shard; the sums of equal texts meet by a hash, with which they come back to the rows.
+    keyed = rows.withColumn("key", F.xxhash64("text", "model"))
+    parts = None
+    for place in range(shards.n):
+        shared = spark.sparkContext.broadcast(shards.take(place))
+
+        def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.sums(batch.column("text").to_pylist(), batch.column("model").to_numpy()))], ["key", "total"])
+
+        part = written(keyed.select("key", "text", "model").dropDuplicates(["key"]).mapInArrow(one, "key bigint, total double"), "sums")
+        shared.unpersist()
+        parts = part if parts is None else parts.union(part)
+    sums = parts.groupBy(F.col("key").alias("s_key")).agg(F.sum("total").alias("total"))
+    met = keyed.join(sums, F.col("key") == F.col("s_key"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
-            sizes = [len(t) for t in group]
-            log = np.zeros(len(group))
-            for lang in set(langs):
-                rows = [i for i, x in enumerate(langs) if x == lang and sizes[i]]
-                for a, b in runs([sizes[i] + ORDER for i in rows], CHUNK):
-                    packed, real, begins = grams([group[i] for i in rows[a:b]])
-                    value = model.scores(lang)[packed]
-                    value[~real] = 0
-                    log[rows[a:b]] = np.add.reduceat(value, begins, dtype=np.float64)
+            group = batch.column("text").to_pylist()
             counts = list(zip(*map(word_counts, group), strict=True)) or [[]] * 5
-            loss = [-log[i] / n if n else None for i, n in enumerate(sizes)]
-            arrays = [batch.column(c) for c in [*carry, "__lang"]] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(loss, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*carry, "__lang", *(f"__{m}" for m in MEASURES), "__log_perplexity"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def judge(docs: DataFrame, carry: list[str], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """The carried columns and, prefixed by __, the counts, base_failed, log_perplexity and kept."""
-    whole = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    texts_ = whole.withColumns({"__text": F.coalesce(column(docs, "text", "string"), F.lit("")), "__lang": language(languages)}).select(*(F.col(f"`{c}`") for c in carry), "__text", "__lang")
-    rows = texts_.withColumn("__key", F.xxhash64("__text", "__lang"))
-    plain = rows.select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__lang").alias("lang"))
-    words = written(score_words(plain), "scores").select(F.col("key").alias("__key"), F.col("loss").alias("__log_perplexity"))
-    failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    spelled = measure(rows, train(plain), [*carry, "__key"]).withColumnRenamed("__log_perplexity", "__spelling")
-    measured = written(spelled.withColumn("__base_failed", failed).join(words, "__key", "left"), "measured")
-    losses = ("__log_perplexity", "__spelling")
-    quartile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000)).alias(f"{c}_{q}".replace(".", "_"))
-    bands = measured.where(~F.col("__base_failed")).groupBy("__lang").agg(*(quartile(c, q) for c in losses for q in (0.25, 0.75)))
-
-    def inside(c: str) -> Column:
-        low, high = F.col(f"{c}_0_25"), F.col(f"{c}_0_75")
-        reach = high - low + 0.01
-        return F.coalesce(F.col(c).between(low - BELOW * reach, high + ABOVE * reach), F.lit(True))
-
-    return measured.join(bands, "__lang", "left").withColumn("__kept", ~F.col("__base_failed") & inside(losses[0]) & inside(losses[1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in counts), pa.array(loss(batch.column("total").to_numpy(), group), pa.float64())], [*names, *MEASURES, "loss"])
+
+    return met.select(*names, "text", "total").mapInArrow(counted, ", ".join([kinds, *(f"{m} bigint" for m in MEASURES), "loss double"]))
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """model, low, high: the quartiles of the loss, as bins of a histogram. rows: model, loss."""
+    bins = rows.where("loss is not null").groupBy("model", F.floor(F.col("loss") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    # A model has at most log(ALPHABET) * BINS bins or so, whatever the corpus.
+    upto = Window.partitionBy("model").orderBy("bin")
+    ranked = bins.select("model", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("model")).alias("all"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / BINS
+    return ranked.groupBy("model").agg(at(0.25).alias("low"), at(0.75).alias("high"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows (text, lang and others) with model, the counts, loss, base_failed and kept; without text and lang."""
+    langs = languages(rows)
+    rows = rows.fillna("", ["text"]).withColumn("model", model_of(langs)).drop("lang")
+    shards = train(rows)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    bands = quartiles(scored(rows.select("text", "model"), shards).where(~failed)).collect()  # a row for each model
+    reach = lambda b: b.high - b.low + 0.01
+    band = F.create_map(*(x for b in bands for x in (F.lit(b.model), F.array(F.lit(b.low - BELOW * reach(b)), F.lit(b.high + ABOVE * reach(b))))))
+    out = scored(rows, shards).withColumn("base_failed", failed)
+    inside = F.lit(True)
+    if bands:
+        own = F.try_element_at(band, F.col("model"))
+        inside = F.coalesce(F.col("loss").between(own[0], own[1]), F.lit(True))
+    name = F.element_at(F.array(*map(F.lit, [*langs, OTHER])), F.col("model") + 1)
+    return out.withColumns({"kept": ~F.col("base_failed") & inside, "model": name})
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document."""
-    rows = texts(docs, ("lang", "string"))
-    judged = judge(rows, ["doc_id"])
-    out = [F.col(f"__{c}").alias(c) for c in (*MEASURES, "base_failed", "kept")]
-    return judged.select("doc_id", *out, F.exp("__log_perplexity").alias("perplexity"), F.col("__lang").alias("model"))
+    rows = judged(chosen(docs, ("doc_id", "bigint"), ("text", "string"), ("lang", "string")))
+    return rows.select("doc_id", *MEASURES, "base_failed", "kept", F.exp("loss").alias("perplexity"), "model")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass; all their columns stay."""
-    return judge(docs, docs.columns).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(judged(packed(docs, ("text", "string"), ("lang", "string"))).where("kept"), docs)

@@ -5,7 +5,8 @@ identifiers, secrets and endpoints. An interval join within the document links w
 parts at most REACH code points away; only linked weak parts are reported.
 
 Defined results: null text counts as empty; an empty text has no spans and the SHA-256 of the empty string.
-Repeated rows each give a row. Positions are code points, the end is exclusive. Extra columns are ignored.
+Repeated rows each give a row. Positions are code points, the end is exclusive. Extra columns are ignored by the
+report and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isomesh.llm.work import column, texts, written
+from isomesh.llm.work import packed, texts, unpacked, written
 
 #: The base kinds in their listed order, with the method's weak kinds after them.
 KINDS = ("assign", "access", "hex", "login", "password", "endpoint")
@@ -35,6 +36,8 @@ ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b[a-z0-9][a-z0
 ROLES = {"access": "id", "login": "id", "assign": "secret", "hex": "secret", "password": "secret", "endpoint": "endpoint"}
 #: Code points between parts of one credential at most.
 REACH = 160
+#: Bytes of found spans that are broadcast at most.
+BROADCAST = 32 << 20
 
 Span = tuple[int, int, int]  # start, place of its kind in KINDS, end
 
@@ -146,17 +149,20 @@ def mask(text: str, spans: list[dict]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the reported spans replaced by ``[secret]`` and n_chars set anew; all rows and columns stay."""
-    names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(column(docs, "doc_id", "bigint"), F.coalesce(column(docs, "text", "string"), F.lit(""))))
-    found = find_secrets(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("found").alias("__found")).dropDuplicates(["__id", "__row"])
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    found = find_secrets(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("id"), "row_key", "found").dropDuplicates(["id", "row_key"])
+    found = written(found, "found")
+    size = found.agg(F.count("*"), F.sum(F.size("found"))).first()
+    keyed = packed(docs, ("doc_id", "bigint"), ("text", "string"), ("n_chars", "bigint")).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    # Few documents have secrets; where they are many, both sides are dealt out by id and text.
+    few = F.broadcast(found) if 64 * size[0] + 48 * (size[1] or 0) <= BROADCAST else found
+    joined = keyed.join(few, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("row_key")), "left")
 
     @F.udf("string", useArrow=True)
     def masked(text: str | None, spans: list | None) -> str | None:
         return mask(text, spans) if text is not None and spans else text
 
-    new = F.when(F.col("__found").isNotNull(), masked("text", "__found")).otherwise(F.col("text"))
-    done = joined.withColumn("text", new)
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return done.select(*names)
+    hit = F.col("found").isNotNull()
+    # Other texts don't go to Python.
+    done = joined.withColumn("new", masked(F.when(hit, F.col("text")), F.col("found")))
+    done = done.withColumns({"text": F.when(hit, F.col("new")).otherwise(F.col("text")), "n_chars": F.when(hit, F.length("new").cast("bigint")).otherwise(F.col("n_chars"))})
+    return unpacked(done, docs, text=F.col("text"), n_chars=F.col("n_chars"))

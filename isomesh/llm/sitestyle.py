@@ -1,8 +1,8 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree: a style node is a path of elements, each with its class and id.
-Copies of a page on a host count once. A node's presentations are the sequences of child elements it has on the host's pages, its contents the texts of its
-branch. Its importance is the larger entropy of the two, with logarithms to the number of pages that have the node, so a
+Copies of a page on a host count once. A node's presentations are the sequences of child elements it has on the host's
+pages, its contents the texts of its branch. Its importance is the larger entropy of the two, with logarithms to the number of pages that have the node, so a
 branch that looks and reads alike on all pages of a host (menus, notices, footers) comes near 0, and one that
 differs comes near 1. Branches under LEAST_IMPORTANT, on MIN_PAGES pages or more, are cut from each page, but never one
 that holds all blocks or most of the text of the page: there its lower branches decide.
@@ -14,8 +14,8 @@ branches in it: what is alike on all pages is cut there too, and text outside of
 Trees are merged by grouped aggregation over (host, path): a host's pages never meet in one task.
 
 Defined results: null html counts as empty, with an empty text. A null or unreadable address is a host of its own.
-Unclosed and unknown elements, truncated pages and bare text are read as far as they go. Repeated rows each give a
-row. Extra columns are ignored.
+Unclosed and unknown elements, truncated pages and bare text are read as far as they go. A line break is white space
+inside its block. Repeated rows each give a row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isomesh.llm.work import column, written
+from isomesh.llm.work import chosen, written
 
 #: Production parameters.
 LEAST_IMPORTANT, MIN_PAGES = 0.2, 8
+#: Elements nested deeper than this belong to the branch around them.
+DEEPEST = 512
 #: What an article or main element adds to the importance of its branches.
 LANDMARK = 0.1
+#: Lists of low nodes are broadcast up to so many bytes; beyond, hosts are dealt out over so many tasks each.
+BROADCAST, SALTS = 32 << 20, 16
 
 # Fixed values of the HTML standard: elements by how they are read.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -47,16 +51,36 @@ CLOSES_ITSELF = {"li", "option", "tr", "td", "th", "dt", "dd", "p"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "head", "fieldset", "map"}
 LANDMARKS = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "status"}
-#: Words in class and id names that mark page furniture, and short ones that must stand alone.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|sidebar\w*|side|aside|rail|widgets?|menu\w*|nav\w*|breadcrumbs?|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|replies|respond|disqus\w*|discussion|share\w*|sharing|social\w*|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|popup\w*|modal\w*|overlay\w*|paywall|pagination|pager|copyright|legal|disclaimer|skip\w*|hidden|search\w*|form\w*)(?:$|[\s_-])",
-    re.I,
-)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that name page furniture in a class or id, and words that may stand beside them in one name.
+NAMED = "ad ads advert adverts advertisement advertising adv sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts sidebar side aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager copyright legal disclaimer skip hidden search searchbar form"
+BESIDE = "site page main top bottom left right global primary secondary local bar box list lists wrap wrapper container section area block panel link links item items group inner outer content row col column user reader readers button buttons icon icons posts stories articles to unit slot policy message by in with the and of"
+FURNITURE_WORDS, PLAIN_WORDS = frozenset(NAMED.split()), frozenset(BESIDE.split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(\"|'|[^\s>\"'][^\s>]*)?)?")
+GAP = re.compile(r"[\s/]*")
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def attributes_at(source: str, place: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from ``place`` on, the first of each name, and where the tag ends. A quote opens a value
+    only behind an equals sign; one that nothing closes takes the rest of the page."""
+    out: dict[str, str] = {}
+    while True:
+        place = GAP.match(source, place).end()
+        if place >= len(source):
+            return out, place
+        if source[place] == ">":
+            return out, place + 1
+        m = ATTRIBUTE.match(source, place)
+        place, value = m.end(), m[2] or ""
+        if value in ('"', "'"):
+            end = source.find(value, place)
+            value, place = (source[place:end], end + 1) if end >= 0 else ("", len(source))
+        out.setdefault(m[1].lower(), value)
+
+
 class Block(NamedTuple):
     """Text of one block: the hashed paths of the style nodes that hold it, from the root, and its marks."""
 
@@ -73,14 +97,25 @@ class Frame(NamedTuple):
     inside: bool
 
 
+def furniture(names: str) -> bool:
+    """True if a class or id among them names page furniture as a whole: "site-footer" does, "has-sidebar" and
+    "article-form" don't."""
+    for token in names.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        if not FURNITURE_WORDS.isdisjoint(words) and all(w in FURNITURE_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
+
+
 def marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
     """True for page furniture by its element, role or names. A header inside an article is the article's."""
     if name in FURNITURE or name == "header" and not inside:
         return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
+    if not attributes or name in ("body", "html"):
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or UNSEEN.search(attributes.get("style", "")):
         return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return len(named) > 1 and name not in ("body", "html") and bool(NAMES.search(named))
+    return name not in LANDMARKS and furniture(f"{attributes.get('class', '')} {attributes.get('id', '')}")
 
 
 def child(parent: int, label: str) -> int:
@@ -99,30 +134,42 @@ class Page:
         self.parts: list[str] = []
         self.at: tuple[Frame, tuple[int, ...]] | None = None
         place = 0
-        skip = None
-        for m in TAG.finditer(source):
-            if m.start() < place:
-                continue
-            if skip is None and m.start() > place:
-                self.say(source[place : m.start()])
-            place = m.end()
-            if m[1] is not None:
-                self.say(m[1])
-            if m[3] is None:
-                continue
-            name = m[3].lower()
-            if m[2]:
-                self.close(name)
-            elif name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, place)
-                self.end_block()
-                place = end.end() if end else len(source)
-            else:
-                self.start(name, m[4] or "")
+        while (at := source.find("<", place)) >= 0:
+            if at > place:
+                self.say(source[place:at])
+            place = self.markup(source, at)
         if place < len(source):
             self.say(source[place:])
         self.end_block()
 
+    def markup(self, source: str, at: int) -> int:
+        """Reads what begins with the "<" at a place, and gives where it ends."""
+        behind = lambda end, n: end + n if end >= 0 else len(source)
+        if source.startswith("<!--", at):
+            return behind(source.find("-->", at + 4), 3)
+        if source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            self.say(source[at + 9 : end if end >= 0 else len(source)])
+            return behind(end, 3)
+        closing = source.startswith("</", at)
+        m = TAG_NAME.match(source, at + 1 + closing)
+        if not m:
+            if closing or source.startswith(("<!", "<?"), at):
+                return behind(source.find(">", at), 1)
+            self.say("<")
+            return at + 1
+        name = m[0].lower()
+        attributes, place = attributes_at(source, m.end())
+        if closing:
+            self.close(name)
+        elif name in RAW:
+            self.end_block()
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, place)
+            return end.end() if end else len(source)
+        else:
+            self.start(name, attributes)
+        return place
+
     def say(self, raw: str) -> None:
         if self.parts and self.open[-1].cut and not self.at[0].cut:
             return  # furniture inside a line of text
@@ -140,11 +187,11 @@ class Page:
                 self.blocks.append(Block(text, path, frame.cut, frame.inside))
             self.parts = []
 
-    def start(self, name: str, raw: str) -> None:
-        if name in INLINE and not raw.strip(" /"):
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        if name == "br":
+            self.say(" ")
             return
-        attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-        if name in INLINE and not marked(name, attributes, True):
+        if name in INLINE and not (attributes and marked(name, attributes, True)):
             return
         if name not in INLINE:
             self.end_block()
@@ -153,6 +200,8 @@ class Page:
         if name not in INLINE:
             while len(self.open) > 1 and (self.open[-1].name == "p" or self.open[-1].name == name and name in CLOSES_ITSELF):
                 self.open.pop()
+        if len(self.open) > DEEPEST:
+            return
         top = self.open[-1]
         label = ".".join([name, *sorted(attributes.get("class", "").split()), *filter(None, [attributes.get("id")])])
         inside = top.inside or name in LANDMARKS or attributes.get("role", "").lower() in LANDMARKS
@@ -166,7 +215,8 @@ class Page:
 
     def close(self, name: str) -> None:
         if name == "br":
-            self.end_block()
+            self.say(" ")
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name == name:
                 if name not in INLINE or self.parts and self.at[0].cut:
@@ -217,9 +267,8 @@ def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
-    url = column(pages, "url", "string")
-    host = F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
-    return pages.select(column(pages, "page_id", "bigint"), url, F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"), host.alias("host"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
+    return chosen(pages, ("page_id", "bigint"), ("url", "string"), ("html", "string")).fillna("", ["html"]).withColumn("host", host)
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
@@ -239,7 +288,15 @@ def extract(pages: DataFrame) -> DataFrame:
     low = written(unimportant(rows), "unimportant")
     # Low nodes of a host are few (its templates); they come to the pages as one list.
     lists = low.groupBy("host").agg(F.collect_set("node").alias("low")).select(F.col("host").alias("l_host"), "low")
-    joined = rows.join(lists, F.col("host") == F.col("l_host"), "left").select("page_id", "url", "html", "low")
+    size = low.agg(F.count("*"), F.sum(F.length("host"))).first()
+    same = F.col("host") == F.col("l_host")
+    if 16 * size[0] + 4 * (size[1] or 0) <= BROADCAST:
+        joined = rows.join(F.broadcast(lists), same, "left")
+    else:
+        # Pages of a large host are dealt out over several tasks, each with a copy of the host's list.
+        many = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(many, same & (F.col("own") == F.col("salt")), "left")
+    joined = joined.select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

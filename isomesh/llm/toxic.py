@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.llm.strings import Landmarks, letters, parts
-from isomesh.llm.work import column, runs, texts
+from isomesh.llm.work import chosen, runs, texts
 
 #: Production parameters. FLOOR: kernel values below it count as 0. THRESHOLD: of the score, for predicted.
 MOST_LABELLED, LANDMARKS, FLOOR, THRESHOLD = 6000, 96, 0.55, 0.3
@@ -174,7 +174,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fits on MOST_LABELLED labelled documents at most, which come to the driver."""
-    known = labels.select(column(labels, "doc_id", "bigint"), column(labels, "toxic", "int")).where("doc_id is not null and toxic is not null")
+    known = chosen(labels, ("doc_id", "bigint"), ("toxic", "int")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select(F.col("doc_id").alias("l_id"), "toxic")
     # The labels are at most MOST_LABELLED rows.

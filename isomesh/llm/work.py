@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_WORK = "/tmp/isomesh-work"
+
+@cache
+def local_dir() -> str:
+    return Path(tempfile.mkdtemp(prefix="isomesh-work-")).as_uri()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this
+    machine serves a local master; on a cluster executors would not see each other's files, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        spark.conf.set("spark.checkpoint.dir", named := Path(LOCAL_WORK).as_uri())
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = local_dir()
     return named.rstrip("/")
 
 
@@ -26,17 +33,46 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.work_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with its columns renamed by position, and the column of each name as spelt (the first of equals), so that
+    names that differ in case only, or repeat, can't be confused."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain, {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(df.columns)))}
 
 
-def column(df: DataFrame, name: str, kind: str) -> Column:
-    """The column of that name cast to ``kind``, or nulls if there is none."""
-    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind).alias(name)
+def chosen(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
+    """The columns asked for as (name, type), null where there is none; all other columns are left out."""
+    plain, of = named(df)
+    return plain.select(*(of.get(n, F.lit(None)).cast(k).alias(n) for n, k in wanted))
 
 
 def texts(df: DataFrame, *more: tuple[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (bigint), text (null: empty) and the columns asked for as (name, type); all other columns are left out."""
-    return df.select(column(df, key, "bigint"), F.coalesce(column(df, text, "string"), F.lit("")).alias(text), *(column(df, n, k) for n, k in more))
+    return chosen(df, (key, "bigint"), (text, "string"), *more).fillna("", [text])
+
+
+def packed(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
+    """``row``, all columns as one struct, beside the columns asked for as in ``chosen``: names can't clash."""
+    plain, of = named(df)
+    return plain.select(F.struct(*plain.columns).alias("row"), *(of.get(n, F.lit(None)).cast(k).alias(n) for n, k in wanted))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` from ``row``, some of them replaced; a replaced one keeps its type."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return rows.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"row.c{i}").alias(c) for i, c in enumerate(like.columns)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

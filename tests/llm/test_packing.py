@@ -97,3 +97,9 @@ def test_loss_limit_binds_in_conversations(spark):
         lost[r.sequence_id] = lost.get(r.sequence_id, 0) + r.length * (r.turn > 0)
     assert max(used.values()) <= packing.LENGTH and max(lost.values()) == packing.TURN_LIMITS.loss < packing.LENGTH
     assert "vector_packing_turns" in queries.QUERIES
+
+
+def test_limits_must_be_positive():
+    for limits in (packing.Limits(loss=0), packing.Limits(tokens=0), packing.Limits(segments=0)):
+        with pytest.raises(ValueError, match="1 or more"):
+            packing.Packer(limits)

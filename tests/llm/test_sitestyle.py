@@ -1,7 +1,10 @@
 """Main text of pages: known pages, and branches that entropy alone can tell."""
 
+import time
 import math
 
+import pytest
+
 from isomesh.llm import sitestyle
 from isomesh.llm.sitestyle import Page
 from tests.llm.helpers import SMALL
@@ -96,3 +99,30 @@ def test_driver_pages_and_empty_table(spark):
         article = r.html.split("<article>")[1].split("</article>")[0]
         assert r.n_chars <= len(article)
     assert sitestyle.report(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article style="overflow: hidden"><p>Body one</p></article>', "Body one"),
+        ('<article data-id="nav"><p>x</p></article>', "x"),
+        ('<div class="content has-sidebar"><p>a</p></div>', "a"),
+        ('<div class="article-form">b</div>', "b"),
+        ('<article class="overflow-hidden">c</article>', "c"),
+        ('<article><h1 class="post-header">Title</h1><p>d</p></article>', "Title\nd"),
+        ("<p data-x=it's>Hello world don't stop</p><p>tail</p>", "Hello world don't stop\ntail"),
+        ("<p>a<br>b</p>", "a b"),
+        ('<div class="site-footer">f</div><p>1 < 2 &amp; 3</p>', "1 < 2 & 3"),
+        ('<div id=cookieBanner>x</div>y<div style="display: none">z</div>', "y"),
+        ('<p>open</p><a href="no end>lost</a>', "open"),
+    ],
+)
+def test_attributes_are_read_as_written(html, text):
+    assert sitestyle.Page(html).text(set()) == text
+
+
+def test_reading_takes_linear_time():
+    for page in ("<a " * 300000 + '"', '<a b="' * 150000, "<p>" * 100000, "<div>x" * 20000, "<" * 300000):
+        began = time.time()
+        sitestyle.Page(page[: 1 << 20])
+        assert time.time() - began < 5

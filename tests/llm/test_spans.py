@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -126,3 +127,17 @@ def test_links_match_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pii.report(df).count() == secrets.report(df).count() == secrets.redact(df).count() == 0
+
+
+def test_many_matches_take_little_more_than_linear_time(spark):
+    text = "1.1.1.1 " * 60000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    row = pii.report(docs).first()
+    assert row.n_ip == 60000 and time.time() - began < 60
+    assert row.spans.startswith("ip:0:7,ip:8:15") and "ip:479992:479999" in row.spans
+
+
+def test_context_counts_on_both_sides(spark):
+    docs = spark.createDataFrame([(1, "123-45-6789 is my tax id"), (2, "ssn 123-45-6789"), (3, "part 123-45-6789 of the list")], "doc_id bigint, text string")
+    assert {r.doc_id: r.spans for r in pii.report(docs).collect()} == {1: "national_id:0:11", 2: "national_id:4:15", 3: ""}

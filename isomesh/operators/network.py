@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isomesh.functions import geom as G
 from isomesh.functions.modes import FOOT
+from isomesh.operators.components import components, numbered
 from isomesh.operators.state import settled
 
 
@@ -70,22 +71,21 @@ def with_opposites(edges: DataFrame, foot_used: bool = True) -> DataFrame:
 def subnets(edges: DataFrame) -> DataFrame:
     """edge_id, cell_id, cell_size: edges that hang together, the largest set first (then by its first edge).
 
-    Two edges hang together if they share a node. Labels spread as minima over edges and nodes by turns, with each
-    round's label looked up once more, until nothing changes.
+    Two edges hang together if one ends where the other begins; edges that only begin, or only end, at the same node
+    don't. So nodes with edges in and out are the links, and edges take the component of such a node.
     """
-    labels = settled(edges.select("edge_id", "from_node", "to_node", F.col("edge_id").alias("label")), "labels")
-    while True:
-        nodes = labels.select(F.col("from_node").alias("node"), "label").union(labels.select("to_node", "label")).groupBy("node").agg(F.min("label").alias("least"))
-        a, b = (nodes.select(F.col("node").alias(n), F.col("least").alias(f"l_{n}")) for n in ("from_node", "to_node"))
-        near = labels.join(a, "from_node").join(b, "to_node").select("edge_id", "from_node", "to_node", F.col("label").alias("before"), F.least("label", "l_from_node", "l_to_node").alias("label"))
-        jump = near.select(F.col("edge_id").alias("j"), F.col("label").alias("j_label"))
-        step = settled(near.join(jump, F.col("label") == F.col("j"), "left").select("edge_id", "from_node", "to_node", "before", F.coalesce(F.least("label", "j_label"), "label").alias("label")), "labels")
-        if not step.where("label != before").limit(1).count():
-            break
-        labels = step.drop("before")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("cell_size"))
-    # One row for each set of edges.
-    cells = sizes.withColumn("cell_id", F.row_number().over(Window.orderBy(F.desc("cell_size"), "label")).cast("bigint") - 1)
+    ends = edges.select("edge_id", "from_node", "to_node")
+    sides = ends.select(F.col("from_node").alias("node"), F.lit(1).alias("out")).union(ends.select("to_node", F.lit(0)))
+    hubs = settled(sides.groupBy("node").agg(F.min("out").alias("least"), F.max("out").alias("most")).where("least != most").select("node"), "hubs")
+    at = lambda c: hubs.select(F.col("node").alias(c))
+    links = ends.join(at("from_node"), "from_node", "left_semi").join(at("to_node"), "to_node", "left_semi").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
+    # Every node has a label, also one that has no edge to another.
+    found = hubs.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"by_{c}"))
+    own = ends.join(of("from_node"), "from_node", "left").join(of("to_node"), "to_node", "left")
+    labels = settled(own.select("edge_id", F.coalesce(F.coalesce("by_from_node", "by_to_node").cast("string"), F.concat(F.lit("alone "), "edge_id")).alias("label")), "labels")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("cell_size"), F.min("edge_id").alias("first"))
+    cells = numbered(sizes, "cell_id", F.desc("cell_size"), F.col("first")).select("label", "cell_id", "cell_size")
     return labels.join(cells, "label").select("edge_id", "cell_id", "cell_size")
 
 
@@ -118,26 +118,46 @@ def crossing_delays(edges: DataFrame, seconds: float = 10.0) -> DataFrame:
 
 def without_dead_ends(edges: DataFrame, used: DataFrame) -> DataFrame:
     """Takes away edges that lead nowhere and that no object (edge_id in ``used``, or on the opposite) needs, until
-    none is left. Needs opposite_id."""
+    none is left. Needs opposite_id.
+
+    A chain is a set of roads, each both ways and not needed, joined at nodes where nothing else meets. Once one edge of
+    a chain leads nowhere, all of it goes: so it goes in one round, and a network of n edges takes about log n rounds.
+    """
     held = used.select("edge_id").distinct()
-    held = held.union(edges.join(held.select(F.col("edge_id").alias("h")), F.col("opposite_id") == F.col("h"), "left_semi").select("edge_id")).distinct()
-    now, n = edges, None
+    held = settled(held.union(edges.join(held.select(F.col("edge_id").alias("h")), F.col("opposite_id") == F.col("h"), "left_semi").select("edge_id")).distinct(), "held")
+    now = settled(edges.select("edge_id", "from_node", "to_node", "opposite_id").join(held.select("edge_id", F.lit(True).alias("kept")), "edge_id", "left").fillna(False, ["kept"]), "now")
     while True:
         onward = now.select(F.col("from_node").alias("f"), F.col("edge_id").alias("next"))
         leads = now.join(onward, (F.col("to_node") == F.col("f")) & ~F.col("next").eqNullSafe(F.col("opposite_id")), "left_semi").select("edge_id")
-        dead = now.join(leads, "edge_id", "left_anti").join(held, "edge_id", "left_anti").select(F.col("edge_id").alias("d"), F.col("opposite_id").alias("d_opp"))
-        gone = dead.select("d").union(dead.where("d_opp is not null").select("d_opp")).distinct()
-        now = settled(now.join(gone, F.col("edge_id") == F.col("d"), "left_anti"), "dead")
-        if (m := now.count()) == n:
-            return now
-        n = m
+        dead = settled(now.where("not kept").join(leads, "edge_id", "left_anti").select("edge_id", "opposite_id"), "dead")
+        if not dead.limit(1).count():
+            return edges.join(now.select("edge_id"), "edge_id", "left_semi")
+        gone = dead.select(F.col("edge_id").alias("d")).union(dead.where("opposite_id is not null").select("opposite_id"))
+        chains = settled(chains_of(now), "chains")
+        ends = chains.join(gone, F.col("edge_id") == F.col("d"), "left_semi").select(F.col("label").alias("l")).distinct()
+        gone = gone.union(chains.join(ends, F.col("label") == F.col("l"), "left_semi").select("edge_id")).distinct()
+        now = settled(now.join(gone, F.col("edge_id") == F.col("d"), "left_anti"), "now")
+
+
+def chains_of(edges: DataFrame) -> DataFrame:
+    """edge_id, label: the roads of each chain of two or more. edges: edge_id, from_node, to_node, opposite_id, kept."""
+    back = edges.select(F.col("edge_id").alias("o"), F.col("opposite_id").alias("oo"), F.col("kept").alias("o_kept"))
+    two = edges.join(back, (F.col("opposite_id") == F.col("o")) & (F.col("oo") == F.col("edge_id")), "left")
+    free = F.col("o").isNotNull() & ~F.col("kept") & ~F.coalesce(F.col("o_kept"), F.lit(True)) & (F.col("from_node") != F.col("to_node"))
+    road = F.least("edge_id", "opposite_id")
+    sides = two.select("edge_id", road.alias("road"), free.alias("free"), F.explode(F.array("from_node", "to_node")).alias("node"))
+    # Two roads meet here, each with an edge in and one out, and nothing else.
+    joints = sides.groupBy("node").agg(F.count("*").alias("n"), F.min("free").alias("free"), F.min("road").alias("a"), F.max("road").alias("b")).where("n = 4 and free and a != b").select("a", "b")
+    labels = components(joints)
+    return edges.select("edge_id", road.alias("node")).join(labels, "node").select("edge_id", "label")
 
 
 def pass_nodes(edges: DataFrame) -> DataFrame:
     """node: those with exactly two two-way arms of equal speed, modes and incline, which can be joined into one."""
     two = edges.where("opposite_id is not null")
-    ends = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("other"), F.lit(1).alias("out"), "vmax", "modes").union(edges.select("to_node", "from_node", F.lit(0), "vmax", "modes"))
-    seen = ends.groupBy("node").agg(F.count_distinct("other").alias("arms"), F.sum("out").alias("outs"), F.count("*").alias("n"), F.count_distinct("vmax", "modes").alias("kinds"))
+    slope = F.abs(F.col("incline")) if "incline" in edges.columns else F.lit(0.0)  # the same road up and down
+    ends = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("other"), F.lit(1).alias("out"), "vmax", "modes", slope.alias("slope")).union(edges.select("to_node", "from_node", F.lit(0), "vmax", "modes", slope))
+    seen = ends.groupBy("node").agg(F.count_distinct("other").alias("arms"), F.sum("out").alias("outs"), F.count("*").alias("n"), F.count_distinct("vmax", "modes", F.coalesce("slope", F.lit(0.0))).alias("kinds"))
     both = two.groupBy(F.col("from_node").alias("t")).agg(F.count("*").alias("pairs"))
     return seen.join(both, F.col("node") == F.col("t")).where("arms = 2 and outs = 2 and n = 4 and kinds = 1 and pairs = 2").select("node")
 

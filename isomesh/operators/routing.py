@@ -2,15 +2,13 @@
 
 ``search`` works on DataFrames: a frontier of improved labels is joined with the edges and reduced by minimum,
 round by round. It is exact for least travel time with one bound on time, where an edge's time does not depend on
-how its start was reached. ``search_ordered`` works on DataFrames too, but settles labels in order of their measure,
-for everything else: turn delays, bounds on distance, other measures. Neither collects the network.
+how its start was reached. ``search_ordered`` works on DataFrames too, but settles labels in order of time, for turn
+delays and bounds on distance. Neither collects the network.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.operators.state import settled
@@ -72,31 +70,21 @@ def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, ed
     return least.where(~F.col("l.behind") & (F.col("l.tt") <= max_tt)).select("origin", "destination", "l.dist", "l.tt")
 
 
-#: How two labels compare: from (tt, dist, interchanges, price of the last edge, top speed) to what is smallest.
-MEASURES: dict[str, Callable[..., tuple]] = {
-    "tt_mode": lambda tt, n, price, vmax, p1, p2: (tt, -vmax),
-    "price_tt": lambda tt, n, price, vmax, p1, p2: (price, tt),
-    "interchanges_tt": lambda tt, n, price, vmax, p1, p2: (tt + (2.718281828459045 ** (n * p1) - 1) * p2,),
-    "maxinterchanges_tt": lambda tt, n, price, vmax, p1, p2: (n > p1, tt),
-}
-
-
-def search_ordered(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), max_dist: float = float("inf"), delays: DataFrame | None = None, measure: str = "tt_mode", p1: float = 0.0, p2: float = 0.0) -> DataFrame:
-    """origin, node, tt, dist, edge, before: labels in the order of a measure, with turn delays (from_edge,
-    to_edge, delay) and bounds on time and distance.
+def search_ordered(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), max_dist: float = float("inf"), delays: DataFrame | None = None) -> DataFrame:
+    """origin, node, tt, dist, edge, before: labels in the order of time, with turn delays (from_edge, to_edge, delay)
+    and bounds on time and distance.
 
-    One label for each (origin, node), settled in order: a label over the bound on distance keeps its node, but leads
-    nowhere, and a delay depends on the edge of the label that its node has. Every round settles an origin's labels
-    less than the quickest edge's time above its least open one: no later offer can be less. Without rides, every
-    measure grows with time. Ties: the offer of the label settled first, then the smaller edge id.
+    One label for each (origin, node), the quickest, settled in order. A quicker label that is over the bound on
+    distance hides a slower one that is not: its node is then missing, and leads nowhere. A delay depends on the edge of
+    the label that its node has. Every round settles an origin's labels less than the quickest edge's time above its
+    least open one: no later offer can be less. Ties: the offer of the label settled first, then the smaller edge id.
     """
     keys = ["origin", "node"]
     offer = ["p_tt", "p_dist", "p_edge", "p_node", "edge", "tt", "dist", "before"]
-    rank = F.struct(*(k if isinstance(k, Column) else F.lit(k) for k in MEASURES[measure](F.col("tt"), 0, 0.0, 0.0, p1, p2)))
 
     def least(df: DataFrame) -> DataFrame:
-        # Settled labels come before offers of the same measure.
-        return df.groupBy(*keys).agg(F.min(F.struct(rank.alias("key"), "open", *offer)).alias("l")).select(*keys, "l.open", *(f"l.{c}" for c in offer))
+        # Settled labels come before offers of the same time.
+        return df.groupBy(*keys).agg(F.min(F.struct(F.col("tt").alias("key"), "open", *offer)).alias("l")).select(*keys, "l.open", *(f"l.{c}" for c in offer))
 
     out = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("length").alias("e_length"), F.col("tt").alias("e_tt"))
     if delays is not None:

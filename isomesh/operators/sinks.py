@@ -24,11 +24,34 @@ RELATIONS = {
 }
 
 
+#: What producers call a column of a relation.
+CALLED = {
+    "ext_od": {"avg_init_waiting_time": "avg_initial_waiting", "avg_waiting_time": "avg_waiting", "avg_pt_interchange_time": "avg_interchange_time", "modes": "lines", "beeline_distance": "avg_beeline", "manhattan_distance": "avg_manhattan"},
+    "stat_od": {f"{s}_distance": f"{s}_dist" for s in ("avg", "med", "min", "max", "p15", "p85")},
+    "direct": {"fid": "origin", "sid": "destination"},
+    "mapping": {"id": "object_id", "rid": "edge_id", "rpos": "pos"},
+    "net_errors": {},
+}
+#: Columns that a relation may lack: they are null then.
+OPTIONAL = {"net_errors": {"edge2"}}
+
+
 def shaped(df: DataFrame, relation: str) -> DataFrame:
-    """The relation's columns in order (dest_type last, if there is one); missing ones are null, doubles float32."""
-    names = [*RELATIONS[relation], *(["dest_type"] if "dest_type" in df.columns else [])]
-    kinds = dict(df.dtypes)
-    return df.select(*((F.col(n).cast("float") if kinds[n] == "double" else F.col(n)).alias(n) if n in kinds else F.lit(None).cast("string").alias(n) for n in names))
+    """The relation's columns in order (dest_type last, if there is one), under its own names or the producers', doubles
+    as float32. A column that is absent is an error, unless the relation may lack it."""
+    kinds, called = dict(df.dtypes), CALLED.get(relation, {})
+    out, absent = [], []
+    for n in [*RELATIONS[relation], *(["dest_type"] if "dest_type" in kinds else [])]:
+        source = n if n in kinds else called.get(n)
+        if source in kinds:
+            out.append((F.col(f"`{source}`").cast("float") if kinds[source] == "double" else F.col(f"`{source}`")).alias(n))
+        elif n in OPTIONAL.get(relation, ()):
+            out.append(F.lit(None).cast("string").alias(n))
+        else:
+            absent.append(n)
+    if absent:
+        raise ValueError(f"{relation} needs {', '.join(absent)}")
+    return df.select(*out)
 
 
 def as_text(df: DataFrame, precision: int = 2) -> DataFrame:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-LOCAL = "/tmp/isomesh-state"
+
+@cache
+def local_dir() -> str:
+    return Path(tempfile.mkdtemp(prefix="isomesh-state-")).as_uri()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine, which serves a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = local_dir()
+    return named.rstrip("/")
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a local folder where that is unset) and read again, so that the
-    plans of iterations stay short and lost executors cost no more than one round."""
+    """``df`` written to the shared folder and read again, so that the plans of iterations stay short and lost
+    executors cost no more than one round."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or Path(LOCAL).as_uri()
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

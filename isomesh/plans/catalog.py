@@ -363,7 +363,11 @@ def crossing_delays(spark, sf_dir):
 COMB = "SELECT e.* FROM edges e, grid WHERE e.edge_id LIKE 'v%' OR (least(from_node, to_node) < side)"
 
 
-@query()
+@query(f"""WITH {clauses('edges', 'destinations')}, m AS ({mapped_sql('destinations')}),
+    comb AS (SELECT e.edge_id, e.opposite_id, left(e.edge_id, 1) AS d, least(from_node, to_node) % side AS c, least(from_node, to_node) // side AS r FROM edges e, grid WHERE e.edge_id LIKE 'v%' OR least(from_node, to_node) < side),
+    held AS (SELECT DISTINCT d, c, r FROM comb WHERE edge_id IN (SELECT edge_id FROM m) OR opposite_id IN (SELECT edge_id FROM m)),
+    beyond AS (SELECT t.edge_id, bool_or(h.d = t.d AND h.c = t.c AND h.r = t.r) AS own, count(CASE WHEN t.d = 'v' THEN CASE WHEN h.d = 'v' AND h.c = t.c AND h.r > t.r THEN 1 END ELSE CASE WHEN h.c > t.c THEN 1 END END) AS n, count(*) AS whole FROM comb t, held h GROUP BY t.edge_id)
+    SELECT edge_id FROM beyond WHERE own OR n > 0 AND n < whole""")
 def without_dead_ends(spark, sf_dir):
     """Only the first row and the columns of the grid: columns are cut back to their last destination."""
     net, _, _, _, d = walk(spark, sf_dir)

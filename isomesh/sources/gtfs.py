@@ -63,38 +63,26 @@ def hops(stop_times: DataFrame, running: DataFrame) -> DataFrame:
     return rows.where("from_stop is not null")
 
 
-def repair_hops(dep: list[int], arr: list[int]) -> tuple[list[int], list[int]]:
-    """Spreads hops without duration over the time around them; a lone one is widened by 15 s on each side."""
-    dep, arr, last = list(dep), list(arr), len(dep) - 1
-    for i in range(len(dep)):
-        if dep[i] != arr[i]:
-            continue
-        first = i
-        while first > 0 and dep[first] == dep[i]:
-            first -= 1
-        end = i
-        while end < last and arr[end] == arr[i]:
-            end += 1
-        if first == end:
-            dep[i], arr[i] = dep[i] - 15, arr[i] + 15
-            continue
-        begin, span, n = dep[first], arr[end] - dep[first], end - first + 1
-        for k in range(n):
-            dep[first + k], arr[first + k] = begin + span * k // n, begin + span * (k + 1) // n
-    return dep, arr
-
-
-def repaired(connections: DataFrame) -> DataFrame:
-    """Hops of each trip after repair. A trip's hops are one row while they are repaired: trips are short."""
-
-    @F.udf("array<struct<dep:int,arr:int>>")
-    def fix(rows):
-        dep, arr = repair_hops([r["dep"] for r in rows], [r["arr"] for r in rows])
-        return list(zip(dep, arr, strict=True))
-
-    lists = connections.groupBy("trip_id", "route_id").agg(F.array_sort(F.collect_list(F.struct("place", "dep", "arr", "from_stop", "to_stop"))).alias("h"))
-    lists = lists.withColumn("fixed", fix("h")).select("trip_id", "route_id", F.explode(F.arrays_zip("h", "fixed")).alias("z"))
-    return lists.select("trip_id", "route_id", "z.h.from_stop", "z.h.to_stop", "z.h.place", "z.fixed.dep", "z.fixed.arr")
+def repaired(connections: DataFrame, widened: int = 15) -> DataFrame:
+    """Hops of each trip, those without duration spread over the time around them.
+
+    A run is a row of hops without duration at one time, with the hop before it and the hop after it. Its n hops share
+    its whole span evenly, in whole seconds: each gets the span divided by n, rounded down. A hop between two runs
+    belongs to the first. A run of one hop is widened on both sides.
+    """
+    by = Window.partitionBy("trip_id").orderBy("place")
+    none = F.col("dep") == F.col("arr")
+    rows = connections.withColumns({"none": none, "none_before": F.coalesce(F.lag(none).over(by), F.lit(False)), "none_after": F.coalesce(F.lead(none).over(by), F.lit(False)), "dep_before": F.lag("dep").over(by), "first": F.row_number().over(by) == 1})
+    rows = rows.withColumns({"head": ~F.col("none") & F.col("none_after") & ~F.col("none_before"), "tail": ~F.col("none") & F.col("none_before")})
+    later = F.col("none") & (F.lag("tail").over(by) | F.col("none_before") & (F.col("dep") != F.col("dep_before")))
+    rows = rows.withColumn("run", F.sum((F.col("head") | F.col("none") & F.col("first") | F.coalesce(later, F.lit(False))).cast("int")).over(by))
+    rows = rows.withColumn("inside", F.col("none") | F.col("head") | F.col("tail"))
+    own = Window.partitionBy("trip_id", "run", "inside")
+    k, n = F.row_number().over(own.orderBy("place")) - 1, F.count("*").over(own)
+    begin, end = F.min(F.struct("place", "dep")).over(own)["dep"], F.max(F.struct("place", "arr")).over(own)["arr"]
+    rows = rows.withColumns({"k": k, "n": n, "begin": begin, "share": F.floor((end - begin) / n)})
+    new = lambda old, wide, spread: F.when(~F.col("inside"), F.col(old)).when(F.col("n") == 1, F.col(old) + wide).otherwise(spread).cast("int").alias(old)
+    return rows.select("trip_id", "route_id", "from_stop", "to_stop", "place", new("dep", -widened, F.col("begin") + F.col("k") * F.col("share")), new("arr", widened, F.col("begin") + (F.col("k") + 1) * F.col("share")))
 
 
 def line_edges(connections: DataFrame, running: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def without_dead_ends(spark, sf_dir):
 def joined_chains(spark, sf_dir):
     """The columns of the grid alone: each becomes two edges, one for each direction."""
     load(spark, sf_dir, "edges")
-    columns = shaped_edges(spark.sql("SELECT e.* FROM edges e, grid WHERE edge_id LIKE 'v%' AND from_node % side > 0")).withColumns({"vmax": F.lit(10.0), "modes": F.lit(2).cast("bigint")})
+    columns = shaped_edges(spark.sql("SELECT e.* FROM edges e, grid WHERE edge_id LIKE 'v%' AND from_node % side > 0")).withColumns({"vmax": F.lit(10.0), "modes": F.lit(2).cast("bigint"), "incline": F.lit(0.0)})
     return network.join_similar(columns).groupBy("parts", "length").agg(F.count("*").alias("n"))
 
 

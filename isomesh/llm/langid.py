@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.llm.codes import lowered, points
-from isomesh.llm.work import chosen, packed, runs, unpacked, written
+from isomesh.llm.work import chosen, let, packed, runs, strings, unpacked, written
 
 #: Production parameters. LEAST_SHARE: a language is known if one row in so many declares it.
 LEAST, LEAST_SHARE = 0.5, 1000
@@ -35,7 +35,7 @@ EFFECTIVE = 60
 #: Weight of the suffix's prior in a host's, of the corpus's in a suffix's; share of texts in no known language.
 HOST_WEIGHT, SUFFIX_WEIGHT, UNKNOWN = 20.0, 200.0, 0.01
 #: Likelihoods (code points times languages) that a task works out at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: The hosts' priors are broadcast up to so many bytes; beyond, hosts are dealt out over so many tasks each.
 BROADCAST, SALTS = 32 << 20, 16
 
@@ -74,7 +74,7 @@ def train(rows: DataFrame, langs: list[str]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            group, declared = batch.column("text").to_pylist(), batch.column("declared").to_pylist()
+            group, declared = strings(batch.column("text")), batch.column("declared").to_pylist()
             for lang in set(declared):
                 total = counts.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
                 parts = parts_of([t for t, d in zip(group, declared, strict=True) if d == lang], CHUNK // 4)
@@ -95,18 +95,18 @@ def train(rows: DataFrame, langs: list[str]) -> np.ndarray:
 
 
 def likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """rows without text, and ll: log-likelihoods of the text by language, the uniform model's last; null without a
-    letter."""
+    """rows and ll: log-likelihoods of the text by language, the uniform model's last; null without a letter. The text
+    itself goes along with a packed row only."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in rows.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    names = [c for c in rows.columns if c != "text" or "row" in rows.columns]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     n_langs = model.shape[1]
     most = max(2, CHUNK // (n_langs + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            group = batch.column("text").to_pylist()
+            group = strings(batch.column("text"))
             sums, times = np.zeros((len(group), n_langs)), np.zeros(len(group), dtype=np.int64)
             parts = parts_of(group, most)
             for a, b in runs([len(p) + 2 for _, p, _ in parts], most):
@@ -126,9 +126,9 @@ def likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
 def softmax(logs: Column) -> Column:
     """Probabilities from an array of log-weights."""
-    top = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    raw = lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    share = lambda x: let(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(x, lambda v: v / total))
+    return let(let(logs, raw), share)
 
 
 class Evidence(NamedTuple):
@@ -185,12 +185,12 @@ def fuse(scored: DataFrame, known: Evidence) -> DataFrame:
 
 
 def identified(rows: DataFrame, again: bool) -> DataFrame:
-    """rows (text, declared, host, suffix and others) without text, with language ("und" if none is sure enough),
+    """rows (text, declared, host, suffix and others) with language ("und" if none is sure enough),
     probability and kept. again: likelihoods are worked out a second time instead of writing all columns to disk."""
     langs = languages(rows)
     model = train(rows, langs)
     if not langs:
-        return rows.drop("text").withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "kept": F.lit(False)})
+        return rows.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "kept": F.lit(False)})
     narrow = rows.select("text", "declared", "host", "suffix") if again else rows
     alone = written(likelihoods(narrow, model), "likelihoods")
     fused = fuse(likelihoods(rows, model) if again else alone, gather(alone, langs))
@@ -207,7 +207,7 @@ def suffix_of(host: Column) -> Column:
 def evidence_of_documents(rows: DataFrame) -> DataFrame:
     """Documents have a declared language in ``lang`` and a host in ``source``."""
     host = F.lower("source")
-    return rows.fillna("", ["text"]).withColumns({"declared": F.lower(F.trim("lang")), "host": host, "suffix": suffix_of(host)}).drop("lang", "source")
+    return rows.withColumns({"declared": F.lower(F.trim("lang")), "host": host, "suffix": suffix_of(host)}).drop("lang", "source")
 
 
 WANTED = ("text", "string"), ("lang", "string"), ("source", "string")

@@ -43,7 +43,7 @@ LIKELY = 0.55
 #: A block has at most about so many nodes, and so many shingles.
 BLOCK, BLOCK_SHINGLES = 1500, 4_000_000
 #: Code points handled at once by a task.
-CHUNK = 1_000_000
+CHUNK = 500_000
 WORD_BASE = 0x9FB21C651E98DF25
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -299,7 +299,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id; all its columns stay."""
     heads = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
     heads = written(heads.groupBy(F.col("doc_id").alias("id"), F.col("node").alias("first")).agg(F.count("*").alias("times")), "heads")
-    keyed = packed(docs, ("doc_id", "bigint"), ("text", "string")).withColumn("node", node_of(F.coalesce("text", F.lit("")))).drop("text")
+    keyed = packed(docs, ("doc_id", "bigint"), ("text", "string")).withColumn("node", node_of(F.coalesce("text", F.lit(""))))
     kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("first")))
     # Rows with the same id and text, of which one stays, are rare: only they are dealt out again.
-    return unpacked(kept.where("times = 1").select("row").union(kept.where("times > 1").dropDuplicates(["id", "node"]).select("row")), docs)
+    return unpacked(kept.where("times = 1").select("row", "text").union(kept.where("times > 1").dropDuplicates(["id", "node"]).select("row", "text")), docs)

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isomesh.llm.work import texts
+from isomesh.llm.work import let, texts
 
 
 class Kind(NamedTuple):
@@ -85,11 +85,6 @@ KINDS = (
 NEAR, NEARBY = 48, 0.3
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def spans_of(text: Column, kind: Kind) -> Column:
     """The kind's spans in a text as array<struct<kind,start,end,score>>, in order of their start.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isomesh.llm.bags import mixed, stride
-from isomesh.llm.work import chosen, packed, runs, unpacked, written
+from isomesh.llm.work import chosen, packed, runs, strings, unpacked, written
 
 #: Production parameters.
 ORDER, MIN_TEXTS, LEAST_SHARE = 5, 2, 1000
@@ -41,7 +41,7 @@ ALPHABET = 1 << 16
 #: Quartile ranges that a band reaches below the lower and above the upper quartile; bins of a histogram for each nat.
 BELOW, ABOVE, BINS = 5.0, 8.0, 1000
 #: Code points handled at once by a task; entries of the model (12 bytes each) sent to tasks at once.
-CHUNK, SHARD = 1_000_000, 4_000_000
+CHUNK, SHARD = 300_000, 4_000_000
 #: Stands before the first characters of a text.
 START = "\x02"
 OTHER = "other"
@@ -93,7 +93,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         models = batch.column("model").to_numpy()
         for model in np.unique(models):
-            rows = batch.column("text").filter(pa.array(models == model)).to_pylist()
+            rows = strings(batch.column("text").filter(pa.array(models == model)))
             parts = [s for _, s in stretches(rows)]
             for a, b in runs([len(p) for p in parts], CHUNK):
                 cps, ends, text = windows(parts[a:b])
@@ -279,10 +279,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def scored(rows: DataFrame, shards: Shards) -> DataFrame:
-    """rows (row, text, model, maybe more) with the counts and loss: the mean negative log-probability, null if empty."""
+    """rows (text, model, others) with the counts and loss: the mean negative log-probability, null if empty. The text
+    itself goes along with a packed row only."""
     spark = rows.sparkSession
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if c != "text" or "row" in rows.columns]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
 
     def loss(total: np.ndarray, group: list[str]) -> list:
         return [-x / n if (n := len(t.lower())) else None for x, t in zip(total.tolist(), group, strict=True)]
@@ -293,14 +294,14 @@ def scored(rows: DataFrame, shards: Shards) -> DataFrame:
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
             for batch in batches:
-                group = batch.column("text").to_pylist()
+                group = strings(batch.column("text"))
                 counts = list(zip(*map(word_counts, group), strict=True)) or [[]] * 5
                 total = model.sums(group, batch.column("model").to_numpy())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in counts), pa.array(loss(total, group), pa.float64())], [*names, *MEASURES, "loss"])
 
         return rows.mapInArrow(whole, ", ".join([kinds, *(f"{m} bigint" for m in MEASURES), "loss double"]))
     # A pass for each shard; the sums of equal texts meet by a hash, with which they come back to the rows.
-    keyed = rows.withColumn("key", F.xxhash64("text", "model"))
+    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")), "model"))
     parts = None
     for place in range(shards.n):
         shared = spark.sparkContext.broadcast(shards.take(place))
@@ -308,7 +309,7 @@ def scored(rows: DataFrame, shards: Shards) -> DataFrame:
         def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = shared.value
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.sums(batch.column("text").to_pylist(), batch.column("model").to_numpy()))], ["key", "total"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.sums(strings(batch.column("text")), batch.column("model").to_numpy()))], ["key", "total"])
 
         part = written(keyed.select("key", "text", "model").dropDuplicates(["key"]).mapInArrow(one, "key bigint, total double"), "sums")
         shared.unpersist()
@@ -318,11 +319,11 @@ def scored(rows: DataFrame, shards: Shards) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = batch.column("text").to_pylist()
+            group = strings(batch.column("text"))
             counts = list(zip(*map(word_counts, group), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in counts), pa.array(loss(batch.column("total").to_numpy(), group), pa.float64())], [*names, *MEASURES, "loss"])
 
-    return met.select(*names, "text", "total").mapInArrow(counted, ", ".join([kinds, *(f"{m} bigint" for m in MEASURES), "loss double"]))
+    return met.select(*dict.fromkeys([*names, "text", "total"])).mapInArrow(counted, ", ".join([kinds, *(f"{m} bigint" for m in MEASURES), "loss double"]))
 
 
 def quartiles(rows: DataFrame) -> DataFrame:
@@ -335,30 +336,34 @@ def quartiles(rows: DataFrame) -> DataFrame:
     return ranked.groupBy("model").agg(at(0.25).alias("low"), at(0.75).alias("high"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """rows (text, lang and others) with model, the counts, loss, base_failed and kept; without text and lang."""
+def judged(rows: DataFrame, again: bool) -> DataFrame:
+    """rows (text, lang and others) with model, the counts, loss, base_failed and kept; without lang. again: documents
+    are scored a second time, once their bands are known, instead of writing them all to disk."""
     langs = languages(rows)
-    rows = rows.fillna("", ["text"]).withColumn("model", model_of(langs)).drop("lang")
-    shards = train(rows)
+    rows = rows.withColumn("model", model_of(langs)).drop("lang")
+    plain = rows.select(F.coalesce("text", F.lit("")).alias("text"), "model")
+    shards = train(plain)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    bands = quartiles(scored(rows.select("text", "model"), shards).where(~failed)).collect()  # a row for each model
+    out = scored(rows, shards)
+    if not again:
+        out = written(out, "scored")
+    bands = quartiles((scored(plain, shards) if again else out).where(~failed)).collect()  # a row for each model
     reach = lambda b: b.high - b.low + 0.01
     band = F.create_map(*(x for b in bands for x in (F.lit(b.model), F.array(F.lit(b.low - BELOW * reach(b)), F.lit(b.high + ABOVE * reach(b))))))
-    out = scored(rows, shards).withColumn("base_failed", failed)
     inside = F.lit(True)
     if bands:
         own = F.try_element_at(band, F.col("model"))
         inside = F.coalesce(F.col("loss").between(own[0], own[1]), F.lit(True))
     name = F.element_at(F.array(*map(F.lit, [*langs, OTHER])), F.col("model") + 1)
-    return out.withColumns({"kept": ~F.col("base_failed") & inside, "model": name})
+    return out.withColumn("base_failed", failed).withColumns({"kept": ~F.col("base_failed") & inside, "model": name})
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document."""
-    rows = judged(chosen(docs, ("doc_id", "bigint"), ("text", "string"), ("lang", "string")))
+    rows = judged(chosen(docs, ("doc_id", "bigint"), ("text", "string"), ("lang", "string")), again=False)
     return rows.select("doc_id", *MEASURES, "base_failed", "kept", F.exp("loss").alias("perplexity"), "model")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass; all their columns stay."""
-    return unpacked(judged(packed(docs, ("text", "string"), ("lang", "string"))).where("kept"), docs)
+    return unpacked(judged(packed(docs, ("text", "string"), ("lang", "string")), again=True).where("kept"), docs)

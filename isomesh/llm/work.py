@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,18 +65,40 @@ def texts(df: DataFrame, *more: tuple[str, str], key: str = "doc_id", text: str
 
 
 def packed(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
-    """``row``, all columns as one struct, beside the columns asked for as in ``chosen``: names can't clash."""
+    """``row``, all columns as one struct, beside the columns asked for as in ``chosen``: names can't clash. A text that
+    is asked for as it is stands beside the row only, so that tasks get it once."""
     plain, of = named(df)
-    return plain.select(F.struct(*plain.columns).alias("row"), *(of.get(n, F.lit(None)).cast(k).alias(n) for n, k in wanted))
+    kinds = dict(zip(plain.columns, (f.dataType.simpleString() for f in df.schema), strict=True))
+    own = [c for c in plain.columns if not any(n == "text" and k == kinds[c] and n in of and df.columns.index(n) == int(c[1:]) for n, k in wanted)]
+    row = F.struct(*own) if own else F.struct(F.lit(0).alias("none"))
+    return plain.select(row.alias("row"), *(of.get(n, F.lit(None)).cast(k).alias(n) for n, k in wanted))
 
 
 def unpacked(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
     """The columns of ``like`` from ``row``, some of them replaced; a replaced one keeps its type."""
     kinds = {f.name: f.dataType for f in like.schema}
-    return rows.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"row.c{i}").alias(c) for i, c in enumerate(like.columns)))
+    held = set(rows.schema["row"].dataType.names)
+    return rows.select(*((new[c].cast(kinds[c]) if c in new else F.col(f"row.c{i}") if f"c{i}" in held else F.col("text")).alias(c) for i, c in enumerate(like.columns)))
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column; null as empty."""
+    return [t or "" for t in column.to_pylist()]
+
+
+def lean(spark: SparkSession) -> None:
+    """A setting of the session for tables of texts: tasks get so few rows at once that long ones fit their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the registered queries."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

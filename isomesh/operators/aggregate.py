@@ -97,3 +97,8 @@ def edge_use(steps: DataFrame, od: DataFrame, from_agg: DataFrame | str | None =
 def with_types(od: DataFrame, types: DataFrame) -> DataFrame:
     """A row for each type of the destination; types: id, type."""
     return od.join(types.select(F.col("id").alias("t_id"), F.col("type").alias("dest_type")), F.col("destination") == F.col("t_id")).drop("t_id")
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """bin, n: how many values lie in each bin of a fixed width, bin 0 from 0 on; without bins of none."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))

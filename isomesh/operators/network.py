@@ -195,3 +195,9 @@ def speed_at(edges: DataFrame, intervals: DataFrame, time: Column) -> DataFrame:
     joined = edges.join(lists, F.col("edge_id") == F.col("s_edge"), "left")
     holds = F.filter("s_list", lambda s: (s["ibegin"] <= time) & (time <= s["iend"]))
     return joined.withColumn("measured", F.try_element_at(holds, F.lit(1))["speed"].cast("double")).drop("s_edge", "s_list")
+
+
+def bounds(edges: DataFrame) -> DataFrame:
+    """x1, y1, x2, y2: the box of all geometries, in one row."""
+    of = lambda k, f, g: g(f(F.transform("geom", lambda p: p[k])))
+    return edges.agg(of("x", F.array_min, F.min).alias("x1"), of("y", F.array_min, F.min).alias("y1"), of("x", F.array_max, F.max).alias("x2"), of("y", F.array_max, F.max).alias("y2"))

@@ -14,6 +14,8 @@ RELATIONS = {
     "od": ["fid", "sid", "avg_distance", "avg_tt", "avg_num", "avg_value"],
     "ext_od": ["fid", "sid", "avg_distance", "avg_tt", "avg_num", "avg_value", "avg_kcal", "avg_price", "avg_co2", "avg_interchanges", "avg_access", "avg_egress", "avg_waiting_time", "avg_init_waiting_time", "avg_pt_tt", "avg_pt_interchange_time", "modes", "beeline_distance", "manhattan_distance"],
     "stat_od": ["fid", "sid", "num", *STATISTICS],
+    "pt": ["fid", "sid", *(f"avg_{m}" for m in ("distance", "tt", "access_distance", "access_tt", "egress_distance", "egress_tt", "interchange_distance", "interchange_tt", "pt_distance", "pt_tt", "num_interchanges", "waiting_time", "init_waiting_time", "num", "value"))],
+    "process": ["fid", "duration", "path_length", "seen_edges", "seen_nodes"],
     "interchanges": ["fid", "sid", "halt", "line_from", "line_to", "num", "tt"],
     "edges": ["fid", "sid", "eid", "num", "origins_weight", "normed"],
     "direct": ["fid", "sid", "edge", "line", "mode", "tt", "node", "idx", "geom"],

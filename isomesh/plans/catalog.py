@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from isomesh.functions import geom as G
 from isomesh.functions import modes as M
-from isomesh.operators import aggregate, limits, mapping, measures, network, routing
+from isomesh.operators import aggregate, limits, mapping, measures, network, routing, transit
 from isomesh.operators.state import settled
 from isomesh.plans.fixture import clauses, load, mapped_sql
-from isomesh.sources import gtfs, text
+from isomesh.sources import gtfs, osm, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -511,3 +511,187 @@ def timed_transfers(spark, sf_dir):
     rows = spark.sql("SELECT CAST(l_suppkey AS STRING) AS from_stop_id, CAST(l_suppkey AS STRING) AS to_stop_id, CAST(l_linenumber % 3 AS STRING) AS transfer_type, CAST(l_orderkey AS STRING) AS from_trip_id, CAST(l_partkey AS STRING) AS to_trip_id, CAST(l_linenumber * 30 AS STRING) AS min_transfer_time FROM lineitem")
     running = spark.sql("SELECT CAST(o_orderkey AS STRING) AS trip_id FROM orders WHERE o_orderstatus = 'O'")
     return gtfs.transfers(rows, running).select("from_trip", "to_trip", "seconds")
+
+
+@query(f"WITH {clauses('calls')} SELECT CAST(stop AS STRING) AS stop_id, string_agg(DISTINCT concat('L', CAST(trip % 10 AS STRING)), ',' ORDER BY concat('L', CAST(trip % 10 AS STRING))) AS lines FROM calls GROUP BY stop")
+def stop_lines(spark, sf_dir):
+    load(spark, sf_dir)
+    running = spark.sql("SELECT DISTINCT CAST(trip AS STRING) AS trip_id, concat('L', CAST(trip % 10 AS STRING)) AS route_short_name FROM calls")
+    return gtfs.stop_lines(spark.sql("SELECT CAST(trip AS STRING) AS trip_id, CAST(stop AS STRING) AS stop_id FROM calls"), running)
+
+
+# --- several modes and public transport ----------------------------------------------------------------------------
+#: Rides are looked for from half past seven on.
+CLOCK = 27000.0
+RIDES = f"h AS (SELECT CAST(from_stop AS BIGINT) AS u, CAST(to_stop AS BIGINT) AS v, dep, arr FROM ({HOPS}) WHERE from_stop IS NOT NULL)"
+TRANSIT = WALK.replace("begin_ AS", RIDES + ", begin_ AS").replace(
+    "GROUP BY b.origin, e.to_node)",
+    f"""GROUP BY b.origin, e.to_node
+        UNION
+        SELECT b.origin, h.v, min(h.arr - {CLOCK}e0) FROM best b JOIN h ON h.u = b.node AND h.dep >= {CLOCK}e0 + b.tt LEFT JOIN recurring.best r ON r.origin = b.origin AND r.node = h.v
+        WHERE h.arr - {CLOCK}e0 <= {MAX_TT}e0 AND (r.tt IS NULL OR h.arr - {CLOCK}e0 < r.tt) GROUP BY b.origin, h.v)""",
+)
+
+
+def transit_sql(tail: str) -> str:
+    return f"WITH RECURSIVE {clauses('edges', 'origins', 'destinations', 'calls')}, {TRANSIT} {tail}"
+
+
+def ridden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """labels on foot and in public transport, the net, origins and destinations mapped, and the rides. Stops are nodes
+    of the grid themselves."""
+    net, _, _, o, d = walk(spark, sf_dir)
+    net = net.withColumns({"from_node": F.concat(F.lit("stop "), F.col("from_node").cast("string")), "to_node": F.concat(F.lit("stop "), F.col("to_node").cast("string"))}).drop("incline")
+    hops = timetable(spark, sf_dir)
+    running = hops.select("route_id", F.concat(F.lit("L"), "route_id").alias("route_short_name"), F.lit(3).alias("route_type")).distinct()
+    lines = gtfs.line_edges(hops, running)
+    stops = spark.sql("SELECT CAST(node_id AS STRING) AS stop_id, x, y FROM nodes")
+    rides = once(spark, sf_dir, "rides", lambda: transit.ride_edges(lines, stops, running))
+    keyed_hops = once(spark, sf_dir, "hops", lambda: hops.join(lines, ["from_stop", "to_stop", "route_id"]))
+    labels = once(spark, sf_dir, "transit", lambda: transit.search(transit.starts(o, net, [M.FOOT]), net, [M.FOOT], MAX_TT, rides, keyed_hops, time=CLOCK))
+    return labels, net, o, d, rides
+
+
+@query(transit_sql("SELECT origin, concat('stop ', CAST(node AS STRING)) AS node, round(tt, 6) AS tt FROM best"))
+def transit_labels(spark, sf_dir):
+    """The earliest arrival at every node, on foot and in public transport."""
+    return ridden(spark, sf_dir)[0].select("origin", "node", r6("tt", "tt"))
+
+
+@query(transit_sql("SELECT origin, destination, round(tt, 6) AS tt FROM od"))
+def transit_within_time(spark, sf_dir):
+    labels, net, o, d, _ = ridden(spark, sf_dir)
+    return transit.od_values(labels, o, d, net, [M.FOOT], MAX_TT).select("origin", "destination", r6("tt", "tt"))
+
+
+@query(transit_sql("SELECT origin AS fid, count(DISTINCT node) AS seen_nodes, CAST(sum(n) AS BIGINT) AS seen_edges FROM best JOIN (SELECT from_node AS node, count(*) AS n FROM edges GROUP BY from_node) USING (node) WHERE origin IN (SELECT origin FROM od) GROUP BY origin"))
+def search_effort(spark, sf_dir):
+    labels, net, o, d, _ = ridden(spark, sf_dir)
+    od = transit.od_values(labels, o, d, net, [M.FOOT], MAX_TT)
+    return transit.effort(labels, od, transit.steps(labels, od, CLOCK), net).select("fid", "seen_nodes", "seen_edges").distinct()
+
+
+@query(transit_sql("SELECT origin AS fid, destination AS sid, round(tt, 4) AS tt, round(tt, 4) AS spent FROM od"))
+def transit_legs(spark, sf_dir):
+    """Walks, waits, changes and rides of a way sum up to its time."""
+    labels, net, o, d, _ = ridden(spark, sf_dir)
+    od = once(spark, sf_dir, "transit_od", lambda: transit.od_values(labels, o, d, net, [M.FOOT], MAX_TT))
+    way = once(spark, sf_dir, "transit_way", lambda: transit.steps(labels, od, CLOCK))
+    parts = transit.legs(way)
+    on_foot = way.groupBy("origin", "destination").agg(F.sum(F.when(F.col("trip").isNull(), F.col("ttt")).otherwise(0.0)).alias("walked"), F.bool_or(F.col("trip").isNotNull()).alias("rode"))
+    rows = od.select("origin", "destination", "tt").join(parts, ["origin", "destination"]).join(on_foot, ["origin", "destination"])
+    spent = F.when(F.col("rode"), F.col("access_tt") + F.col("egress_tt") + F.col("interchange_tt") + F.col("pt_tt") + F.col("waiting_time")).otherwise(F.col("walked"))
+    return rows.select(F.col("origin").alias("fid"), F.col("destination").alias("sid"), F.round("tt", 4).alias("tt"), F.round(spent, 4).alias("spent"))
+
+
+PLACES = f"""places AS (SELECT object_id, dist, road, at, sum(new) OVER (PARTITION BY road ORDER BY at, object_id) AS k FROM (
+    SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY road ORDER BY at, object_id) > 1 THEN 1 WHEN lag(at) OVER (PARTITION BY road ORDER BY at, object_id) IS NULL THEN 1 ELSE 0 END AS new
+    FROM (SELECT p.object_id, p.dist, least(e.edge_id, e.opposite_id) AS road, CASE WHEN e.edge_id < e.opposite_id THEN p.pos ELSE 120e0 - p.pos END AS at FROM ({mapped_sql("destinations")}) p JOIN edges e USING (edge_id))))"""
+
+
+@query(f"""WITH {clauses('edges', 'destinations')}, {PLACES}, cuts AS (SELECT road, CAST(max(k) AS BIGINT) AS n FROM places GROUP BY road)
+    SELECT e.edge_id AS road, n + 1 AS pieces, round(120e0, 4) AS length FROM edges e JOIN cuts c ON least(e.edge_id, e.opposite_id) = c.road
+    UNION ALL SELECT concat('on-', CAST(object_id AS STRING)), 1, round(greatest(dist, 0.1), 4) FROM places UNION ALL SELECT concat('off-', CAST(object_id AS STRING)), 1, round(greatest(dist, 0.1), 4) FROM places""")
+def connected_stops(spark, sf_dir):
+    """Suppliers as stops: roads cut where they are, and the links to them."""
+    net, _, destinations, _, d = walk(spark, sf_dir)
+    cut = transit.connected(net.drop("tt"), destinations, d).where(F.col("edge_id").contains("#") | F.col("edge_id").rlike("^(on|off)-"))
+    # Pieces of no length are a little longer than nothing.
+    real = F.when((F.col("length") == transit.LEAST_LENGTH) & F.col("edge_id").contains("#"), G.length(F.col("geom"))).otherwise(F.col("length"))
+    return cut.groupBy(F.substring_index("edge_id", "#", 1).alias("road")).agg(F.count("*").alias("pieces"), F.round(F.sum(real), 4).alias("length"))
+
+
+# --- maps ----------------------------------------------------------------------------------------------------------
+#: Rows and columns of the grid as ways of a map, with tags by their number.
+LINES = "SELECT iy AS line, ix AS place, node_id, iy AS num FROM nodes UNION ALL SELECT 1000000 + ix, iy, node_id, ix FROM nodes"
+
+
+def street_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and ways: 0.001 degrees apart; every fifth way is one-way, every seventh a cycleway, every ninth is new."""
+    load(spark, sf_dir)
+    nodes = spark.sql("SELECT node_id, CAST(iy * 0.001 AS DOUBLE) AS lat, CAST(ix * 0.001 AS DOUBLE) AS lon FROM nodes")
+    rows = spark.sql(LINES).groupBy(F.col("line").alias("way_id"), "num").agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("r"))
+    num = F.col("num")
+    tags = F.map_filter(
+        F.create_map(
+            F.lit("highway"), F.when(num % 9 == 8, "proposed").when(num % 7 == 6, "cycleway").otherwise("residential"), F.lit("oneway"), F.when(num % 5 == 4, "yes"),
+            F.lit("maxspeed"), F.when(num % 4 == 1, "30").when(num % 4 == 2, "20 mph").when(num % 4 == 3, "walk"), F.lit("foot"), F.when(num % 11 == 10, "no"), F.lit("incline"), F.when(num % 3 == 1, "up").when(num % 3 == 2, "-2,5 %"),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return nodes, rows.select("way_id", F.col("r.node_id").alias("refs"), tags.alias("tags"))
+
+
+MAP = f"""lines AS ({LINES}), known AS (SELECT * FROM lines WHERE num % 9 <> 8), used AS (SELECT node_id, count(*) AS n FROM known GROUP BY node_id),
+    marks AS (SELECT k.*, row_number() OVER w AS i, count(*) OVER (PARTITION BY line) AS size, n FROM known k JOIN used USING (node_id) WINDOW w AS (PARTITION BY line ORDER BY place)),
+    stretches AS (SELECT *, coalesce(sum(CASE WHEN i > 1 AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM marks),
+    pieces AS (SELECT line, any_value(num) AS num, piece, arg_max(node_id, i) AS last, count(*) AS parts FROM stretches WHERE i > 1 GROUP BY line, piece),
+    firsts AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY line ORDER BY piece), (SELECT node_id FROM known k WHERE k.line = p.line AND place = 0)) AS first FROM pieces p),
+    kinds AS (SELECT *, (CASE WHEN num % 7 = 6 THEN 4 ELSE 30 END) & (CASE WHEN num % 11 = 10 THEN ~2 ELSE ~0 END) AS f, CASE num % 4 WHEN 1 THEN 30e0 WHEN 2 THEN 20 * 1.609344e0 WHEN 3 THEN 5e0 ELSE CASE WHEN num % 7 = 6 THEN 10e0 ELSE 50e0 END END AS vmax, CASE num % 3 WHEN 1 THEN 6e0 WHEN 2 THEN -2.5e0 END AS incline FROM firsts),
+    ways AS (SELECT *, CASE WHEN num % 5 = 4 THEN f & 2 ELSE f END AS b, concat(CAST(line AS STRING), '#', CAST(CAST(piece AS BIGINT) AS STRING)) AS name FROM kinds)"""
+
+
+@query(f"""WITH {clauses('nodes')}, {MAP}
+    SELECT concat('f', name) AS edge_id, CASE WHEN b <> 0 THEN concat('b', name) END AS opposite_id, first AS from_node, last AS to_node, CAST(f AS BIGINT) AS modes, round(vmax, 6) AS vmax, incline, CAST(parts + 1 AS BIGINT) AS points FROM ways WHERE f <> 0
+    UNION ALL SELECT concat('b', name), CASE WHEN f <> 0 THEN concat('f', name) END, last, first, CAST(b AS BIGINT), round(vmax, 6), -incline, CAST(parts + 1 AS BIGINT) FROM ways WHERE b <> 0""")
+def map_roads(spark, sf_dir):
+    """Ways of a map become edges, cut where they meet."""
+    nodes, ways = street_map(spark, sf_dir)
+    return osm.road_edges(ways, nodes).select("edge_id", "opposite_id", "from_node", "to_node", "modes", r6("vmax", "vmax"), "incline", F.size("nodes").cast("bigint").alias("points"))
+
+
+@query(f"WITH {clauses('nodes')} SELECT node_id, count(*) AS n FROM ({LINES}) GROUP BY node_id")
+def map_node_use(spark, sf_dir):
+    return osm.node_use(street_map(spark, sf_dir)[1])
+
+
+DEFINITION = """
+[node]
+brand=Brand#11 & size!~^1
+[way]
+type~^ECO
+[*]
+name=red widget
+"""
+
+
+@query("""SELECT k AS kind, CAST(p_partkey AS BIGINT) AS id, t AS type FROM part, (VALUES ('node', 'brand=Brand#11 & size!~^1'), ('way', 'type~^ECO'), ('node', 'name=red widget'), ('way', 'name=red widget'), ('rel', 'name=red widget')) d(k, t)
+    WHERE k = CASE p_partkey % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'rel' END
+    AND CASE t WHEN 'type~^ECO' THEN p_type LIKE 'ECO%' WHEN 'name=red widget' THEN p_name = 'red widget' ELSE p_brand = 'Brand#11' AND NOT CAST(p_size AS STRING) LIKE '1%' END""")
+def map_structures(spark, sf_dir):
+    """Parts as elements of a map, their columns as tags."""
+    load(spark, sf_dir)
+    rows = spark.sql("SELECT CAST(p_partkey AS BIGINT) AS id, map('brand', p_brand, 'type', p_type, 'name', p_name, 'size', CAST(p_size AS STRING)) AS tags FROM part")
+    of = lambda k, name: rows.where(F.col("id") % 3 == k).select(F.col("id").alias(name), "tags")
+    return osm.structures(DEFINITION, of(0, "node_id"), of(1, "way_id"), of(2, "relation_id"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT CAST(p_partkey AS BIGINT) AS r, 'relation' AS type, CAST(2 * p_partkey AS BIGINT) AS ref FROM part WHERE 2 * p_partkey <= (SELECT max(p_partkey) FROM part) AND p_partkey > 0 UNION ALL SELECT CAST(p_partkey AS BIGINT), 'way', CAST(p_partkey + 5 AS BIGINT) FROM part),
+    c(root, type, ref) AS (SELECT r, type, ref FROM m UNION SELECT c.root, m.type, m.ref FROM c JOIN m ON c.type = 'relation' AND m.r = c.ref)
+    SELECT root, type, ref FROM c WHERE type = 'way'""")
+def map_members(spark, sf_dir):
+    """Relations with one relation and one way each: all ways below them."""
+    load(spark, sf_dir)
+    relations = spark.sql("SELECT CAST(p_partkey AS BIGINT) AS relation_id, CASE WHEN p_partkey > 0 AND 2 * p_partkey <= (SELECT max(p_partkey) FROM part) THEN array(named_struct('type', 'relation', 'ref', CAST(2 * p_partkey AS BIGINT), 'role', 'outer'), named_struct('type', 'way', 'ref', CAST(p_partkey + 5 AS BIGINT), 'role', 'outer')) ELSE array(named_struct('type', 'way', 'ref', CAST(p_partkey + 5 AS BIGINT), 'role', 'outer')) END AS members FROM part")
+    return osm.members_of(relations, relations.select("relation_id")).select("root", "type", "ref")
+
+
+@query("""WITH s AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 7919) % 5000 AS x, (c_custkey * 104729) % 5000 AS y, CASE WHEN c_custkey % 10 = 0 THEN 400e0 ELSE 10e0 END AS w FROM customer)
+    SELECT a.id AS inner_id, b.id AS outer_id FROM s a JOIN s b ON a.w < b.w AND a.x + 0.5e0 > b.x AND a.x + 0.5e0 + a.w < b.x + b.w AND a.y + 0.5e0 > b.y AND a.y + 0.5e0 + a.w < b.y + b.w""")
+def map_rings_within(spark, sf_dir):
+    """Small squares that lie in large ones."""
+    load(spark, sf_dir)
+    squares = spark.sql("SELECT CAST(c_custkey AS BIGINT) AS id, CAST((c_custkey * 7919) % 5000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 5000 AS DOUBLE) AS y, c_custkey % 10 = 0 AS large FROM customer")
+    ring = lambda d, w: F.array(*(G.point(F.col("x") + d + i * w, F.col("y") + d + j * w) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))).alias("ring")
+    return osm.within(squares.where("not large").select("id", ring(0.5, 10.0)), squares.where("large").select("id", ring(0.0, 400.0)), 200.0)
+
+
+@query(f"WITH {clauses('edges')} SELECT min(least(x1, x2)) AS x1, min(least(y1, y2)) AS y1, max(greatest(x1, x2)) AS x2, max(greatest(y1, y2)) AS y2 FROM edges")
+def net_bounds(spark, sf_dir):
+    return network.bounds(shaped_edges(load(spark, sf_dir, "edges")[0]))
+
+
+@query("SELECT CAST(floor(o_totalprice / 25000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY bin")
+def price_histogram(spark, sf_dir):
+    load(spark, sf_dir)
+    return aggregate.histogram(spark.table("orders").select(F.col("o_totalprice").cast("double").alias("o_totalprice")), "o_totalprice", 25000.0)

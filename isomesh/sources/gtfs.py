@@ -105,6 +105,54 @@ def transfer_time(new: Column, old: Column, found: Column) -> Column:
     return F.when(new == old, 0).otherwise(F.coalesce(found, F.lit(0)))
 
 
+def load(spark: SparkSession, folder: str, day: int, zone: int | None = None, carriers: list[int] | None = None, box: tuple[float, float, float, float] | None = None, compat: bool = False) -> dict[str, DataFrame] | None:
+    """What runs on a day: stops, running (trips), hops (repaired, with edge_id of their line) and lines, and transfers;
+    None if no trip runs. calendar_dates and transfers may be absent."""
+
+    def optional(name: str) -> DataFrame | None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.txt")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return read(spark, folder, name) if there else None
+
+    running = trips(read(spark, folder, "trips"), services(read(spark, folder, "calendar"), optional("calendar_dates"), day, compat), routes(read(spark, folder, "routes"), carriers))
+    if not running.limit(1).count():
+        return None
+    places = stops(read(spark, folder, "stops"), zone, box)
+    rides = repaired(hops(times(read(spark, folder, "stop_times")), running))
+    known = places.select("stop_id")
+    for end in ("from_stop", "to_stop"):
+        rides = rides.join(known, F.col(end) == F.col("stop_id"), "left_semi")
+    lines = line_edges(rides, running)
+    rides = rides.join(lines, ["from_stop", "to_stop", "route_id"])
+    found = optional("transfers")
+    return {"stops": places, "running": running, "hops": rides, "lines": lines, "transfers": None if found is None else transfers(found, running)}
+
+
+def carriers_of(text: str) -> list[int]:
+    """The kinds of routes that a restriction lists, divided by commas."""
+    return [int(x) for x in filter(None, (t.strip() for t in text.split(",")))]
+
+
+def stop_lines(stop_times: DataFrame, running: DataFrame) -> DataFrame:
+    """stop_id, lines: the names of all lines that serve a stop, in order, divided by commas."""
+    served = stop_times.select("trip_id", "stop_id").join(running.select("trip_id", "route_short_name"), "trip_id")
+    return served.groupBy("stop_id").agg(F.array_join(F.array_sort(F.collect_set("route_short_name")), ",").alias("lines"))
+
+
+#: The columns of a feed's tables that become numbers, and those that have to be there.
+NUMBERS = {"stop_lat": "double", "stop_lon": "double", "location_type": "int", "route_type": "int", "direction_id": "int", "stop_sequence": "int", "pickup_type": "int", "drop_off_type": "int", "shape_dist_traveled": "double", "exception_type": "int", "transfer_type": "int", "min_transfer_time": "int"}
+NEEDED = {"stops": ["stop_id"], "routes": ["route_id", "route_type"], "trips": ["route_id", "service_id", "trip_id"], "stop_times": ["trip_id", "stop_id", "stop_sequence"], "calendar": ["service_id", *WEEKDAYS, "start_date", "end_date"], "calendar_dates": ["service_id", "date", "exception_type"], "transfers": ["from_stop_id", "to_stop_id", "transfer_type"]}
+
+
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """A file of the feed as a table: numbers as numbers, -1 where there is none (0 for the least transfer time). A
+    column that has to be there and is not is an error."""
+    if absent := [c for c in NEEDED.get(name, []) if c not in df.columns]:
+        raise ValueError(f"{name} needs {', '.join(absent)}")
+    value = lambda c: F.coalesce(F.trim(F.col(c)).try_cast(NUMBERS[c]), F.lit(0 if c == "min_transfer_time" else -1).cast(NUMBERS[c])).alias(c)
+    return df.select(*(value(c) if c in NUMBERS else F.col(c) for c in df.columns))
+
+
 def next_departure(waiting: DataFrame, connections: DataFrame, keys: list[str]) -> DataFrame:
     """waiting (keys, time) with the connection that arrives first among those that leave at ``time`` or later:
     dep, arr, trip_id, null if there is none.

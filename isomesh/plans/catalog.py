@@ -523,14 +523,13 @@ def stop_lines(spark, sf_dir):
 # --- several modes and public transport ----------------------------------------------------------------------------
 #: Rides are looked for from half past seven on.
 CLOCK = 27000.0
-RIDES = f"h AS (SELECT CAST(from_stop AS BIGINT) AS u, CAST(to_stop AS BIGINT) AS v, dep, arr FROM ({HOPS}) WHERE from_stop IS NOT NULL)"
-TRANSIT = WALK.replace("begin_ AS", RIDES + ", begin_ AS").replace(
-    "GROUP BY b.origin, e.to_node)",
-    f"""GROUP BY b.origin, e.to_node
+MOVES = f"moves AS (SELECT from_node AS u, to_node AS v, length, NULL::BIGINT AS dep, NULL::BIGINT AS arr FROM edges UNION ALL SELECT CAST(from_stop AS BIGINT), CAST(to_stop AS BIGINT), NULL, dep, arr FROM ({HOPS}) WHERE from_stop IS NOT NULL)"
+TRANSIT = f"""{MOVES}, {WALK[: WALK.index("best(origin")]}best(origin, node, tt) USING KEY (origin, node) AS (
+        SELECT origin, node, tt FROM begin_
         UNION
-        SELECT b.origin, h.v, min(h.arr - {CLOCK}e0) FROM best b JOIN h ON h.u = b.node AND h.dep >= {CLOCK}e0 + b.tt LEFT JOIN recurring.best r ON r.origin = b.origin AND r.node = h.v
-        WHERE h.arr - {CLOCK}e0 <= {MAX_TT}e0 AND (r.tt IS NULL OR h.arr - {CLOCK}e0 < r.tt) GROUP BY b.origin, h.v)""",
-)
+        SELECT b.origin, m.v, min(coalesce(m.arr - {CLOCK}e0, b.tt + m.length)) FROM best b JOIN moves m ON m.u = b.node LEFT JOIN recurring.best r ON r.origin = b.origin AND r.node = m.v
+        WHERE (m.dep IS NULL OR m.dep >= {CLOCK}e0 + b.tt) AND coalesce(m.arr - {CLOCK}e0, b.tt + m.length) <= {MAX_TT}e0 AND (r.tt IS NULL OR coalesce(m.arr - {CLOCK}e0, b.tt + m.length) < r.tt) GROUP BY b.origin, m.v),
+    {WALK[WALK.index("ways AS") :]}"""
 
 
 def transit_sql(tail: str) -> str:
@@ -584,9 +583,9 @@ def transit_legs(spark, sf_dir):
     return rows.select(F.col("origin").alias("fid"), F.col("destination").alias("sid"), F.round("tt", 4).alias("tt"), F.round(spent, 4).alias("spent"))
 
 
-PLACES = f"""places AS (SELECT object_id, dist, road, at, sum(new) OVER (PARTITION BY road ORDER BY at, object_id) AS k FROM (
-    SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY road ORDER BY at, object_id) > 1 THEN 1 WHEN lag(at) OVER (PARTITION BY road ORDER BY at, object_id) IS NULL THEN 1 ELSE 0 END AS new
-    FROM (SELECT p.object_id, p.dist, least(e.edge_id, e.opposite_id) AS road, CASE WHEN e.edge_id < e.opposite_id THEN p.pos ELSE 120e0 - p.pos END AS at FROM ({mapped_sql("destinations")}) p JOIN edges e USING (edge_id))))"""
+PLACES = f"""places AS (SELECT object_id, dist, road, spot, sum(new) OVER (PARTITION BY road ORDER BY spot, object_id) AS k FROM (
+    SELECT *, CASE WHEN spot - lag(spot) OVER (PARTITION BY road ORDER BY spot, object_id) > 1 THEN 1 WHEN lag(spot) OVER (PARTITION BY road ORDER BY spot, object_id) IS NULL THEN 1 ELSE 0 END AS new
+    FROM (SELECT p.object_id, p.dist, least(e.edge_id, e.opposite_id) AS road, CASE WHEN e.edge_id < e.opposite_id THEN p.pos ELSE 120e0 - p.pos END AS spot FROM ({mapped_sql("destinations")}) p JOIN edges e USING (edge_id))))"""
 
 
 @query(f"""WITH {clauses('edges', 'destinations')}, {PLACES}, cuts AS (SELECT road, CAST(max(k) AS BIGINT) AS n FROM places GROUP BY road)

@@ -187,6 +187,7 @@ def road_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     q = F.col("piece")
     steps = F.transform(F.slice(q, 1, F.size(q) - 1), lambda a, i: G.haversine(a["lat"], a["lon"], q[i + 1]["lat"], q[i + 1]["lon"]))
     e = e.withColumns({"length": F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), "vmax": F.greatest("vmax", F.lit(5.0)), "number": F.concat(F.col("way_id").cast("string"), F.lit("#"), F.col("i").cast("string"))})
+    e = settled(e.drop("way_id", "i"), "pieces")
 
     def way(letter: str, other: str, sign: int) -> DataFrame:
         line = q if sign > 0 else F.reverse(q)

@@ -48,7 +48,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     """nodes, ways and relations of XML files."""
     part = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     # Of a key that is given twice, the last value counts.
-    tags = F.map_from_entries(F.coalesce(F.transform(F.array_distinct(F.transform("tag", lambda t: t["_k"])), lambda k: F.struct(k, F.element_at(F.filter("tag", lambda t: t["_k"] == k), -1)["_v"])), F.array().cast("array<struct<a:string,b:string>>"))).alias("tags")
+    tags = F.map_from_entries(F.coalesce(F.transform(F.array_distinct(F.transform("tag", lambda t: t["_k"])), lambda k: F.struct(k.alias("a"), F.element_at(F.filter("tag", lambda t: t["_k"] == k), -1)["_v"].alias("b"))), F.array().cast("array<struct<a:string,b:string>>"))).alias("tags")
     nodes = part("node", f"_id bigint, _lat double, _lon double, {TAGS}").select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), tags)
     ways = part("way", f"_id bigint, nd array<struct<_ref:bigint>>, {TAGS}").select(F.col("_id").alias("way_id"), F.coalesce(F.col("nd._ref"), F.array().cast("array<bigint>")).alias("refs"), tags)
     members = F.transform("member", lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role")))

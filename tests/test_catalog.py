@@ -6,7 +6,7 @@ import pytest
 from isomesh.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["od_within_time", "map_origins", "limit_value", "od_measures_by_areas", "od_statistics", "subnet_cells", "crossing_delays", "net_lines", "next_arrivals", "running_services"]
+NAMES = ["od_within_time", "map_origins", "limit_value", "od_measures_by_areas", "od_statistics", "subnet_cells", "crossing_delays", "net_lines", "next_arrivals", "running_services", "transit_labels", "map_roads"]
 
 
 @pytest.fixture(scope="module")

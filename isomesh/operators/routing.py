@@ -70,6 +70,28 @@ def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, ed
     return least.where(~F.col("l.behind") & (F.col("l.tt") <= max_tt)).select("origin", "destination", "l.dist", "l.tt")
 
 
+def last_edges(od: DataFrame, labels: DataFrame, origins: DataFrame, destinations: DataFrame, edges: DataFrame) -> DataFrame:
+    """origin, destination, edge, node, tt: the edge on which the quickest way of each pair in ``od`` ends, from either
+    side of the destination, and the node where it enters that edge (null: the origin is on it). Ties: a way along the
+    origin's own edge, then the smaller edge id. origins, destinations: object_id, edge_id, pos.
+    """
+    e = edges.select("edge_id", "from_node", "length", "tt", "opposite_id")
+    back = edges.select(F.col("edge_id").alias("o_id"), F.col("from_node").alias("o_from"), F.col("tt").alias("o_tt"))
+
+    def sides(objects: DataFrame, name: str) -> DataFrame:
+        on = objects.select(F.col("object_id").alias(name), "edge_id", "pos").join(e, "edge_id")
+        here = on.select(name, F.col("edge_id").alias("edge"), F.col("from_node").alias("node"), F.col("pos").alias("run"), (F.col("tt") / F.col("length")).alias("pace"))
+        there = on.join(back, F.col("opposite_id") == F.col("o_id"))
+        return here.union(there.select(name, "o_id", "o_from", F.col("length") - F.col("pos"), F.col("o_tt") / F.col("length")))
+
+    ends = od.select("origin", "destination").join(sides(destinations, "destination"), "destination")
+    through = ends.join(labels.select("origin", "node", F.col("tt").alias("so_far")), ["origin", "node"]).select("origin", "destination", "edge", "node", (F.col("so_far") + F.col("run") * F.col("pace")).alias("tt"))
+    begins = sides(origins, "origin").select("origin", "edge", F.col("run").alias("o_run"))
+    direct = ends.join(begins, ["origin", "edge"]).where("o_run <= run").select("origin", "destination", "edge", F.lit(None).cast("bigint").alias("node"), ((F.col("run") - F.col("o_run")) * F.col("pace")).alias("tt"))
+    least = through.union(direct).groupBy("origin", "destination").agg(F.min(F.struct("tt", F.col("node").isNotNull().alias("far"), "edge", "node")).alias("l"))
+    return least.select("origin", "destination", "l.edge", "l.node", "l.tt")
+
+
 def search_ordered(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), max_dist: float = float("inf"), delays: DataFrame | None = None) -> DataFrame:
     """origin, node, tt, dist, edge, before: labels in the order of time, with turn delays (from_edge, to_edge, delay)
     and bounds on time and distance.

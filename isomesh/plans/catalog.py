@@ -253,13 +253,31 @@ def od_pairs_routed(spark, sf_dir):
     return od.join(pairs, ["origin", "destination"], "left_semi").select("origin", "destination", r6("tt", "tt"))
 
 
-@query()
+STEPS = {
+    "pred": """SELECT origin, node, edge, before FROM (SELECT *, row_number() OVER (PARTITION BY origin, node ORDER BY edge, before NULLS FIRST) AS k FROM (
+        SELECT origin, to_node AS node, 120e0 - pos AS tt, edge_id AS edge, CAST(NULL AS BIGINT) AS before FROM o UNION ALL SELECT origin, from_node, pos, opposite_id, NULL FROM o
+        UNION ALL SELECT b.origin, e.to_node, b.tt + e.length, e.edge_id, b.node FROM best b JOIN edges e ON e.from_node = b.node) JOIN best USING (origin, node, tt)) WHERE k = 1""",
+    "near": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY tt, destination) AS k FROM od) WHERE k = 1",
+    "d_sides": "SELECT destination, edge_id AS edge, from_node AS node, pos AS run FROM d UNION ALL SELECT destination, opposite_id, to_node, 120e0 - pos FROM d",
+    "o_sides": "SELECT origin, edge_id AS edge, pos AS o_run FROM o UNION ALL SELECT origin, opposite_id, 120e0 - pos FROM o",
+    "ends": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY tt, node IS NOT NULL, edge) AS k FROM (
+        SELECT n.origin, n.destination, s.edge, s.node, b.tt + s.run AS tt FROM near n JOIN d_sides s USING (destination) JOIN best b ON b.origin = n.origin AND b.node = s.node
+        UNION ALL SELECT n.origin, n.destination, s.edge, NULL, s.run - o_run FROM near n JOIN d_sides s USING (destination) JOIN o_sides x ON x.origin = n.origin AND x.edge = s.edge WHERE o_run <= s.run)) WHERE k = 1""",
+    "back": """SELECT e.origin, e.destination, p.edge, p.node, p.before, 1 AS turn FROM ends e JOIN pred p ON p.origin = e.origin AND p.node = e.node
+        UNION ALL SELECT w.origin, w.destination, p.edge, p.node, p.before, turn + 1 FROM back w JOIN pred p ON p.origin = w.origin AND p.node = w.before""",
+    "lengths": "SELECT e.origin, e.destination, CAST(count(w.edge) AS INTEGER) AS n FROM ends e LEFT JOIN back w ON w.origin = e.origin AND w.destination = e.destination GROUP BY e.origin, e.destination",
+    "steps": """SELECT w.origin, w.destination, n - turn AS idx, n, w.edge, b.tt FROM back w JOIN lengths l ON w.origin = l.origin AND w.destination = l.destination JOIN best b ON b.origin = w.origin AND b.node = w.node
+        UNION ALL SELECT e.origin, e.destination, n, n, e.edge, e.tt FROM ends e JOIN lengths l ON e.origin = l.origin AND e.destination = l.destination""",
+}
+
+
+@query(od_sql("SELECT edge AS eid, round(sum(value * weight), 6) AS num, round(sum(weight), 6) AS origins_weight, round(sum(value * weight) / sum(weight), 6) AS normed FROM steps JOIN near USING (origin, destination) GROUP BY edge", **STEPS))
 def edge_use_by_nearest(spark, sf_dir):
-    """How much value goes over each edge on the ways to the nearest destinations (paths of equal time differ)."""
+    """How much value goes over each edge on the ways to the nearest destinations."""
     net, origins, destinations, o, d = walk(spark, sf_dir)
     labels = labels_of(spark, sf_dir, net, o)
     goals, steps = nearest_ways(net, o, d, labels, destinations, origins)
-    return aggregate.edge_use(steps, goals, "all", "all").select("eid", "num", "origins_weight", r6("normed", "normed"))
+    return aggregate.edge_use(steps, goals, "all", "all").select("eid", *(r6(c, c) for c in ("num", "origins_weight", "normed")))
 
 
 def nearest_ways(net, o, d, labels, destinations, origins):
@@ -267,20 +285,25 @@ def nearest_ways(net, o, d, labels, destinations, origins):
     od = routing.od_values(labels, o, d, net, MAX_TT)
     od = od.join(destinations.select(F.col("object_id").alias("destination"), "value"), "destination").join(origins.select(F.col("object_id").alias("origin"), "weight"), "origin")
     best = limits.nearest(od)
-    ends = best.join(d.select(F.col("object_id").alias("destination"), F.col("edge_id").alias("d_edge")), "destination").join(net.select(F.col("edge_id").alias("d_edge"), F.col("from_node").alias("node")), "d_edge")
-    walked = routing.paths(labels, ends.select("origin", "node"))
-    steps = ends.join(walked.withColumnRenamed("node", "at_node"), (ends["origin"] == walked["origin"]) & (F.col("node") == F.col("goal"))).select(ends["origin"], "destination", "idx", "edge", walked["tt"])
-    last = ends.select("origin", "destination", F.lit(100000).alias("idx"), F.col("d_edge").alias("edge"), F.col("tt"))
+    ends = settled(routing.last_edges(best, labels, o, d, net), "ends")
+    walked = routing.paths(labels, ends.where("node is not null").select("origin", "node")).withColumnRenamed("node", "at_node").drop("tt")
+    steps = settled(ends.join(walked.withColumnRenamed("edge", "step").withColumnRenamed("goal", "node"), ["origin", "node"]).join(labels.select("origin", F.col("node").alias("at_node"), F.col("tt").alias("step_tt")), ["origin", "at_node"]).select("origin", "destination", "idx", F.col("step").alias("edge"), F.col("step_tt").alias("tt")), "steps")
+    before = steps.groupBy("origin", "destination").agg(F.count("*").alias("n"))
+    last = ends.join(before, ["origin", "destination"], "left").select("origin", "destination", F.coalesce("n", F.lit(0)).cast("int").alias("idx"), "edge", "tt")
     return best, steps.union(last)
 
 
-@query()
+PLACED = "SELECT s.*, e.x1 + (e.x2 - e.x1) * t.a / 120e0 AS bx, e.y1 + (e.y2 - e.y1) * t.a / 120e0 AS by_, e.x1 + (e.x2 - e.x1) * t.b / 120e0 AS ex, e.y1 + (e.y2 - e.y1) * t.b / 120e0 AS ey FROM steps s JOIN edges e ON e.edge_id = s.edge JOIN (SELECT s.origin, s.destination, idx, CASE WHEN idx = 0 THEN o_run ELSE 0e0 END AS a, CASE WHEN idx = n THEN run ELSE 120e0 END AS b FROM steps s LEFT JOIN o_sides o ON o.origin = s.origin AND o.edge = s.edge LEFT JOIN d_sides d ON d.destination = s.destination AND d.edge = s.edge) t ON t.origin = s.origin AND t.destination = s.destination AND t.idx = s.idx"
+
+
+@query(od_sql("SELECT origin, destination, idx, edge, round(tt, 6) AS tt, round(bx, 6) AS begin_x, round(by_, 6) AS begin_y, round(ex, 6) AS end_x, round(ey, 6) AS end_y FROM placed", **STEPS, placed=PLACED))
 def path_rows(spark, sf_dir):
     """The rows of the ways to the nearest destinations."""
     net, origins, destinations, o, d = walk(spark, sf_dir)
     labels = labels_of(spark, sf_dir, net, o)
     _, steps = nearest_ways(net, o, d, labels, destinations, origins)
-    return measures.path_rows(steps, net, o, d).select("origin", "destination", "idx", "edge", r6("tt", "tt"), G.to_wkt(F.col("geom")).alias("geom"))
+    rows = measures.path_rows(steps, net, o, d).withColumns({"begin": F.element_at("geom", 1), "end": F.element_at("geom", -1)})
+    return rows.select("origin", "destination", "idx", "edge", r6("tt", "tt"), *(r6(f"{p}.{c}", f"{p}_{c}") for p in ("begin", "end") for c in "xy"))
 
 
 # --- the network ---------------------------------------------------------------------------------------------------

@@ -128,6 +128,23 @@ def test_paths_and_their_rows(three):
     assert [[(p.x, p.y) for p in r.geom] for r in rows] == [[(360, 10), (420, 10)], [(420, 10), (600, 10)]]
 
 
+def test_ways_end_from_either_side(spark):
+    """The origin stands before the loop's far node: the quicker way enters the destination's edge against it."""
+    e = spark.createDataFrame(
+        [("a", "a_", 1, 2, 100.0, 100.0), ("a_", "a", 2, 1, 100.0, 100.0), ("b", "b_", 3, 2, 100.0, 100.0), ("b_", "b", 2, 3, 100.0, 100.0)],
+        "edge_id string, opposite_id string, from_node bigint, to_node bigint, length double, tt double",
+    )
+    at = "object_id bigint, edge_id string, pos double"
+    o = spark.createDataFrame([(1, "a", 40.0)], at)
+    d = spark.createDataFrame([(5, "b", 70.0), (6, "a", 90.0), (7, "a", 10.0)], at)
+    labels = routing.search(routing.starts(o, e), e, 900.0)
+    od = routing.od_values(labels, o, d, e, 900.0)
+    got = routing.last_edges(od, labels, o, d, e).select("destination", "edge", "node", "tt").collect()
+    assert sorted(map(tuple, got)) == [(5, "b_", 2, 90.0), (6, "a", None, 50.0), (7, "a_", None, 30.0)]
+    assert {r.destination: r.tt for r in od.collect()} == {5: 90.0, 6: 50.0, 7: 30.0}
+    assert routing.last_edges(od.limit(0), labels, o, d, e).count() == 0
+
+
 def test_other_modes(spark):
     for mode, seconds in ((M.FOOT, 100.0), (M.BIKE, 27.69), (M.CAR, 7.2)):
         e = net(spark, BOTH_WAYS, mode)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isomesh.llm import langid, near, order, packing, pieces, pii, quality, secrets, sitestyle, toxic
+from isomesh.llm import audit, langid, licences, middle, near, order, packing, pieces, pii, quality, secrets, sitestyle, toxic
 from isomesh.llm.work import table
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_piece_lattice": lambda spark, sf_dir: pieces.encode(table(spark, sf_dir, "documents")),
     "op9_bag_minhash": lambda spark, sf_dir: near.report(table(spark, sf_dir, "documents")),
     "op10_pii": lambda spark, sf_dir: pii.report(table(spark, sf_dir, "documents")),
+    "op11_filter_audit": lambda spark, sf_dir: audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op12_license_scan": lambda spark, sf_dir: licences.report(table(spark, sf_dir, "documents")),
+    "op13_fill_in_middle": lambda spark, sf_dir: middle.report(table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": audit.SQL, "op13_fill_in_middle": middle.SQL}

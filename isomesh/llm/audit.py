@@ -187,14 +187,18 @@ COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lo
 
 
 def report(docs: DataFrame, labels: DataFrame, fingerprint: Column | None = None) -> DataFrame:
-    """A row for each part, order of the filters and step."""
+    """A row for each part, order of the filters and step; an error if these don't account for every row."""
     spark = docs.sparkSession
     met = masked(docs, fingerprint).join(labelled(labels), F.col("doc_id") == F.col("id"), "left")
     rows = met.select("part", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0))).rdd
     # A vector for each part and task crosses the network, however many rows a part has.
     vectors = rows.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(lambda row: put(empty_vector(), row), put, np.add, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = vectors.flatMap(lambda kv: ((kv[0], *row) for row in audit(kv[1])))
-    return spark.createDataFrame(made, ", ".join(["part string, filter_order string, step int", *(f"{c} bigint" for c in COUNTS)]), verifySchema=False)
+    made = vectors.flatMap(lambda kv: ((kv[0], int(kv[1][0].sum()), *row) for row in audit(kv[1])))
+    steps = spark.createDataFrame(made, ", ".join(["part string, counted bigint, filter_order string, step int", *(f"{c} bigint" for c in COUNTS)]), verifySchema=False)
+    # An audit that lost or doubled rows on its way is worth nothing: every part must come to what the table itself has.
+    held = chosen(docs, ("lang", "string")).fillna("").groupBy(F.col("lang").alias("held")).agg(F.count("*").alias("rows"))
+    whole = F.assert_true(F.col("counted").eqNullSafe(F.col("rows")), F.concat(F.lit("rows were lost or doubled in part "), F.col("held")))
+    return held.join(steps, F.col("held") == F.col("part"), "left").withColumn("kept", F.coalesce(whole.cast("bigint"), "kept")).select("part", "filter_order", "step", *COUNTS)
 
 
 #: The report for DuckDB: every document against every order.

@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     assert audit.report(none, labels).count() == 0
     rows = audit.report(odd_documents(spark, [None]), labels).collect()
     assert len(rows) == 600 and {r.part for r in rows} == {""}
+
+
+def test_lost_rows_are_an_error(spark, monkeypatch):
+    docs, labels = odd_documents(spark, ODD), spark.createDataFrame([], LABELS)
+    whole = audit.masked(docs).collect()
+    lost = spark.createDataFrame(whole[1:], "doc_id bigint, part string, mask int, n bigint")
+    monkeypatch.setattr(audit, "masked", lambda *_: lost)
+    with pytest.raises(Exception, match="lost or doubled"):
+        audit.report(docs, labels).collect()

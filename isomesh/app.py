@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from isomesh.functions import modes as M
 from isomesh.operators import aggregate, limits, mapping, measures, network, sinks, transit
 from isomesh.operators.state import settled
+from isomesh.operators.ways import Enough
 from isomesh.sources import gtfs, tables
 
 #: Names of options and what they are by default; None: not given.
@@ -76,11 +77,20 @@ def modes_of(o: dict[str, object]) -> list[M.Mode]:
     return out
 
 
+class NetworkError(ValueError):
+    """A network that can't be used. ``outputs``: what is known of it and asked for, to be written nevertheless."""
+
+    def __init__(self, message: str, outputs: dict[str, DataFrame]):
+        super().__init__(message)
+        self.outputs = outputs
+
+
 def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFrame]:
     """The result relations that options ask for, by option, not yet written.
 
-    Limits hold for each origin (and type of destination). Searches end at ``max-tt``; without it they go through the
-    whole network, as the nearest or first destinations are taken from complete results.
+    Limits hold for each origin (and type of destination). Searches end at ``max-tt``, and before it once an origin has
+    the destinations that ``shortest``, ``max-number`` or ``max-variable-sum`` ask for; not where that can't be told on
+    the way: with given pairs, a largest distance, rides required, delays or speeds by time, or measures besides time.
     """
     o = options_of(given)
     if absent := [n for n in MANDATORY if o[n] is None] + (["date"] if o["pt"] and not o["date"] else []):
@@ -100,8 +110,11 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
         out["net-errors-output"] = sinks.shaped(errors, "net_errors")
     if o["net.patch-errors"]:
         edges = network.patched(edges)
-    elif (broken := errors.limit(5).collect()) and not o["net.report-all-errors"]:
-        raise ValueError("; ".join(f"{r.description}: {r.edge1}" for r in broken))
+    else:
+        # One of each kind stands for the others, unless all are asked for.
+        each = errors if o["net.report-all-errors"] else errors.groupBy("description").agg(F.min("edge1").alias("edge1"), F.count("*").alias("n"))
+        if told := [f"{r.description}: {r.edge1}" + ("" if "n" not in each.columns or r.n == 1 else f" and {r.n - 1} more") for r in each.orderBy("description", "edge1").toLocalIterator()]:
+            raise NetworkError("; ".join(told), out)
     if o["net.incline"]:
         edges = network.inclined(edges)
     if o["net.vmax-model"] != "none":
@@ -164,15 +177,23 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
         nodes = edges.select(F.col("from_node").try_cast("bigint").alias("node_id")).union(edges.select(F.col("to_node").try_cast("bigint")))
         changes = tables.mode_changes(spark, str(o["mode-changes"]), nodes)
     max_tt = float(o["max-tt"]) if o["max-tt"] is not None else float("inf")
-    labels = transit.search(transit.starts(from_road, edges, modes), edges, modes, max_tt, rides, hops, transfers, changes, delays, speeds, time, str(o["routing-measure"]), float(o["routing-measure.param1"]), float(o["routing-measure.param2"]))
-    od = transit.od_values(labels, from_road, to_road, edges, modes, max_tt, bool(o["requirespt"]))
+    types = tables.types(spark, str(o["to-types"])) if o["to-types"] else None
+    number = lambda n, kind: None if o[n] is None else kind(o[n])
+    bounds = arrive = None
+    told = not any(o[n] for n in ("od-connections", "requirespt", "traveltimes")) and delays is None and o["max-distance"] is None
+    if told and o["routing-measure"] in ("tt", "tt_mode") and (o["shortest"] or o["max-number"] is not None or o["max-variable-sum"] is not None):
+        first = 1 if o["shortest"] else number("max-number", int)
+        kinds = None if types is None else settled(types.select(F.col("id").alias("destination"), "type"), "types")
+        enough = Enough(first, None if first is not None else number("max-variable-sum", float), goals.select(F.col("object_id").alias("destination"), "value"), kinds)
+        bounds, arrive = transit.ending(enough, from_road, to_road, edges, modes)
+    labels = transit.search(transit.starts(from_road, edges, modes, speeds, time), edges, modes, max_tt, rides, hops, transfers, changes, delays, speeds, time, str(o["routing-measure"]), float(o["routing-measure.param1"]), float(o["routing-measure.param2"]), bounds=bounds, arrive=arrive)
+    od = transit.od_values(labels, from_road, to_road, edges, modes, max_tt, bool(o["requirespt"]), speeds, delays, time)
     if o["od-connections"]:
         od = od.join(tables.od_pairs(spark, str(o["od-connections"])).distinct(), ["origin", "destination"], "left_semi")
     od = od.join(goals.select(F.col("object_id").alias("destination"), "value"), "destination").join(sources.select(F.col("object_id").alias("origin"), "weight"), "origin")
     by = []
-    if o["to-types"]:
-        od, by = aggregate.with_types(od, tables.types(spark, str(o["to-types"]))), ["dest_type"]
-    number = lambda n, kind: None if o[n] is None else kind(o[n])
+    if types is not None:
+        od, by = aggregate.with_types(od, types), ["dest_type"]
     od = settled(limits.limited(od, number("max-tt", float), number("max-distance", float), number("max-number", int), number("max-variable-sum", float), bool(o["shortest"]), by), "od")
 
     # Results.
@@ -214,10 +235,16 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
 
 
 def run(spark: SparkSession, given: dict[str, object]) -> list[str]:
-    """Computes and writes what the options ask for; returns the outputs written."""
-    o = options_of(given)
-    results = compute(spark, given)
+    """Computes and writes what the options ask for; returns the outputs written. The errors of a network that can't be
+    used are written before the error is raised."""
+    o, refused = options_of(given), None
+    try:
+        results = compute(spark, given)
+    except NetworkError as e:
+        results, refused = e.outputs, e
     comment = ", ".join(f"{k}={v}" for k, v in o.items() if v is not None) if o["comment"] else None
     for name, df in results.items():
         sinks.write(df, str(o[name]), int(o["precision"]), comment)
+    if refused:
+        raise refused
     return sorted(results)

@@ -55,26 +55,15 @@ def allows_all(modes: Column, bits: int) -> Column:
     return modes.bitwiseAND(F.lit(bits)) == bits
 
 
-def fastest(modes: Column) -> Column:
-    """The name of the fastest mode among the bits, null if there is none."""
-    out = F.lit(None).cast("string")
-    for m in sorted(MODES.values(), key=lambda m: m.vmax):
-        out = F.when(allows(modes, m.bit), F.lit(m.name)).otherwise(out)
-    return out
-
-
 def model_speed(vmax: Column) -> Column:
     """Driving speed (km/h) to expect where ``vmax`` (km/h) is allowed."""
     return F.when(vmax < 30, vmax / 1.5).when(vmax <= 60, vmax / 2).when(vmax <= 80, vmax / 1.5).when(vmax <= 120, vmax / 1.2).otherwise(140.0)
 
 
-def travel_time(length: Column, vmax: Column, mode: Mode, incline: Column | None = None, measured: Column | None = None) -> Column:
+def travel_time(length: Column, vmax: Column, mode: Mode, measured: Column | None = None) -> Column:
     """Seconds for an edge: by a measured speed if there is one (5 km/h where it is not positive), else by the
-    slower of edge and mode, with steep grades slowing or speeding the mode."""
-    own = F.lit(mode.vmax)
-    if incline is not None:
-        own = F.when(incline > 6, mode.vmax * 0.9).when(incline < -6, mode.vmax * 1.05).otherwise(mode.vmax)
-    plain = length / F.least(vmax, own)
+    slower of edge and mode. Grades have no effect on it."""
+    plain = length / F.least(vmax, F.lit(mode.vmax))
     if measured is None:
         return plain
     seen = F.when(measured <= 0, 5 / 3.6).otherwise(measured)

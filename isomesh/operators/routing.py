@@ -1,17 +1,20 @@
 """Bounded shortest paths from many origins.
 
-``search`` works on DataFrames: a frontier of improved labels is joined with the edges and reduced by minimum,
-round by round. It is exact for least travel time with one bound on time, where an edge's time does not depend on
-how its start was reached. ``search_ordered`` works on DataFrames too, but settles labels in order of time, for turn
+``search`` works on DataFrames: labels are settled bucket by bucket of time, each from the one before. It is exact for
+least travel time with one bound on time, where an edge's time does not depend on how its start was reached; where only
+the nearest destinations count, ``search_until`` ends each origin's search once it has them. ``search_ordered`` works on DataFrames too, but settles labels in order of time, for turn
 delays and bounds on distance. Neither collects the network.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isomesh.operators.state import settled
+from isomesh.operators.state import Shelf, settled
+from isomesh.operators.ways import Bounds, Enough, chains
 
 
 def starts(mapped: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,27 +29,128 @@ def starts(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     return ahead.union(back)
 
 
-def search(start: DataFrame, edges: DataFrame, max_tt: float) -> DataFrame:
+#: The share of the edges that a bucket of labels is as wide as the slowest of.
+LIGHT = 0.9
+
+
+def search(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), bounds: Bounds | None = None, ways: DataFrame | None = None) -> DataFrame:
     """origin, node, tt, dist, edge, before: the least travel time within ``max_tt`` to each node, the last edge, and
     the node before it (null: the origin).
 
-    edges: edge_id, from_node, to_node, length, tt. Ties: the smaller distance, then the smaller edge id.
+    edges: edge_id, from_node, to_node, length, tt. Ties: the smaller distance, then the smaller edge id. With ``bounds``
+    and ``ways`` (as ``ways_to`` gives them) an origin's search ends when it has found enough; labels that can't lead
+    to a destination that counts are then missing.
+
+    Labels are settled in buckets of time, as wide as all but the slowest edges. A bucket's labels come from those of
+    the bucket before and from each other; once written, they are never written again. Where a road has a way back that
+    is no slower than a bucket, an offer's node can only have been settled in this bucket or the two before, so no other
+    labels are read; offers over one-way roads and slow edges are held against all.
     """
-    keys = ["origin", "node"]
-    label = ["tt", "dist", "edge", "before", "round"]
-    least = lambda df: df.groupBy(*keys).agg(F.min(F.struct(*label)).alias("l")).select(*keys, *(f"l.{c}" for c in label))
-    out = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("length").alias("e_length"), F.col("tt").alias("e_tt"))
-    begin = start.where(F.col("tt") <= max_tt).select(*keys, "tt", "dist", F.col("first").alias("edge"), F.lit(None).cast("bigint").alias("before"), F.lit(0).alias("round"))
-    best = settled(least(begin), "best")
-    turn = 0
+    spark, keys, label = start.sparkSession, ["origin", "node"], ["tt", "dist", "edge", "before"]
+    facts = edges.agg(F.percentile_approx("tt", LIGHT).alias("light"), F.min("tt").alias("quickest"), F.max("tt").alias("slowest")).first()
+    light, quickest = facts.light or facts.slowest or 1.0, facts.quickest or 0.0
+    # A little wider than the light edges, so that no sum is rounded out of the next bucket.
+    width = light * (1 + 1e-6)
+    back = edges.groupBy(F.col("to_node").alias("b_from"), F.col("from_node").alias("b_to")).agg(F.min("tt").alias("b_tt"))
+    out = edges.join(back, (F.col("from_node") == F.col("b_from")) & (F.col("to_node") == F.col("b_to")), "left")
+    quick = F.col("tt") <= light
+    near = quick & F.coalesce(F.col("b_tt") <= light, F.lit(False))
+    out = settled(out.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("length").alias("e_length"), F.col("tt").alias("e_tt"), near.alias("near"), quick.alias("quick")), "out")
+    slow, one_way = bool(facts.slowest and facts.slowest > light), bool(out.where("quick and not near").limit(1).count())
+
+    def least(df: DataFrame, *more: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min(F.struct(*label)).alias("l"), *more).select(*keys, *(f"l.{c}" for c in label), *(["near"] if more else []))
+
+    def moved(labels: DataFrame, low: float, high: float, by: str = "quick") -> DataFrame:
+        """The offers of labels whose time lies in the bucket."""
+        took = F.col("tt") + F.col("e_tt")
+        met = labels.select("origin", "node", "tt", "dist").join(out.where(by), "node").where((took >= low) & (took < high) & (took <= max_tt))
+        offers = met.select("origin", F.col("next").alias("node"), took.alias("tt"), (F.col("dist") + F.col("e_length")).alias("dist"), F.col("e").alias("edge"), F.col("node").alias("before"), "near")
+        return bounds.within(offers) if bounds else offers
+
+    def opened(offers: DataFrame, k: int, all_near: bool) -> DataFrame:
+        """The best offer of each node that no earlier bucket has settled."""
+        fresh = lambda df, old: df if old is None else df.join(old.select(*keys), keys, "left_anti")
+        best = fresh(least(offers, F.max("near").alias("near")), done.get(k - 1, k - 2))
+        long_ago = done.get(*(n for n in done.numbers if n < k - 2))
+        if not all_near and long_ago is not None:
+            # What was settled long ago is read for few offers only.
+            best = best.where("near").union(fresh(best.where("not near"), long_ago))
+        return best.select(*keys, *label)
+
+    done = Shelf(spark, "labels")
+    begin = start.where(F.col("tt") <= max_tt).select(*keys, "tt", "dist", F.col("first").alias("edge"), F.lit(None).cast("bigint").alias("before"), F.lit(False).alias("near"))
+    late = settled(begin, "late")  # offers of any time to come
+    span = lambda: late.where(F.col("tt") >= cut).agg(F.min("tt"), F.max("tt")).first()
+    cut = 0.0
+    rest = span()
+    k = int((rest[0] or 0.0) // width)
     while True:
-        front = best.where(F.col("round") == turn)
-        turn += 1
-        moved = front.join(out, "node").select("origin", F.col("next").alias("node"), (F.col("tt") + F.col("e_tt")).alias("tt"), (F.col("dist") + F.col("e_length")).alias("dist"), F.col("e").alias("edge"), F.col("node").alias("before"), F.lit(turn).alias("round")).where(F.col("tt") <= max_tt)
-        # Old labels and new ones are reduced together; a label is new if its round is.
-        best = settled(least(best.union(moved)), "best")
-        if not best.where(F.col("round") == turn).limit(1).count():
-            return best.drop("round")
+        low, high = k * width, (k + 1) * width
+        before, offers = done.get(k - 1), []
+        if rest[0] is not None and rest[0] < high:
+            offers.append(late.where((F.col("tt") >= cut) & (F.col("tt") < high)))
+        if before is not None:
+            offers.append(moved(before, low, high))
+        least_tt, shelf, turn = None, Shelf(spark, "bucket"), 0
+        if offers:
+            front = shelf.put(0, opened(reduce(DataFrame.unionByName, offers), k, before is not None and len(offers) == 1 and not one_way))
+            least_tt = front.agg(F.min("tt")).first()[0]
+        if least_tt is not None:
+            # Offers within the bucket, as long as an edge is quick enough to stay in it.
+            while least_tt is not None and least_tt + quickest < high:
+                held = shelf.all().groupBy(*keys).agg(F.min(F.struct(*label)).alias("held"))
+                better = opened(moved(front, low, high), k, not one_way).join(held, keys, "left").where(F.col("held").isNull() | (F.struct(*label) < F.col("held")))
+                turn += 1
+                front = shelf.put(turn, better.select(*keys, *label))
+                least_tt = front.agg(F.min("tt")).first()[0]
+            found = done.put(k, least(shelf.all()) if turn else front)
+            if bounds:
+                bounds.add(found.join(ways, "node").select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt")))
+            if slow:
+                late = settled(late.where(F.col("tt") >= high).unionByName(moved(found, high, float("inf"), "not quick")), "late")
+        cut = high
+        if slow or rest[0] is not None:
+            rest = span()
+        if done.get(k) is not None:
+            k += 1
+        elif rest[0] is not None:
+            k = max(k + 1, int(rest[0] // width))
+        else:
+            break
+    return (done.all() if done.numbers else late).select(*keys, *label)
+
+
+def ways_to(destinations: DataFrame, edges: DataFrame) -> DataFrame:
+    """destination, node, run, ride: along its edge, or its edge's opposite, to each destination from their first nodes.
+    destinations: object_id, edge_id, pos."""
+    d = on_edges(destinations, edges)
+    here = d.select("destination", F.col("from_node").alias("node"), F.col("d_pos").alias("run"), (F.col("tt") * F.col("d_pos") / F.col("length")).alias("ride"))
+    return here.union(d.where("o_id is not null").select("destination", "o_from", F.col("length") - F.col("d_pos"), F.col("o_tt") * (F.col("length") - F.col("d_pos")) / F.col("length")))
+
+
+def on_edges(destinations: DataFrame, edges: DataFrame) -> DataFrame:
+    """Destinations with their edges and the opposites of these."""
+    d = destinations.select(F.col("object_id").alias("destination"), "edge_id", F.col("pos").alias("d_pos")).join(edges.select("edge_id", "from_node", "length", "tt", "opposite_id"), "edge_id")
+    opposite = edges.select(F.col("edge_id").alias("o_id"), F.col("from_node").alias("o_from"), F.col("tt").alias("o_tt"))
+    return d.join(opposite, F.col("opposite_id") == F.col("o_id"), "left")
+
+
+def along(origins: DataFrame, destinations: DataFrame, edges: DataFrame) -> DataFrame:
+    """origin, destination, tt, dist, behind: ways that don't leave the origin's edge."""
+    d = on_edges(destinations, edges)
+    o = origins.select(F.col("object_id").alias("origin"), F.col("edge_id").alias("o_edge"), F.col("pos").alias("o_pos"))
+    same = o.join(d, F.col("o_edge") == F.col("edge_id")).withColumn("run", F.abs(F.col("d_pos") - F.col("o_pos"))).select("origin", "destination", (F.col("tt") / F.col("length") * F.col("run")).alias("tt"), F.col("run").alias("dist"), (F.col("opposite_id").isNull() & (F.col("o_pos") > F.col("d_pos"))).alias("behind"))
+    across = o.join(d, F.col("o_edge") == F.col("o_id")).withColumn("run", F.abs(F.col("d_pos") - (F.col("length") - F.col("o_pos")))).select("origin", "destination", (F.col("tt") / F.col("length") * F.col("run")).alias("tt"), F.col("run").alias("dist"), F.lit(False).alias("behind"))
+    return same.union(across)
+
+
+def search_until(enough: Enough, origins: DataFrame, destinations: DataFrame, edges: DataFrame, max_tt: float = float("inf")) -> DataFrame:
+    """The labels of ``search`` that lead to enough destinations of each origin, without a bound on time if need be: the
+    rest of the network is not looked at. origins, destinations: object_id, edge_id, pos."""
+    direct = settled(along(origins, destinations, edges), "direct")
+    bounds = Bounds(enough, direct.where("not behind"), direct.where("behind"))
+    return search(starts(origins, edges), edges, max_tt, bounds, settled(ways_to(destinations, edges), "ways"))
 
 
 def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, edges: DataFrame, max_tt: float) -> DataFrame:
@@ -56,17 +160,8 @@ def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, ed
     origin is on one of them. origins, destinations: object_id, edge_id, pos. A destination behind the origin on a
     one-way edge counts as reached directly, and is then dropped, as a shorter way round would be.
     """
-    e = edges.select("edge_id", "from_node", "length", "tt", "opposite_id")
-    d = destinations.select(F.col("object_id").alias("destination"), "edge_id", F.col("pos").alias("d_pos")).join(e, "edge_id")
-    opposite = edges.select(F.col("edge_id").alias("o_id"), F.col("from_node").alias("o_from"), F.col("tt").alias("o_tt"))
-    d = d.join(opposite, F.col("opposite_id") == F.col("o_id"), "left")
-    ways = d.select("destination", F.col("from_node").alias("node"), F.col("d_pos").alias("run"), (F.col("tt") * F.col("d_pos") / F.col("length")).alias("ride"))
-    ways = ways.union(d.where("o_id is not null").select("destination", "o_from", F.col("length") - F.col("d_pos"), F.col("o_tt") * (F.col("length") - F.col("d_pos")) / F.col("length")))
-    through = labels.join(ways, "node").select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt"), (F.col("dist") + F.col("run")).alias("dist"), F.lit(False).alias("behind"))
-    o = origins.select(F.col("object_id").alias("origin"), F.col("edge_id").alias("o_edge"), F.col("pos").alias("o_pos"))
-    same = o.join(d, F.col("o_edge") == F.col("edge_id")).withColumn("run", F.abs(F.col("d_pos") - F.col("o_pos"))).select("origin", "destination", (F.col("tt") / F.col("length") * F.col("run")).alias("tt"), F.col("run").alias("dist"), (F.col("opposite_id").isNull() & (F.col("o_pos") > F.col("d_pos"))).alias("behind"))
-    across = o.join(d, F.col("o_edge") == F.col("o_id")).withColumn("run", F.abs(F.col("d_pos") - (F.col("length") - F.col("o_pos")))).select("origin", "destination", (F.col("tt") / F.col("length") * F.col("run")).alias("tt"), F.col("run").alias("dist"), F.lit(False).alias("behind"))
-    least = through.union(same).union(across).groupBy("origin", "destination").agg(F.min(F.struct("tt", "dist", "behind")).alias("l"))
+    through = labels.join(ways_to(destinations, edges), "node").select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt"), (F.col("dist") + F.col("run")).alias("dist"), F.lit(False).alias("behind"))
+    least = through.union(along(origins, destinations, edges)).groupBy("origin", "destination").agg(F.min(F.struct("tt", "dist", "behind")).alias("l"))
     return least.where(~F.col("l.behind") & (F.col("l.tt") <= max_tt)).select("origin", "destination", "l.dist", "l.tt")
 
 
@@ -130,18 +225,9 @@ def search_ordered(start: DataFrame, edges: DataFrame, max_tt: float = float("in
 
 def paths(labels: DataFrame, goals: DataFrame) -> DataFrame:
     """origin, goal, idx, edge, node, tt: the labels on the way to each goal (origin, node), idx counted from the
-    origin. Walks back one label a round, for all goals at once."""
+    origin. The number of rounds grows with the logarithm of the longest way."""
     back = settled(labels.select("origin", "node", "tt", "edge", "before"), "back")
-    at = goals.select("origin", F.col("node").alias("goal"), "node").distinct()
-    out, step = None, 0
-    while True:
-        here = settled(at.join(back, ["origin", "node"]).withColumn("step", F.lit(step)), "path")
-        if not here.limit(1).count():
-            break
-        out = here if out is None else out.union(here)
-        at = here.where("before is not null").select("origin", "goal", F.col("before").alias("node"))
-        step += 1
-    if out is None:
-        return at.select("origin", "goal", F.lit(0).alias("idx"), F.lit("").alias("edge"), "node", F.lit(0.0).alias("tt")).where("false")
-    longest = out.groupBy("origin", "goal").agg(F.max("step").alias("last"))
-    return out.join(longest, ["origin", "goal"]).select("origin", "goal", (F.col("last") - F.col("step")).alias("idx"), "edge", "node", "tt")
+    rows = chains(back, goals.select("origin", "node").distinct(), ["origin", "node"], ["before"])
+    rows = rows.select("origin", F.col("node").alias("goal"), F.col("at_node").alias("node"), "step").join(back.drop("before"), ["origin", "node"])
+    longest = rows.groupBy("origin", "goal").agg(F.max("step").alias("last"))
+    return rows.join(longest, ["origin", "goal"]).select("origin", "goal", (F.col("last") - F.col("step")).alias("idx"), "edge", "node", "tt")

@@ -33,3 +33,28 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Shelf:
+    """Tables of one kind that an iteration writes one after the other and never again, under numbers, in a folder of
+    the shared one. They are read one by one, or all at once without a plan that grows with their number."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.numbers: list[int] = []
+        self.schema = None
+
+    def put(self, number: int, df: DataFrame) -> DataFrame:
+        """Writes a table and reads it again."""
+        df.write.parquet(f"{self.path}/number={number}")
+        self.schema = df.schema
+        self.numbers.append(number)
+        return self.get(number)
+
+    def get(self, *numbers: int) -> DataFrame | None:
+        """The tables of these numbers, as far as there are any."""
+        paths = [f"{self.path}/number={n}" for n in numbers if n in self.numbers]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+
+    def all(self) -> DataFrame | None:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/*") if self.numbers else None

@@ -7,13 +7,16 @@ edge_id, from_node, to_node, modes, length, line. Labels are kept for each (orig
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isomesh.functions import geom as G
 from isomesh.functions.modes import BIKE, BUS, FARE, FOOT, Mode, price, travel_time
 from isomesh.operators.aggregate import keyed, normed, safe
-from isomesh.operators.state import settled
+from isomesh.operators.state import Shelf, settled
+from isomesh.operators.ways import Bounds, Enough, chains
 
 #: Speed on the links between road and stop, and of rides, in m/s; their least length in metres.
 LINK_VMAX, RIDE_VMAX, LEAST_LENGTH = 50.0, 80 / 3.6, 0.1
@@ -119,17 +122,33 @@ def by_mode(modes: list[Mode], of, mode: Column) -> Column:
     return out
 
 
-def starts(mapped: DataFrame, edges: DataFrame, modes: list[Mode]) -> DataFrame:
-    """origin, node, mode, tt, dist, edge: both ways off the origin's edge, by each mode that may go there."""
-    e = edges.select("edge_id", "to_node", "modes", "vmax", "length", "opposite_id")
-    o = edges.select(F.col("edge_id").alias("o_id"), F.col("to_node").alias("o_to"), F.col("modes").alias("o_modes"), F.col("vmax").alias("o_vmax"))
+def with_spells(edges: DataFrame, key: str, speeds: DataFrame | None, name: str = "spells") -> DataFrame:
+    """``edges`` with the list of the times of day at which the edge ``key`` has a measured speed; null without any."""
+    if speeds is None:
+        return edges.withColumn(name, F.lit(None).cast("array<struct<ibegin:double,iend:double,speed:double>>"))
+    spell = F.struct(*(F.col(c).cast("double").alias(c) for c in ("ibegin", "iend", "speed")))
+    lists = speeds.groupBy(F.col("edge_id").alias("s_edge")).agg(F.array_sort(F.collect_list(spell)).alias(name))
+    return edges.join(lists, F.col(key) == F.col("s_edge"), "left").drop("s_edge")
+
+
+def driven(modes: list[Mode], vmax: Column, length: Column, at: Column, spells: Column) -> Column:
+    """Seconds for an edge that is entered at a time of day; the first spell that holds then counts."""
+    now = F.try_element_at(F.filter(spells, lambda s: (s["ibegin"] <= at) & (at <= s["iend"])), F.lit(1))["speed"]
+    return by_mode(modes, lambda m: travel_time(length, vmax, m, now), F.col("mode"))
+
+
+def starts(mapped: DataFrame, edges: DataFrame, modes: list[Mode], speeds: DataFrame | None = None, time: float = 0.0) -> DataFrame:
+    """origin, node, mode, tt, dist, edge: both ways off the origin's edge, by each mode that may go there, at the speeds
+    measured at ``time`` if there are any."""
+    e = with_spells(edges.select("edge_id", "to_node", "modes", "vmax", "length", "opposite_id"), "edge_id", speeds)
+    o = with_spells(edges.select(F.col("edge_id").alias("o_id"), F.col("to_node").alias("o_to"), F.col("modes").alias("o_modes"), F.col("vmax").alias("o_vmax")), "o_id", speeds, "o_spells")
     on = mapped.select(F.col("object_id").alias("origin"), F.col("edge_id").alias("m"), "pos").join(e, F.col("m") == F.col("edge_id"))
     on = on.withColumn("mode", F.explode(F.array(*(F.lit(m.bit) for m in modes))))
-    ride = lambda vmax: by_mode(modes, lambda m: travel_time(F.col("length"), F.col(vmax), m), F.col("mode"))
+    ride = lambda vmax, spells: driven(modes, F.col(vmax), F.col("length"), F.lit(float(time)), F.col(spells))
     part = (F.col("length") - F.col("pos")) / F.col("length")
-    ahead = on.where(F.col("modes").bitwiseAND(F.col("mode")) != 0).select("origin", F.col("to_node").cast("string").alias("node"), "mode", (ride("vmax") * part).alias("tt"), (F.col("length") - F.col("pos")).alias("dist"), F.col("edge_id").alias("edge"))
+    ahead = on.where(F.col("modes").bitwiseAND(F.col("mode")) != 0).select("origin", F.col("to_node").cast("string").alias("node"), "mode", (ride("vmax", "spells") * part).alias("tt"), (F.col("length") - F.col("pos")).alias("dist"), F.col("edge_id").alias("edge"))
     back = on.join(o, F.col("opposite_id") == F.col("o_id")).where(F.col("o_modes").bitwiseAND(F.col("mode")) != 0)
-    return ahead.union(back.select("origin", F.col("o_to").cast("string"), "mode", ride("o_vmax") * F.col("pos") / F.col("length"), F.col("pos"), F.col("o_id")))
+    return ahead.union(back.select("origin", F.col("o_to").cast("string"), "mode", ride("o_vmax", "o_spells") * F.col("pos") / F.col("length"), F.col("pos"), F.col("o_id")))
 
 
 def order(measure: str, modes: list[Mode], param1: float, param2: float) -> list[Column]:
@@ -148,7 +167,7 @@ def order(measure: str, modes: list[Mode], param1: float, param2: float) -> list
 LABEL = ["tt", "dist", "edge", "before", "before_mode", "by", "trip", "last_trip", "line", "interchanges", "price", "ttt", "interchange", "departure", "run", "round"]
 
 
-def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float, rides: DataFrame | None = None, hops: DataFrame | None = None, transfers: DataFrame | None = None, changes: DataFrame | None = None, delays: DataFrame | None = None, speeds: DataFrame | None = None, time: float = 0.0, measure: str = "tt", param1: float = 0.0, param2: float = 0.0, compat: bool = False) -> DataFrame:
+def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float, rides: DataFrame | None = None, hops: DataFrame | None = None, transfers: DataFrame | None = None, changes: DataFrame | None = None, delays: DataFrame | None = None, speeds: DataFrame | None = None, time: float = 0.0, measure: str = "tt", param1: float = 0.0, param2: float = 0.0, compat: bool = False, bounds: Bounds | None = None, arrive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best label of each (origin, node, mode) within ``max_tt`` seconds after ``time``.
 
     Columns: origin, node, mode and LABEL without round: time, distance and the last edge; the node and mode before it;
@@ -163,10 +182,18 @@ def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float,
     Rounds correct labels until none changes. They are the best ways where a better label never leads to a worse one
     behind it: by time without transfers, delays and sinking speeds. Otherwise a node's label is the best of all offers
     made while its neighbours' labels improved, as in a search that keeps one label for a node and mode. Ties: the
-    smaller distance, then the smaller edge.
+    smaller distance, then the smaller edge. A round writes the labels that it improves and no others.
+
+    With ``bounds``, and ``arrive``, which makes origin, destination and tt of labels, an origin's search ends when it has
+    found enough. That changes no result where labels are compared by time, which is why other measures don't take it.
+    Prices by which ways are compared must not be negative: a way to and fro would get ever cheaper.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
+    if bounds and measure not in ("tt", "tt_mode"):
+        raise ValueError(f"a search by {measure} can't end early")
+    if measure == "price_tt" and ((unset := [m.name for m in modes if m.price < 0]) or (changes is not None and not compat and changes.where("price < 0").limit(1).count())):
+        raise ValueError(f"negative or unset prices: {', '.join(unset) or 'changes of mode'}")
     keys = ["origin", "node", "mode"]
     first, second = order(measure, modes, param1, param2)
 
@@ -174,30 +201,25 @@ def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float,
         return df.groupBy(*keys).agg(F.min(F.struct(first.alias("k1"), second.alias("k2"), *LABEL)).alias("l")).select(*keys, *(f"l.{c}" for c in LABEL))
 
     text = lambda n: F.lit(None).cast("string").alias(n)
-    slope = F.col("incline") if "incline" in edges.columns else F.lit(None).cast("double")
-    out = edges.select(F.col("from_node").cast("string").alias("node"), F.col("to_node").cast("string").alias("next"), F.col("edge_id").alias("e"), F.col("modes").alias("e_modes"), F.col("vmax").alias("e_vmax"), F.col("length").alias("e_length"), slope.alias("e_incline"))
-    if speeds is not None:
-        lists = speeds.groupBy(F.col("edge_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("ibegin", "iend", "speed"))).alias("spells"))
-        out = out.join(lists, F.col("e") == F.col("s"), "left").drop("s")
-    out = settled(out, "out")
+    out = edges.select(F.col("from_node").cast("string").alias("node"), F.col("to_node").cast("string").alias("next"), F.col("edge_id").alias("e"), F.col("modes").alias("e_modes"), F.col("vmax").alias("e_vmax"), F.col("length").alias("e_length"))
+    out = settled(with_spells(out, "e", speeds), "out")
     now = F.lit(float(time)) + F.col("tt")
-    measured = None
-    if speeds is not None:
-        measured = F.try_element_at(F.filter("spells", lambda s: (s["ibegin"] <= now) & (now <= s["iend"])), F.lit(1))["speed"].cast("double")
-    incline = F.col("e_incline") if "incline" in edges.columns else None
-    drive = by_mode(modes, lambda m: travel_time(F.col("e_length"), F.col("e_vmax"), m, incline, measured), F.col("mode"))
+    drive = driven(modes, F.col("e_vmax"), F.col("e_length"), now, F.col("spells"))
     if rides is not None:
         board = settled(rides.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("modes").alias("e_modes"), F.col("length").alias("e_length"), F.col("line").alias("e_line")), "board")
         leaving = settled(departures(hops), "departures")
-    turns = None if delays is None else settled(delays.groupBy(F.col("from_edge").alias("edge"), F.col("to_edge").alias("e")).agg(F.max("delay").alias("delay")), "turns")
+    turns = None if delays is None else settled(turn_delays(delays), "turns")
     waits = None if transfers is None else settled(transfers.groupBy(stop_node(F.col("stop_id")).alias("t_node"), F.col("from_trip").alias("t_from"), F.col("to_trip").alias("t_to")).agg(F.min("seconds").cast("double").alias("seconds")), "waits")
 
     fare = by_mode(modes, lambda m: price(F.col("run"), m), F.col("mode"))
     begin = start.where(F.col("tt") <= max_tt).withColumn("run", F.col("dist"))
     begin = begin.select(*keys, "tt", "dist", "edge", text("before"), F.lit(None).cast("int").alias("before_mode"), F.col("mode").alias("by"), text("trip"), text("last_trip"), text("line"), F.lit(0).alias("interchanges"), fare.alias("price"), F.col("tt").alias("ttt"), F.lit(0.0).alias("interchange"), F.lit(None).cast("double").alias("departure"), "run", F.lit(0).alias("round"))
-    best, turn = settled(least(begin), "labels"), 0
-    while True:
-        front = best.where(F.col("round") == turn)
+    log, turn = Shelf(start.sparkSession, "labels"), 0
+    front = log.put(0, least(begin))
+    while not front.isEmpty():
+        if bounds:
+            bounds.add(arrive(front))
+            front = bounds.within(front)
         turn += 1
         may = F.col("e_modes").bitwiseAND(F.col("mode")) != 0
         road = front.join(out, "node").where(may)
@@ -214,55 +236,91 @@ def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float,
         if changes is not None:
             c = changes.select(F.col("node_id").cast("string").alias("node"), F.col("from_mode").alias("mode"), "to_mode", F.lit(0.0).alias("c_time") if compat else F.col("duration").alias("c_time"), F.lit(0.0).alias("c_price") if compat else F.col("price").alias("c_price"))
             offers = offers.union(front.join(c, ["node", "mode"]).select("origin", "node", F.col("to_mode").alias("mode"), F.col("tt") + F.col("c_time"), "dist", "edge", "before", "before_mode", "by", "trip", "last_trip", "line", "interchanges", F.col("price") + F.col("c_price"), F.col("ttt") + F.col("c_time"), "interchange", "departure", "run", F.lit(turn)))
-        best = settled(least(best.union(offers.where(F.col("tt") <= max_tt))), "labels")
-        if not best.where(F.col("round") == turn).limit(1).count():
-            return best.drop("round")
+        made = offers.where(F.col("tt") <= max_tt)
+        made = least(bounds.within(made) if bounds else made)
+        # A node's later label is better than all before.
+        rank = lambda: F.struct(first, second, *LABEL[:-1])
+        held = log.all().select(*keys, rank().alias("rank")).groupBy(*keys).agg(F.min("rank").alias("held"))
+        front = log.put(turn, made.join(held, keys, "left").where(F.col("held").isNull() | (rank() < F.col("held"))).select(*keys, *LABEL))
+    return least(log.all()).drop("round")
 
 
-def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float, requires_ride: bool = False) -> DataFrame:
-    """origin, destination, dist, tt, interchanges, node, mode, end_edge, run, ride: the quickest way to each
-    destination. node and mode are of the label before the destination's edge (null: it lies on the origin's edge).
+def turn_delays(delays: DataFrame) -> DataFrame:
+    return delays.groupBy(F.col("from_edge").alias("edge"), F.col("to_edge").alias("e")).agg(F.max("delay").alias("delay"))
 
-    ``requires_ride`` keeps ways with public transport only. Ties: the smaller distance, then fewer interchanges.
-    """
+
+def ways_to(destinations: DataFrame, edges: DataFrame, speeds: DataFrame | None = None) -> DataFrame:
+    """destination, node, end_edge, w_modes, w_vmax, w_length, end_run, w_spells: from where, and along which edge, each
+    destination is reached; on its own edge, and on the opposite of that."""
     e = edges.select("edge_id", F.col("from_node").cast("string").alias("from_node"), "modes", "vmax", "length", "opposite_id")
-    d = destinations.select(F.col("object_id").alias("destination"), F.col("edge_id").alias("d_edge"), F.col("pos").alias("d_pos")).join(e, F.col("d_edge") == F.col("edge_id")).drop("d_edge")
+    d = destinations.select(F.col("object_id").alias("destination"), F.col("edge_id").alias("d_edge"), F.col("pos").alias("d_pos")).join(e, F.col("d_edge") == F.col("edge_id"))
     o = e.select(F.col("edge_id").alias("o_id"), F.col("from_node").alias("o_from"), F.col("modes").alias("o_modes"), F.col("vmax").alias("o_vmax"))
     both = d.join(o, F.col("opposite_id") == F.col("o_id"), "left")
-    ways = both.select("destination", "from_node", "edge_id", "modes", "vmax", "length", F.col("d_pos").alias("run"))
+    ways = both.select("destination", F.col("from_node").alias("node"), F.col("edge_id").alias("end_edge"), F.col("modes").alias("w_modes"), F.col("vmax").alias("w_vmax"), F.col("length").alias("w_length"), F.col("d_pos").alias("end_run"))
     ways = ways.union(both.where("o_id is not null").select("destination", "o_from", "o_id", "o_modes", "o_vmax", "length", F.col("length") - F.col("d_pos")))
-    ways = ways.select("destination", F.col("from_node").alias("node"), F.col("edge_id").alias("end_edge"), F.col("modes").alias("w_modes"), "vmax", "length", F.col("run").alias("end_run"))
-    drive = by_mode(modes, lambda m: travel_time(F.col("length"), F.col("vmax"), m), F.col("mode")) * F.col("end_run") / F.col("length")
-    through = labels.join(ways, "node").where(F.col("w_modes").bitwiseAND(F.col("mode")) != 0).withColumn("ride", drive)
-    found = through.select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt"), (F.col("dist") + F.col("end_run")).alias("dist"), "interchanges", "node", "mode", "end_edge", F.col("end_run").alias("run"), "ride", F.lit(False).alias("behind"))
-    if not requires_ride:
-        mine = origins.select(F.col("object_id").alias("origin"), F.col("edge_id").alias("m_edge"), F.col("pos").alias("o_pos"))
-        along = d.join(mine, F.col("m_edge") == F.col("edge_id")).withColumn("there", F.col("o_pos"))
-        along = along.union(d.join(mine, F.col("m_edge") == F.col("opposite_id")).withColumn("there", F.col("length") - F.col("o_pos")))
-        along = along.withColumn("mode", F.explode(F.array(*(F.lit(m.bit) for m in modes)))).where(F.col("modes").bitwiseAND(F.col("mode")) != 0).withColumn("end_run", F.abs(F.col("d_pos") - F.col("there")))
-        behind = F.col("opposite_id").isNull() & (F.col("there") > F.col("d_pos"))
-        found = found.union(along.select("origin", "destination", drive, F.col("end_run"), F.lit(0), F.lit(None).cast("string"), "mode", "edge_id", "end_run", drive, behind))
-    else:
-        found = found.where("interchanges > 0")
+    return with_spells(ways, "end_edge", speeds, "w_spells")
+
+
+def arrivals(labels: DataFrame, ways: DataFrame, modes: list[Mode], delays: DataFrame | None = None, time: float = 0.0) -> DataFrame:
+    """Labels with the ways on from them, and ``ride``: the seconds on the last edge, at the speed that holds when it is
+    entered, after the delay onto it; of both the share of the edge that is used."""
+    met = labels.join(ways, "node").where(F.col("w_modes").bitwiseAND(F.col("mode")) != 0)
+    met = met.withColumn("delay", F.lit(0.0)) if delays is None else met.join(turn_delays(delays).withColumnRenamed("e", "end_edge"), ["edge", "end_edge"], "left").fillna(0.0, ["delay"])
+    whole = driven(modes, F.col("w_vmax"), F.col("w_length"), F.lit(float(time)) + F.col("tt"), F.col("w_spells")) + F.col("delay")
+    return met.withColumn("ride", whole * F.col("end_run") / F.col("w_length"))
+
+
+def along(origins: DataFrame, destinations: DataFrame, edges: DataFrame, modes: list[Mode], speeds: DataFrame | None = None, time: float = 0.0) -> DataFrame:
+    """origin, destination, tt, dist, interchanges, node, mode, end_edge, run, ride, behind: ways on the origin's edge."""
+    e = with_spells(edges.select("edge_id", "modes", "vmax", "length", "opposite_id"), "edge_id", speeds)
+    d = destinations.select(F.col("object_id").alias("destination"), F.col("edge_id").alias("d_edge"), F.col("pos").alias("d_pos")).join(e, F.col("d_edge") == F.col("edge_id")).drop("d_edge")
+    mine = origins.select(F.col("object_id").alias("origin"), F.col("edge_id").alias("m_edge"), F.col("pos").alias("o_pos"))
+    on = d.join(mine, F.col("m_edge") == F.col("edge_id")).withColumn("there", F.col("o_pos"))
+    on = on.union(d.join(mine, F.col("m_edge") == F.col("opposite_id")).withColumn("there", F.col("length") - F.col("o_pos")))
+    on = on.withColumn("mode", F.explode(F.array(*(F.lit(m.bit) for m in modes)))).where(F.col("modes").bitwiseAND(F.col("mode")) != 0).withColumn("run", F.abs(F.col("d_pos") - F.col("there")))
+    ride = driven(modes, F.col("vmax"), F.col("length"), F.lit(float(time)), F.col("spells")) * F.col("run") / F.col("length")
+    behind = F.col("opposite_id").isNull() & (F.col("there") > F.col("d_pos"))
+    return on.select("origin", "destination", ride.alias("tt"), F.col("run").alias("dist"), F.lit(0).alias("interchanges"), F.lit(None).cast("string").alias("node"), "mode", F.col("edge_id").alias("end_edge"), "run", ride.alias("ride"), behind.alias("behind"))
+
+
+def od_values(labels: DataFrame, origins: DataFrame, destinations: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float, requires_ride: bool = False, speeds: DataFrame | None = None, delays: DataFrame | None = None, time: float = 0.0) -> DataFrame:
+    """origin, destination, dist, tt, interchanges, node, mode, end_edge, run, ride: the quickest way to each
+    destination. node and mode are of the label before the destination's edge (null: it lies on the origin's edge).
+
+    ``requires_ride`` keeps ways with public transport only. Speeds and delays apply to the last edge as to all others.
+    Ties: the smaller distance, then fewer interchanges.
+    """
     rest = ["dist", "interchanges", "node", "mode", "end_edge", "run", "ride", "behind"]
+    through = arrivals(labels, ways_to(destinations, edges, speeds), modes, delays, time)
+    found = through.select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt"), (F.col("dist") + F.col("end_run")).alias("dist"), "interchanges", "node", "mode", "end_edge", F.col("end_run").alias("run"), "ride", F.lit(False).alias("behind"))
+    found = found.where("interchanges > 0") if requires_ride else found.unionByName(along(origins, destinations, edges, modes, speeds, time))
     least = found.groupBy("origin", "destination").agg(F.min(F.struct("tt", *rest)).alias("l"))
     return least.where(~F.col("l.behind") & (F.col("l.tt") <= max_tt)).select("origin", "destination", "l.tt", *(f"l.{c}" for c in rest if c != "behind"))
 
 
+def ending(enough: Enough, origins: DataFrame, destinations: DataFrame, edges: DataFrame, modes: list[Mode]) -> tuple[Bounds, Callable[[DataFrame], DataFrame]]:
+    """What ``search`` needs to end early: the bounds by what lies on the origins' own edges, and how labels arrive.
+
+    For searches whose labels only ever get quicker, and with them what lies behind: without turn delays and speeds by
+    time, and where every way found counts.
+    """
+    ways = settled(ways_to(destinations, edges), "ways")
+    direct = settled(along(origins, destinations, edges, modes), "direct")
+    arrive = lambda labels: arrivals(labels, ways, modes).select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt"))
+    return Bounds(enough, direct.where("not behind"), direct.where("behind")), arrive
+
+
 def steps(labels: DataFrame, od: DataFrame, time: float = 0.0) -> DataFrame:
     """origin, destination, idx, edge, line, trip, mode, tt, ttt, run, wait, interchange: the edges of every way from the
-    origin on, with the time and the length used of each, and the wait before a ride. Goes back one label a round."""
-    back = settled(labels.select("origin", "node", "mode", "before", "before_mode", "edge", "line", "trip", "by", "tt", "ttt", "run", "interchange", "departure"), "back")
+    origin on, with the time and the length used of each, and the wait before a ride. Ways of n edges take about log2(n)
+    rounds."""
+    cols = ["edge", "line", "trip", "by", "tt", "ttt", "run", "interchange", "departure"]
+    back = settled(labels.select("origin", "node", "mode", "before", "before_mode", *cols), "back")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     out = od.select("origin", "destination", F.lit(0).alias("step"), F.col("end_edge").alias("edge"), none("string", "line"), none("string", "trip"), F.col("mode").alias("by"), "tt", F.col("ride").alias("ttt"), "run", F.lit(0.0).alias("interchange"), none("double", "departure"))
-    at, step = od.where("node is not null").select("origin", "destination", "node", "mode"), 0
-    while True:
-        step += 1
-        here = settled(at.join(back, ["origin", "node", "mode"]).withColumn("step", F.lit(step)), "step")
-        if not here.limit(1).count():
-            break
-        out = out.union(here.select("origin", "destination", "step", "edge", "line", "trip", "by", "tt", "ttt", "run", "interchange", "departure"))
-        at = here.where("before is not null").select("origin", "destination", F.col("before").alias("node"), F.col("before_mode").alias("mode"))
+    rows = chains(back.select("origin", "node", "mode", "before", "before_mode"), od.where("node is not null").select("origin", "destination", "node", "mode"), ["origin", "node", "mode"], ["before", "before_mode"])
+    rows = rows.select("origin", "destination", F.col("at_node").alias("node"), F.col("at_mode").alias("mode"), (F.col("step") + 1).alias("step"))
+    out = out.unionByName(rows.join(back, ["origin", "node", "mode"]).select("origin", "destination", "step", *cols))
     by = Window.partitionBy("origin", "destination").orderBy(F.desc("step"))
     boards = F.col("trip").isNotNull() & ~F.lag("trip").over(by).eqNullSafe(F.col("trip"))
     ready = F.lit(float(time)) + F.coalesce(F.lag("tt").over(by), F.lit(0.0))

@@ -346,10 +346,10 @@ def modelled_speeds(spark, sf_dir):
     return load(spark, sf_dir, "edges")[0].select("edge_id", r6(M.model_speed(F.col("vmax") * 3.6), "speed"))
 
 
-@query(f"WITH {clauses('edges')} SELECT edge_id, round(length / least(vmax, CASE WHEN incline > 6 THEN 13 / 3.6e0 * 0.9e0 WHEN incline < -6 THEN 13 / 3.6e0 * 1.05e0 ELSE 13 / 3.6e0 END), 6) AS bike, round(length / least(vmax, 200 / 3.6e0), 6) AS car FROM edges")
+@query(f"WITH {clauses('edges')} SELECT edge_id, round(length / least(vmax, 13 / 3.6e0), 6) AS bike, round(length / least(vmax, 200 / 3.6e0), 6) AS car FROM edges")
 def travel_times(spark, sf_dir):
     edges = load(spark, sf_dir, "edges")[0]
-    return edges.select("edge_id", r6(M.travel_time(F.col("length"), F.col("vmax"), M.BIKE, F.col("incline")), "bike"), r6(M.travel_time(F.col("length"), F.col("vmax"), M.CAR), "car"))
+    return edges.select("edge_id", r6(M.travel_time(F.col("length"), F.col("vmax"), M.BIKE), "bike"), r6(M.travel_time(F.col("length"), F.col("vmax"), M.CAR), "car"))
 
 
 @query(f"WITH {clauses('edges', 'spells')} SELECT e.edge_id, round(120e0 / least(200 / 3.6e0, CASE WHEN s.speed <= 0 THEN 5 / 3.6e0 ELSE coalesce(s.speed, e.vmax) END, e.vmax), 6) AS tt FROM edges e LEFT JOIN (SELECT edge_id, arg_min(speed, ibegin) AS speed FROM spells WHERE ibegin <= 30600 AND 30600 <= iend GROUP BY edge_id) s USING (edge_id)")

@@ -18,6 +18,23 @@ def cells(x1: Column, x2: Column, y1: Column, y2: Column, size: float) -> Column
     return F.flatten(F.transform(axis(x1, x2), lambda i: F.transform(axis(y1, y2), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def passed(a: Column, b: Column, size: float) -> Column:
+    """The grid cells that a segment passes, as an array of struct<cx, cy>: the segment is cut where it crosses a line of
+    the grid, so their number grows with its length. Cells that it only touches count too."""
+
+    def crossings(k: str) -> Column:
+        low, high = F.least(a[k], b[k]), F.greatest(a[k], b[k])
+        first, last = F.floor(low / size) + 1, F.floor(high / size)
+        at = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: (i * size - a[k]) / (b[k] - a[k]))
+        return F.when((last >= first) & (high > low), at).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("x"), crossings("y")))
+    # Every cut, and a place between it and the one before.
+    places = F.transform(F.array(cuts), lambda c: F.concat(c, F.transform(c, lambda t, i: F.when(i > 0, (t + c[i - 1]) / 2).otherwise(t))))[0]
+    cell = lambda t, k: F.floor((a[k] + t * (b[k] - a[k])) / size)
+    return F.array_distinct(F.transform(places, lambda t: F.struct(cell(t, "x").alias("cx"), cell(t, "y").alias("cy"))))
+
+
 def side_rule(found: DataFrame, edges: DataFrame) -> DataFrame:
     """Between an edge and its opposite, the one that has the object on its right; else the greater id."""
     o = edges.select(F.col("edge_id").alias("o_id"), F.col("geom").alias("o_geom"), F.col("length").alias("o_length"))
@@ -34,20 +51,24 @@ def side_rule(found: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("object_id", pick(F.col("o_id"), F.col("edge_id")).alias("edge_id"), pick(F.col("o.dist"), F.col("dist")).alias("dist"), pos.alias("pos"))
 
 
-def nearest_edge(objects: DataFrame, edges: DataFrame, cell: float = 240.0, widest: float = 1e7) -> DataFrame:
+def nearest_edge(objects: DataFrame, edges: DataFrame, cell: float | None = None, widest: float = 1e7) -> DataFrame:
     """object_id, edge_id, dist, pos: the nearest edge of each object (object_id, cx, cy), ties by edge id, then
     the side rule. Needs opposite_id.
 
-    Segments and objects meet in grid cells. What lies within one cell size is sure to be the nearest; objects that
-    find nothing so near are tried again with cells four times as wide.
+    Segments lie in the grid cells that they pass, objects look into their own cell and the eight around it; cells are
+    as wide as a segment is long on average, unless given. What lies within one cell size is sure to be the nearest;
+    objects that find nothing so near are tried again with cells four times as wide, and only they.
     """
     segs = edges.select("edge_id", F.explode(G.segments(F.col("geom"))).alias("s"))
-    box = lambda k, f: f(F.col(f"s.a.{k}"), F.col(f"s.b.{k}"))
+    if cell is None:
+        cell = min(max(segs.agg(F.avg(G.distance(F.col("s.a"), F.col("s.b")))).first()[0] or 100.0, 10.0), 1000.0)
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     left, out, size = objects.select("object_id", "cx", "cy"), None, cell
     while True:
-        near = segs.select("edge_id", "s", F.explode(cells(box("x", F.least) - size, box("x", F.greatest) + size, box("y", F.least) - size, box("y", F.greatest) + size, size)).alias("c")).select("edge_id", "s", "c.cx", "c.cy")
-        here = left.select("object_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.floor(F.col("cx") / size).alias("cx"), F.floor(F.col("cy") / size).alias("cy"))
-        met = here.join(near, ["cx", "cy"]).withColumn("d", G.to_segment(F.col("s.a"), F.col("s.b"), F.struct("x", "y")))
+        there = segs.select("edge_id", "s", F.explode(passed(F.col("s.a"), F.col("s.b"), size)).alias("c")).select("edge_id", "s", F.col("c.cx").alias("gx"), F.col("c.cy").alias("gy"))
+        here = left.select("object_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(around).alias("n"))
+        here = here.select("object_id", "x", "y", (F.floor(F.col("x") / size) + F.col("n.i")).alias("gx"), (F.floor(F.col("y") / size) + F.col("n.j")).alias("gy"))
+        met = here.join(there, ["gx", "gy"]).withColumn("d", G.to_segment(F.col("s.a"), F.col("s.b"), F.struct("x", "y")))
         best = met.groupBy("object_id").agg(F.min(F.struct("d", "edge_id")).alias("m")).where(F.col("m.d") <= size).select("object_id", F.col("m.edge_id").alias("edge_id"))
         best = settled(best, "nearest")
         out = best if out is None else out.union(best)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isomesh.operators.state import Shelf, settled
@@ -56,10 +56,10 @@ def search(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), bou
     quick = F.col("tt") <= light
     near = quick & F.coalesce(F.col("b_tt") <= light, F.lit(False))
     out = settled(out.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("length").alias("e_length"), F.col("tt").alias("e_tt"), near.alias("near"), quick.alias("quick")), "out")
-    slow, one_way = bool(facts.slowest and facts.slowest > light), bool(out.where("quick and not near").limit(1).count())
+    slow, one_way = bool(facts.slowest and facts.slowest > light), not out.where("quick and not near").isEmpty()
 
-    def least(df: DataFrame, *more: Column) -> DataFrame:
-        return df.groupBy(*keys).agg(F.min(F.struct(*label)).alias("l"), *more).select(*keys, *(f"l.{c}" for c in label), *(["near"] if more else []))
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min(F.struct(*label)).alias("l")).select(*keys, *(f"l.{c}" for c in label))
 
     def moved(labels: DataFrame, low: float, high: float, by: str = "quick") -> DataFrame:
         """The offers of labels whose time lies in the bucket."""
@@ -71,12 +71,12 @@ def search(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), bou
     def opened(offers: DataFrame, k: int, all_near: bool) -> DataFrame:
         """The best offer of each node that no earlier bucket has settled."""
         fresh = lambda df, old: df if old is None else df.join(old.select(*keys), keys, "left_anti")
-        best = fresh(least(offers, F.max("near").alias("near")), done.get(k - 1, k - 2))
-        long_ago = done.get(*(n for n in done.numbers if n < k - 2))
+        # Before they are reduced: most offers go back to where their label came from.
+        offers, long_ago = fresh(offers, done.get(k - 1, k - 2)), done.get(*(n for n in done.numbers if n < k - 2))
         if not all_near and long_ago is not None:
             # What was settled long ago is read for few offers only.
-            best = best.where("near").union(fresh(best.where("not near"), long_ago))
-        return best.select(*keys, *label)
+            offers = offers.where("near").union(fresh(offers.where("not near"), long_ago).select(*offers.columns))
+        return least(offers)
 
     done = Shelf(spark, "labels")
     begin = start.where(F.col("tt") <= max_tt).select(*keys, "tt", "dist", F.col("first").alias("edge"), F.lit(None).cast("bigint").alias("before"), F.lit(False).alias("near"))
@@ -104,7 +104,7 @@ def search(start: DataFrame, edges: DataFrame, max_tt: float = float("inf"), bou
                 turn += 1
                 front = shelf.put(turn, better.select(*keys, *label))
                 least_tt = front.agg(F.min("tt")).first()[0]
-            found = done.put(k, least(shelf.all()) if turn else front)
+            found = done.put(k, least(shelf.all())) if turn else done.take(k, shelf)
             if bounds:
                 bounds.add(found.join(ways, "node").select("origin", "destination", (F.col("tt") + F.col("ride")).alias("tt")))
             if slow:

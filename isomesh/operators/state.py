@@ -36,25 +36,37 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
 
 
 class Shelf:
-    """Tables of one kind that an iteration writes one after the other and never again, under numbers, in a folder of
-    the shared one. They are read one by one, or all at once without a plan that grows with their number."""
+    """Tables of one kind that an iteration writes one after the other and never again, under numbers. They are read one
+    by one or several at once, as one scan of their files."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        self.numbers: list[int] = []
+        self.paths: dict[int, str] = {}
         self.schema = None
 
+    @property
+    def numbers(self) -> list[int]:
+        return list(self.paths)
+
     def put(self, number: int, df: DataFrame) -> DataFrame:
         """Writes a table and reads it again."""
-        df.write.parquet(f"{self.path}/number={number}")
-        self.schema = df.schema
-        self.numbers.append(number)
+        path = f"{self.path}/{number}"
+        df.write.parquet(path)
+        return self.own(number, path, df)
+
+    def take(self, number: int, other: Shelf) -> DataFrame:
+        """The only table of another shelf, where it lies."""
+        (path,) = other.paths.values()
+        return self.own(number, path, other)
+
+    def own(self, number: int, path: str, like: DataFrame | Shelf) -> DataFrame:
+        self.schema, self.paths[number] = like.schema, path
         return self.get(number)
 
     def get(self, *numbers: int) -> DataFrame | None:
         """The tables of these numbers, as far as there are any."""
-        paths = [f"{self.path}/number={n}" for n in numbers if n in self.numbers]
+        paths = [self.paths[n] for n in numbers if n in self.paths]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
 
     def all(self) -> DataFrame | None:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/*") if self.numbers else None
+        return self.get(*self.paths)

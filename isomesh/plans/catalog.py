@@ -58,10 +58,14 @@ def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return SHARED[key]
 
 
+def on_foot(edges: DataFrame) -> DataFrame:
+    return shaped_edges(edges).withColumn("tt", F.col("length") / F.least("vmax", F.lit(M.FOOT.vmax)))
+
+
 def walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """edges with tt on foot, origins, destinations, and both mapped."""
     edges, origins, destinations = load(spark, sf_dir, "edges", "origins", "destinations")
-    net = shaped_edges(edges).withColumn("tt", F.col("length") / F.least("vmax", F.lit(M.FOOT.vmax)))
+    net = once(spark, sf_dir, "net", lambda: on_foot(edges))
     o = once(spark, sf_dir, "o", lambda: mapping.nearest_edge(origins, net))
     d = once(spark, sf_dir, "d", lambda: mapping.nearest_edge(destinations, net))
     return net, origins, destinations, o, d
@@ -124,7 +128,8 @@ def search_labels(spark, sf_dir):
 @query(f"WITH {clauses('edges', 'origins')}, m AS ({mapped_sql('origins')}) SELECT object_id, edge_id, round(dist, 6) AS dist, round(pos, 6) AS pos FROM m")
 def map_origins(spark, sf_dir):
     edges, origins = load(spark, sf_dir, "edges", "origins")
-    return mapping.nearest_edge(origins, shaped_edges(edges)).select("object_id", "edge_id", r6("dist", "dist"), r6("pos", "pos"))
+    net = once(spark, sf_dir, "net", lambda: on_foot(edges))
+    return mapping.nearest_edge(origins, net).select("object_id", "edge_id", r6("dist", "dist"), r6("pos", "pos"))
 
 
 @query(od_sql("SELECT origin, destination, round(tt, 6) AS tt FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY tt, destination) AS k FROM od) WHERE k <= 3"))

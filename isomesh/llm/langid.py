@@ -4,10 +4,11 @@ For each document: the likelihood of its text under letter-trigram models, one p
 for "no known language"; the declared markup language, weighed by how often each declaration goes with each
 language; and a prior by host, smoothed towards its address suffix, which is smoothed towards the whole corpus.
 Trigram counts, declarations and priors come from grouped aggregation over all rows. The known languages are those
-that one row in LEAST_SHARE declares.
+that one row in LEAST_SHARE declares. A rarer one can't be learnt: where the text is none of the known ones for sure, its
+declaration stands, if it is a language's code, and the text is kept.
 
 Defined results: null text counts as empty. A text without letters, or whose best language has a posterior
-under LEAST, or for which the uniform model wins, is "und" and rejected. Null hosts and declarations are
+under LEAST, or for which the uniform model wins, is "und" and rejected, but for the declarations of rare languages. Null hosts and declarations are
 values of their own; a host without a dot has no suffix. Repeated rows each count and each give a row. Extra columns,
 whatever their names, are ignored by the report and kept by ``keep_identified``. In an empty table, or one without
 declared languages, nothing can be learnt, and texts come out as "und".
@@ -28,6 +29,8 @@ from isomesh.llm.work import chosen, let, packed, runs, strings, unpacked, writt
 
 #: Production parameters. LEAST_SHARE: a language is known if one row in so many declares it.
 LEAST, LEAST_SHARE = 0.5, 1000
+#: What a declaration looks like that names a language.
+CODE = r"^[a-z]{2,3}([-_][a-z0-9]+)*$"
 #: Trigrams are hashed to so many bits.
 BITS = 16
 #: A text counts as at most so many independent trigrams.
@@ -189,15 +192,19 @@ def identified(rows: DataFrame, again: bool) -> DataFrame:
     probability and kept. again: likelihoods are worked out a second time instead of writing all columns to disk."""
     langs = languages(rows)
     model = train(rows, langs)
+    code = F.coalesce(F.col("declared").rlike(CODE), F.lit(False))
     if not langs:
-        return rows.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "kept": F.lit(False)})
+        stands = code & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+        return rows.withColumns({"language": F.when(stands, F.col("declared")).otherwise("und"), "probability": F.lit(0.0), "kept": stands})
     narrow = rows.select("text", "declared", "host", "suffix") if again else rows
     alone = written(likelihoods(narrow, model), "likelihoods")
     fused = fuse(likelihoods(rows, model) if again else alone, gather(alone, langs))
     best = F.array_max("posterior")
     at = F.array_position("posterior", best).cast("int")
     sure = F.coalesce((best >= LEAST) & (at <= len(langs)), F.lit(False))
-    return fused.withColumns({"kept": sure, "language": F.when(sure, F.element_at(F.array(*map(F.lit, langs), F.lit("und")), at)).otherwise("und"), "probability": F.coalesce(best, F.lit(0.0))}).drop("posterior", "ll")
+    stands = ~sure & code & ~F.col("declared").isin(*langs) & F.col("ll").isNotNull()
+    found = F.when(sure, F.element_at(F.array(*map(F.lit, langs), F.lit("und")), at)).when(stands, F.col("declared")).otherwise("und")
+    return fused.withColumns({"kept": sure | stands, "language": found, "probability": F.coalesce(best, F.lit(0.0))}).drop("posterior", "ll")
 
 
 def suffix_of(host: Column) -> Column:

@@ -2,9 +2,10 @@
 
 The language model is over ORDER lower-case characters as they are, of any script, with a model for each language that
 one row in LEAST_SHARE declares and one for all others together. Tasks count n-grams, Spark sums them over all
-documents and derives continuation counts, discounts and back-off weights by grouped aggregation and joins. An n-gram
-counts if MIN_TEXTS texts have it, since a text tells nothing of itself; scoring backs off where it is missing. The
-model grows with the corpus and is a table of n-grams.
+documents and derives continuation counts, discounts and back-off weights by grouped aggregation and joins. An n-gram gets an
+entry if MIN_TEXTS texts have it, since a text tells nothing of itself; scoring backs off where it is missing, with the
+weight that the n-grams without an entry leave. Discounts come from the counts of all. The model grows with the corpus
+and is a table of n-grams.
 
 For scoring, the table becomes sorted arrays of 64-bit hashes with their values, which tasks search by bisection. They
 are cut into shards of about SHARD entries by the last two characters of the context, so that a shard has all that
@@ -16,8 +17,7 @@ histogram, of the documents that pass the base rules.
 
 Defined results: null text counts as having no words; a text without words fails the base rules; an empty text has
 null perplexity. Null and rare languages share the model and band "other". A language none of whose documents pass
-the base rules has no band and rejects nothing by it. Of a text longer than CHUNK, every stretch of that length counts
-as a text where texts are counted. Extra columns, whatever their names, are ignored by the report and kept by
+the base rules has no band and rejects nothing by it. Extra columns, whatever their names, are ignored by the report and kept by
 ``keep_good``. Repeated rows each count and each give a row.
 """
 
@@ -88,57 +88,83 @@ def rolled(cps: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+def gram_counts(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different n-grams of some stretches, how often they stand there, and in how many stretches."""
+    cps, ends, text = windows(parts)
+    if not len(ends):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = rolled(cps, ends)
+    order = np.argsort(key, kind="stable")
+    key, text, ends = key[order], text[order], ends[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new)
+    new_text = new | np.concatenate([[True], text[1:] != text[:-1]])
+    joined = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
+    grams = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
+    return grams, np.diff(np.append(first, len(key))), np.add.reduceat(new_text, first, dtype=np.int64)
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """model, gram, n, texts: for some texts at a time."""
+    """model, gram, n, texts: for some texts at a time. The stretches of a long text count as one text."""
+
+    def told(model: int, grams: list[str], n: np.ndarray, texts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), model, dtype=np.int32)), pa.array(grams, pa.string()), pa.array(n), pa.array(texts)], ["model", "gram", "n", "texts"])
+
     for batch in batches:
         models = batch.column("model").to_numpy()
         for model in np.unique(models):
             rows = strings(batch.column("text").filter(pa.array(models == model)))
-            parts = [s for _, s in stretches(rows)]
+            parts, long = [], {}
+            for i, s in stretches(rows):
+                (parts.append(s) if len(rows[i]) <= CHUNK // 2 else long.setdefault(i, []).append(s))
             for a, b in runs([len(p) for p in parts], CHUNK):
-                cps, ends, text = windows(parts[a:b])
-                if not len(ends):
-                    continue
-                key = rolled(cps, ends)
-                order = np.argsort(key, kind="stable")
-                key, text, ends = key[order], text[order], ends[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                first = np.flatnonzero(new)
-                new_text = new | np.concatenate([[True], text[1:] != text[:-1]])
-                joined = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode()
-                grams = [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
-                n = np.diff(np.append(first, len(key)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), model, dtype=np.int32)), pa.array(grams, pa.string()), pa.array(n), pa.array(np.add.reduceat(new_text, first, dtype=np.int64))], ["model", "gram", "n", "texts"])
+                yield told(model, *gram_counts(parts[a:b]))
+            for one in long.values():
+                total: Counter = Counter()
+                for s in one:
+                    grams, n, _ = gram_counts([s])
+                    for g, k in zip(grams, n.tolist(), strict=True):
+                        total[g] += k
+                yield told(model, list(total), np.fromiter(total.values(), np.int64, len(total)), np.ones(len(total), np.int64))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """model, gram, n of the n-grams that enough texts have. docs: text, model."""
+    """model, gram, n, texts of all n-grams. docs: text, model."""
     counts = docs.select("text", "model").mapInArrow(count_batches, "model int, gram string, n bigint, texts bigint")
-    sums = counts.groupBy("model", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    return sums.where(F.col("texts") >= MIN_TEXTS).select("model", "gram", "n")
+    return counts.groupBy("model", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def discounts(own: DataFrame) -> DataFrame:
+    """model, d1, d2, d3: what counts of 1, 2 and more lose, from how many n-grams have counts of 1 to 4."""
+    times = [F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in range(1, 5)]
+    c = lambda k: F.greatest(F.col(f"n{k}"), F.lit(1))
+    y = c(1) / (c(1) + 2 * c(2))
+    by = [F.least(F.greatest(k - (k + 1) * y * c(k + 1) / c(k), F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{k}") for k in (1, 2, 3)]
+    return own.groupBy("model").agg(*times).select("model", *by)
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER, least_texts: int = MIN_TEXTS) -> DataFrame:
     """model, gram, kind, value: for n-grams of each size the log of the interpolated probability of their last
-    character (kind p), for contexts of each size the log of the back-off weight (kind b)."""
+    character (kind p), for contexts of each size the log of the back-off weight (kind b).
+
+    counts: model, gram, n, texts, of all n-grams of the largest size. Those that too few texts have get no entry; they
+    take part in the discounts, and what they would have had goes to their contexts' back-off weights.
+    """
     # Every level is a table of its own, so that no plan holds the levels below it again.
-    levels = {order: counts}
+    levels = {order: counts.withColumn("kept", F.col("texts") >= least_texts)}
     for size in range(order - 1, 0, -1):
         # In how many different ways the shorter gram continues something.
-        levels[size] = written(levels[size + 1].groupBy("model", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")), "level")
+        levels[size] = written(levels[size + 1].where("kept").groupBy("model", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")), "level").withColumn("kept", F.lit(True))
     lower, out = None, None
     for size in range(1, order + 1):
         own = levels[size]
-        times = [F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in range(1, 5)]
-        c = lambda k: F.greatest(F.col(f"n{k}"), F.lit(1))
-        y = c(1) / (c(1) + 2 * c(2))
-        discounts = [F.least(F.greatest(k - (k + 1) * y * c(k + 1) / c(k), F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{k}") for k in (1, 2, 3)]
-        ds = own.groupBy("model").agg(*times).select("model", *discounts)
-        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        # ds: one row for each model, LEAST_SHARE + 1 at most.
-        cut = own.join(F.broadcast(ds), "model").select("model", "gram", F.substring("gram", 1, size - 1).alias("ctx"), "n", less.alias("cut"))
-        contexts = written(cut.groupBy("model", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back")), "contexts")
-        p = cut.join(contexts, ["model", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
+        less = F.when(~F.col("kept"), F.col("n")).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        # Discounts: one row for each model, LEAST_SHARE + 1 at most.
+        cut = own.join(F.broadcast(discounts(own)), "model").select("model", "gram", F.substring("gram", 1, size - 1).alias("ctx"), "n", less.cast("double").alias("cut"), "kept")
+        # A context without entries backs off as one that was never seen.
+        sums = cut.groupBy("model", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"), F.max("kept").alias("some"))
+        contexts = written(sums.where("some").drop("some"), "contexts")
+        p = cut.where("kept").join(contexts, ["model", "ctx"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
         if lower is None:
             p = p.select("model", "gram", (F.col("own") + F.col("back") / ALPHABET).alias("p"))
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 
@@ -21,10 +22,11 @@ def vocabulary(name: str) -> str:
 
 
 class BytePieces:
-    """Encodes texts by a ``tokenizers`` file without special tokens.
+    """Encodes texts by a ``tokenizers`` file as the library does, without adding special tokens.
 
     The vocabulary splits texts before every space that follows a non-space, so the ids of a text are those of
-    its space-led words, one after the other. A word is encoded once and then looked up.
+    its space-led words, one after the other. A word is encoded once and then looked up. Texts that hold the string of
+    one of the file's added tokens, which the library finds before it splits, go to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -32,9 +34,14 @@ class BytePieces:
         self.words: dict[str, bytes] = {}
         ranks = Path(path).with_suffix(".tiktoken")
         self.whole = by_ranks(str(ranks)) if ranks.exists() else by_file(path)
+        self.added = [t["content"] for t in json.loads(Path(path).read_text("utf-8")).get("added_tokens", [])]
+        self.library = None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.added):
+            self.library = self.library or by_file(self.path)
+            return np.asarray(self.library(text), "<u4").tobytes()
         if BROKEN.search(text) or text[:1] == " ":
             return np.asarray(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -51,7 +58,6 @@ def by_file(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 

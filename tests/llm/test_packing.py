@@ -9,18 +9,22 @@ import pytest
 from isomesh.llm import packing, tokens
 from tests.llm.helpers import odd_documents, small_documents
 
-TEXTS = [None, "", "a", "The cat's  hat \n b", " lead", "trail ", "<|endoftext|> x", "é𝒳 日本 \t x", "x" * 9000, "one two " * 3000, "don't we'll 123 4,5"]
+TEXTS = [None, "", "a", "The cat's  hat \n b", " lead", "trail ", "<|endoftext|> x", "end <|endoftext|> go", "é𝒳 日本 \t x", "x" * 9000, "one two " * 3000, "don't we'll 123 4,5"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    return tokens.by_file(tokens.vocabulary("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    return lambda text: plain.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_equal_the_library(library, spark):
     own = tokens.BytePieces(tokens.vocabulary("byte_bpe_50k.json"))
     for text in [t or "" for t in TEXTS] + [r.text for r in small_documents(spark).limit(60).collect()]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library(text)
+    assert library("end <|endoftext|> go")[2] == 50256
 
 
 def test_every_id_in_one_piece(spark, library):

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isomesh.functions import geom as G
 from isomesh.functions import modes as M
 from isomesh.operators import aggregate, limits, mapping, measures, network, sinks, transit
 from isomesh.operators.state import settled
@@ -144,9 +145,8 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     # Public transport.
     service = None
     if o["pt"]:
-        box = tuple(map(float, str(o["pt.boundary"]).split(","))) if o["pt.boundary"] else None
-        zone = int(o["epsg"]) % 100 if 32600 < int(o["epsg"]) <= 32660 or 25828 <= int(o["epsg"]) <= 25838 else None
-        service = gtfs.load(spark, str(o["pt"]), int(str(o["date"]).replace("-", "")), zone, gtfs.carriers_of(str(o["pt-restriction"] or "")), box)
+        keep = tables.boundary(spark, str(o["pt.boundary"])) if o["pt.boundary"] else None
+        service = gtfs.load(spark, str(o["pt"]), int(str(o["date"]).replace("-", "")), int(o["epsg"]), gtfs.carriers_of(str(o["pt-restriction"] or "")), keep)
     rides = hops = transfers = None
     if service:
         stops = service["stops"].select(F.col("stop_id").alias("object_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
@@ -161,8 +161,6 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     for name, df in (("origins-to-road-output", from_road), ("destinations-to-road-output", to_road)):
         if o[name]:
             at = df.join((sources if name.startswith("o") else goals).select("object_id", "cx", "cy"), "object_id").join(edges.select("edge_id", "geom"), "edge_id")
-            from isomesh.functions import geom as G
-
             out[name] = sinks.shaped(at.withColumn("conn", F.array(G.point(F.col("cx"), F.col("cy")), G.point_at(F.col("geom"), F.col("pos")))), "mapping")
     delays = settled(network.crossing_delays(edges), "delays") if o["crossing-model"] != "none" else None
     if o["crossings-output"]:
@@ -174,7 +172,7 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     # Ways.
     changes = None
     if o["mode-changes"]:
-        nodes = edges.select(F.col("from_node").try_cast("bigint").alias("node_id")).union(edges.select(F.col("to_node").try_cast("bigint")))
+        nodes = edges.select(F.col("from_node").alias("node_id")).union(edges.select("to_node"))
         changes = tables.mode_changes(spark, str(o["mode-changes"]), nodes)
     max_tt = float(o["max-tt"]) if o["max-tt"] is not None else float("inf")
     types = tables.types(spark, str(o["to-types"])) if o["to-types"] else None

@@ -6,9 +6,11 @@ are already multiplied by the weight where their definition says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isomesh.operators.state import settled
+
 ALL = -1
 
 
@@ -69,19 +71,34 @@ def dense(measures: DataFrame, origin_keys: DataFrame, destination_keys: DataFra
 
 
 def statistics(od: DataFrame, values: list[str], from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:
-    """fid, sid, num and avg, med, min, max, p15, p85 of each value, percentiles by rank int(n * q) of the sorted
-    values. Ranks are counted by windows, so no group is gathered into one row."""
-    from pyspark.sql import Window
+    """fid, sid, num and avg, med, min, max, p15, p85 of each value, percentiles by rank int(n * q) of the sorted values.
 
+    Rows are counted by key, measure and value first, and the counts dealt out by ranges of these; every range numbers
+    its own behind what the ranges before it hold of the key. So a key with most of the rows takes many tasks.
+    """
     pairs = keyed(od, from_agg, to_agg)
-    by = Window.partitionBy("fid", "sid")
-    n = F.count("*").over(by)
-    ranks = pairs.select("fid", "sid", *values, n.alias("n_"), *(F.row_number().over(by.orderBy(v)).alias(f"r_{v}") for v in values))
-    at = lambda v, q: F.max(F.when(F.col(f"r_{v}") == F.floor(F.col("n_") * q) + 1, F.col(v)))
-    out = [F.count("*").alias("num")]
-    for v in values:
-        out += [F.avg(v).alias(f"avg_{v}"), at(v, F.lit(0.5)).alias(f"med_{v}"), F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), at(v, F.lit(0.15)).alias(f"p15_{v}"), at(v, F.lit(0.85)).alias(f"p85_{v}")]
-    return ranks.groupBy("fid", "sid").agg(*out)
+    keys = ["fid", "sid", "measure"]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)))).alias("e")
+    counts = pairs.select("fid", "sid", each).select("fid", "sid", "e.measure", "e.v").where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    spread = counts.repartitionByRange(int(od.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "v")
+    dealt = settled(spread.withColumn("part", F.spark_partition_id()), "ranges")
+    # A row for each key in each range that has some of it: as many as there are keys and ranges.
+    held = dealt.groupBy(*keys, "part").agg(F.sum("k").alias("here"), F.sum(F.col("v") * F.col("k")).alias("sum"), F.min("v").alias("least"), F.max("v").alias("most"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*keys, "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base"), "here", "sum", "least", "most")
+    all_of = held.groupBy(*keys).agg(F.sum("here").alias("n"), F.sum("sum").alias("sum"), F.min("least").alias("least"), F.max("most").alias("most"))
+    own = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = dealt.select(*keys, "part", "v", "k", F.sum("k").over(own).alias("own")).join(held.select(*keys, "part", "base"), [*keys, "part"]).join(all_of, keys)
+    last = F.col("base") + F.col("own")
+    at = lambda q: F.max(F.when((F.floor(F.col("n") * q) >= last - F.col("k")) & (F.floor(F.col("n") * q) < last), F.col("v")))
+    found = upto.groupBy(*keys).agg(F.first("n").alias("n"), F.first("sum").alias("sum"), F.first("least").alias("min"), F.first("most").alias("max"), at(0.5).alias("med"), at(0.15).alias("p15"), at(0.85).alias("p85"))
+    of = lambda i, c: F.max(F.when(F.col("measure") == i, c))
+    columns = []
+    for i, v in enumerate(values):
+        columns += [of(i, F.col("sum") / F.col("n")).alias(f"avg_{v}"), *(of(i, F.col(c)).alias(f"{c}_{v}") for c in ("med", "min", "max", "p15", "p85"))]
+    num = pairs.groupBy(F.col("fid").alias("n_fid"), F.col("sid").alias("n_sid")).agg(F.count("*").alias("num"))
+    wide = found.groupBy("fid", "sid").agg(*columns)
+    return num.join(wide, F.col("n_fid").eqNullSafe(F.col("fid")) & F.col("n_sid").eqNullSafe(F.col("sid")), "left").select(F.col("n_fid").alias("fid"), F.col("n_sid").alias("sid"), "num", *wide.columns[2:])
 
 
 def edge_use(steps: DataFrame, od: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:

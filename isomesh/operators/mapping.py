@@ -84,11 +84,15 @@ def nearest_edge(objects: DataFrame, edges: DataFrame, cell: float | None = None
 
 
 def area_of(objects: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
-    """object_id, area_id: of the areas (object_id, points) that hold an object's point the one with the smallest
-    id, -1 if there is none. Areas meet objects in the grid cells of their boxes."""
-    ring = areas.select(F.col("object_id").alias("area_id"), "points")
-    ends = lambda k, f: f(F.transform("points", lambda p: p[k]))
-    ring = ring.select("area_id", "points", F.explode(cells(ends("x", F.array_min), ends("x", F.array_max), ends("y", F.array_min), ends("y", F.array_max), cell)).alias("c")).select("area_id", "points", F.col("c.cx").alias("gx"), F.col("c.cy").alias("gy"))
+    """object_id, area_id: of the areas that hold an object's point the one with the smallest id, -1 if there is none.
+
+    areas: object_id and parts, or points where an area is one ring. Areas meet objects in the grid cells of the boxes of
+    their parts.
+    """
+    parts = F.col("parts") if "parts" in areas.columns else F.array(F.array("points"))
+    each = areas.select(F.col("object_id").alias("area_id"), F.explode(parts).alias("part"))
+    ends = lambda k, f: f(F.transform(F.col("part")[0], lambda p: p[k]))
+    boxed = each.select("area_id", "part", F.explode(cells(ends("x", F.array_min), ends("x", F.array_max), ends("y", F.array_min), ends("y", F.array_max), cell)).alias("c")).select("area_id", "part", F.col("c.cx").alias("gx"), F.col("c.cy").alias("gy"))
     here = objects.select("object_id", "cx", "cy", F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy"))
-    held = here.join(ring, ["gx", "gy"]).where(G.inside(F.col("points"), F.col("cx"), F.col("cy"))).groupBy("object_id").agg(F.min("area_id").alias("area_id"))
+    held = here.join(boxed, ["gx", "gy"]).where(G.inside_parts(F.array("part"), F.col("cx"), F.col("cy"))).groupBy("object_id").agg(F.min("area_id").alias("area_id"))
     return objects.select("object_id").join(held, "object_id", "left").select("object_id", F.coalesce("area_id", F.lit(-1).cast("bigint")).alias("area_id"))

@@ -12,6 +12,7 @@ from isomesh.functions import geom as G
 from isomesh.functions import modes as M
 from isomesh.operators import aggregate, limits, mapping, measures, network, routing, transit
 from isomesh.operators.state import settled
+from isomesh.operators.ways import Enough
 from isomesh.plans.fixture import clauses, load, mapped_sql
 from isomesh.sources import gtfs, osm, text
 
@@ -172,6 +173,29 @@ def objects_in_areas(spark, sf_dir):
     return mapping.area_of(origins, rings(areas))
 
 
+def split_areas(areas: DataFrame) -> DataFrame:
+    """Every area as two polygons: its left half, with a hole, and its right quarter."""
+    x = {k: f"x1 + (x2 - x1) * {k} / 8" for k in (0, 1, 2, 4, 6, 8)}
+    ring = lambda a, b, c, d: f"concat('(', {', '.join(f"CAST({x[i]} AS STRING), ' ', CAST(y1 + (y2 - y1) * {j} / 8 AS STRING), '{end}'" for i, j, end in ((a, c, ', '), (b, c, ', '), (b, d, ', '), (a, d, ', '), (a, c, ')')))})"
+    wkt = F.expr(f"concat(CAST(object_id AS STRING), ';MULTIPOLYGON((', {ring(0, 4, 0, 8)}, ', ', {ring(1, 2, 2, 4)}, '), (', {ring(6, 8, 0, 8)}, '))')")
+    return text.strict(*text.layer_wkt(areas.select(wkt.alias("value"))))
+
+
+@query(f"""WITH {clauses('origins', 'areas')}, u AS (SELECT o.object_id, a.object_id AS area, (cx - x1) / (x2 - x1) * 8 AS i, (cy - y1) / (y2 - y1) * 8 AS j FROM origins o JOIN areas a ON o.cx >= a.x1 AND o.cx < a.x2 AND o.cy >= a.y1 AND o.cy < a.y2)
+    SELECT o.object_id, coalesce(min(area), -1) AS area_id FROM origins o LEFT JOIN (SELECT * FROM u WHERE i >= 6 OR i < 4 AND NOT (i >= 1 AND i < 2 AND j >= 2 AND j < 4)) u USING (object_id) GROUP BY o.object_id""")
+def objects_in_parts(spark, sf_dir):
+    """Objects in areas of several parts with holes."""
+    origins, areas = load(spark, sf_dir, "origins", "areas")
+    return mapping.area_of(origins, settled(split_areas(areas), "parts"))
+
+
+@query(f"WITH {clauses('areas')} SELECT object_id, 'MULTIPOLYGON' AS geom_type, round(x1 + (x2 - x1) * (32 * 2 - 2 * 1.5e0 + 16 * 7) / 46 / 8, 4) AS cx, round(y1 + (y2 - y1) * (32 * 4 - 2 * 3 + 16 * 4) / 46e0 / 8, 4) AS cy FROM areas")
+def centres_of_parts(spark, sf_dir):
+    """The centroids of areas of several parts, without their holes."""
+    areas = load(spark, sf_dir, "areas")[0]
+    return split_areas(areas).select("object_id", "geom_type", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+
+
 SUMS = "sum(dist * w) / sum(w) AS d, sum(tt * w) / sum(w) AS t, sum(w) AS n, sum(value * w) AS v"
 OUT = "round(d, 6) AS avg_distance, round(t, 6) AS avg_tt, round(n / total, 6) AS avg_num, round(v / total, 6) AS avg_value"
 
@@ -258,6 +282,50 @@ def od_pairs_routed(spark, sf_dir):
     return od.join(pairs, ["origin", "destination"], "left_semi").select("origin", "destination", r6("tt", "tt"))
 
 
+def found_until(spark, sf_dir, enough, limit, *by: str) -> DataFrame:
+    """What is within limits by a search that ends early and has no other bound on time."""
+    net, _, destinations, o, d = walk(spark, sf_dir)
+    labels = routing.search_until(enough(destinations), o, d, net)
+    od = routing.od_values(labels, o, d, net, float("inf")).join(destinations.select(F.col("object_id").alias("destination"), "value", "region"), "destination")
+    return limit(od).select("origin", "destination", *by, r6("tt", "tt"))
+
+
+def on_grid(rank: str, where: str) -> str:
+    """Ways over the whole grid without a search: the quickest is the shortest along its lines, by one of the ends of the
+    origin's edge and of the destination's."""
+    return f"""WITH {clauses('edges', 'origins', 'destinations')},
+        o AS (SELECT m.object_id AS origin, m.edge_id, m.pos, e.x1, e.y1, e.x2, e.y2, e.opposite_id FROM ({mapped_sql("origins")}) m JOIN edges e USING (edge_id)),
+        d AS (SELECT m.object_id AS destination, m.edge_id, m.pos, e.x1, e.y1, e.x2, e.y2, e.opposite_id FROM ({mapped_sql("destinations")}) m JOIN edges e USING (edge_id)),
+        o_ends AS (SELECT origin, x1 AS x, y1 AS y, pos AS run FROM o UNION ALL SELECT origin, x2, y2, 120e0 - pos FROM o),
+        d_ends AS (SELECT destination, x1 AS x, y1 AS y, pos AS run FROM d UNION ALL SELECT destination, x2, y2, 120e0 - pos FROM d),
+        pairs AS (SELECT origin, destination, min(tt) AS tt FROM (
+            SELECT origin, destination, a.run + b.run + abs(a.x - b.x) + abs(a.y - b.y) AS tt FROM o_ends a, d_ends b
+            UNION ALL SELECT origin, destination, abs(d.pos - o.pos) FROM o JOIN d USING (edge_id)
+            UNION ALL SELECT origin, destination, abs(d.pos - (120e0 - o.pos)) FROM o JOIN d ON o.edge_id = d.opposite_id) GROUP BY ALL),
+        r AS (SELECT pairs.*, value, region, {rank} FROM pairs JOIN (SELECT object_id AS destination, value, region FROM destinations) USING (destination))
+        SELECT origin, destination, {{columns}}round(tt, 6) AS tt FROM r WHERE {where}"""
+
+
+@query(on_grid("row_number() OVER (PARTITION BY origin ORDER BY round(tt, 7), destination) AS k", "k <= 2").replace("{columns}", ""))
+def nearest_unbounded(spark, sf_dir):
+    """The two nearest destinations of every origin, however far, without a search of the whole network."""
+    return found_until(spark, sf_dir, lambda _: Enough(2), lambda od: limits.first_n(od.withColumn("tt", F.round("tt", 7)), 2))
+
+
+@query(on_grid("coalesce(sum(value) OVER (PARTITION BY origin ORDER BY round(tt, 7), destination ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before", "before < 4").replace("{columns}", ""))
+def value_unbounded(spark, sf_dir):
+    """The nearest destinations of every origin until their values come to four."""
+    values = lambda destinations: destinations.select(F.col("object_id").alias("destination"), "value")
+    return found_until(spark, sf_dir, lambda d: Enough(None, 4.0, values(d)), lambda od: limits.until_value(od.withColumn("tt", F.round("tt", 7)), 4.0))
+
+
+@query(on_grid("row_number() OVER (PARTITION BY origin, region ORDER BY round(tt, 7), destination) AS k", "k = 1").replace("{columns}", "region, "))
+def nearest_of_each_region(spark, sf_dir):
+    """The nearest destination of each region, for every origin."""
+    types = lambda destinations: destinations.select(F.col("object_id").alias("destination"), F.col("region").alias("type"))
+    return found_until(spark, sf_dir, lambda d: Enough(1, types=types(d)), lambda od: limits.nearest(od.withColumn("tt", F.round("tt", 7)), ["region"]), "region")
+
+
 STEPS = {
     "pred": """SELECT origin, node, edge, before FROM (SELECT *, row_number() OVER (PARTITION BY origin, node ORDER BY edge, before NULLS FIRST) AS k FROM (
         SELECT origin, to_node AS node, 120e0 - pos AS tt, edge_id AS edge, CAST(NULL AS BIGINT) AS before FROM o UNION ALL SELECT origin, from_node, pos, opposite_id, NULL FROM o

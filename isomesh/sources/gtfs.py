@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isomesh.functions.geom import utm
+from isomesh.functions.geom import projected, projection
 from isomesh.functions.modes import seconds
-from isomesh.sources.text import within
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -19,12 +19,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.csv(f"{folder}/{name}.txt", header=True, quote='"', escape='"')
 
 
-def stops(df: DataFrame, zone: int | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """stop_id, x, y; of repeated ids one stays; projected to a UTM zone, and within a boundary, if given."""
+def stops(df: DataFrame, epsg: int = 0, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """stop_id, x, y; of repeated ids one stays; projected, unless ``epsg`` is 0 or that of degrees, and within a boundary
+    (as ``tables.boundary`` makes it), if given. A projection that is not known is an error."""
     lat, lon = F.col("stop_lat").cast("double"), F.col("stop_lon").cast("double")
-    x, y = utm(lat, lon, zone) if zone else (lon, lat)
+    x, y = (lon, lat) if epsg in (0, 4326) else projected(lat, lon, projection(epsg))
     out = df.groupBy("stop_id").agg(F.min(F.struct("stop_lat", "stop_lon")).alias("s")).select("stop_id", "s.*").select("stop_id", x.alias("x"), y.alias("y"))
-    return out.where(within(F.col("x"), F.col("y"), box)) if box else out
+    return out.where(keep(F.col("x"), F.col("y"))) if keep else out
 
 
 def routes(df: DataFrame, carriers: list[int] | None = None) -> DataFrame:
@@ -100,12 +101,7 @@ def transfers(df: DataFrame, running: DataFrame) -> DataFrame:
     return rows.select(F.col("from_stop_id").alias("stop_id"), F.col("from_trip_id").alias("from_trip"), F.col("to_trip_id").alias("to_trip"), F.col("min_transfer_time").cast("int").alias("seconds"))
 
 
-def transfer_time(new: Column, old: Column, found: Column) -> Column:
-    """0 within one trip and where no time is given."""
-    return F.when(new == old, 0).otherwise(F.coalesce(found, F.lit(0)))
-
-
-def load(spark: SparkSession, folder: str, day: int, zone: int | None = None, carriers: list[int] | None = None, box: tuple[float, float, float, float] | None = None, compat: bool = False) -> dict[str, DataFrame] | None:
+def load(spark: SparkSession, folder: str, day: int, epsg: int = 0, carriers: list[int] | None = None, keep: Callable[[Column, Column], Column] | None = None, compat: bool = False) -> dict[str, DataFrame] | None:
     """What runs on a day: stops, running (trips), hops (repaired, with edge_id of their line) and lines, and transfers;
     None if no trip runs. calendar_dates and transfers may be absent."""
 
@@ -117,7 +113,7 @@ def load(spark: SparkSession, folder: str, day: int, zone: int | None = None, ca
     running = trips(read(spark, folder, "trips"), services(read(spark, folder, "calendar"), optional("calendar_dates"), day, compat), routes(read(spark, folder, "routes"), carriers))
     if not running.limit(1).count():
         return None
-    places = stops(read(spark, folder, "stops"), zone, box)
+    places = stops(read(spark, folder, "stops"), epsg, keep)
     rides = repaired(hops(times(read(spark, folder, "stop_times")), running))
     known = places.select("stop_id")
     for end in ("from_stop", "to_stop"):

@@ -185,7 +185,7 @@ def road_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     pieces = at.select("way_id", F.posexplode(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda c, i: F.slice(p, c + 1, F.col("cuts")[i + 1] - c + 1))).alias("i", "piece"))
     e = pieces.join(attributes, "way_id")
     q = F.col("piece")
-    steps = F.transform(F.slice(q, 1, F.size(q) - 1), lambda a, i: G.haversine(a["lat"], a["lon"], q[i + 1]["lat"], q[i + 1]["lon"]))
+    steps = F.transform(F.slice(q, 1, F.size(q) - 1), lambda a, i: G.on_spheroid(a["lat"], a["lon"], q[i + 1]["lat"], q[i + 1]["lon"]))
     e = e.withColumns({"length": F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), "vmax": F.greatest("vmax", F.lit(5.0)), "number": F.concat(F.col("way_id").cast("string"), F.lit("#"), F.col("i").cast("string"))})
     e = settled(e.drop("way_id", "i"), "pieces")
 

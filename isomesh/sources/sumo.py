@@ -66,7 +66,7 @@ def layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     bad = F.col("open").isNull() | (F.size("open") < 1) | F.exists("open", lambda p: p["x"].isNull() | p["y"].isNull())
     problem = F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.coalesce(bad, F.lit(True)), "bad geometry")
     both = both.withColumn("problem", problem)
-    return both.where("problem is null").select(*layer_columns(F.col("open"), F.col("kind"))), both.where("problem is not null").select(F.col("_id").alias("value"), "problem")
+    return both.where("problem is null").select(*layer_columns(F.array(F.array("open")), F.col("kind"))), both.where("problem is not null").select(F.col("_id").alias("value"), "problem")
 
 
 def speeds(spark: SparkSession, path: str) -> DataFrame:

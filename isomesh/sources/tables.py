@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isomesh.functions.geom import inside, parse_wkt
+from isomesh.functions.geom import inside_parts, parse_wkt
 from isomesh.functions.modes import BIKE, CAR, FOOT
 from isomesh.sources import sumo, text
 
@@ -43,7 +43,7 @@ def layer_table(df: DataFrame, id: str = "id", geom: str = "geom", var: str | No
     rows = df.select(F.col(id).cast("bigint").alias("object_id"), F.col(geom).cast("string").alias("value"), (F.col(var).cast("double") if var else F.lit(1.0)).alias("var")).withColumn("g", parse_wkt(F.col("value")))
     rows = text.unique_problem(rows, "object_id")
     problem = F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.col("g.rings").isNull(), "bad geometry").when(F.col("var").isNull(), "bad value")
-    return text.divided(rows, problem, *text.layer_columns(F.col("g.rings")[0], F.col("g.kind")))
+    return text.divided(rows, problem, *text.layer_columns(F.col("g.parts"), F.col("g.kind")))
 
 
 def net_table(df: DataFrame, vmax: str = "vmax", geom: str = "geom", incline: bool = False, used: int = 14, custom_at: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +122,10 @@ def escorts(spark: SparkSession, source: str) -> DataFrame:
 def mode_changes(spark: SparkSession, source: str, nodes: DataFrame) -> DataFrame:
     """node_id, from_mode, to_mode, duration, price; modes of a table are bits already. Unknown nodes are an error."""
     if is_table(source):
-        return table(spark, source).select(F.col("node_id").cast("bigint").alias("node_id"), *(F.col(c).cast("int").alias(c) for c in ("from_mode", "to_mode")), *(F.col(c).cast("double").alias(c) for c in ("duration", "price")))
+        rows = table(spark, source).select(F.col("node_id").cast(nodes.schema["node_id"].dataType).alias("node_id"), *(F.col(c).cast("int").alias(c) for c in ("from_mode", "to_mode")), *(F.col(c).cast("double").alias(c) for c in ("duration", "price")))
+        if unknown := rows.join(nodes, "node_id", "left_anti").limit(5).collect():
+            raise ValueError("; ".join(f"unknown node: {r.node_id}" for r in unknown))
+        return rows
     return text.strict(*text.mode_changes(text.read_lines(spark, path_of(source)), nodes))
 
 
@@ -132,8 +135,9 @@ def boundary(spark: SparkSession, source: str):
         box = text.boundary(source)
         return lambda x, y: text.within(x, y, box)
     except ValueError:
-        first = layer(spark, source).where("geom_type like '%POLYGON'").orderBy("object_id").select("points").first()
+        first = layer(spark, source).where("geom_type like '%POLYGON'").orderBy("object_id").select("parts").first()
     if first is None:
         raise ValueError(f"{source!r} has no polygon")
-    ring = F.array(*(F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y")) for p in first.points))
-    return lambda x, y: inside(ring, x, y)
+    at = lambda p: F.struct(F.lit(p.x).alias("x"), F.lit(p.y).alias("y"))
+    parts = F.array(*(F.array(*(F.array(*map(at, ring)) for ring in part)) for part in first.parts))
+    return lambda x, y: inside_parts(parts, x, y)

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isomesh.functions.geom import centroid, parse_wkt
+from isomesh.functions.geom import centroid_of_parts, parse_wkt
 from isomesh.functions.modes import BIKE, CAR, FOOT, MODES, SYNONYMS
 
 #: Prefixes of sources and what file endings mean.
@@ -77,9 +77,10 @@ def paired(values: Column) -> Column:
     return F.transform(steps, lambda i: F.struct(values[2 * i].alias("x"), values[2 * i + 1].alias("y")))
 
 
-def layer_columns(points: Column, kind: Column) -> list[Column]:
-    c = centroid(points, kind)
-    return [F.col("object_id"), F.col("var"), kind.alias("geom_type"), points.alias("points"), c["x"].alias("cx"), c["y"].alias("cy")]
+def layer_columns(parts: Column, kind: Column) -> list[Column]:
+    """object_id, var, geom_type, parts, points (the first ring), cx, cy."""
+    c = centroid_of_parts(parts, kind)
+    return [F.col("object_id"), F.col("var"), kind.alias("geom_type"), parts.alias("parts"), parts[0][0].alias("points"), c["x"].alias("cx"), c["y"].alias("cy")]
 
 
 def unique_problem(rows: DataFrame, key: str) -> DataFrame:
@@ -101,16 +102,16 @@ def layer_csv(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.size("open") < 1, "no geometry")
         .when(F.exists("open", lambda p: p["x"].isNull() | p["y"].isNull()), "bad geometry").when(F.col("var").isNull(), "bad value")
     )
-    return divided(rows, problem, *layer_columns(closed, kind))
+    return divided(rows, problem, *layer_columns(F.array(F.array(closed)), kind))
 
 
 def layer_wkt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """id;WKT[;var]; of a polygon the outer ring."""
+    """id;WKT[;var]; all parts of a geometry, with holes."""
     rows = lines(df).withColumns({"object_id": F.trim(F.col("f")[0]).try_cast("bigint"), "g": parse_wkt(F.try_element_at("f", F.lit(2)))})
     rows = rows.withColumn("var", F.when(F.size("f") == 3, F.try_element_at("f", F.lit(3)).try_cast("double")).otherwise(1.0))
     rows = unique_problem(rows, "object_id")
     problem = F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.col("g.rings").isNull(), "bad geometry").when(F.col("var").isNull(), "bad value")
-    return divided(rows, problem, *layer_columns(F.col("g.rings")[0], F.col("g.kind")))
+    return divided(rows, problem, *layer_columns(F.col("g.parts"), F.col("g.kind")))
 
 
 def flag(c: Column) -> Column:
@@ -178,9 +179,9 @@ def escorts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mode_changes(df: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node;from_mode;to_mode;time;price; unknown nodes are errors."""
+    """node;from_mode;to_mode;time;price; unknown nodes are errors. Nodes are texts or numbers, as those of the network."""
     f = lambda i: F.trim(F.try_element_at("f", F.lit(i)))
-    rows = lines(df).withColumns({"node_id": f(1).try_cast("bigint"), "from_mode": named_bits(f(2)), "to_mode": named_bits(f(3)), "duration": f(4).try_cast("double"), "price": f(5).try_cast("double")})
+    rows = lines(df).withColumns({"node_id": f(1).try_cast(nodes.schema["node_id"].dataType), "from_mode": named_bits(f(2)), "to_mode": named_bits(f(3)), "duration": f(4).try_cast("double"), "price": f(5).try_cast("double")})
     rows = rows.join(nodes.select(F.col("node_id").alias("known")).distinct(), F.col("node_id") == F.col("known"), "left")
     problem = F.when(F.col("known").isNull(), "unknown node").when(F.col("from_mode").isNull() | F.col("to_mode").isNull(), "unknown mode").when(F.col("duration").isNull() | F.col("price").isNull(), "bad number")
     return divided(rows, problem, "node_id", "from_mode", "to_mode", "duration", "price")

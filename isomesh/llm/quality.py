@@ -42,6 +42,8 @@ ALPHABET = 1 << 16
 BELOW, ABOVE, BINS = 5.0, 8.0, 1000
 #: Code points handled at once by a task; entries of the model (12 bytes each) sent to tasks at once.
 CHUNK, SHARD = 300_000, 4_000_000
+#: A worker remembers the values of up to 2 ** RECENT n-grams that it met lately.
+RECENT = 20
 #: Stands before the first characters of a text.
 START = "\x02"
 OTHER = "other"
@@ -224,6 +226,7 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], rows.column("value").to_numpy()[order]
         self.place, self.shards = place, shards
+        self.recent_keys = self.recent_values = None  # made by each task's worker
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -254,15 +257,31 @@ class Model:
             if not len(ends):
                 continue
             owner = np.array([i for i, _ in parts[a:b]])[text]
-            _, first, which = np.unique(rolled(cps, ends) ^ seed_of[owner], return_index=True, return_inverse=True)
-            grams, seed = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)], seed_of[owner[first]]
-            value = np.zeros(len(first))
-            mine = np.arange(len(first)) if self.shards == 1 else np.flatnonzero(group_of(grams, seed) % self.shards == self.place)
-            value[mine] = self.log_probability(grams[mine], seed[mine])
-            # Rounded, so that sums don't depend on how a text was cut.
-            out += np.bincount(owner, np.round(value[which] * 2**20), minlength=len(group))
+            key = rolled(cps, ends) ^ seed_of[owner]
+            slot, known, value = self.recall(key)
+            new = np.flatnonzero(~known)
+            if len(new):
+                _, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+                first = new[first]
+                grams, seed = cps[ends[first][:, None] + np.arange(1 - ORDER, 1)], seed_of[owner[first]]
+                found = np.zeros(len(first))
+                mine = np.arange(len(first)) if self.shards == 1 else np.flatnonzero(group_of(grams, seed) % self.shards == self.place)
+                found[mine] = self.log_probability(grams[mine], seed[mine])
+                # Rounded, so that sums don't depend on how a text was cut.
+                found = np.round(found * 2**20)
+                value[new] = found[which]
+                self.recent_keys[slot[first]], self.recent_values[slot[first]] = key[first], found
+            out += np.bincount(owner, value, minlength=len(group))
         return out / 2**20
 
+    def recall(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each n-gram its slot among RECENT ones, whether it is the one in there, and the value there."""
+        if self.recent_keys is None:
+            self.recent_keys, self.recent_values = np.zeros(1 << RECENT, np.uint64), np.zeros(1 << RECENT)
+            self.recent_keys[0] = 1  # no key of slot 0
+        slot = (key * BASE >> np.uint64(64 - RECENT)).astype(np.int64)
+        return slot, self.recent_keys[slot] == key, self.recent_values[slot]
+
 
 class Shards:
     """A model as a table of hashes, from which one shard at a time is taken."""

@@ -90,3 +90,88 @@ def test_a_computation_from_files(spark, tmp_path):
         app.compute(spark, {"from": "x.csv"})
     with pytest.raises(ValueError, match="unknown option"):
         app.options_of({"form": "x"})
+
+
+@pytest.fixture(scope="module")
+def street(spark):
+    """One road there and back, and a side road that leads back to its begin; 900 m of it lie between the objects."""
+    roads = spark.createDataFrame([("ab", "ba", "a", "b", 14, 20.0, 1000.0, [(0.0, 0.0), (1000.0, 0.0)]), ("ba", "ab", "b", "a", 14, 20.0, 1000.0, [(1000.0, 0.0), (0.0, 0.0)]), ("bc", None, "b", "c", 14, 10.0, 400.0, [(1000.0, 0.0), (1000.0, 400.0)])], ROADS)
+    at = "object_id bigint, edge_id string, pos double"
+    return roads, spark.createDataFrame([(1, "ab", 50.0)], at), spark.createDataFrame([(7, "ab", 950.0), (8, "bc", 100.0)], at)
+
+
+def od_of(street, time=0.0, speeds=None, delays=None, modes=(M.CAR,)):
+    roads, o, d = street
+    labels = transit.search(transit.starts(o, roads, list(modes), speeds, time), roads, list(modes), 5000.0, delays=delays, speeds=speeds, time=time)
+    return {r.destination: r for r in transit.od_values(labels, o, d, roads, list(modes), 5000.0, speeds=speeds, delays=delays, time=time).collect()}
+
+
+def test_measured_speeds_hold_on_first_and_last_edges(spark, street):
+    speeds = spark.createDataFrame([("ab", 0.0, 86400.0, 5.0), ("bc", 0.0, 100.0, 2.0), ("bc", 100.0, 86400.0, 4.0)], "edge_id string, ibegin double, iend double, speed double")
+    plain, slow = od_of(street), od_of(street, speeds=speeds)
+    assert plain[7].tt == pytest.approx(45.0) and slow[7].tt == pytest.approx(180.0)
+    # 950 m at 5 m/s; then the last edge is entered at 190 s and passed at 4 m/s.
+    assert plain[8].tt == pytest.approx(57.5) and slow[8].tt == pytest.approx(190.0 + 25.0) and slow[8].ride == pytest.approx(25.0)
+    assert od_of(street, time=90000.0, speeds=speeds)[8].tt == pytest.approx(57.5)
+
+
+def test_a_turn_onto_the_last_edge_takes_its_share(spark, street):
+    delays = spark.createDataFrame([("ab", "bc", 8.0), ("bc", "ab", 99.0)], "from_edge string, to_edge string, delay double")
+    assert od_of(street, delays=delays)[8].tt == pytest.approx(57.5 + 8.0 * 100 / 400)
+
+
+def test_negative_prices_are_refused(spark, street):
+    roads, o, _ = street
+    mode = M.custom(10.0)
+    begin = transit.starts(o, roads.withColumn("modes", F.lit(1).cast("bigint")), [mode])
+    with pytest.raises(ValueError, match="price"):
+        transit.search(begin, roads, [mode], 60.0, measure="price_tt")
+    priced = transit.search(begin, roads.withColumn("modes", F.lit(1).cast("bigint")), [M.custom(10.0, price=30.0)], 500.0, measure="price_tt")
+    assert one(priced, node="b").price == pytest.approx(0.03 * 950)
+    changes = spark.createDataFrame([("b", 8, 2, 1.0, -1.0)], "node_id string, from_mode int, to_mode int, duration double, price double")
+    with pytest.raises(ValueError, match="price"):
+        transit.search(transit.starts(o, roads, [M.CAR]), roads, [M.CAR, M.FOOT], 60.0, changes=changes, measure="price_tt")
+
+
+def test_grades_have_no_effect_on_speeds(spark, street):
+    roads, o, _ = street
+    steep = roads.withColumn("incline", F.lit(9.0))
+    tt = lambda net: sorted(r.tt for r in transit.search(transit.starts(o, net, [M.BIKE]), net, [M.BIKE], 5000.0).collect())
+    assert tt(steep) == tt(roads)
+
+
+def test_searches_over_modes_end_early(spark, street):
+    from isomesh.operators.ways import Enough
+
+    roads, o, d = street
+    bounds, arrive = transit.ending(Enough(1), o, d, roads, [M.FOOT, M.CAR])
+    some = transit.search(transit.starts(o, roads, [M.FOOT, M.CAR]), roads, [M.FOOT, M.CAR], float("inf"), bounds=bounds, arrive=arrive)
+    assert some.where("node = 'c'").count() == 0 and transit.search(transit.starts(o, roads, [M.CAR]), roads, [M.CAR], float("inf")).where("node = 'c'").count() == 1
+    od = transit.od_values(some, o, d, roads, [M.FOOT, M.CAR], float("inf")).where("destination = 7").first()
+    assert od.tt == pytest.approx(45.0)
+    with pytest.raises(ValueError, match="early"):
+        transit.search(transit.starts(o, roads, [M.CAR]), roads, [M.CAR], 9.0, measure="price_tt", bounds=bounds, arrive=arrive)
+
+
+def test_broken_networks_are_refused_and_their_errors_written(spark, tmp_path):
+    (tmp_path / "net.csv").write_text("a;1;2;true;true;true;0;1000;0;0;1000;0\nb;2;1;true;true;true;50;1000;1000;0;0;0\nc;2;3;true;true;true;0;10;1000;0;1010;0\n")
+    (tmp_path / "from.csv").write_text("1;50;-5;4\n")
+    (tmp_path / "to.csv").write_text("7;950;-5;3\n")
+    given = {"from": f"{tmp_path}/from.csv", "to": f"{tmp_path}/to.csv", "net": f"{tmp_path}/net.csv", "mode": "foot", "epsg": "0", "time": "0", "od-output": f"{tmp_path}/od.csv", "net-errors-output": f"{tmp_path}/errors.csv"}
+    with pytest.raises(app.NetworkError, match="speed<=0: a and 1 more"):
+        app.run(spark, given)
+    assert any(tmp_path.glob("errors.csv*"))
+    with pytest.raises(app.NetworkError, match="speed<=0: a; speed<=0: c"):
+        app.compute(spark, given | {"net.report-all-errors": "true"})
+
+
+def test_an_unknown_projection_is_an_error(spark, tmp_path):
+    from isomesh.sources import gtfs
+
+    stops = spark.createDataFrame([("S", "52.0", "13.0")], "stop_id string, stop_lat string, stop_lon string")
+    with pytest.raises(ValueError, match="2056"):
+        gtfs.stops(stops, 2056)
+    r = gtfs.stops(stops, 32633).first()
+    assert 300000 < r.x < 400000 and 5.7e6 < r.y < 5.8e6
+    assert tuple(gtfs.stops(stops, 0).first()) == ("S", 13.0, 52.0)
+    assert gtfs.stops(stops, 32633, lambda x, y: x > 4e5).count() == 0

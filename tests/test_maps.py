@@ -28,7 +28,7 @@ def test_roads_and_areas_of_a_map(spark, tmp_path):
         "f10#0": (1, 2, 30), "f10#1": (2, 3, 30), "b10#0": (2, 1, 6), "b10#1": (3, 2, 6),
         "f11#0": (1, 3, 2), "f11#1": (3, 2, 2), "b11#0": (3, 1, 2), "b11#1": (2, 3, 2),
     }
-    assert edges["f10#0"].vmax == 30.0 and edges["f10#0"].length == pytest.approx(111.2, abs=0.1) and edges["f10#0"].opposite_id == "b10#0"
+    assert edges["f10#0"].vmax == 30.0 and edges["f10#0"].length == pytest.approx(111.3195, abs=1e-3) and edges["f10#0"].opposite_id == "b10#0"
     found = osm.structures("[node]\nshop=*\n[rel]\nlanduse=park", nodes, ways, relations).collect()
     assert sorted((r.kind, r.id) for r in found) == [("node", 4), ("rel", 20)]
     areas = osm.areas(osm.members_of(relations, relations.select("relation_id")), ways, nodes).collect()

@@ -101,7 +101,7 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     used = sum(m.bit for m in modes)
 
     # The network.
-    edges = tables.network(spark, str(o["net"]), used, M.mode_bits(str(o["custom.allowed"] or "")), str(o["net.vmax"]), str(o["net.geom"]), bool(o["net.incline"]))
+    edges = tables.network(spark, str(o["net"]), used, M.mode_bits(str(o["custom.allowed"] or "")), str(o["net.vmax"]), str(o["net.geom"]), bool(o["net.incline"]), int(o["epsg"]))
     edges = edges.withColumns({"from_node": F.col("from_node").cast("string"), "to_node": F.col("to_node").cast("string")})
     if o["net.boundary"]:
         keep = tables.boundary(spark, str(o["net.boundary"]))
@@ -131,7 +131,7 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     # Objects.
     def layer(name: str, var: str | None) -> DataFrame:
         keep = tables.boundary(spark, str(o[f"{name}.boundary"]))(F.col("cx"), F.col("cy")) if o[f"{name}.boundary"] else None
-        return tables.layer(spark, str(o[name]), o[f"{name}.filter"], str(o[f"{name}.id"]), str(o[f"{name}.geom"]), var, keep)
+        return tables.layer(spark, str(o[name]), o[f"{name}.filter"], str(o[f"{name}.id"]), str(o[f"{name}.geom"]), var, keep, int(o["epsg"]))
 
     def areas(name: str, objects: DataFrame) -> DataFrame | str | None:
         if o[name] in (None, "all"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isomesh.functions.geom import to_wkt
+from isomesh.sources import database
 
 STATISTICS = [f"{s}_{v}" for v in ("distance", "tt", "value", "kcal", "price", "co2") for s in ("avg", "med", "min", "max", "p15", "p85")]
 #: The columns of the result relations.
@@ -72,12 +73,11 @@ def as_text(df: DataFrame, precision: int = 2) -> DataFrame:
 
 
 def write(df: DataFrame, target: str, precision: int = 2, comment: str | None = None) -> None:
-    """To a text file (.csv, .txt), a Parquet folder, a JDBC url with ``|table``, or a table of the catalog."""
+    """To a text file (.csv, .txt), a Parquet folder, a table of a database, or a table of the catalog."""
     if target.endswith((".csv", ".txt")):
         as_text(df, precision).write.mode("overwrite").text(target)
-    elif target.startswith("jdbc:"):
-        url, table = target.split("|")
-        df.write.mode("overwrite").option("batchsize", 10000).jdbc(url, table)
+    elif database.is_database(target):
+        database.write(df, target, comment=masked(comment or ""))
     elif "/" in target:
         df.write.mode("overwrite").parquet(target)
     else:

@@ -14,7 +14,7 @@ from isomesh.operators import aggregate, limits, mapping, measures, network, rou
 from isomesh.operators.state import settled
 from isomesh.operators.ways import Enough
 from isomesh.plans.fixture import clauses, load, mapped_sql
-from isomesh.sources import gtfs, osm, text
+from isomesh.sources import gtfs, osm, tables, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -196,6 +196,33 @@ def centres_of_parts(spark, sf_dir):
     return split_areas(areas).select("object_id", "geom_type", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
 
 
+def binary_double(n: str, little: bool) -> str:
+    """SQL for the digits of a whole number (0 or more) as a double's eight bytes."""
+    e = f"(length(bin({n})) - 1)"
+    bits = f"CASE WHEN {n} = 0 THEN 0 ELSE shiftleft(CAST({e} + 1023 AS BIGINT), 52) + shiftleft({n} - shiftleft(1L, {e}), 52 - {e}) END"
+    digits = f"lpad(hex({bits}), 16, '0')"
+    return f"regexp_replace(reverse({digits}), '(.)(.)', '$2$1')" if little else digits
+
+
+def binary_run(corners: list[tuple[int, int]], little: bool, height: bool = False) -> str:
+    return ", ".join(binary_double(f"CAST({k} + {d} AS BIGINT)", little) for x, y in corners for k, d in (("x", x), ("y", y), *([("0", 7)] if height else [])))
+
+
+SQUARE, HOLE = [(0, 0), (60, 0), (60, 60), (0, 60), (0, 0)], [(10, 10), (10, 20), (20, 20), (20, 10), (10, 10)]
+
+
+@query(f"""WITH {clauses('nodes')} SELECT node_id AS object_id, CASE node_id % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINESTRING' ELSE 'POLYGON' END AS geom_type,
+      round(x + CASE node_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 ELSE 213e0 / 7 END, 4) AS cx, round(y + CASE node_id % 3 WHEN 2 THEN 213e0 / 7 ELSE 0 END, 4) AS cy FROM nodes""")
+def layer_binary(spark, sf_dir):
+    """A table's geometry in binary form, as databases print it: points, lines with heights, and polygons with holes, in
+    either byte order, with and without the number of a projection."""
+    place = f"'0101000000', {binary_run([(0, 0)], True)}"
+    way = f"'00A000000200001F6F00000002', {binary_run([(0, 0), (60, 0)], False, True)}"
+    area = f"'01030000000200000005000000', {binary_run(SQUARE, True)}, '05000000', {binary_run(HOLE, True)}"
+    rows = load(spark, sf_dir, "nodes")[0].select("node_id", F.expr(f"CASE node_id % 3 WHEN 0 THEN concat({place}) WHEN 1 THEN concat({way}) ELSE concat({area}) END").alias("shape"))
+    return text.strict(*tables.layer_table(rows, "node_id", "shape")).select("object_id", "geom_type", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+
+
 SUMS = "sum(dist * w) / sum(w) AS d, sum(tt * w) / sum(w) AS t, sum(w) AS n, sum(value * w) AS v"
 OUT = "round(d, 6) AS avg_distance, round(t, 6) AS avg_tt, round(n / total, 6) AS avg_num, round(v / total, 6) AS avg_value"
 

@@ -788,6 +788,24 @@ def map_structures(spark, sf_dir):
     return osm.structures(DEFINITION, of(0, "node_id"), of(1, "way_id"), of(2, "relation_id"))
 
 
+@query(f"""WITH {clauses('nodes')} SELECT node_id AS root, 2 AS parts, 1 AS holes, 2 * 120e0 * 120e0 - 30e0 * 30e0 AS area, x + 120 AS cx, y + 120 AS cy
+    FROM nodes, grid WHERE ix <= side - 3 AND node_id + 2 * side + 2 <= (SELECT max(node_id) FROM nodes)""")
+def map_shapes(spark, sf_dir):
+    """A relation at each node: the sides of two squares that touch at a corner, where its ways branch, and a hole."""
+    nodes, ties, _ = load(spark, sf_dir, "nodes", "ties", "grid")
+    corner = "explode(array(named_struct('k', 0, 'dx', 30, 'dy', 30), named_struct('k', 1, 'dx', 60, 'dy', 30), named_struct('k', 2, 'dx', 60, 'dy', 60), named_struct('k', 3, 'dx', 30, 'dy', 60)))"
+    inner = nodes.select("node_id", "x", "y", F.expr(corner).alias("c")).select((-4 * F.col("node_id") - F.col("c.k") - 1).alias("node_id"), (F.col("y") + F.col("c.dy")).alias("lat"), (F.col("x") + F.col("c.dx")).alias("lon"))
+    points = nodes.select("node_id", F.col("y").alias("lat"), F.col("x").alias("lon")).union(inner)
+    # Every other way is drawn backwards.
+    ways = ties.select(F.expr("2 * u + CASE d WHEN 'v' THEN 1 ELSE 0 END").alias("way_id"), F.expr("CASE WHEN u % 2 = 0 THEN array(u, v) ELSE array(v, u) END").alias("refs"))
+    ways = ways.union(nodes.selectExpr("-node_id - 1", "transform(array(0, 1, 2, 3, 0), k -> -4 * node_id - k - 1)"))
+    square = lambda a: ", ".join(f"2 * ({a}){n}" for n in ("", " + 1", " + 2 * side", " + 3"))
+    members = spark.sql(f"SELECT node_id AS root, 'way' AS type, explode(array({square('node_id')}, {square('node_id + side + 1')}, -node_id - 1)) AS ref FROM nodes, grid WHERE ix <= side - 3 AND node_id + 2 * side + 2 <= (SELECT max(node_id) FROM nodes)")
+    found = osm.shapes(osm.areas(members.withColumn("role", F.when(F.col("ref") < 0, "inner").otherwise("outer")), ways, points))
+    total = lambda xs, start: F.aggregate(xs, F.lit(start), lambda a, b: a + b)
+    return found.select("root", F.size("parts").alias("parts"), total(F.transform("parts", lambda p: F.size(p) - 1), 0).alias("holes"), r6(total(F.transform(F.flatten("parts"), G.signed_area), 0.0), "area"), r6("cx", "cx"), r6("cy", "cy"))
+
+
 @query("""WITH RECURSIVE m AS (SELECT CAST(p_partkey AS BIGINT) AS r, 'relation' AS type, CAST(2 * p_partkey AS BIGINT) AS ref FROM part WHERE 2 * p_partkey <= (SELECT max(p_partkey) FROM part) AND p_partkey > 0 UNION ALL SELECT CAST(p_partkey AS BIGINT), 'way', CAST(p_partkey + 5 AS BIGINT) FROM part),
     c(root, type, ref) AS (SELECT r, type, ref FROM m UNION SELECT c.root, m.type, m.ref FROM c JOIN m ON c.type = 'relation' AND m.r = c.ref)
     SELECT root, type, ref FROM c WHERE type = 'way'""")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from isomesh.functions import geom as G
 from isomesh.functions.modes import BIKE, BUS, CAR, FOOT
 from isomesh.operators.state import settled
+from isomesh.sources import rings as rings_
 
 RAIL = 32
 DRIVEN, SLOW, ROAD = CAR.bit | BUS.bit, FOOT.bit | BIKE.bit, FOOT.bit | BIKE.bit | CAR.bit | BUS.bit
@@ -261,38 +262,48 @@ def members_of(relations: DataFrame, wanted: DataFrame) -> DataFrame:
         seen = settled(seen.union(front.select("root", "relation_id")), "seen")
 
 
-def joined_rings(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rings that the ways of one area (and role) form, each way used once, from end to end."""
-    left = {i: list(map(tuple, points)) for i, points in enumerate(frame["line"].map(lambda line: [(p["node"], p["x"], p["y"]) for p in line])) if len(points) > 1}
-    at: dict[int, set[int]] = {}
-    for i, line in left.items():
-        at.setdefault(line[0][0], set()).add(i)
-        at.setdefault(line[-1][0], set()).add(i)
-    out = []
-    while left:
-        i = min(left)
-        ring = left.pop(i)
-        while ring[0][0] != ring[-1][0]:
-            onward = sorted(j for j in at[ring[-1][0]] if j in left)
-            if not onward:
-                break
-            line = left.pop(onward[0])
-            ring += line[1:] if line[0][0] == ring[-1][0] else line[-2::-1]
-        out.append((frame["root"].iloc[0], frame["role"].iloc[0], ring[0][0] == ring[-1][0], [{"x": x, "y": y} for _, x, y in ring]))
-    return pd.DataFrame(out, columns=["root", "role", "closed", "ring"])
-
-
 def areas(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """root, role, closed, ring: the ways of relations (root, type, ref, role) joined end to end, turned round where
-    that is needed. Outer rings run against the clock, inner ones with it; what does not close is told apart."""
+    that is needed, so that rings pass a point once and don't cross themselves (see ``rings``). Outer rings run against
+    the clock, inner ones with it; what does not close is told apart."""
     lines = members.where("type = 'way'").select("root", F.coalesce("role", F.lit("")).alias("role"), F.col("ref").alias("way_id"))
     at = positions(ways.join(lines.select("way_id").distinct(), "way_id", "left_semi"), nodes)
     line = F.transform("points", lambda p: F.struct(p["node"].alias("node"), p["lon"].alias("x"), p["lat"].alias("y")))
     # A relation has 32,000 members at most in the source.
-    rings = lines.join(at, "way_id").select("root", "role", "way_id", line.alias("line")).orderBy("way_id").groupBy("root", "role").applyInPandas(joined_rings, f"root bigint, role string, closed boolean, ring {G.POINTS}")
+    found = lines.join(at, "way_id").select("root", "role", "way_id", line.alias("line")).groupBy("root", "role").applyInPandas(rings_.joined, f"root bigint, role string, closed boolean, ring {G.POINTS}")
     area = G.signed_area(F.col("ring"))
     turned = F.when(F.col("closed") & ((F.col("role") == "inner") == (area > 0)), F.reverse("ring")).otherwise(F.col("ring"))
-    return rings.select("root", "role", "closed", turned.alias("ring"))
+    return found.select("root", "role", "closed", turned.alias("ring"))
+
+
+def hull_centres(points: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([rings_.hull_centre([(p["x"], p["y"]) for p in ps]) for ps in points], columns=["x", "y"])
+
+
+def shapes(found: DataFrame) -> DataFrame:
+    """root, parts, cx, cy: for each relation with closed rings (of ``areas``) a polygon of several parts, the largest
+    first: each outer ring with the holes that lie in it, and the centroid of the convex hull of all outer rings. A hole
+    belongs to the smallest ring that has half of its points or more; a hole in none is left out."""
+    whole = found.where("closed").select("root", "role", "ring", F.abs(G.signed_area(F.col("ring"))).alias("area"))
+    outer = whole.where("role <> 'inner'").withColumn("ring_id", F.sha2(F.to_json("ring"), 256)).dropDuplicates(["root", "ring_id"])
+    # Rings of one relation meet in cells of a grid over it, about as many as it has outer rings.
+    low, high = (lambda k: F.array_min(F.transform("ring", lambda p: p[k]))), (lambda k: F.array_max(F.transform("ring", lambda p: p[k])))
+    frame = outer.groupBy("root").agg(F.min(low("x")).alias("x0"), F.min(low("y")).alias("y0"), F.greatest(F.max(high("x")) - F.min(low("x")), F.max(high("y")) - F.min(low("y"))).alias("extent"), F.count("*").alias("n"))
+    frame = frame.select("root", "x0", "y0", (F.col("extent") / F.ceil(F.sqrt("n"))).alias("w"))
+    cell = lambda v, k: F.floor((v - F.col(f"{k}0")) / F.col("w"))
+    span = lambda k: F.sequence(cell(low(k), k), cell(high(k), k))
+    boxes = outer.join(frame, "root").select("root", "ring_id", F.col("ring").alias("outer_ring"), F.col("area").alias("outer_area"), F.explode(span("x")).alias("cx"), span("y").alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
+    holes = whole.where("role = 'inner'").join(frame, "root").withColumn("hole_id", F.sha2(F.to_json("ring"), 256)).dropDuplicates(["root", "hole_id"])
+    # Points may lie on the outer ring itself, so one of them is not enough: a hole comes in all its points' cells.
+    near = holes.withColumn("at", F.explode(F.array_distinct(F.transform("ring", lambda p: F.struct(cell(p["x"], "x").alias("cx"), cell(p["y"], "y").alias("cy")))))).select("root", "hole_id", F.col("ring").alias("hole"), "at.cx", "at.cy")
+    met = near.join(boxes, ["root", "cx", "cy"]).dropDuplicates(["root", "hole_id", "ring_id"])
+    inside = F.size(F.filter("hole", lambda p: G.inside(F.col("outer_ring"), p["x"], p["y"]))) * 2 >= F.size("hole")
+    held = met.where(inside).groupBy("root", "hole_id").agg(F.min_by(F.struct("ring_id", "hole"), F.struct("outer_area", "ring_id")).alias("h")).groupBy("root", "h.ring_id").agg(F.array_sort(F.collect_list("h.hole")).alias("holes"))
+    part = F.struct((-F.col("area")).alias("k"), F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{G.POINTS}>"))).alias("rings"))
+    out = outer.join(held, ["root", "ring_id"], "left").groupBy("root").agg(F.array_sort(F.collect_list(part)).alias("parts")).select("root", F.transform("parts", lambda p: p["rings"]).alias("parts"))
+    centre = F.pandas_udf(hull_centres, "struct<x:double,y:double>")
+    out = out.withColumn("c", centre(F.flatten(F.transform("parts", lambda p: p[0]))))
+    return out.select("root", "parts", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
 def within(inner: DataFrame, outer: DataFrame, cell: float) -> DataFrame:

@@ -126,6 +126,10 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
         out["subnets-output"] = sinks.shaped(network.subnets(edges), "subnets")
     if not o["net.keep-subnets"]:
         edges = settled(network.largest_subnet(edges), "net")
+    if o["prunning.join-similar"]:
+        if len(modes) > 1 or (modes[0].bit == M.CAR.bit and o["traveltimes"]):
+            raise ValueError("edges are joined for one mode only, and not with speeds by time")
+        edges = settled(network.join_similar(edges).drop("parts"), "joined")
     speeds = tables.speeds(spark, str(o["traveltimes"]), edges) if o["traveltimes"] else None
 
     # Objects.
@@ -194,10 +198,11 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
         od, by = aggregate.with_types(od, types), ["dest_type"]
     od = settled(limits.limited(od, number("max-tt", float), number("max-distance", float), number("max-number", int), number("max-variable-sum", float), bool(o["shortest"]), by), "od")
 
-    # Results.
+    # Results. Aggregated, they have a row for every two keys.
     weights, shortest = sources.select("object_id", "weight"), bool(o["shortest"])
+    framed = lambda df: aggregate.framed(df, sources, goals, from_agg, to_agg, shortest, types)
     if o["od-output"]:
-        out["od-output"] = sinks.shaped(aggregate.od_measures(od, weights, from_agg, to_agg, shortest, by), "od")
+        out["od-output"] = sinks.shaped(framed(aggregate.od_measures(od, weights, from_agg, to_agg, shortest, by)), "od")
     if not any(o[f"{n}-output"] for n in ("ext-od", "stat-od", "pt", "interchanges", "edges", "direct", "process")):
         return out
     # A destination of several types has one way.
@@ -206,15 +211,15 @@ def compute(spark: SparkSession, given: dict[str, object]) -> dict[str, DataFram
     if o["ext-od-output"] or o["stat-od-output"]:
         ext = settled(transit.extended(od, way, modes, sources, goals), "extended")
         if o["ext-od-output"]:
-            out["ext-od-output"] = sinks.shaped(transit.extended_measures(ext, weights, from_agg, to_agg, by), "ext_od")
+            out["ext-od-output"] = sinks.shaped(framed(transit.extended_measures(ext, weights, from_agg, to_agg, by, shortest)), "ext_od")
         if o["stat-od-output"]:
-            out["stat-od-output"] = sinks.shaped(aggregate.statistics(ext.withColumn("value", F.col("weight")), ["dist", "tt", "value", "kcal", "price", "co2"], from_agg, to_agg), "stat_od")
+            out["stat-od-output"] = sinks.shaped(aggregate.statistics(ext.withColumn("value", F.col("weight")), ["dist", "tt", "value", "kcal", "price", "co2"], from_agg, to_agg, shortest, by), "stat_od")
     if o["pt-output"]:
-        out["pt-output"] = sinks.shaped(transit.pt_measures(pairs, way, weights, from_agg, to_agg), "pt")
+        out["pt-output"] = sinks.shaped(framed(transit.pt_measures(od, way, weights, from_agg, to_agg, shortest, by)), "pt")
     if o["interchanges-output"] and rides is not None:
-        out["interchanges-output"] = sinks.shaped(transit.interchange_counts(pairs, way, rides, from_agg, to_agg), "interchanges")
+        out["interchanges-output"] = sinks.shaped(transit.interchange_counts(od, way, rides, from_agg, to_agg, shortest, by), "interchanges")
     if o["edges-output"]:
-        out["edges-output"] = sinks.shaped(aggregate.edge_use(way.select("origin", "destination", "edge"), pairs, from_agg, to_agg), "edges")
+        out["edges-output"] = sinks.shaped(aggregate.edge_use(way.select("origin", "destination", "edge"), od, from_agg, to_agg, shortest, by), "edges")
     if o["direct-output"]:
         shapes = edges.select("edge_id", "opposite_id", "length", "geom", "to_node")
         if rides is not None:

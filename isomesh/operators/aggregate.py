@@ -6,8 +6,11 @@ are already multiplied by the weight where their definition says so.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isomesh.operators.state import settled
 
@@ -62,24 +65,40 @@ def od_measures(od: DataFrame, origins: DataFrame, from_agg: DataFrame | str | N
     return sums.select("fid", "sid", *by, safe(F.col("d_"), F.col("n_")).alias("avg_distance"), safe(F.col("t_"), F.col("n_")).alias("avg_tt"), (F.col("n_") / F.col("total")).alias("avg_num"), (F.col("v_") / F.col("total")).alias("avg_value"), *(safe(F.col(f"m_{m}"), F.col("n_")).alias(f"avg_{m}") for m in more or []))
 
 
-def dense(measures: DataFrame, origin_keys: DataFrame, destination_keys: DataFrame) -> DataFrame:
-    """A row for every origin key with every destination key, zeros where none was reached. The frame has as many
-    rows as the two sets of aggregation keys multiply to, so it is for aggregated results."""
-    frame = origin_keys.select("fid").distinct().crossJoin(destination_keys.select("sid").distinct())
-    values = [c for c in measures.columns if c not in ("fid", "sid")]
-    return frame.join(measures, ["fid", "sid"], "left").select("fid", "sid", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in values))
+def dense(measures: DataFrame, origin_keys: DataFrame, destination_keys: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """A row for every origin key with every destination key (and every dest_type of ``kinds``), zeros and empty sets
+    where none was reached. The frame has as many rows as the sets of aggregation keys multiply to, so it is for
+    aggregated results."""
+    frame, keys = origin_keys.select("fid").distinct().crossJoin(destination_keys.select("sid").distinct()), ["fid", "sid"]
+    if kinds is not None:
+        frame, keys = frame.crossJoin(kinds.select("dest_type").distinct()), [*keys, "dest_type"]
+    empty = lambda f: F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(0).cast(f.dataType)
+    values = [F.coalesce(f.name, empty(f)).alias(f.name) for f in measures.schema.fields if f.name not in keys]
+    return frame.join(measures, keys, "left").select(*keys, *values)
+
 
+def framed(measures: DataFrame, origins: DataFrame, destinations: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, shortest: bool = False, types: DataFrame | None = None) -> DataFrame:
+    """``dense`` over the keys of all objects, reached or not, wherever origins or destinations are aggregated; without
+    that, the measures as they are. origins, destinations: object_id; types: id, type."""
+    if from_agg is None and to_agg is None:
+        return measures
+    pair = lambda df, name, other: df.select(F.col("object_id").alias(name), F.lit(None).cast("bigint").alias(other))
+    fids = keyed(pair(origins, "origin", "destination"), from_agg, "all")
+    sids = keyed(pair(destinations, "destination", "origin"), from_agg, to_agg, shortest)
+    return dense(measures, fids, sids, None if types is None else types.select(F.col("type").alias("dest_type")))
 
-def statistics(od: DataFrame, values: list[str], from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:
-    """fid, sid, num and avg, med, min, max, p15, p85 of each value, percentiles by rank int(n * q) of the sorted values.
+
+def statistics(od: DataFrame, values: list[str], from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, shortest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """fid, sid, [by], num and avg, med, min, max, p15, p85 of each value, percentiles by rank int(n * q) of the sorted values.
 
     Rows are counted by key, measure and value first, and the counts dealt out by ranges of these; every range numbers
     its own behind what the ranges before it hold of the key. So a key with most of the rows takes many tasks.
     """
-    pairs = keyed(od, from_agg, to_agg)
-    keys = ["fid", "sid", "measure"]
+    pairs = keyed(od, from_agg, to_agg, shortest)
+    rows = ["fid", "sid", *(by or [])]
+    keys = [*rows, "measure"]
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)))).alias("e")
-    counts = pairs.select("fid", "sid", each).select("fid", "sid", "e.measure", "e.v").where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
+    counts = pairs.select(*rows, each).select(*rows, "e.measure", "e.v").where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("k"))
     spread = counts.repartitionByRange(int(od.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "v")
     dealt = settled(spread.withColumn("part", F.spark_partition_id()), "ranges")
     # A row for each key in each range that has some of it: as many as there are keys and ranges.
@@ -96,18 +115,20 @@ def statistics(od: DataFrame, values: list[str], from_agg: DataFrame | str | Non
     columns = []
     for i, v in enumerate(values):
         columns += [of(i, F.col("sum") / F.col("n")).alias(f"avg_{v}"), *(of(i, F.col(c)).alias(f"{c}_{v}") for c in ("med", "min", "max", "p15", "p85"))]
-    num = pairs.groupBy(F.col("fid").alias("n_fid"), F.col("sid").alias("n_sid")).agg(F.count("*").alias("num"))
-    wide = found.groupBy("fid", "sid").agg(*columns)
-    return num.join(wide, F.col("n_fid").eqNullSafe(F.col("fid")) & F.col("n_sid").eqNullSafe(F.col("sid")), "left").select(F.col("n_fid").alias("fid"), F.col("n_sid").alias("sid"), "num", *wide.columns[2:])
+    num = pairs.groupBy(*(F.col(k).alias(f"n_{k}") for k in rows)).agg(F.count("*").alias("num"))
+    wide = found.groupBy(*rows).agg(*columns)
+    same = reduce(lambda a, b: a & b, (F.col(f"n_{k}").eqNullSafe(F.col(k)) for k in rows))
+    return num.join(wide, same, "left").select(*(F.col(f"n_{k}").alias(k) for k in rows), "num", *wide.columns[len(rows) :])
 
 
-def edge_use(steps: DataFrame, od: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:
-    """fid, sid, eid, num, origins_weight, normed: how much value goes over each edge. steps: origin, destination,
+def edge_use(steps: DataFrame, od: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, shortest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """fid, sid, eid, [by], num, origins_weight, normed: how much value goes over each edge. steps: origin, destination,
     edge. An edge and its made opposite count as one."""
-    rows = keyed(steps.join(od.select("origin", "destination", "value", "weight"), ["origin", "destination"]), from_agg, to_agg)
+    by = by or []
+    rows = keyed(steps.join(od.select("origin", "destination", "value", "weight", *by), ["origin", "destination"]), from_agg, to_agg, shortest)
     w = F.lit(1.0) if from_agg is None else F.col("weight")
     rows = rows.withColumn("eid", F.regexp_replace("edge", "^opp_", "")).withColumn("w_", w)
-    sums = rows.groupBy("fid", "sid", "eid").agg(F.sum(F.col("value") * F.col("w_")).alias("num"), F.sum("w_").alias("origins_weight"))
+    sums = rows.groupBy("fid", "sid", "eid", *by).agg(F.sum(F.col("value") * F.col("w_")).alias("num"), F.sum("w_").alias("origins_weight"))
     return sums.withColumn("normed", F.col("num") / F.col("origins_weight"))
 
 

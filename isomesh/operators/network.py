@@ -163,7 +163,8 @@ def pass_nodes(edges: DataFrame) -> DataFrame:
 
 
 def join_similar(edges: DataFrame) -> DataFrame:
-    """Chains of edges through pass nodes become one edge: edge_id of the first, summed length, all points.
+    """Chains of edges through pass nodes become one edge: edge_id of the first, opposite_id of the last (the first of the
+    chain back), summed length, all points.
 
     Along a chain, every edge has one successor; pointers double each round, so a chain of n edges takes log n
     rounds. Rings without a fixed node stay as they are. Needs opposite_id.
@@ -183,10 +184,10 @@ def join_similar(edges: DataFrame) -> DataFrame:
             break
     heads = jumps.where("n <= 1073741824")
     placed = edges.join(heads, F.col("edge_id") == F.col("e"), "left").select("*", F.coalesce("head", "edge_id").alias("chain"), F.coalesce("n", F.lit(0)).alias("place"))
-    parts = placed.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("place", "from_node", "to_node", "length", "geom", "modes", "vmax"))).alias("p"))
+    parts = placed.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("place", "from_node", "to_node", "length", "geom", "modes", "vmax", "opposite_id"))).alias("p"))
     p = F.col("p")
     points = F.concat(F.slice(p[0]["geom"], 1, 1), F.flatten(F.transform(p, lambda x: F.slice(x["geom"], 2, F.greatest(F.size(x["geom"]) - 1, F.lit(0))))))
-    return parts.select(F.col("chain").alias("edge_id"), p[0]["from_node"].alias("from_node"), F.element_at(p, -1)["to_node"].alias("to_node"), p[0]["modes"].alias("modes"), p[0]["vmax"].alias("vmax"), F.aggregate(p, F.lit(0.0), lambda s, x: s + x["length"]).alias("length"), F.size(p).cast("bigint").alias("parts"), points.alias("geom"))
+    return parts.select(F.col("chain").alias("edge_id"), F.element_at(p, -1)["opposite_id"].alias("opposite_id"), p[0]["from_node"].alias("from_node"), F.element_at(p, -1)["to_node"].alias("to_node"), p[0]["modes"].alias("modes"), p[0]["vmax"].alias("vmax"), F.aggregate(p, F.lit(0.0), lambda s, x: s + x["length"]).alias("length"), F.size(p).cast("bigint").alias("parts"), points.alias("geom"))
 
 
 def speed_at(edges: DataFrame, intervals: DataFrame, time: Column) -> DataFrame:

@@ -27,6 +27,9 @@ RELATIONS = {
 }
 
 
+#: Columns by which lines of text are in order, over all files.
+ORDER = ("fid", "sid", "dest_type", "idx", "halt", "line_from", "line_to", "eid", "id", "cell_id", "edge_id", "from_edge", "to_edge", "edge1")
+
 #: What producers call a column of a relation.
 CALLED = {
     "ext_od": {"avg_init_waiting_time": "avg_initial_waiting", "avg_waiting_time": "avg_waiting", "avg_pt_interchange_time": "avg_interchange_time", "modes": "lines", "beeline_distance": "avg_beeline", "manhattan_distance": "avg_manhattan"},
@@ -75,7 +78,8 @@ def as_text(df: DataFrame, precision: int = 2) -> DataFrame:
 def write(df: DataFrame, target: str, precision: int = 2, comment: str | None = None) -> None:
     """To a text file (.csv, .txt), a Parquet folder, a table of a database, or a table of the catalog."""
     if target.endswith((".csv", ".txt")):
-        as_text(df, precision).write.mode("overwrite").text(target)
+        order = [c for c in ORDER if c in df.columns]
+        as_text(df.sort(*order) if order else df, precision).write.mode("overwrite").text(target)
     elif database.is_database(target):
         database.write(df, target, comment=masked(comment or ""))
     elif "/" in target:

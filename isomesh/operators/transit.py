@@ -353,31 +353,32 @@ def legs(way: DataFrame) -> DataFrame:
     )
 
 
-def pt_measures(od: DataFrame, way: DataFrame, origins: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:
-    """fid, sid, avg_distance, avg_tt, avg_<m> of LEGS, avg_num, avg_value. od: origin, destination, dist, tt, value,
+def pt_measures(od: DataFrame, way: DataFrame, origins: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, shortest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """fid, sid, [by], avg_distance, avg_tt, avg_<m> of LEGS, avg_num, avg_value. od: origin, destination, dist, tt, value,
     weight; way: as ``steps`` gives it. Without origin aggregation, weights count as 1."""
     w = F.lit(1.0) if from_agg is None else F.col("weight")
-    pairs = keyed(od.withColumn("w_", w).join(legs(way), ["origin", "destination"]), from_agg, to_agg)
-    sums = pairs.groupBy("fid", "sid").agg(F.sum("w_").alias("n_"), F.sum(F.col("value") * F.col("w_")).alias("v_"), *(F.sum(F.col(c) * F.col("w_")).alias(f"s_{c}") for c in ("dist", "tt", *LEGS)))
+    by = by or []
+    pairs = keyed(od.withColumn("w_", w).join(legs(way), ["origin", "destination"]), from_agg, to_agg, shortest)
+    sums = pairs.groupBy("fid", "sid", *by).agg(F.sum("w_").alias("n_"), F.sum(F.col("value") * F.col("w_")).alias("v_"), *(F.sum(F.col(c) * F.col("w_")).alias(f"s_{c}") for c in ("dist", "tt", *LEGS)))
     sums = normed(sums, origins, from_agg)
     names = {"dist": "distance"}
-    return sums.select("fid", "sid", *(safe(F.col(f"s_{c}"), F.col("n_")).alias(f"avg_{names.get(c, c)}") for c in ("dist", "tt", *LEGS)), (F.col("n_") / F.col("total")).alias("avg_num"), (F.col("v_") / F.col("total")).alias("avg_value"))
+    return sums.select("fid", "sid", *by, *(safe(F.col(f"s_{c}"), F.col("n_")).alias(f"avg_{names.get(c, c)}") for c in ("dist", "tt", *LEGS)), (F.col("n_") / F.col("total")).alias("avg_num"), (F.col("v_") / F.col("total")).alias("avg_value"))
 
 
-def interchange_counts(od: DataFrame, way: DataFrame, edges: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None) -> DataFrame:
-    """fid, sid, halt, line_from, line_to, num, tt: how often ways change from one trip to another where the next ride
+def interchange_counts(od: DataFrame, way: DataFrame, edges: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, shortest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """fid, sid, halt, line_from, line_to, [by], num, tt: how often ways change from one trip to another where the next ride
     begins, and how long that takes on average: from the end of a ride to the begin of the next, without the wait.
 
     edges: the rides' edge_id and from_node.
     """
-    by = Window.partitionBy("origin", "destination").orderBy("idx")
-    rows = way.withColumn("walked", F.sum(F.when(F.col("trip").isNull(), F.col("ttt")).otherwise(0.0)).over(by))
-    rode = rows.where("trip is not null").withColumns({"line_from": F.lag("line").over(by), "trip_from": F.lag("trip").over(by), "walked_from": F.lag("walked").over(by)})
+    by, along = by or [], Window.partitionBy("origin", "destination").orderBy("idx")
+    rows = way.withColumn("walked", F.sum(F.when(F.col("trip").isNull(), F.col("ttt")).otherwise(0.0)).over(along))
+    rode = rows.where("trip is not null").withColumns({"line_from": F.lag("line").over(along), "trip_from": F.lag("trip").over(along), "walked_from": F.lag("walked").over(along)})
     changed = rode.where(F.col("trip_from").isNotNull() & (F.col("trip_from") != F.col("trip")))
     halts = edges.select(F.col("edge_id").alias("h"), F.regexp_replace("from_node", "^stop ", "").alias("halt"))
-    changed = changed.join(halts, F.col("edge") == F.col("h")).join(od.select(F.col("origin").alias("a"), F.col("destination").alias("b")), (F.col("origin") == F.col("a")) & (F.col("destination") == F.col("b")))
+    changed = changed.join(halts, F.col("edge") == F.col("h")).join(od.select(F.col("origin").alias("a"), F.col("destination").alias("b"), *by), (F.col("origin") == F.col("a")) & (F.col("destination") == F.col("b")))
     took = F.col("walked") - F.col("walked_from") + F.col("interchange")
-    return keyed(changed, from_agg, to_agg).groupBy("fid", "sid", "halt", "line_from", F.col("line").alias("line_to")).agg(F.count("*").alias("num"), F.avg(took).alias("tt"))
+    return keyed(changed, from_agg, to_agg, shortest).groupBy("fid", "sid", "halt", "line_from", F.col("line").alias("line_to"), *by).agg(F.count("*").alias("num"), F.avg(took).alias("tt"))
 
 
 def effort(labels: DataFrame, od: DataFrame, way: DataFrame, edges: DataFrame) -> DataFrame:
@@ -417,12 +418,12 @@ def extended(od: DataFrame, way: DataFrame, modes: list[Mode], origins: DataFram
     return out.withColumns({"beeline_distance": F.sqrt(dx * dx + dy * dy), "manhattan_distance": F.abs(dx) + F.abs(dy)}).drop("o_id", "ox", "oy", "d_id", "dx", "dy")
 
 
-def extended_measures(ext: DataFrame, origins: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, by: list[str] | None = None) -> DataFrame:
+def extended_measures(ext: DataFrame, origins: DataFrame, from_agg: DataFrame | str | None = None, to_agg: DataFrame | str | None = None, by: list[str] | None = None, shortest: bool = False) -> DataFrame:
     """The relation of extended measures: weighted means for each key, and all lines and modes used in ``modes``. ext: as
     ``extended`` gives it, with value and weight. Without origin aggregation, weights count as 1."""
     by = by or []
     w = F.lit(1.0) if from_agg is None else F.col("weight")
-    pairs = keyed(ext.withColumn("w_", w), from_agg, to_agg)
+    pairs = keyed(ext.withColumn("w_", w), from_agg, to_agg, shortest)
     means = ("dist", "tt", *EXTENDED)
     sums = pairs.groupBy("fid", "sid", *by).agg(F.sum("w_").alias("n_"), F.sum(F.col("value") * F.col("w_")).alias("v_"), *(F.sum(F.col(c) * F.col("w_")).alias(f"s_{c}") for c in means), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("modes"))
     sums = normed(sums, origins, from_agg)

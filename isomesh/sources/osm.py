@@ -308,11 +308,20 @@ def shapes(found: DataFrame) -> DataFrame:
 
 def within(inner: DataFrame, outer: DataFrame, cell: float) -> DataFrame:
     """inner_id, outer_id: rings all of whose vertices lie in another ring. inner, outer: id, ring. First vertices meet
-    the grid cells of the outer rings' boxes."""
+    the grid cells of the outer rings' boxes.
+
+    Equal rings are one shape, and shapes are held against each other once; what lies in what is then told of all rings of
+    a shape. The pairs themselves are as many as there are.
+    """
     from isomesh.operators.mapping import cells
 
     ends = lambda k, f: f(F.transform("ring", lambda p: p[k]))
-    boxes = outer.select(F.col("id").alias("outer_id"), F.col("ring").alias("outer_ring"), F.explode(cells(ends("x", F.array_min), ends("x", F.array_max), ends("y", F.array_min), ends("y", F.array_max), cell)).alias("c")).select("outer_id", "outer_ring", "c.cx", "c.cy")
-    here = inner.select(F.col("id").alias("inner_id"), "ring", F.floor(F.col("ring")[0]["x"] / cell).alias("cx"), F.floor(F.col("ring")[0]["y"] / cell).alias("cy"))
-    met = here.join(boxes, ["cx", "cy"]).where(F.col("inner_id") != F.col("outer_id"))
-    return met.where(F.forall("ring", lambda p: G.inside(F.col("outer_ring"), p["x"], p["y"]))).select("inner_id", "outer_id")
+    small, large = (settled(df.groupBy("ring").agg(F.min("id").alias("shape")), "shapes") for df in (inner, outer))
+    boxes = large.select(F.col("shape").alias("outer_shape"), F.col("ring").alias("outer_ring"), F.explode(cells(ends("x", F.array_min), ends("x", F.array_max), ends("y", F.array_min), ends("y", F.array_max), cell)).alias("c")).select("outer_shape", "outer_ring", "c.cx", "c.cy")
+    here = small.select(F.col("shape").alias("inner_shape"), "ring", F.floor(F.col("ring")[0]["x"] / cell).alias("cx"), F.floor(F.col("ring")[0]["y"] / cell).alias("cy"))
+    met = here.join(boxes, ["cx", "cy"]).where(F.forall("ring", lambda p: G.inside(F.col("outer_ring"), p["x"], p["y"])))
+    pairs = settled(met.select("inner_shape", "outer_shape"), "within")
+    of = lambda df, shapes, side: df.join(shapes, "ring").select(F.col("id").alias(f"{side}_id"), F.col("shape").alias(f"{side}_shape"))
+    # Few rows become many in the last join, so they are dealt out first.
+    dealt = pairs.join(of(inner, small, "inner"), "inner_shape").repartition(int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions")), "inner_id")
+    return dealt.join(of(outer, large, "outer"), "outer_shape").where(F.col("inner_id") != F.col("outer_id")).select("inner_id", "outer_id")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from isomesh.operators.state import settled
 from isomesh.sources import gtfs, osm, sumo, tables
 
 MAP = """<osm>
@@ -67,3 +68,21 @@ def test_tables_and_feeds(spark):
     assert tuple(gtfs.typed(raw, "stops").first()) == ("s", -1.0, 4.0)
     with pytest.raises(ValueError, match="trip_id"):
         gtfs.typed(raw, "stop_times")
+
+
+def test_copies_of_rings_are_compared_once(spark, monkeypatch):
+    written = {}
+
+    def counted(df, tag):
+        out = settled(df, tag)
+        written.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(osm, "settled", counted)
+    square = lambda x, w: [(x, 0.0), (x + w, 0.0), (x + w, w), (x, w), (x, 0.0)]
+    kind = "id bigint, ring array<struct<x:double,y:double>>"
+    inner = spark.createDataFrame([(i, square(1.0 + i % 2, 1.0)) for i in range(20)] + [(40, square(90.0, 1.0))], kind)
+    outer = spark.createDataFrame([(i, square(0.0, 9.0)) for i in range(15, 30)] + [(41, square(70.0, 9.0))], kind)
+    found = sorted(map(tuple, osm.within(inner, outer, 5.0).collect()))
+    assert found == [(a, b) for a in range(20) for b in range(15, 30) if a != b]
+    assert written == {"shapes": [3, 2], "within": [2]}

@@ -7,12 +7,11 @@ component of links. Equal texts are one node from the start, so copies are never
 1. Every node meets the most central node of each band that it shares (the one that shares most bands with most
    nodes: the original among its edited copies); links are checked and merged into components.
 2. In bands that still hold several components, nodes of different components are compared exactly, in blocks, by
-   an inverted index over their shingles; of the links found, a block returns those that join components. A band
-   with more than BLOCK nodes is first split by the second bands that its nodes share; blocks are compared pair by
-   pair, so no group has to fit one task and none is capped.
+   an inverted index over their shingles; of the links found, a block returns those that join components. Of a band
+   with more than BLOCK nodes, those outside its largest component are compared with all, a pair of blocks at a time,
+   so no group has to fit one task, none is capped, and no pair needs more to be compared for its band's size.
 
-With 32 bands of 4 components, a pair of similarity 0.8 shares no band with probability 5e-8 and fewer than two
-with probability 1e-6; the cut on signatures before the check in step 1 is seven standard deviations below 0.8.
+With 32 bands of 4 components, a pair of similarity 0.8 shares no band with probability 5e-8; the cut on signatures before the check in step 1 is seven standard deviations below 0.8.
 Shingles are compared as 32-bit hashes, numbered by occurrence: of n shingles, n * n / 2**32 meet by chance.
 
 Defined results: null text counts as empty; a text without words is linked to equal texts only. A text of one
@@ -223,29 +222,35 @@ def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def weight(nodes: Column, shingles: Column) -> Column:
+    """How many nodes of usual length so many with so many shingles are worth."""
+    return F.greatest(nodes, F.ceil(shingles * BLOCK / BLOCK_SHINGLES))
+
+
 def mixed_groups(members: DataFrame) -> DataFrame:
     """g, n: one key of each set of nodes that shares a key and holds several components; n counts its nodes, or more if
     they are long."""
     nodes = [F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")]
     groups = members.groupBy("key").agg(*nodes, F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    weight = F.greatest(F.col("n"), F.ceil(F.col("total") * BLOCK / BLOCK_SHINGLES))
-    return groups.groupBy("n", "total", "first", "last", "sum").agg(F.min("key").alias("g")).select("g", weight.alias("n"))
+    return groups.groupBy("n", "total", "first", "last", "sum").agg(F.min("key").alias("g")).select("g", weight(F.col("n"), F.col("total")).alias("n"))
 
 
 def across(members: DataFrame, bags: DataFrame) -> DataFrame:
     """Links between nodes of different components that share a band. members: key, node, label, size."""
     groups = written(mixed_groups(members), "groups")
     inside = members.join(groups, F.col("key") == F.col("g"))
-    small = inside.where(F.col("n") <= BLOCK).select("key", "node", "label", "n")
-    big = inside.where(F.col("n") > BLOCK).select("key", "node", "label", "size")
-    # Members of a large band also share a second one: the pair of bands is their group.
-    second = members.select(F.col("node").alias("m"), F.col("key").alias("key2"))
-    paired = big.join(second, (F.col("node") == F.col("m")) & (F.col("key") != F.col("key2"))).select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "node", "label", "size").distinct()
-    split = paired.join(mixed_groups(paired), F.col("key") == F.col("g")).select("key", "node", "label", "n")
-    rows = small.union(split).join(bags.select(F.col("node").alias("s"), "bag"), F.col("node") == F.col("s"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "node", "label", "bag", "block", F.least("block", "other").alias("pair_low"), F.greatest("block", "other").alias("pair_high"))
+    whole = F.lit(0).cast("bigint")
+    small = inside.where(F.col("n") <= BLOCK).select("key", "node", "label", whole.alias("block"), whole.alias("pair_low"), whole.alias("pair_high"))
+    # Of two nodes that lie apart, one is outside the band's largest component: those are held against all, in blocks.
+    big = inside.where(F.col("n") > BLOCK).select("key", "node", "label", "size", "n")
+    tally = big.groupBy("key", "label").agg(F.count("*").alias("many"), F.sum("size").alias("long"))
+    main = tally.groupBy("key").agg(F.max(F.struct("many", "label", "long")).alias("main"), F.sum("many").alias("many"), F.sum("long").alias("long"))
+    outside = weight(F.col("many") - F.col("main.many"), F.col("long") - F.col("main.long"))
+    placed = big.join(main.select("key", F.col("main.label").alias("main"), F.ceil(outside / BLOCK).alias("low_blocks")), "key").withColumn("high_blocks", F.ceil(F.col("n") / BLOCK))
+    low, high = F.pmod(F.xxhash64("node"), F.col("low_blocks")), F.col("low_blocks") + F.pmod(F.xxhash64("node"), F.col("high_blocks"))
+    apart = placed.where("label != main").select("key", "node", "label", low.alias("block"), low.alias("pair_low"), F.explode(F.expr("sequence(low_blocks, low_blocks + high_blocks - 1)")).alias("pair_high"))
+    every = placed.select("key", "node", "label", high.alias("block"), F.explode(F.expr("sequence(0L, low_blocks - 1)")).alias("pair_low"), high.alias("pair_high"))
+    rows = small.union(apart).union(every).join(bags.select(F.col("node").alias("s"), "bag"), F.col("node") == F.col("s"))
     return written(rows.groupBy("key", "pair_low", "pair_high").applyInPandas(compare_blocks, "a binary, b binary"), "across")
 
 

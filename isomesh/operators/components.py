@@ -11,26 +11,33 @@ from isomesh.operators.state import settled
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes in ``links`` (a, b).
 
-    Stars are contracted by turns around their larger and their smaller nodes, each turn a grouped minimum and a join;
-    the number of rounds grows with the logarithm of the number of nodes, not with the length of paths.
+    In every round a node goes over to that one of itself and its neighbours whose hash in this round is least, and links
+    are drawn between what is left. Of the nodes of a path about half are left of each round, and fewer of a star or a
+    grid, so all rounds together write a few times the links, and their number grows with the logarithm of the nodes.
     """
     loops = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    edges = settled(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "stars")
-    before = None
-    while True:
-        for large in (True, False):
-            around = edges.select(F.col("v").alias("x"), F.col("u").alias("y"))
-            around = around.union(edges.select("u", "v")) if large else around
-            least = around.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("c"), F.least("m", "x").alias("m"))
-            met = around.join(least, F.col("x") == F.col("c"))
-            moved = met.where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")) if large else met.select(F.col("y").alias("v"), F.col("m").alias("u")).union(least.select("c", "m"))
-            edges = settled(moved.where("u != v").distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    found = edges.select(F.col("v").alias("node"), F.col("u").alias("label")).union(edges.select("u", "u"))
-    return found.union(loops).groupBy("node").agg(F.min("label").alias("label"))
+    edges = settled(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    # Of each round: where every node went, and the smallest node that has come to each that is left.
+    moves: list[DataFrame] = []
+    lows: list[DataFrame] = []
+    while not edges.isEmpty():
+        rank = lambda c, turn=len(moves): F.struct(F.xxhash64(F.lit(turn), c).alias("hash"), F.col(c).alias("node"))
+        around = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select("u", "v"))
+        least = around.groupBy("x").agg(F.min(rank("y")).alias("m"))
+        moved = settled(least.select(F.col("x").alias("node"), F.least("m", rank("x"))["node"].alias("root")), "moves")
+        come = moved.join(lows[-1], "node") if lows else moved.withColumn("low", F.col("node"))
+        moves.append(moved)
+        lows.append(settled(come.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("low")), "lows"))
+        to = lambda c, moved=moved: moved.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        drawn = edges.join(to("u"), "u").join(to("v"), "v").where("u_root != v_root")
+        edges = settled(drawn.select(F.greatest("u_root", "v_root").alias("v"), F.least("u_root", "v_root").alias("u")).distinct(), "links")
+    found = None
+    for moved, low in zip(reversed(moves), reversed(lows), strict=True):
+        own = moved.join(low.select(F.col("node").alias("root"), F.col("low").alias("label")), "root")
+        if found is not None:
+            own = own.join(found.select(F.col("node").alias("root"), F.col("label").alias("later")), "root", "left").withColumn("label", F.coalesce("later", "label"))
+        found = settled(own.select("node", "label"), "labels")
+    return loops.distinct() if found is None else found.union(loops.distinct().join(found, "node", "left_anti"))
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:

@@ -102,3 +102,14 @@ def test_signatures_estimate_weighted_jaccard():
 def test_empty_table(spark):
     docs = small_documents(spark).where("false")
     assert near.report(docs).count() == near.keep_one(docs).count() == 0
+
+
+def test_a_large_band_needs_no_second_one(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 3)
+    bag_of = lambda *xs: np.array(sorted(xs), np.uint32).tobytes()
+    node = lambda i: bytes([i])
+    # Eight nodes of one component that overlap nothing, two pairs of alike ones: all share one band only.
+    bags_ = [(node(i), bag_of(*range(100 * i, 100 * i + 10))) for i in range(8)] + [(node(i), bag_of(*range(9000 + 100 * (i // 2), 9009 + 100 * (i // 2)), 7777 + i)) for i in range(10, 14)]
+    members = spark.createDataFrame([(1, n, node(0) if n < node(8) else n, 10) for n, _ in bags_], "key bigint, node binary, label binary, size bigint")
+    found = near.across(members, spark.createDataFrame(bags_, "node binary, bag binary")).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in found} == {(node(10), node(11)), (node(12), node(13))}

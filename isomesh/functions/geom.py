@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def line(*xy: Column | str) -> Column:
     """A line through the given x, y, x, y, ... columns."""
     return F.array(*(point(col(a), col(b)) for a, b in zip(xy[::2], xy[1::2], strict=True)))
@@ -122,14 +128,13 @@ def signed_area(ring: Column) -> Column:
 def centroid(points: Column, kind: Column) -> Column:
     """Of a POINT, LINESTRING (weighed by length) or POLYGON ring (weighed by area)."""
     n = F.size(points)
-    area = signed_area(points)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    ring = lambda k: total(F.transform(points, lambda p, i: (p[k] + points[F.pmod(i + 1, n)][k]) * cross(p, points[F.pmod(i + 1, n)]))) / (6 * area)
+    ring = lambda k, area: total(F.transform(points, lambda p, i: (p[k] + points[F.pmod(i + 1, n)][k]) * cross(p, points[F.pmod(i + 1, n)]))) / (6 * area)
     way = lambda k: total(F.transform(segments(points), lambda s: (s["a"][k] + s["b"][k]) / 2 * distance(s["a"], s["b"]))) / length(points)
     mean = lambda k: total(F.transform(points, lambda p: p[k])) / n
-    of = lambda k: F.when((kind == "POLYGON") & (area != 0), ring(k)).when((kind == "LINESTRING") & (length(points) > 0), way(k)).otherwise(mean(k))
-    return point(of("x"), of("y"))
+    of = lambda k, area: F.when((kind == "POLYGON") & (area != 0), ring(k, area)).when((kind == "LINESTRING") & (length(points) > 0), way(k)).otherwise(mean(k))
+    return let(F.when(kind == "POLYGON", signed_area(points)), lambda area: point(of("x", area), of("y", area)))
 
 
 def parse_wkt(text: Column) -> Column:
@@ -145,9 +150,9 @@ def parse_wkt(text: Column) -> Column:
     single = F.transform(F.flatten(polygons), lambda r: F.array(r))
     places = F.transform(F.flatten(F.flatten(polygons)), lambda p: F.array(F.array(p)))
     parts = F.when(kind == "MULTIPOLYGON", polygons).when(kind == "MULTILINESTRING", single).when(kind == "MULTIPOINT", places).otherwise(F.array(F.flatten(polygons)))
-    flat = F.flatten(parts)
-    good = (F.size(flat) > 0) & ~F.exists(F.flatten(flat), lambda p: p["x"].isNull() | p["y"].isNull())
-    return F.struct(kind.alias("kind"), F.when(good, parts).alias("parts"), F.when(good, flat).alias("rings"))
+    good = lambda flat: (F.size(flat) > 0) & ~F.exists(F.flatten(flat), lambda p: p["x"].isNull() | p["y"].isNull())
+    checked = lambda parts: let(F.flatten(parts), lambda flat: let(good(flat), lambda g: F.struct(kind.alias("kind"), F.when(g, parts).alias("parts"), F.when(g, flat).alias("rings"))))
+    return let(parts, checked)
 
 
 def inside_parts(parts: Column, x: Column, y: Column) -> Column:
@@ -164,10 +169,12 @@ def centroid_of_parts(parts: Column, kind: Column) -> Column:
     areas = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda r, i: F.struct(area(r, i).alias("w"), centroid(r, F.lit("POLYGON")).alias("c")))))
     lines = F.transform(F.flatten(parts), lambda r: F.struct(length(r).alias("w"), centroid(r, F.lit("LINESTRING")).alias("c")))
     points = F.transform(F.flatten(F.flatten(parts)), lambda p: F.struct(F.lit(1.0).alias("w"), point(p["x"], p["y"]).alias("c")))
-    weight = lambda ws: total(F.transform(ws, lambda s: s["w"]))
-    mean = lambda ws, k: total(F.transform(ws, lambda s: s["w"] * s["c"][k])) / weight(ws)
-    of = lambda k: F.when(kind.endswith("POLYGON") & (weight(areas) != 0), mean(areas, k)).when(kind.endswith("LINESTRING") & (weight(lines) > 0), mean(lines, k)).otherwise(mean(points, k))
-    return point(of("x"), of("y"))
+    by = lambda a, k: total(F.transform(a, lambda s: s["w"] * s["c"][k])).alias(k)
+    sums = lambda ws: let(ws, lambda a: F.struct(total(F.transform(a, lambda s: s["w"])).alias("w"), by(a, "x"), by(a, "y")))
+    weighed = F.when(kind.endswith("POLYGON"), sums(areas)).when(kind.endswith("LINESTRING"), sums(lines))
+    kept = lambda s: (kind.endswith("POLYGON") & (s["w"] != 0)) | (kind.endswith("LINESTRING") & (s["w"] > 0))
+    used = let(weighed, lambda s: F.when(kept(s), s).otherwise(sums(points)))
+    return let(used, lambda s: point(s["x"] / s["w"], s["y"] / s["w"]))
 
 
 def to_wkt(points: Column, kind: str = "LINESTRING") -> Column:

@@ -47,7 +47,9 @@ def geometry(df: DataFrame, geom: str) -> list[Column]:
 def layer_table(df: DataFrame, id: str = "id", geom: str = "geom", var: str | None = None, where: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A layer from columns of a table; ``where`` is SQL over its columns."""
     df = df.where(where) if where else df
-    rows = df.select(F.col(id).cast("bigint").alias("object_id"), *geometry(df, geom), (F.col(var).cast("double") if var else F.lit(1.0)).alias("var"))
+    df = text.dealt(df)
+    value, g = geometry(df, geom)
+    rows = df.select(F.col(id).cast("bigint").alias("object_id"), value, F.explode(F.array(g)).alias("g"), (F.col(var).cast("double") if var else F.lit(1.0)).alias("var"))
     rows = text.unique_problem(rows, "object_id")
     problem = F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.col("g.rings").isNull(), "bad geometry").when(F.col("var").isNull(), "bad value")
     return text.divided(rows, problem, *text.layer_columns(F.col("g.parts"), F.col("g.kind")))

@@ -54,6 +54,17 @@ def lines(df: DataFrame) -> DataFrame:
     return df.where((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("f", F.split("value", ";"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over as many tasks as shuffles have: few bytes of geometry take long to read, so the files alone
+    don't divide the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once a row, however often and in whatever conditions it is used."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def strict(good: DataFrame, errors: DataFrame) -> DataFrame:
     """The rows, or an error that names the first broken lines."""
     if broken := errors.limit(5).collect():
@@ -72,9 +83,14 @@ def numbers(fields: Column) -> Column:
 
 def paired(values: Column) -> Column:
     """x, y, x, y, ... as points."""
-    n = F.floor(F.size(values) / 2).cast("int")
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.struct(values[2 * i].alias("x"), values[2 * i + 1].alias("y")))
+
+    def of(v: Column) -> Column:
+        n = F.floor(F.size(v) / 2).cast("int")
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda i: F.struct(v[2 * i].alias("x"), v[2 * i + 1].alias("y")))
+
+    # All numbers are read once, not for each point again.
+    return F.transform(F.array(values), of)[0]
 
 
 def layer_columns(parts: Column, kind: Column) -> list[Column]:
@@ -107,7 +123,7 @@ def layer_csv(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def layer_wkt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """id;WKT[;var]; all parts of a geometry, with holes."""
-    rows = lines(df).withColumns({"object_id": F.trim(F.col("f")[0]).try_cast("bigint"), "g": parse_wkt(F.try_element_at("f", F.lit(2)))})
+    rows = worked_out(lines(dealt(df)).withColumn("object_id", F.trim(F.col("f")[0]).try_cast("bigint")), "g", parse_wkt(F.try_element_at("f", F.lit(2))))
     rows = rows.withColumn("var", F.when(F.size("f") == 3, F.try_element_at("f", F.lit(3)).try_cast("double")).otherwise(1.0))
     rows = unique_problem(rows, "object_id")
     problem = F.when(F.col("object_id").isNull(), "bad id").when(F.col("times") > 1, "duplicate id").when(F.col("g.rings").isNull(), "bad geometry").when(F.col("var").isNull(), "bad value")
@@ -122,9 +138,9 @@ def net_rows(df: DataFrame, geom: Column, used: int, custom_at: int) -> tuple[Da
     f = F.col("f")
     bits = sum((F.when(flag(F.try_element_at(f, F.lit(i))), m.bit).otherwise(0) for i, m in ((4, FOOT), (5, BIKE), (6, CAR))), F.lit(0))
     bits = bits + F.when(bits.bitwiseAND(F.lit(custom_at)) != 0, 1).otherwise(0)
-    rows = lines(df).withColumns({
+    rows = worked_out(lines(dealt(df)), "geom", geom).withColumns({
         "edge_id": F.trim(f[0]), "from_node": F.try_element_at(f, F.lit(2)).try_cast("bigint"), "to_node": F.try_element_at(f, F.lit(3)).try_cast("bigint"), "modes": bits.cast("bigint"),
-        "vmax": F.try_element_at(f, F.lit(7)).try_cast("double") / 3.6, "length": F.try_element_at(f, F.lit(8)).try_cast("double"), "geom": geom,
+        "vmax": F.try_element_at(f, F.lit(7)).try_cast("double") / 3.6, "length": F.try_element_at(f, F.lit(8)).try_cast("double"),
     })
     broken = F.col("from_node").isNull() | F.col("to_node").isNull() | F.col("vmax").isNull() | F.col("length").isNull()
     shape = F.col("geom").isNull() | (F.size("geom") < 2) | F.exists("geom", lambda p: p["x"].isNull() | p["y"].isNull())

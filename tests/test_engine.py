@@ -313,3 +313,30 @@ def test_sinks(spark, tmp_path):
     assert sinks.shaped(named, "mapping").columns == sinks.RELATIONS["mapping"]
     assert sinks.shaped(spark.createDataFrame([("length<=0", "e")], "description string, edge1 string"), "net_errors").first().edge2 is None
     assert "secret" not in sinks.masked("--from db;jdbc:x,table,user,secret")
+
+
+def test_components_write_few_times_their_links(spark, monkeypatch):
+    from isomesh.operators import components as C
+    from isomesh.operators.state import settled
+
+    written = []
+
+    def counted(df, tag):
+        out = settled(df, tag)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "settled", counted)
+    n = 300
+    path = [(i * 7 % n, (i + 1) * 7 % n) for i in range(n - 1)] + [(1000, 1001), (1002, 1002), (5, 5)]
+    found = dict(map(tuple, C.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()))
+    assert found == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000, 1002: 1002}
+    assert sum(written) < 8 * n
+
+
+def test_lines_of_geometry_are_dealt_out(spark):
+    rows = spark.range(1).selectExpr("'1;POLYGON((0 0, 2 0, 2 4, 0 4, 0 0))' AS value")
+    edge = spark.range(1).selectExpr("'e;1;2;1;1;1;36;100;0;0;60;80' AS value")
+    for good in (text.layer_wkt(rows)[0], text.net_csv(edge)[0]):
+        plan = good._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 2, true" in plan and "explode" in plan and good.count() == 1

@@ -98,9 +98,16 @@ def ride_edges(lines: DataFrame, stops: DataFrame, running: DataFrame, escorts:
     return rows.select("edge_id", stop_node(F.col("s.from_stop")).alias("from_node"), stop_node(F.col("s.to_stop")).alias("to_node"), F.col("taken").bitwiseOR(F.lit(FOOT.bit)).alias("modes"), F.lit(RIDE_VMAX).alias("vmax"), G.distance(F.col("s.a_p"), F.col("s.b_p")).alias("length"), "line")
 
 
-def departures(hops: DataFrame) -> DataFrame:
-    """edge, hour, list, later: for every hour until its last departure, what still leaves an edge. hops: edge_id, dep,
-    arr, trip_id.
+def in_time(hops: DataFrame, time: float, max_tt: float, transfers: DataFrame | None = None) -> DataFrame:
+    """The hops that a search from ``time`` on can use: they leave no sooner, and arrive within ``max_tt`` seconds. A
+    transfer of less than no time lets later ones arrive in time too."""
+    early = transfers.agg(F.min("seconds")).first()[0] if transfers is not None else None
+    return hops.where((F.col("dep") >= time) & (F.col("arr") - time + min(float(early or 0), 0.0) <= max_tt))
+
+
+def departures(hops: DataFrame, since: int = 0) -> DataFrame:
+    """edge, hour, list, later: for every hour from ``since`` until its last departure, what still leaves an edge. hops:
+    edge_id, dep, arr, trip_id; none leaves before that hour.
 
     Every departure carries the connection that arrives first of those that leave then or later; ``later`` is that of
     the hours after. So a label looks at the departures of one hour only.
@@ -109,7 +116,7 @@ def departures(hops: DataFrame) -> DataFrame:
     by = Window.partitionBy("edge_id").orderBy(F.desc("dep")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     best = hops.select("edge_id", "dep", F.min(hop).over(by).alias("best")).distinct().withColumn("hour", F.floor(F.col("dep") / 3600))
     lists = best.groupBy("edge_id", "hour").agg(F.array_sort(F.collect_list(F.struct("dep", "best"))).alias("list"))
-    hours = lists.groupBy("edge_id").agg(F.max("hour").alias("last")).select("edge_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("hour"))
+    hours = lists.groupBy("edge_id").agg(F.max("hour").alias("last")).select("edge_id", F.explode(F.sequence(F.lit(since).cast("bigint"), F.col("last"))).alias("hour"))
     after = Window.partitionBy("edge_id").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
     full = hours.join(lists, ["edge_id", "hour"], "left").withColumn("later", F.min(F.col("list")[0]["best"]).over(after))
     return full.select(F.col("edge_id").alias("d_edge"), "hour", "list", "later")
@@ -206,8 +213,9 @@ def search(start: DataFrame, edges: DataFrame, modes: list[Mode], max_tt: float,
     now = F.lit(float(time)) + F.col("tt")
     drive = driven(modes, F.col("e_vmax"), F.col("e_length"), now, F.col("spells"))
     if rides is not None:
-        board = settled(rides.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("modes").alias("e_modes"), F.col("length").alias("e_length"), F.col("line").alias("e_line")), "board")
-        leaving = settled(departures(hops), "departures")
+        leaving = settled(departures(in_time(hops, time, max_tt, transfers), int(time // 3600)), "departures")
+        used = rides.join(leaving.select(F.col("d_edge").alias("edge_id")).distinct(), "edge_id", "left_semi")
+        board = settled(used.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("edge_id").alias("e"), F.col("modes").alias("e_modes"), F.col("length").alias("e_length"), F.col("line").alias("e_line")), "board")
     turns = None if delays is None else settled(turn_delays(delays), "turns")
     waits = None if transfers is None else settled(transfers.groupBy(stop_node(F.col("stop_id")).alias("t_node"), F.col("from_trip").alias("t_from"), F.col("to_trip").alias("t_to")).agg(F.min("seconds").cast("double").alias("seconds")), "waits")
 

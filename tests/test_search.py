@@ -142,3 +142,16 @@ def test_a_long_way_takes_few_rounds(spark, monkeypatch):
     got = routing.paths(labels, goals).collect()
     assert sorted((r.goal, r.idx, r.node, r.edge) for r in got) == sorted((g, i, i, f"e{i}") for g in (n - 1, 10, 0) for i in range(g + 1))
     assert len(rounds) <= 15 and max(plans[2:]) <= 1.1 * plans[2]
+
+
+def test_objects_at_one_place_share_a_search(spark):
+    edges = spark.createDataFrame([("a", 1, 2, 10.0, 10.0, "b"), ("b", 2, 1, 10.0, 10.0, "a"), ("c", 2, 3, 10.0, 10.0, "d"), ("d", 3, 2, 10.0, 10.0, "c")], "edge_id string, from_node bigint, to_node bigint, length double, tt double, opposite_id string")
+    o = spark.createDataFrame([(i, "a", 4.0) for i in range(20)] + [(30, "a", 6.0), (31, "c", 4.0)], "object_id bigint, edge_id string, pos double")
+    d = spark.createDataFrame([(100, "c", 5.0), (101, "a", 1.0)], "object_id bigint, edge_id string, pos double")
+    places, members = routing.places(o)
+    assert sorted(r.object_id for r in places.collect()) == [0, 30, 31] and members.count() == 22
+    labels = routing.search(routing.starts(places, edges), edges, 30.0)
+    assert labels.select("origin").distinct().count() == 3
+    alone = routing.od_values(routing.search(routing.starts(o, edges), edges, 30.0), o, d, edges, 30.0)
+    shared = routing.for_all(routing.od_values(labels, places, d, edges, 30.0), members)
+    assert shared.columns == alone.columns and sorted(shared.collect()) == sorted(alone.collect()) and alone.count() == 44

@@ -175,3 +175,13 @@ def test_an_unknown_projection_is_an_error(spark, tmp_path):
     assert 300000 < r.x < 400000 and 5.7e6 < r.y < 5.8e6
     assert tuple(gtfs.stops(stops, 0).first()) == ("S", 13.0, 52.0)
     assert gtfs.stops(stops, 32633, lambda x, y: x > 4e5).count() == 0
+
+
+def test_only_departures_in_time_are_kept(spark):
+    hops = spark.createDataFrame([("e", 3599, 3700, "a"), ("e", 3600, 4200, "b"), ("e", 3700, 4201, "c"), ("f", 90000, 90100, "d")], "edge_id string, dep int, arr int, trip_id string")
+    kept = transit.in_time(hops, 3600.0, 600.0)
+    assert [r.trip_id for r in kept.collect()] == ["b"]
+    assert [(r.d_edge, r.hour) for r in transit.departures(kept, 1).collect()] == [("e", 1)]
+    # A transfer that takes less than no time brings a later arrival back within the bound.
+    early = spark.createDataFrame([("s", "a", "c", -60)], "stop_id string, from_trip string, to_trip string, seconds int")
+    assert [r.trip_id for r in transit.in_time(hops, 3600.0, 600.0, early).orderBy("dep").collect()] == ["b", "c"]

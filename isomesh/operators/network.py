@@ -74,16 +74,20 @@ def subnets(edges: DataFrame) -> DataFrame:
     Two edges hang together if one ends where the other begins; edges that only begin, or only end, at the same node
     don't. So nodes with edges in and out are the links, and edges take the component of such a node.
     """
-    ends = edges.select("edge_id", "from_node", "to_node")
+    # Written once, as they are read several times and a network may be dear to make.
+    ends = settled(edges.select("edge_id", "from_node", "to_node"), "ends")
     sides = ends.select(F.col("from_node").alias("node"), F.lit(1).alias("out")).union(ends.select("to_node", F.lit(0)))
-    hubs = settled(sides.groupBy("node").agg(F.min("out").alias("least"), F.max("out").alias("most")).where("least != most").select("node"), "hubs")
-    at = lambda c: hubs.select(F.col("node").alias(c))
-    links = ends.join(at("from_node"), "from_node", "left_semi").join(at("to_node"), "to_node", "left_semi").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
-    # Every node has a label, also one that has no edge to another.
-    found = hubs.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    of = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"by_{c}"))
-    own = ends.join(of("from_node"), "from_node", "left").join(of("to_node"), "to_node", "left")
-    labels = settled(own.select("edge_id", F.coalesce(F.coalesce("by_from_node", "by_to_node").cast("string"), F.concat(F.lit("alone "), "edge_id")).alias("label")), "labels")
+    # Nodes that are no links are few as a rule, and then edges need no shuffle to be told of them.
+    tips = settled(sides.groupBy("node").agg(F.min("out").alias("least"), F.max("out").alias("most")).where("least = most").select("node"), "tips")
+    of = lambda c: tips.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_tip"))
+    is_hub = lambda c: F.col(c).isNotNull() & F.col(f"{c}_tip").isNull()
+    told = ends.join(of("from_node"), "from_node", "left").join(of("to_node"), "to_node", "left").select("*", is_hub("from_node").alias("by_from"), is_hub("to_node").alias("by_to"))
+    labelled = components(told.where("by_from and by_to").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")))
+    # The links at both ends of an edge are of one component, so one of them is looked up; a link without an edge to
+    # another is its own component.
+    at = told.select("edge_id", F.when(F.col("by_from"), F.col("from_node")).otherwise(F.col("to_node")).alias("node"), (F.col("by_from") | F.col("by_to")).alias("held"))
+    own = F.when(F.col("held"), F.coalesce("label", "node").cast("string")).otherwise(F.concat(F.lit("alone "), "edge_id"))
+    labels = settled(at.join(labelled, "node", "left").select("edge_id", own.alias("label")), "labels")
     sizes = labels.groupBy("label").agg(F.count("*").alias("cell_size"), F.min("edge_id").alias("first"))
     cells = numbered(sizes, "cell_id", F.desc("cell_size"), F.col("first")).select("label", "cell_id", "cell_size")
     return labels.join(cells, "label").select("edge_id", "cell_id", "cell_size")

@@ -334,6 +334,38 @@ def test_components_write_few_times_their_links(spark, monkeypatch):
     assert sum(written) < 8 * n
 
 
+@pytest.mark.parametrize("few", [0, 40, 200_000])
+def test_components_take_few_rounds_for_few_links(spark, monkeypatch, few):
+    from isomesh.operators import components as C
+    from isomesh.operators.state import settled
+
+    tables = []
+    monkeypatch.setattr(C, "FEW", few, raising=False)
+    monkeypatch.setattr(C, "settled", lambda df, tag: tables.append(tag) or settled(df, tag))
+    rng = random.Random(22)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(500, 500)] + [(600, n) for n in range(601, 640)]
+    least = {n: n for p in pairs for n in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    found = C.components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    assert sorted(map(tuple, found.collect())) == sorted(least.items())
+    # The links, where they go, and back.
+    assert few < 200_000 or len(tables) == 3
+    names = [(f"n{a}", f"n{b}") for a, b in pairs]
+    named = C.components(spark.createDataFrame(names, "a string, b string")).groupBy("label").agg(F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in named) == sorted(list(least.values()).count(x) for x in set(least.values()))
+
+
+def test_subnets_work_the_network_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("a", 1, 2), ("b", 2, 3), ("c", 3, 1), ("d", 4, 2), ("e", 8, 9), ("f", None, 9), ("g", 2, None), ("h", 8, None), ("i", 5, 6), ("j", 6, 7)]
+    made = spark.sparkContext.parallelize(rows).map(lambda r: seen.add(1) or r)
+    got = {r.edge_id: (r.cell_id, r.cell_size) for r in network.subnets(spark.createDataFrame(made, "edge_id string, from_node bigint, to_node bigint")).collect()}
+    assert got == {e: (0, 5) for e in "abcdg"} | {"i": (1, 2), "j": (1, 2), "e": (2, 1), "f": (3, 1), "h": (4, 1)}
+    assert seen.value == len(rows)
+
+
 def test_lines_of_geometry_are_dealt_out(spark):
     rows = spark.range(1).selectExpr("'1;POLYGON((0 0, 2 0, 2 4, 0 4, 0 0))' AS value")
     edge = spark.range(1).selectExpr("'e;1;2;1;1;1;36;100;0;0;60;80' AS value")

@@ -269,23 +269,27 @@ def areas(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = members.where("type = 'way'").select("root", F.coalesce("role", F.lit("")).alias("role"), F.col("ref").alias("way_id"))
     at = positions(ways.join(lines.select("way_id").distinct(), "way_id", "left_semi"), nodes)
     line = F.transform("points", lambda p: F.struct(p["node"].alias("node"), p["lon"].alias("x"), p["lat"].alias("y")))
-    # A relation has 32,000 members at most in the source.
-    found = lines.join(at, "way_id").select("root", "role", "way_id", line.alias("line")).groupBy("root", "role").applyInPandas(rings_.joined, f"root bigint, role string, closed boolean, ring {G.POINTS}")
+    # A relation has 32,000 members at most in the source. Areas are dealt out whole, many to a task, and come one after the
+    # other in it.
+    dealt = lines.join(at, "way_id").select("root", "role", "way_id", line.alias("line")).repartition(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "role")
+    found = dealt.sortWithinPartitions("root", "role", "way_id").select("root", "role", "line").mapInArrow(rings_.joined, f"root bigint, role string, closed boolean, ring {G.POINTS}")
     area = G.signed_area(F.col("ring"))
     turned = F.when(F.col("closed") & ((F.col("role") == "inner") == (area > 0)), F.reverse("ring")).otherwise(F.col("ring"))
     return found.select("root", "role", "closed", turned.alias("ring"))
 
 
-def hull_centres(points: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([rings_.hull_centre([(p["x"], p["y"]) for p in ps]) for ps in points], columns=["x", "y"])
+def hull_centres(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([rings_.hull_centre(list(zip(x.tolist(), y.tolist(), strict=True))) for x, y in zip(xs, ys, strict=True)], columns=["x", "y"])
 
 
 def shapes(found: DataFrame) -> DataFrame:
     """root, parts, cx, cy: for each relation with closed rings (of ``areas``) a polygon of several parts, the largest
     first: each outer ring with the holes that lie in it, and the centroid of the convex hull of all outer rings. A hole
     belongs to the smallest ring that has half of its points or more; a hole in none is left out."""
-    whole = found.where("closed").select("root", "role", "ring", F.abs(G.signed_area(F.col("ring"))).alias("area"))
-    outer = whole.where("role <> 'inner'").withColumn("ring_id", F.sha2(F.to_json("ring"), 256)).dropDuplicates(["root", "ring_id"])
+    whole = found.where("closed").select("root", (F.col("role") == "inner").alias("hole"), "ring", F.sha2(F.to_json("ring"), 256).alias("ring_id"), F.abs(G.signed_area(F.col("ring"))).alias("area"))
+    # Written once, as what follows reads it several times.
+    whole = settled(whole.dropDuplicates(["root", "hole", "ring_id"]), "rings")
+    outer = whole.where("not hole").drop("hole")
     # Rings of one relation meet in cells of a grid over it, about as many as it has outer rings.
     low, high = (lambda k: F.array_min(F.transform("ring", lambda p: p[k]))), (lambda k: F.array_max(F.transform("ring", lambda p: p[k])))
     frame = outer.groupBy("root").agg(F.min(low("x")).alias("x0"), F.min(low("y")).alias("y0"), F.greatest(F.max(high("x")) - F.min(low("x")), F.max(high("y")) - F.min(low("y"))).alias("extent"), F.count("*").alias("n"))
@@ -293,7 +297,7 @@ def shapes(found: DataFrame) -> DataFrame:
     cell = lambda v, k: F.floor((v - F.col(f"{k}0")) / F.col("w"))
     span = lambda k: F.sequence(cell(low(k), k), cell(high(k), k))
     boxes = outer.join(frame, "root").select("root", "ring_id", F.col("ring").alias("outer_ring"), F.col("area").alias("outer_area"), F.explode(span("x")).alias("cx"), span("y").alias("cys")).withColumn("cy", F.explode("cys")).drop("cys")
-    holes = whole.where("role = 'inner'").join(frame, "root").withColumn("hole_id", F.sha2(F.to_json("ring"), 256)).dropDuplicates(["root", "hole_id"])
+    holes = whole.where("hole").withColumnRenamed("ring_id", "hole_id").join(frame, "root")
     # Points may lie on the outer ring itself, so one of them is not enough: a hole comes in all its points' cells.
     near = holes.withColumn("at", F.explode(F.array_distinct(F.transform("ring", lambda p: F.struct(cell(p["x"], "x").alias("cx"), cell(p["y"], "y").alias("cy")))))).select("root", "hole_id", F.col("ring").alias("hole"), "at.cx", "at.cy")
     met = near.join(boxes, ["root", "cx", "cy"]).dropDuplicates(["root", "hole_id", "ring_id"])
@@ -302,7 +306,8 @@ def shapes(found: DataFrame) -> DataFrame:
     part = F.struct((-F.col("area")).alias("k"), F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{G.POINTS}>"))).alias("rings"))
     out = outer.join(held, ["root", "ring_id"], "left").groupBy("root").agg(F.array_sort(F.collect_list(part)).alias("parts")).select("root", F.transform("parts", lambda p: p["rings"]).alias("parts"))
     centre = F.pandas_udf(hull_centres, "struct<x:double,y:double>")
-    out = out.withColumn("c", centre(F.flatten(F.transform("parts", lambda p: p[0]))))
+    corners = F.flatten(F.transform("parts", lambda p: p[0]))
+    out = out.withColumn("c", centre(F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])))
     return out.select("root", "parts", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 

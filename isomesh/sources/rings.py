@@ -5,17 +5,40 @@ Helpers inside tasks; a line is a list of (node, x, y). An area of the source ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 Line = list[tuple[int, float, float]]
 #: Moves that the search of one area may make where ways branch, before the best that it found stands.
 STEPS = 20_000
+#: Pairs of sides that are held against each other at once; rings of few points go without arrays, which is quicker.
+PAIRS, FEW = 100_000, 16
+
+
+def few_cross(ring: Line) -> bool:
+    """``crosses_itself`` for a ring of few points: all its sides against each other."""
+    _, x0, y0 = ring[0]
+    p = [(x - x0, y - y0) for _, x, y in ring]
+    sides = list(zip(p, p[1:], strict=False))
+    if len(sides) < 3 or sum(ax * by - bx * ay for (ax, ay), (bx, by) in sides) == 0:
+        return True
+    for i, ((ax, ay), (bx, by)) in enumerate(sides):
+        ux, uy = bx - ax, by - ay
+        for (cx, cy), (dx, dy) in sides[:i]:
+            if (ux * (cy - ay) - uy * (cx - ax)) * (ux * (dy - ay) - uy * (dx - ax)) < 0:
+                vx, vy = dx - cx, dy - cy
+                if (vx * (ay - cy) - vy * (ax - cx)) * (vx * (by - cy) - vy * (bx - cx)) < 0:
+                    return True
+    return False
 
 
 def crosses_itself(ring: Line) -> bool:
     """True if two sides of a closed ring cross, or if it has no area. A sweep by x: a side is held against those that
     begin before it ends. Sides that only touch don't cross."""
+    if len(ring) <= FEW:
+        return few_cross(ring)
     p = np.array([(x, y) for _, x, y in ring], dtype=float)
     p -= p[0]  # small numbers, so that products stay exact enough
     a, b = p[:-1], p[1:]
@@ -26,14 +49,22 @@ def crosses_itself(ring: Line) -> bool:
     a, b, left, right = a[order], b[order], left[order], right[order]
     low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
     until = np.searchsorted(left, right, side="right")
-    side = lambda s, t, q: (t[..., 0] - s[..., 0]) * (q[..., 1] - s[..., 1]) - (t[..., 1] - s[..., 1]) * (q[..., 0] - s[..., 0])
-    for i in range(len(a)):
-        near = np.arange(i + 1, until[i])
-        near = near[(low[near] <= high[i]) & (high[near] >= low[i])]
-        if len(near):
-            c, d = a[near], b[near]
-            if np.any((side(a[i], b[i], c) * side(a[i], b[i], d) < 0) & (side(c, d, a[i]) * side(c, d, b[i]) < 0)):
-                return True
+    side = lambda s, t, q: (t[:, 0] - s[:, 0]) * (q[:, 1] - s[:, 1]) - (t[:, 1] - s[:, 1]) * (q[:, 0] - s[:, 0])
+    # The pairs of sides, block by block: one after the other would take most of the time of small rings.
+    many = until - np.arange(1, len(a) + 1)
+    upto = np.cumsum(many)
+    begin = 0
+    while begin < len(a):
+        before = upto[begin] - many[begin]
+        end = max(begin + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+        i = np.repeat(np.arange(begin, end), many[begin:end])
+        j = np.arange(len(i)) - (upto - many)[i] + before + i + 1
+        near = (low[j] <= high[i]) & (high[j] >= low[i])
+        i, j = i[near], j[near]
+        s, t, c, d = a[i], b[i], a[j], b[j]
+        if ((side(s, t, c) * side(s, t, d) < 0) & (side(c, d, s) * side(c, d, t) < 0)).any():
+            return True
+        begin = end
     return False
 
 
@@ -202,12 +233,34 @@ def rings_of(lines: list[Line]) -> tuple[list[Line], list[Line]]:
     return closed, rest
 
 
-def joined(frame: pd.DataFrame) -> pd.DataFrame:
-    """root, role, closed, ring for the ways (way_id, line) of one area and role."""
-    frame = frame.sort_values("way_id", kind="stable")
-    closed, rest = rings_of([[(p["node"], p["x"], p["y"]) for p in line] for line in frame["line"]])
-    rows = [(frame["root"].iloc[0], frame["role"].iloc[0], done, [{"x": x, "y": y} for _, x, y in ring]) for done, rings in ((True, closed), (False, rest)) for ring in rings]
-    return pd.DataFrame(rows, columns=["root", "role", "closed", "ring"])
+def drawn(column: pa.ListArray) -> list[Line]:
+    """The lines of a column of lists of (node, x, y)."""
+    points = list(zip(*(part.to_pylist() for part in column.flatten().flatten()), strict=True))
+    ends = column.offsets.to_pylist()
+    return [points[i - ends[0] : j - ends[0]] for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, role, closed, ring for ways (root, role, line) that come area by area; an area holds until the next begins,
+    over as many batches as it has."""
+
+    def told(areas: list[tuple[tuple, list[Line]]]) -> pa.RecordBatch:
+        rows = [(*key, done, ring) for key, ways in areas for done, rings in zip((True, False), rings_of(ways), strict=True) for ring in rings]
+        ends = np.cumsum([0, *(len(ring) for *_, ring in rows)], dtype=np.int32)
+        points = pa.StructArray.from_arrays([pa.array([p[k] for *_, ring in rows for p in ring], pa.float64()) for k in (1, 2)], ["x", "y"])
+        kinds = (pa.int64(), pa.string(), pa.bool_())
+        columns = [*(pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(ends), points)]
+        return pa.RecordBatch.from_arrays(columns, ["root", "role", "closed", "ring"])
+
+    areas: list[tuple[tuple, list[Line]]] = []
+    for batch in batches:
+        for *key, line in zip(batch["root"].to_pylist(), batch["role"].to_pylist(), drawn(batch["line"]), strict=True):
+            if not areas or areas[-1][0] != key:
+                areas.append((key, []))
+            areas[-1][1].append(line)
+        yield told(areas[:-1])
+        del areas[:-1]
+    yield told(areas)
 
 
 def hull_centre(points: list[tuple[float, float]]) -> tuple[float, float]:

@@ -1,11 +1,13 @@
 """Rings from ways: joins without a choice, and a search where ways branch."""
 
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from isomesh.sources import osm
+from isomesh.sources import osm, rings
 from isomesh.sources.rings import crosses_itself, hull_centre, rings_of, searched
 
 AT = {1: (0, 0), 2: (10, 0), 3: (10, 10), 4: (0, 10), 5: (20, 10), 6: (20, 0), 7: (5, 5), 8: (5, -5)}
@@ -134,3 +136,42 @@ def test_shapes_of_relations(spark, roles):
     # The hull of both outer rings; a hole outside them is none.
     assert (got[9].cx, got[9].cy) == pytest.approx(hull_centre([at[i] for i in (1, 2, 3, 4, 8, 9, 10)]))
     assert osm.shapes(areas.where("root = 0")).select(F.size("parts")).collect() == []
+
+
+def test_crossings_by_blocks(monkeypatch):
+    n = 400
+    star = lambda k: [(i, *(math.cos(6.28 * k * i / n) * 9 + 1e-3 * i, math.sin(6.28 * k * i / n) * 9)) for i in range(n)] + [(0, 9.0, 0.0)]
+    for pairs in (1, 50, 10**6):
+        monkeypatch.setattr(rings, "PAIRS", pairs)
+        monkeypatch.setattr(rings, "FEW", 0 if pairs > 1 else 16)
+        test_crossings()
+        assert crosses_itself(star(7)) and not crosses_itself([(i, x, i % n * 1.0) for i, x, _ in star(0)[:-1]] + [(n, -9.0, 5.0), (0, 9.0, 0.0)])
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 50])
+def test_areas_over_several_batches(rows):
+    """However the ways are cut into batches, each area is put together once, from all of its ways."""
+    kind = pa.schema([("root", pa.int64()), ("role", pa.string()), ("line", pa.list_(pa.struct([("node", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])))])
+    as_dicts = lambda one: [dict(zip(("node", "x", "y"), p, strict=True)) for p in one]
+    ways = [(1, "", line(1, 2)), (1, "", line(2, 3)), (1, "", line(3, 1)), (1, "inner", line(4, 3, 2, 4)), (2, "", line(5, 6)), (3, "", line(7)), (4, "", line(1, 2, 3)), (4, "", line(3, 1))]
+    table = pa.Table.from_pylist([dict(zip(kind.names, (root, role, as_dicts(one)), strict=True)) for root, role, one in ways], kind)
+    found = [r for b in rings.joined(iter(table.to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    assert [(r["root"], r["role"], r["closed"], len(r["ring"])) for r in found] == [(1, "", True, 4), (1, "inner", True, 4), (2, "", False, 2), (4, "", True, 4)]
+    assert found[2]["ring"] == [{"x": 20.0, "y": 10.0}, {"x": 20.0, "y": 0.0}]
+    assert [b.num_rows for b in rings.joined(iter([]))] == [0]
+
+
+def test_shapes_read_areas_once(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    rows = [(i, role, True, ring) for i in range(5) for role, ring in (("outer", square), ("inner", [(x / 2 + 1, y / 2 + 1) for x, y in square[::-1]]))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    kind = "root bigint, role string, closed boolean, ring array<struct<x:double,y:double>>"
+    found = spark.createDataFrame(rows, kind).mapInArrow(counted, kind)
+    assert sorted((r.root, len(r.parts), len(r.parts[0]), r.cx, r.cy) for r in osm.shapes(found).collect()) == [(i, 1, 2, 2.0, 2.0) for i in range(5)]
+    assert read.value == len(rows)
